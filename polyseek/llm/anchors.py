@@ -1,9 +1,9 @@
 """Content-defined anchors: positions that equal stretches of text choose alike.
 
-For windows of ``length`` symbols, the ``k``-symbol strings of the first ``length`` symbols are hashed and the
-leftmost one of least hash is the window's *anchor*. Equal windows have their anchor at the same offset, so to
-compare all windows of a corpus it is enough to compare those that share an anchor; there are about
-``2 / (length - k + 2)`` anchors a symbol. Hashes are polynomials modulo 2**64 over random symbol values.
+A window is ``length`` consecutive symbols. Of its first ``w`` strings of ``k`` symbols (w = length - k + 1 at most) the
+leftmost one of least hash is the window's *anchor*. Equal windows have it at the same offset, so to find equal windows
+it is enough to compare those that share an anchor; there are about 2 / (w + 1) anchors a symbol. Hashes are
+polynomials modulo 2**64 over random symbol values.
 """
 
 from __future__ import annotations
@@ -11,29 +11,42 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+_LOW = _U((1 << 24) - 1)
+_STEP = 1 << 22
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
+#: Random odd values of the 256 bytes.
+BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
-def _odd(seed: int) -> int:
-    return int(np.random.default_rng(seed).integers(1 << 40, 1 << 63, dtype=np.uint64)) | 1
 
+def _power(seed: int, inverse: bool, n: int) -> np.ndarray:
+    """Powers 0..n of the base that belongs to seed, or of its inverse."""
+    have = _powers.get((seed, inverse))
+    if have is None or len(have) <= n:
+        base = int(np.random.default_rng(seed).integers(1 << 40, 1 << 63, dtype=np.uint64)) | 1
+        size = 1 << max(16, int(n + 1).bit_length())
+        have = np.full(size, pow(base, -1, 1 << 64) if inverse else base, dtype=_U)
+        have[0] = 1
+        have = np.cumprod(have)
+        if size <= 1 << 21:
+            _powers[seed, inverse] = have
+    return have
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values after which an order by value is a random one."""
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
 
-class Rolling:
-    """Hashes of any substrings of one sequence, from prefix sums of ``value[i] * base**i``."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class Rolling:
+    """Hashes of any substrings of one sequence, from prefix sums of value[i] * base**i."""
 
     def __init__(self, values: np.ndarray, seed: int):
         n = len(values)
-        have = self._powers.get(seed)
-        if have is None or len(have[0]) <= n:
-            base, size = _odd(seed), max(1 << 12, 1 << int(n + 1).bit_length())
-            inverse = pow(base, -1, 1 << 64)
-            have = tuple(np.concatenate([[_U(1)], np.cumprod(np.full(size, b, dtype=_U))]) for b in (base, inverse))
-            if size <= 1 << 21:
-                self._powers[seed] = have
-        self.inverse = have[1]
+        self.inverse = _power(seed, True, n)
         self.sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum(values * have[0][:n], out=self.sums[1:])
+        np.cumsum(values * _power(seed, False, n)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -43,56 +56,53 @@ class Rolling:
         return mixed((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads all bits, so that an order by hash is a random one."""
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(29))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of x[i:i+w] for each i, by doubling."""
-    out, have = x, 1
+    have = 1
     while have * 2 <= w:
-        out = np.minimum(out[:-have], out[have:])
+        x = np.minimum(x[:-have], x[have:])
         have *= 2
     rest = w - have
-    return np.minimum(out[:-rest], out[rest:]) if rest else out
+    return np.minimum(x[:-rest], x[rest:]) if rest else x
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All integers of the half-open ranges, one after another."""
+    n = np.maximum(stop - start, 0)
+    at = np.cumsum(n) - n
+    return np.arange(int(n.sum()), dtype=np.int64) + np.repeat(start - at, n)
+
+
+def leftmost(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For each i the position of the least hash (its upper 40 bits, leftmost of ties) in hashes[i:i+w]."""
+    out = []
+    for at in range(0, max(len(hashes) - w + 1, 0), _STEP):
+        part = hashes[at : at + _STEP + w - 1]
+        key = (part & ~_LOW) | np.arange(len(part), dtype=_U)
+        out.append((sliding_min(key, w) & _LOW).astype(np.int64) + at)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def choose(hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) for each run of windows with one anchor.
+def anchored(values: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor in sequences laid end to end (offsets has their bounds).
 
-    Window p holds hashes[p:p+w]; its anchor is the leftmost position of the least hash there.
+    seq: which sequence; anchor, first, last: positions in ``values`` of the anchor and of the run's first and last
+    window; h: hash of the anchor's k symbols; c: hash of all symbols of the run's windows and of where the anchor is.
     """
-    least = sliding_min(hashes, w)
-    n = len(least)
-    # A window's anchor is that of the window before unless that one left or a smaller one came in.
-    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    runs = np.append(new, n)
-    anchors, first, last = [], [], []
-    # Within a run of equal minima the leftmost occurrence may still leave: split there.
-    value = least[new]
-    order = np.flatnonzero(hashes_in(hashes, least))
-    at = 0
-    for r in range(len(new)):
-        p, stop, v = int(runs[r]), int(runs[r + 1]), value[r]
-        while p < stop:
-            at = np.searchsorted(order, p)
-            while hashes[order[at]] != v:
-                at += 1
-            a = int(order[at])
-            q = min(stop - 1, a)
-            anchors.append(a)
-            first.append(p)
-            last.append(q)
-            p = q + 1
-    return np.array(anchors, dtype=np.int64), np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
-
-
-def hashes_in(hashes: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Which positions hold the least hash of some window."""
-    w = len(hashes) - len(least) + 1
-    pad = np.concatenate([np.zeros(w - 1, dtype=_U), least, np.zeros(w - 1, dtype=_U)])
-    most = ~sliding_min(~pad, w)
-    return hashes == most
+    w = length - k + 1
+    starts, stops = offsets[:-1], offsets[1:] - length + 1
+    long = np.flatnonzero(stops > starts)
+    names = ("seq", "anchor", "first", "last", "h", "c")
+    if not len(long):
+        return {x: np.zeros(0, dtype=np.int64) for x in names[:4]} | {x: np.zeros(0, dtype=_U) for x in names[4:]}
+    one = Rolling(values, 1)
+    hashes = one.every(k)
+    at = leftmost(hashes, w)
+    p = ranges(starts[long], stops[long])
+    a = at[p]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)])
+    first = p[new]
+    last = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
+    anchor = a[new]
+    c = Rolling(values, 2).of(first, last + length) ^ mixed(((anchor - first) * length + (last - first)).astype(_U))
+    return {"seq": np.searchsorted(offsets, first, side="right") - 1, "anchor": anchor, "first": first, "last": last, "h": hashes[anchor], "c": c}
