@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import mixing, simhash, suffixes
+from polyseek.llm import automata, mixing, simhash, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.without_repeats(documents(spark, sf_dir), kept=False)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op10_mixing": op10_mixing}
+    return {"op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
