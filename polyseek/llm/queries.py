@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, mixing, simhash, suffixes
+from polyseek.llm import automata, mixing, quality, simhash, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(documents(spark, sf_dir), kept=False)
 
@@ -32,7 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op10_mixing": op10_mixing}
+    return {"op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
