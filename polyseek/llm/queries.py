@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, mixing, quality, simhash, suffixes
+from polyseek.llm import automata, mixing, quality, simhash, suffixes, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = toxicity.scores(docs, toxicity.learn(docs, labels.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -37,7 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
