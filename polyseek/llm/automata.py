@@ -59,7 +59,7 @@ def window_rows(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataF
             "first": (x["first"] - base).astype(np.int32), "last": (x["last"] - base).astype(np.int32),
         }
 
-    return arrow(keyed(docs).where("doc_id is not null"), run, "uid long, doc_id long, h long, c long, first int, last int")
+    return arrow(keyed(docs).where("doc_id is not null"), run, "uid long, doc_id long, h long, c long, first int, last int", most=1 << 19)
 
 
 class SuffixAutomaton:

@@ -41,13 +41,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Rows that f makes of each Arrow batch of df, f returning columns by name."""
+def arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, most: int = 4 << 20) -> DataFrame:
+    """Rows that f makes of each Arrow batch of df (of ``most`` bytes, about), f returning columns by name."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, most):
                 out = f(piece)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out)
@@ -55,7 +55,7 @@ def arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes each, so that long texts do not add up."""
     rows = max(1, batch.num_rows)
     step = max(1, int(rows * most / max(batch.nbytes, 1)))

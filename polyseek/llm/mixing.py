@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseek.llm.common import WORD, saved
+from polyseek.llm.common import WORD, parts, saved
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -37,7 +37,7 @@ def running(df: DataFrame, by: list[str], chunk: str, order: list[str], value: s
     totals = totals.select(*by, chunk, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
     inner = Window.partitionBy(*by, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_i", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return df.join(totals, [*by, chunk]).withColumn(out, F.col("_i") + F.col("_o")).drop("_i", "_o")
+    return df.join(totals.hint("merge"), [*by, chunk]).withColumn(out, F.col("_i") + F.col("_o")).drop("_i", "_o")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
@@ -105,7 +105,7 @@ def drawn(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS, passes: in
     span = s.agg(F.max("hi")).first()[0]
     rest = int(round(span))
     # Whole parts: the same number of slots in every shard.
-    first = s.where("whole > 0").select("sid", "blocks", "whole", F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // 256))).alias("g")).repartition(F.col("sid"), F.col("g"))
+    first = s.where("whole > 0").select("sid", "blocks", "whole", F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // 256))).alias("g")).repartition(parts(sources.sparkSession), "sid", "g")
     first = first.select("sid", "blocks", F.explode(F.sequence(F.col("g") * 256 * F.col("whole"), F.least(F.lit(shards), (F.col("g") + 1) * 256) * F.col("whole") - 1)).alias("j"))
     out = first
     if rest:
@@ -127,14 +127,14 @@ def taken(at: DataFrame, sources: DataFrame, block: int = BLOCK, passes: int = P
     times = drawn(sources, block, passes=passes).groupBy("sid", "block").agg(F.count("*").alias("times"))
     span = at.where("size > 0").select("uid", "sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     words = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block, F.col("start"))
-    return span.join(times, ["sid", "block"]).select("uid", "block", "times", (words * F.col("times")).alias("words"))
+    return span.join(times.hint("merge"), ["sid", "block"]).select("uid", "block", "times", (words * F.col("times")).alias("words"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of docs (doc_id, text, source)."""
     at, sources, _ = placed(docs, [], weights, budget, passes)
     sums = taken(at, sources, block, passes).groupBy("uid").agg(F.sum("words").alias("taken"))
-    return at.join(sums, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return at.join(sums.hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
@@ -147,9 +147,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     picked = drawn(sources, block, passes=passes)
     span = at.where("size > 0").select("uid", "sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     low, high = F.greatest(F.col("block") * block, F.col("start")) - F.col("start"), F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.col("start")
-    got = span.join(picked, ["sid", "block"]).select("uid", "pass", "size", F.struct(low.alias("lo"), (high - low).alias("n")).alias("piece"))
+    got = span.join(picked.hint("merge"), ["sid", "block"]).select("uid", "pass", "size", F.struct(low.alias("lo"), (high - low).alias("n")).alias("piece"))
     got = got.groupBy("uid", "pass").agg(F.sort_array(F.collect_list("piece")).alias("took"), F.sum("piece.n").alias("n"))
-    out = sized.join(got, "uid")
+    out = sized.join(got.hint("merge"), "uid")
     words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform("took", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
     text = F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(cut)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, mixing, quality, simhash, suffixes, toxicity
+from polyseek.llm import automata, mixing, quality, simhash, suffixes, tokenfiles, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +40,16 @@ def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.without_repeats(documents(spark, sf_dir), kept=False)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read(*tokenfiles.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
