@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, mixing, quality, simhash, suffixes, tokenfiles, toxicity
+from polyseek.llm import automata, mixing, quality, sentencepieces, simhash, suffixes, tokenfiles, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
 def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.without_repeats(documents(spark, sf_dir), kept=False)
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op7_suffix_automata": op7_suffix_automata, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_suffix_automata": op7_suffix_automata, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
