@@ -26,7 +26,7 @@ from polyseek.llm.common import arrow, column, parts, saved, small_batches
 from polyseek.llm.suffixes import keyed, packed
 
 LENGTH = 50
-ANCHOR = 10
+ANCHOR = 25
 HOT = 256
 #: Passages of one automaton, at least, where a task has that many.
 SHARD = 1000
