@@ -4,8 +4,10 @@ Every ``length``-byte string has an anchor (anchors.py), and only suffixes at an
 range-partition them by leading bytes and hash, ties going on by content, document and position, so that a very common
 suffix is spread over buckets. Each bucket sorts its rows by multikey quicksort and compares neighbours; one row of each
 end goes to a comparison across bucket bounds. Suffixes whose windows all lie in equal stretches are settled there.
-Those that share an anchor but not the whole stretch (ends of repeats) are settled in a second round of the same sort,
-in which every window of 200 bytes is a suffix of its own. Positions never leave a document. Texts move zstd-packed.
+Those that share an anchor but not the whole stretch (ends of repeats) are settled by their bytes: every window of 200
+bytes is then a suffix of its own. Groups inside one bucket with at most ``NARROW`` different stretches meet in one task,
+which sorts their windows; the windows of larger groups, and of those that touch a bucket's ends, go through the sort
+over all buckets once more. Positions never leave a document. Texts move zstd-packed.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from polyseek.llm.common import arrow, column, parts, saved, small_batches, text
 LENGTH = 200
 #: Bytes of an anchor: with 50, about one position in 76 is one.
 ANCHOR = 50
+#: Different stretches with one anchor that one task compares by their bytes, at most.
+NARROW = 256
 ROW = "lead long, h long, c long, uid long, first int, last int, multi int"
 FOUND = "kind int, pid int, n int, inner int, " + ROW
+BYTES_ROW = "wide boolean, " + ROW + ", bytes binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,7 +74,7 @@ def suffix_rows(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataF
             "first": (x["first"] - base).astype(np.int32), "last": (x["last"] - base).astype(np.int32), "multi": np.zeros(len(base), dtype=np.int32),
         }
 
-    return arrow(keyed(docs), run, ROW)
+    return arrow(keyed(docs), run, ROW, most=1 << 19)
 
 
 def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
@@ -91,7 +96,7 @@ def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's rows sorted and compared. kind 0: windows that repeat; 1: suffixes that need a closer look (multi: they
-    stand for several); 2 and 3: the bucket's first and last run of equal rows."""
+    stand for several; inner: all with their anchor are in this bucket and few); 2 and 3: the bucket's first and last run of equal rows."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
@@ -109,11 +114,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge[[0, -1]] = True
     rows = np.flatnonzero(np.repeat(n > 1, np.diff(np.append(at, len(new)))))
     look = np.flatnonzero(~edge & (near | near_next))
+    group = np.cumsum(head[at]) - 1
+    narrow = (group > 0) & (group < group[-1]) & (np.bincount(group)[group] <= NARROW)
     ends = [(2, 0, near_next[0])] + [(3, len(at) - 1, near[-1])]
     pick = np.concatenate([rows, at[look], [at[r] for _, r, _ in ends]])
     kind = np.concatenate([np.zeros(len(rows)), np.ones(len(look)), [2, 3]]).astype(np.int32)
     size = np.concatenate([np.zeros(len(rows)), n[look], [n[r] for _, r, _ in ends]]).astype(np.int32)
-    inner = np.concatenate([np.zeros(len(rows) + len(look)), [int(i) for _, _, i in ends]]).astype(np.int32)
+    inner = np.concatenate([np.zeros(len(rows)), narrow[look], [int(i) for _, _, i in ends]]).astype(np.int32)
     out = {"kind": kind, "pid": np.full(len(pick), TaskContext.get().partitionId(), dtype=np.int32), "n": size, "inner": inner} | {c: v[pick] for c, v in x.items()}
     out["multi"] = np.where(kind == 1, size > 1, out["multi"]).astype(np.int32)
     out["n"] = np.where((kind >= 2) & (len(at) == 1), -size, size).astype(np.int32)  # negative: one run fills the bucket
@@ -124,7 +131,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def across(ends: list) -> list[tuple]:
     """What the first and last runs of the buckets say once they are compared with their neighbours.
 
-    ends: kind 2 and 3 rows, two for each bucket with rows. Gives (kind, lead, h, c, uid, first, last, multi) rows.
+    ends: kind 2 and 3 rows, two for each bucket with rows. Gives (kind, inner, lead, h, c, uid, first, last, multi) rows.
     """
     ends = sorted(ends, key=lambda r: (r.pid, r.kind))
     out = []
@@ -139,9 +146,9 @@ def across(ends: list) -> list[tuple]:
             near, many = bool(other) or bool(r.inner and not whole), abs(r.n) > 1 or bool(same)
             row = (r.lead, r.h, r.c, r.uid, r["first"], r["last"])
             if same and abs(r.n) == 1:
-                out.append((0, *row, 0))
+                out.append((0, 0, *row, 0))
             if near:
-                out.append((1, *row, int(many)))
+                out.append((1, 0, *row, int(many)))
     return out
 
 
@@ -152,38 +159,94 @@ def settled(rows: DataFrame) -> DataFrame:
     dealt = rows.repartitionByRange(parts(spark), "lead", "h", "c", "uid", "first")
     found = saved(dealt.mapInArrow(_settle, FOUND))
     ends = across(found.where("kind >= 2").collect())  # two rows a bucket
-    names = ["kind", *(f.split()[0] for f in ROW.split(", "))]
-    fixed = spark.createDataFrame(ends, "kind int, " + ROW)
+    names = ["kind", "inner", *(f.split()[0] for f in ROW.split(", "))]
+    fixed = spark.createDataFrame(ends, "kind int, inner int, " + ROW)
     return found.where("kind < 2").select(*names).union(fixed.select(*names))
 
 
-def windows(docs: DataFrame, look: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Each window of the suffixes to look at as a row of its own, from its document's text."""
-    want = look.groupBy("uid").agg(F.collect_set(F.struct("first", "last", "multi")).alias("runs"))
+def looked_up(docs: DataFrame, look: DataFrame, length: int) -> DataFrame:
+    """The suffixes to look at with the bytes of their windows, or for those of wide groups each window as a row."""
+    want = look.groupBy("uid").agg(F.collect_set(F.struct("inner", "h", "first", "last", "multi")).alias("runs"))
 
     def run(batch: pa.RecordBatch) -> dict | None:
         unpack = zstandard.ZstdDecompressor().decompress
-        out = []
+        out: dict[str, list] = {n: [] for n in ("wide", "lead", "h", "uid", "first", "last", "multi", "bytes")}
         for uid, z, runs in zip(column(batch, "uid"), column(batch, "z"), column(batch, "runs"), strict=True):
-            data = np.frombuffer(unpack(z), dtype=np.uint8)
-            first, last, multi = (np.array([r[n] for r in runs], dtype=np.int64) for n in ("first", "last", "multi"))
+            raw = unpack(z)
+            data = np.frombuffer(raw, dtype=np.uint8)
+            near = [r for r in runs if r["inner"]]
+            far = [r for r in runs if not r["inner"]]
+            first, last, multi = (np.array([r[n] for r in far], dtype=np.int64) for n in ("first", "last", "multi"))
             p = ranges(first, last + 1)
-            h = Rolling(BYTES[data], 3).of(p, p + length)
-            out.append((leads(data, p), h.view(np.int64), np.full(len(p), uid), p.astype(np.int32), np.repeat(multi, last + 1 - first).astype(np.int32)))
-        if not out:
+            h = Rolling(BYTES[data], 3).of(p, p + length) if len(far) else p.astype(np.uint64)
+            out["wide"].append(np.repeat([False, True], [len(near), len(p)]))
+            out["lead"].append(np.concatenate([np.zeros(len(near), dtype=np.int64), leads(data, p)]))
+            out["h"].append(np.concatenate([np.array([r["h"] for r in near], dtype=np.int64), h.view(np.int64)]))
+            out["uid"].append(np.full(len(near) + len(p), uid))
+            out["first"].append(np.concatenate([np.array([r["first"] for r in near], dtype=np.int64), p]))
+            out["last"].append(np.concatenate([np.array([r["last"] for r in near], dtype=np.int64), p]))
+            out["multi"].append(np.concatenate([np.array([r["multi"] for r in near], dtype=np.int64), np.repeat(multi, last + 1 - first)]))
+            out["bytes"] += [raw[r["first"] : r["last"] + length] for r in near] + [None] * len(p)
+        if not out["bytes"]:
             return None
-        lead, h, uid, p, multi = (np.concatenate(x) for x in zip(*out, strict=True))
-        return {"lead": lead, "h": h, "c": np.zeros(len(p), dtype=np.int64), "uid": uid, "first": p, "last": p, "multi": multi}
+        kinds = {"wide": bool, "first": np.int32, "last": np.int32, "multi": np.int32}
+        done = {n: np.concatenate(v).astype(kinds.get(n, np.int64)) for n, v in out.items() if n != "bytes"}
+        return done | {"c": np.zeros(len(done["h"]), dtype=np.int64), "bytes": pa.array(out["bytes"], pa.binary())}
 
     # A repeated row stands for itself: its windows come once for each copy, as the sort counts occurrences.
-    return arrow(packed(docs).join(want, "uid").select("uid", "z", "runs"), run, ROW)
+    return arrow(packed(docs).join(want, "uid").select("uid", "z", "runs"), lambda b: _ordered(run(b)), BYTES_ROW, most=1 << 18)
+
+
+def _ordered(x: dict | None) -> dict | None:
+    return x and {n: x[n] for n in (f.split()[0] for f in BYTES_ROW.split(", "))}
+
+
+def _compare(length: int):
+    """Windows that repeat among rows with bytes, sorted by h: runs of whole groups of about 1 MB are sorted at a time."""
+
+    def repeated(held: list[tuple]) -> pa.RecordBatch:
+        uid, first, last, multi = (np.array([r[i] for r in held], dtype=np.int64) for i in (1, 2, 3, 4))
+        data = np.frombuffer(b"".join(r[5] for r in held), dtype=np.uint8)
+        count = last - first + 1
+        base = np.cumsum(count + length - 1) - (count + length - 1)
+        p = ranges(base, base + count)
+        row = np.repeat(np.arange(len(held)), count)
+        keys = [leads(data, p), Rolling(BYTES[data], 3).of(p, p + length), Rolling(BYTES[data], 9).of(p, p + length)]
+        order = multikey_sort(keys)
+        new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
+        n = np.add.reduceat(1 + multi[row[order]], np.flatnonzero(new))
+        twice = np.zeros(len(p), dtype=bool)
+        twice[order] = (n > 1)[np.cumsum(new) - 1]
+        q = np.flatnonzero(twice)
+        start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1] + 1) | (row[q][1:] != row[q][:-1])])) if len(q) else q
+        a, b = q[start], q[np.append(start[1:], len(q)) - 1] if len(q) else q
+        r = row[a]
+        return pa.RecordBatch.from_pydict({"uid": uid[r], "first": (first[r] + p[a] - base[r]).astype(np.int32), "last": (first[r] + p[b] - base[r]).astype(np.int32)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for r in zip(*(column(batch, n) for n in ("h", "uid", "first", "last", "multi", "bytes")), strict=True):
+                if size > 1 << 20 and r[0] != held[-1][0]:
+                    yield repeated(held)
+                    held, size = [], 0
+                held.append(r)
+                size += len(r[5])
+        if held:
+            yield repeated(held)
+
+    return run
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(uid, spans): the first and last starts of repeated ``length``-byte strings, for documents with any."""
+    spark = docs.sparkSession
     once = saved(settled(suffix_rows(docs, length, k)))
-    again = settled(windows(docs, once.where("kind = 1"), length)).where("kind = 0")
-    both = once.where("kind = 0").select("uid", "first", "last").union(again.select("uid", "first", "last"))
+    rows = saved(looked_up(docs, once.where("kind = 1"), length))
+    near = rows.where("not wide").select("h", "uid", "first", "last", "multi", "bytes").repartition(parts(spark), "h").sortWithinPartitions("h")
+    near = near.mapInArrow(_compare(length), "uid long, first int, last int")
+    far = settled(rows.where("wide").drop("wide", "bytes")).where("kind = 0").select("uid", "first", "last")
+    both = once.where("kind = 0").select("uid", "first", "last").union(near).union(far)
     return both.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
@@ -216,4 +279,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, kept
         } | ({"kept": [o[1] for o in out]} if kept else {})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
-    return arrow(packed(docs).join(spans, "uid", "left").select("doc_id", "z", "spans"), run, schema)
+    return arrow(packed(docs).join(spans, "uid", "left").select("doc_id", "z", "spans"), run, schema, most=1 << 19)
