@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, mixing, quality, sentencepieces, simhash, suffixes, tokenfiles, toxicity
+from polyseek.llm import automata, embeddings, mixing, quality, sentencepieces, simhash, suffixes, tokenfiles, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.without_repeats(documents(spark, sf_dir), kept=False)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(*tokenfiles.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_suffix_automata": op7_suffix_automata, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_suffix_automata": op7_suffix_automata, "op8_embeddings": op8_embeddings, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
