@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyseek.llm.common import arrow, column, texts
+from polyseek.llm.common import arrow, column, saved, texts
 
 SAMPLE = 20_000
 #: Terms of the lexicon, at most: the strongest ones.
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     Without labelled rows of both kinds the lexicon is empty and every score is low.
     """
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).where("text is not null").join(known, "doc_id").select("doc_id", "text", "toxic")
+    rows = saved(texts(docs).where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"))  # known: two numbers a row
 
     def count(batch: pa.RecordBatch) -> dict:
         seen: Counter = Counter()
