@@ -280,3 +280,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, kept
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     return arrow(packed(docs).join(spans, "uid", "left").select("doc_id", "z", "spans"), run, schema, most=1 << 19)
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+    """docs with all their columns, text being what without_repeats() leaves of it: cut characters go whole, n_chars
+    follows; a null text stays null, and a text that is all repeats becomes empty."""
+    names = docs.columns
+    spans = repeats(docs, length, k)
+    rest = [c for c in names if c not in ("text", "n_chars")]
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def pack(batch: pa.RecordBatch) -> dict:
+        shrink = zstandard.ZstdCompressor(level=3).compress
+        return {"_uid": batch.column(0)} | {f"_{i}": batch.column(2 + i) for i in range(len(rest))} | {"_z": pa.array([None if t is None else shrink(t.encode()) for t in column(batch, "_text")], pa.binary())}
+
+    keyed_ = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_uid"), F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])
+    small = arrow(keyed_, pack, ", ".join(["_uid long", *(f"_{i} {fields[c]}" for i, c in enumerate(rest)), "_z binary"]))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        unpack = zstandard.ZstdDecompressor().decompress
+        left = [None if z is None else cut(unpack(z), s, length)[0].decode("utf-8", "ignore") for z, s in zip(column(batch, "_z"), column(batch, "spans"), strict=True)]
+        made = {"text": pa.array(left, pa.string()), "n_chars": pa.array([t if t is None else len(t) for t in left], pa.int64())}
+        return {c: made[c] if c in made else batch.column(batch.schema.get_field_index(f"_{rest.index(c)}")) for c in names}
+
+    schema = ", ".join(f"`{c}` {'string' if c == 'text' else 'long' if c == 'n_chars' else fields[c]}" for c in names)
+    return arrow(small.join(spans, F.col("_uid") == F.col("uid"), "left").select(*[f"_{i}" for i in range(len(rest))], "_z", "spans"), run, schema, most=1 << 19)
