@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, embeddings, mixing, quality, sentencepieces, simhash, suffixes, tokenfiles, toxicity
+from polyseek.llm import automata, embeddings, mixing, quality, sentencepieces, separators, simhash, suffixes, tokenfiles, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, read off flat files; doc_id comes from the order in which they were written."""
+    written, folder = separators.write_flat(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 50256)
+    found = separators.count(spark, folder, 50256)
+    return found.join(written.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.without_repeats(documents(spark, sf_dir), kept=False)
 
@@ -57,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_suffix_automata": op7_suffix_automata, "op8_embeddings": op8_embeddings, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_separator_scan": op6_separator_scan, "op7_suffix_automata": op7_suffix_automata, "op8_embeddings": op8_embeddings, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
