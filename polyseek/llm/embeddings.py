@@ -25,7 +25,7 @@ SPREAD = 0.4
 SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
 #: Distinct vectors for each cell, cells at most, and homes of a block at most (about).
-CELL, CELLS, BLOCK = 400, 4096, 1500
+CELL, CELLS, BLOCK = 1000, 4096, 1500
 ROUNDS = 8
 
 
