@@ -373,11 +373,9 @@ def _bootstrap(t: Fixture) -> DataFrame:
 
 @query("hypothesis_reports", "hypothesis:s supported:b effect_size:f p_value:f n:i")
 def _reports(t: Fixture) -> DataFrame:
-    from polyseek.sources.scratch import folder
+    from polyseek.sources.scratch import stored
 
-    path = folder(t.spark)
-    t.frame.write.parquet(path)  # five reports read it
-    return statistics.hypothesis_reports(t.spark.read.parquet(path))
+    return statistics.hypothesis_reports(stored(t.frame))  # five reports read it
 
 
 @query("incremental_search_append", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -15,3 +15,10 @@ def folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="polyseek-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/polyseek/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a table to the shared folder and read again."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
