@@ -23,7 +23,7 @@ from polyseek.llm.components import connected_components
 THRESHOLD = 0.9
 SPREAD = 0.4
 SAMPLE = 20_000
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 16 << 20
 #: Distinct vectors for each cell, cells at most, and homes of a block at most (about).
 CELL, CELLS, BLOCK = 1000, 4096, 1500
 ROUNDS = 8

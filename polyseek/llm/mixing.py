@@ -151,6 +151,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     got = got.groupBy("uid", "pass").agg(F.sort_array(F.collect_list("piece")).alias("took"), F.sum("piece.n").alias("n"))
     out = sized.join(got.hint("merge"), "uid")
     words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("took", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    # The words are an element of an outer array, so that they are split once and not for each piece.
+    cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("took", lambda p: F.slice(w, (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")), F.lit(0))
     text = F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(cut)
     return out.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in names])
