@@ -54,10 +54,10 @@ def dispersion(posts: DataFrame, weights: list[float]) -> DataFrame:
     return posts.groupBy("centroid_id").agg(F.avg(dot(w, w)).alias("dispersion"))
 
 
-def isolation(centroids: DataFrame, k: int = 10, rows: int = 1 << 16) -> DataFrame:
+def isolation(centroids: DataFrame, k: int = 10, rows: int | None = None) -> DataFrame:
     """Per cell: 1 - mean cosine of its k nearest other centroids, the nearest and the mean."""
     a, b = centroids.select(F.col("centroid_id").alias("a"), F.col("cv").alias("av")), centroids.select("centroid_id", "cv")
-    cos = products(a, b, rows, 128).where("a <> centroid_id").select("a", "centroid_id", dot(F.col("av"), F.col("cv")).alias("s"))
+    cos = products(a, b, rows).where("a <> centroid_id").select("a", "centroid_id", dot(F.col("av"), F.col("cv")).alias("s"))
     w = Window.partitionBy("a").orderBy(tie(F.col("s")).desc(), "centroid_id")
     near = cos.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("a")
     return near.agg((1 - F.avg("s")).alias("isolation"), F.max("s").alias("nearest_neighbor_sim"), F.avg("s").alias("mean_neighbor_sim")).withColumnRenamed("a", "centroid_id")

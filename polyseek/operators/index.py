@@ -35,9 +35,13 @@ class Index:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/centroids"), codec.cutoffs, codec.weights)
 
 
-def products(left: DataFrame, right: DataFrame, right_rows: int, width: int) -> DataFrame:
+def products(left: DataFrame, right: DataFrame, right_rows: int | None = None, width: int | None = None) -> DataFrame:
     """Every row of left with every row of right (the smaller side): a broadcast if that side's size allows it, else
-    blocks of it that each left row visits."""
+    blocks of it that each left row visits. Rows and vector length are measured unless they are known."""
+    if right_rows is None or width is None:
+        vector = next((f.name for f in right.schema.fields if f.dataType.typeName() == "array"), None)
+        n, w = right.agg(F.count("*"), F.max(F.size(vector)) if vector else F.lit(1)).first()
+        right_rows, width = right_rows or n, width or max(w or 1, 1)
     if right_rows * width * 8 <= BROADCAST_BYTES:
         return left.crossJoin(F.broadcast(right))
     blocks = -(-right_rows * width * 8 // BROADCAST_BYTES)
@@ -46,14 +50,14 @@ def products(left: DataFrame, right: DataFrame, right_rows: int, width: int) ->
     return left.join(right, "_b").drop("_b")
 
 
-def assign(tokens: DataFrame, centroids: DataFrame, key: str = "vec_id", rows: int = 1 << 16, width: int = 128) -> DataFrame:
+def assign(tokens: DataFrame, centroids: DataFrame, key: str = "vec_id", rows: int | None = None) -> DataFrame:
     """tokens(key, v, ...) with the centroid_id of greatest dot product (ties: least id) and its cv."""
-    best = products(tokens.select(key, "v"), centroids.select("centroid_id", "cv"), rows, width)
+    best = products(tokens.select(key, "v"), centroids.select("centroid_id", "cv"), rows)
     best = best.groupBy(key).agg(F.max(F.struct(tie(dot(F.col("v"), F.col("cv"))).alias("s"), (-F.col("centroid_id")).alias("c"))).alias("m"))
     return tokens.join(best.select(key, (-F.col("m.c")).alias("centroid_id")), key).join(centroids.select("centroid_id", "cv"), "centroid_id")
 
 
-def lloyd(tokens: DataFrame, centroids: DataFrame, rounds: int, rows: int = 1 << 16) -> DataFrame:
+def lloyd(tokens: DataFrame, centroids: DataFrame, rounds: int, rows: int | None = None) -> DataFrame:
     """Spherical k-means from given centroids; a cell without tokens keeps its centroid. Rounds past the fourth should
     start from a written table: each one deepens the plan."""
     for _ in range(rounds):
@@ -127,7 +131,7 @@ def postings(assigned: DataFrame, centroids: DataFrame, cutoffs: list[float]) ->
     return rows.join(centroids.select("centroid_id", "start"), "centroid_id").withColumn("embedding_pos", F.col("start") + F.col("_n")).drop("_n", "start", "r")
 
 
-def build(tokens: DataFrame, centroids: DataFrame, nbits: int = 4, heldout: Column | None = None, rows: int = 1 << 16) -> Index:
+def build(tokens: DataFrame, centroids: DataFrame, nbits: int = 4, heldout: Column | None = None, rows: int | None = None) -> Index:
     """Index of tokens(vec_id, doc_id, pos, v); the codec is measured on the tokens that ``heldout`` marks (default: all)."""
     at = assign(tokens, centroids, rows=rows)
     res = residuals(at if heldout is None else at.where(heldout))

@@ -10,10 +10,10 @@ from polyseek.operators.index import Index, products
 from polyseek.plans.config import SearchConfig, t_prime
 
 
-def centroid_scores(qtok: DataFrame, centroids: DataFrame, rows: int = 1 << 16, width: int = 128) -> DataFrame:
+def centroid_scores(qtok: DataFrame, centroids: DataFrame, rows: int | None = None) -> DataFrame:
     """query_id, q_token_id, centroid_id, size, score for every non-zero query token and every cell."""
     live = qtok.where(~is_zero(F.col("qv"))).select("query_id", "q_token_id", "qv")
-    out = products(live, centroids.select("centroid_id", "cv", "size"), rows, width)
+    out = products(live, centroids.select("centroid_id", "cv", "size"), rows)
     return out.select("query_id", "q_token_id", "centroid_id", "size", dot(F.col("qv"), F.col("cv")).alias("score"))
 
 
@@ -68,7 +68,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(qtok: DataFrame, index: Index, config: SearchConfig, candidates: DataFrame | None = None, rows: int = 1 << 16) -> DataFrame:
+def search(qtok: DataFrame, index: Index, config: SearchConfig, candidates: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """query_id, doc_id, rank, score, influential: the k best documents of each query."""
     at = config.t_prime
     if at is None:
@@ -88,11 +88,11 @@ def search_statistics(qtok: DataFrame, routed: DataFrame, won: DataFrame) -> Dat
     return a.join(b, "query_id", "left").join(c, "query_id", "left")
 
 
-def exact_maxsim(qtok: DataFrame, tokens: DataFrame, form: str = "sum", rows: int = 1 << 16) -> DataFrame:
+def exact_maxsim(qtok: DataFrame, tokens: DataFrame, form: str = "sum", rows: int | None = None) -> DataFrame:
     """Scores of all documents without an index. form: sum; relu (token maxima of at least 0); l2 (negative squared
     distance); mean (over non-zero query tokens)."""
     live = qtok.where(~is_zero(F.col("qv"))).select("query_id", "q_token_id", "qv")
-    pair = products(tokens.select("vec_id", "doc_id", "v"), live, rows, 128)
+    pair = products(tokens.select("vec_id", "doc_id", "v"), live, rows)
     value = -sqdist(F.col("qv"), F.col("v")) if form == "l2" else dot(F.col("qv"), F.col("v"))
     best = pair.groupBy("query_id", "q_token_id", "doc_id").agg(F.max(value).alias("score"))
     one = F.greatest(F.col("score"), F.lit(0.0)) if form == "relu" else F.col("score")

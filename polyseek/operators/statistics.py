@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyseek.functions.distributions import chi2_sf, correlation_p, normal_sf, t_two_sided
+from polyseek.functions.prefix import running_before
 
 
 def stratify(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -31,8 +32,12 @@ def describe_extended(df: DataFrame, value: str, at: tuple[float, ...] = (0.05,
 def average_ranks(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Ranks with ties averaged, from counts of each distinct value; nulls have none."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    if by:
+        before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    else:
+        counts = running_before(counts, value, "_n", "_p")
+    counts = counts.withColumn(out, F.col("_p") + (F.col("_n") + 1) / 2).drop("_n", "_p")
     return df.join(counts, [*by, value], "left")
 
 
@@ -124,8 +129,8 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Each distinct non-null value with the share of values up to it."""
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return c.select(value, (F.sum("_n").over(w) / F.sum("_n").over(Window.partitionBy())).alias("cdf"))
+    total = F.broadcast(c.agg(F.sum("_n").alias("_t")))  # one row
+    return running_before(c, value, "_n", "_p").crossJoin(total).select(value, ((F.col("_p") + F.col("_n")) / F.col("_t")).alias("cdf"))
 
 
 def pareto(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyseek.functions.prefix import running_before
+
 QUERY_TOKENS, DOC_TOKENS = 32, 512
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -72,8 +74,7 @@ def grouped_by_first(df: DataFrame, first: str, *rest: str) -> DataFrame:
 
 def offsets(df: DataFrame, key: str, length: str) -> DataFrame:
     """Start and end of each row's stretch of a packed array, in the order of key."""
-    end = F.sum(length).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return df.select(key, (end - F.col(length)).alias("start"), end.alias("end"))
+    return running_before(df.select(key, length), key, length, "start").select(key, "start", (F.col("start") + F.col(length)).alias("end"))
 
 
 def numeric_id(value: Column) -> Column:

@@ -101,7 +101,7 @@ _ASSIGN = "(SELECT * FROM (SELECT t.vec_id, t.v, c.centroid_id, row_number() OVE
 _ONE = _NEXT.format("asg", "cen")
 _TWO = _NEXT.format(_ASSIGN.format(_ONE), _ONE)
 query("kmeans_lloyd_2iter", "centroid_id:i dim:i value:f", f"SELECT centroid_id, generate_subscripts(cv, 1) - 1 AS dim, unnest(cv) AS value FROM {_TWO}")(
-    lambda t: index.lloyd(t.tokens, t.seeds, 2, rows=CELLS).select("centroid_id", F.posexplode("cv").alias("dim", "value"))
+    lambda t: index.lloyd(t.tokens, t.seeds, 2).select("centroid_id", F.posexplode("cv").alias("dim", "value"))
 )
 query("codec_quantiles", "i:i cutoff:f weight:f", "SELECT i, cutoffs[i] AS cutoff, weights[i] AS weight FROM codec, range(1, 17) r(i)")(
     lambda t: index.codec_frame(index.residuals(t.assigned), 4).select(F.posexplode("weights").alias("p", "weight"), "cutoffs").select((F.col("p") + 1).alias("i"), F.get("cutoffs", F.col("p")).alias("cutoff"), "weight")
@@ -135,21 +135,21 @@ query("t_prime_policy", "cells:i embeddings:i k:i t_prime:i", "SELECT cells, emb
     lambda t: t.spark.createDataFrame([(*x, config.t_prime(*x)) for x in ((16, 124999, 10), (16, 125000, 10), (65536, 12500000, 10), (65537, 12500000, 100), (65537, 12500000, 101))], "cells long, embeddings long, k long, t_prime long")
 )
 _EXACT = "(SELECT query_id, q_token_id, doc_id, max(list_dot_product(qv, v)) AS s FROM qtok CROSS JOIN tok GROUP BY ALL)"
-query("exact_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, sum(s) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, rows=CELLS))
-query("relu_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, sum(greatest(s, 0)) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "relu", rows=CELLS))
-query("length_normalised_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, avg(s) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "mean", rows=CELLS))
-query("l2_maxsim", "query_id:i doc_id:i score:f", "SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, q_token_id, doc_id, max(2 * list_dot_product(qv, v) - list_dot_product(qv, qv) - list_dot_product(v, v)) AS s FROM qtok CROSS JOIN tok GROUP BY ALL) GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "l2", rows=CELLS))
+query("exact_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, sum(s) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens))
+query("relu_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, sum(greatest(s, 0)) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "relu"))
+query("length_normalised_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, avg(s) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "mean"))
+query("l2_maxsim", "query_id:i doc_id:i score:f", "SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, q_token_id, doc_id, max(2 * list_dot_product(qv, v) - list_dot_product(qv, qv) - list_dot_product(v, v)) AS s FROM qtok CROSS JOIN tok GROUP BY ALL) GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "l2"))
 query("two_part_score", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, coalesce(sum(s) FILTER (WHERE q_token_id < 2 AND r <= 1), 0) + coalesce(sum(s) FILTER (WHERE q_token_id >= 2 AND r <= 1), 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, q_token_id < 2 ORDER BY s DESC) AS r FROM {_EXACT}) GROUP BY ALL")(
-    lambda t: search.two_part_sum(index.products(t.tokens.select("doc_id", "v"), t.qtok, CELLS, 128).groupBy("query_id", "q_token_id", "doc_id").agg(F.max(search.dot(F.col("qv"), F.col("v"))).alias("score")), 2, (1, 1))
+    lambda t: search.two_part_sum(index.products(t.tokens.select("doc_id", "v"), t.qtok).groupBy("query_id", "q_token_id", "doc_id").agg(F.max(search.dot(F.col("qv"), F.col("v"))).alias("score")), 2, (1, 1))
 )
-query("search_topk", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")(lambda t: search.search(t.qtok, t.index, CONFIG, rows=CELLS))
+query("search_topk", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")(lambda t: search.search(t.qtok, t.index, CONFIG))
 query("search_quantised", "query_id:i doc_id:i score:f influential:i", "SELECT query_id, doc_id, score, influential FROM docs")(lambda t: t.docs)
 _CONLY = "(SELECT query_id, doc_id, sum(coalesce(s, mse)) AS score FROM (SELECT DISTINCT query_id, doc_id FROM won) JOIN missing USING (query_id) LEFT JOIN (SELECT query_id, q_token_id, doc_id, max(cs) AS s FROM tsc GROUP BY ALL) USING (query_id, q_token_id, doc_id) GROUP BY ALL)"
 query("search_centroid_only", "query_id:i doc_id:i rank:i score:f", f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {_CONLY} QUALIFY rank <= 10")(
-    lambda t: search.search(t.qtok, t.index, CONFIG.merged(config.SearchConfig.of(centroid_only=True)), rows=CELLS)
+    lambda t: search.search(t.qtok, t.index, CONFIG.merged(config.SearchConfig.of(centroid_only=True)))
 )
 query("search_with_pid_filter", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM docs SEMI JOIN (SELECT DISTINCT doc_id FROM tok WHERE label < 2) USING (doc_id) QUALIFY rank <= 10")(
-    lambda t: search.search(t.qtok, t.index, CONFIG, t.tokens.where("label < 2").select("doc_id"), rows=CELLS)
+    lambda t: search.search(t.qtok, t.index, CONFIG, t.tokens.where("label < 2").select("doc_id"))
 )
 query("token_winners", TOK + "doc_id:i embedding_pos:i score:f", "SELECT * FROM won")(lambda t: t.won)
 query("influential_counts", "query_id:i influential:i documents:i", "SELECT query_id, influential, count(*) AS documents FROM docs GROUP BY ALL")(lambda t: t.docs.groupBy("query_id", "influential").agg(F.count("*").alias("documents")))
@@ -218,7 +218,7 @@ query("a1_a2", "centroid_id:i n_tokens:i n_docs:i", "SELECT * FROM sized")(lambd
 query("a3_shares", "centroid_id:i top_1_doc_share:f top_5_doc_share:f top_10_doc_share:f", "SELECT * FROM shares")(lambda t: clusters.doc_shares(t.index.postings))
 query("gini_docs", "centroid_id:i gini_coefficient:f", "SELECT * FROM dgini")(lambda t: clusters.gini(clusters.doc_counts(t.index.postings), ["centroid_id"], "n", "gini_coefficient"))
 query("a5_dispersion", "centroid_id:i dispersion:f", "SELECT * FROM disp")(lambda t: clusters.dispersion(t.index.postings, t.index.weights))
-query("b5_isolation", "centroid_id:i isolation:f nearest_neighbor_sim:f mean_neighbor_sim:f", "SELECT * FROM isol")(lambda t: clusters.isolation(t.seeds, rows=CELLS))
+query("b5_isolation", "centroid_id:i isolation:f nearest_neighbor_sim:f mean_neighbor_sim:f", "SELECT * FROM isol")(lambda t: clusters.isolation(t.seeds))
 query("sel_freq", "centroid_id:i sel_freq:i", "SELECT * FROM freq")(lambda t: t.freq)
 query("anti_hub", "num_centroids:i num_anti_hubs:i anti_hub_rate:f", "SELECT count(*) AS num_centroids, count(*) FILTER (WHERE sel_freq = 0) AS num_anti_hubs, count(*) FILTER (WHERE sel_freq = 0) / count(*) AS anti_hub_rate FROM freq")(lambda t: clusters.anti_hubs(t.freq))
 query("traffic_concentration", "traffic_gini:f top_1pct_share:f top_5pct_share:f top_10pct_share:f", "SELECT 2 * sum(i * sel_freq) / (count(*) * sum(sel_freq)) - (count(*) + 1) / count(*) AS traffic_gini, sum(sel_freq) FILTER (WHERE r <= greatest(1, c // 100)) / sum(sel_freq) AS top_1pct_share, sum(sel_freq) FILTER (WHERE r <= greatest(1, c * 5 // 100)) / sum(sel_freq) AS top_5pct_share, sum(sel_freq) FILTER (WHERE r <= greatest(1, c * 10 // 100)) / sum(sel_freq) AS top_10pct_share FROM (SELECT *, row_number() OVER (ORDER BY sel_freq) AS i, row_number() OVER (ORDER BY sel_freq DESC, centroid_id) AS r, count(*) OVER () AS c FROM freq)")(

@@ -42,17 +42,17 @@ class Fixture:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return index.assign(self.tokens, self.seeds, rows=CELLS)
+        return index.assign(self.tokens, self.seeds)
 
     @cached_property
     def index(self) -> index.Index:
         """Stored tables, as an index is built once and searched often."""
-        built = index.build(self.tokens, self.seeds, CONFIG.nbits, rows=CELLS)
+        built = index.build(self.tokens, self.seeds, CONFIG.nbits)
         return index.Index(stored(built.postings), stored(built.centroids), built.cutoffs, built.weights)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return search.centroid_scores(self.qtok, self.cells, rows=CELLS)
+        return search.centroid_scores(self.qtok, self.cells)
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -121,7 +121,7 @@ class Fixture:
     def offline(self) -> DataFrame:
         p = self.index.postings
         out = clusters.size_docs(p).join(clusters.doc_shares(p), "centroid_id").join(clusters.gini(clusters.doc_counts(p), ["centroid_id"], "n", "gini_coefficient"), "centroid_id")
-        return out.join(clusters.dispersion(p, self.index.weights), "centroid_id").join(clusters.isolation(self.seeds, rows=CELLS), "centroid_id")
+        return out.join(clusters.dispersion(p, self.index.weights), "centroid_id").join(clusters.isolation(self.seeds), "centroid_id")
 
     @cached_property
     def freq(self) -> DataFrame:
