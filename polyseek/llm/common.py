@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,19 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyseek.sources.scratch import folder as scratch
+
 #: A word, as Java and Python patterns write it: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a session without that setting (tests) gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="polyseek-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/polyseek/{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared scratch folder and read again: its lineage ends there."""
     spark = df.sparkSession
