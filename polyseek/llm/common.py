@@ -56,7 +56,7 @@ def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def word_bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

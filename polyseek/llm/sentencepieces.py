@@ -14,18 +14,18 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from polyseek.llm.anchors import Rolling, mixed
-from polyseek.llm.common import arrow, column, texts
+from polyseek.llm.common import column, pieces, small_batches, texts
 
 SPACE = "▁"
-#: Words whose ids a worker keeps, at most; longer words than LONG merge one by one, with a heap.
-KEPT, LONG = 500_000, 200
+#: Words whose ids a task keeps, at most; longer words than LONG merge one by one, with a heap.
+KEPT, LONG = 300_000, 200
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -228,14 +228,24 @@ def encoded(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of ids as little-endian uint32), round_trip (decoding gives the text again) and, if
     asked for, ids, for each row of docs. Null and empty texts have no ids."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        m = model(path)
+    def made(m: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts_ = [t or "" for t in column(batch, "text")]
         got = m.encode(texts_)
         wide = [np.frombuffer(b, dtype=m.dtype).astype("<u4") for b in got]
-        return {
+        out = {
             "doc_id": batch.column(0), "n_tokens": [len(x) for x in wide], "ids_crc32": [zlib.crc32(x.tobytes()) for x in wide],
             "round_trip": [m.decode(b) == t for b, t in zip(got, texts_, strict=True)],
         } | ({"ids": pa.array([x.astype(np.int32) for x in wide], pa.list_(pa.int32()))} if ids else {})
+        return pa.RecordBatch.from_pydict(out)
 
-    return arrow(texts(docs), run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        try:
+            for batch in batches:
+                for piece in pieces(batch, 2 << 20):
+                    yield made(m, piece)
+        finally:  # workers live on: the next stage needs the memory
+            m.known.clear()
+
+    small_batches(docs.sparkSession)
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids)
