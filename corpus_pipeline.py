@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import mixing, quality, sentencepieces, simhash, suffixes
+from polyseek.llm import mixing, nearcopies, quality, sentencepieces, suffixes
 from polyseek.llm.common import saved
 
 
@@ -22,10 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of least doc_id stays (of rows that repeat it, one)."""
-    groups = simhash.near_groups(simhash.fingerprints(docs))
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeated(docs) else docs.join(keep.hint("merge"), "doc_id", "left_semi")
+    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the row of least doc_id stays."""
+    rows = docs.where("doc_id is not null").withColumn("_near_row", F.col("doc_id")).dropDuplicates(["doc_id"]) if _repeated(docs) else docs.where("doc_id is not null").withColumn("_near_row", F.col("doc_id"))
+    return rows.join(nearcopies.kept_rows(rows, "_near_row").hint("merge"), "_near_row", "left_semi").drop("_near_row")
 
 
 def _repeated(docs: DataFrame) -> bool:
