@@ -61,3 +61,20 @@ def test_edited_copies(spark):
     want = sorted(rows[i][0] for i in _kept(rows))
     assert sorted(r.doc_id for r in got.collect()) == want and len(want) < 150
     assert corpus_pipeline.near_dedup(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    say = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(90))
+    a, b, c, d, e, f = (say() for _ in range(6))
+    rows = [
+        (None, a), (None, b), (None, b + " x"),  # null ids: two texts, one of them twice
+        (3, c), (None, c + " y"),  # a null id beside an id
+        (7, d), (7, e), (7, e),  # one id with two texts
+        (1, f), (7, f + " z"),  # a near copy under a repeated id
+    ]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], SCHEMA).repartition(4)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 3, 7, 7]
+    texts = {r.text for r in got}
+    assert len(got) == 6 and {a, c, d, e, f} < texts and len(texts & {b, b + " x"}) == 1
