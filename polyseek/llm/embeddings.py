@@ -1,10 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one vector kept of each group.
 
 Centroids are fitted on at most ``SAMPLE`` distinct vectors (least hash first); every vector is indexed. Its home is the
-cell of its best centroid; it also visits each cell c where its score falls short of the best by at most
-spread * delta * |c - best|, delta = sqrt(2 - 2 * threshold) being the distance of two vectors at the threshold. With
-spread 1 that finds every link; smaller values trade recall for replicas, as the differences of linked vectors project
-on any one direction with a standard deviation of only delta / sqrt(dimension). Homes of a cell are split into blocks
+cell of its best centroid; it also visits each cell c of lower number where its score falls short of the best by at most
+spread * sin(t) * |c - best|, t being the angle of two vectors at the threshold. With spread 1 that finds every link: of
+a linked pair with different homes, the vector of the higher home visits the lower one, and there the link is counted
+for both. Homes of a cell are split into blocks
 of bounded size and visitors stream past them, so that no cell has to fit anywhere.
 """
 
@@ -21,11 +21,13 @@ from polyseek.llm.common import arrow, parts, saved, small_batches
 from polyseek.llm.components import connected_components
 
 THRESHOLD = 0.9
-SPREAD = 0.4
+SPREAD = 1.0
 SAMPLE = 20_000
 SAMPLE_BYTES = 16 << 20
 #: Distinct vectors for each cell, cells at most, and homes of a block at most (about).
 CELL, CELLS, BLOCK = 1000, 4096, 1500
+#: Visitors compared with a block at once.
+GUESTS = 250
 ROUNDS = 8
 
 
@@ -107,19 +109,19 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float
         x[i, : len(r)] = r
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     cells = spherical_kmeans(x, min(CELLS, -(-n // CELL))) if len(x) else np.zeros((1, width))
-    apart = np.sqrt(np.maximum(0, 2 - 2 * cells @ cells.T)) * (spread * np.sqrt(2 - 2 * threshold))
+    apart = np.sqrt(np.maximum(0, 2 - 2 * cells @ cells.T)) * (spread * np.sqrt(max(0.0, 1 - threshold * threshold)))
 
     def assign(batch: pa.RecordBatch) -> dict:
         m = matrix(batch.column(0), width)
         score = m @ cells.T
         home = score.argmax(axis=1)
-        visits = score >= score[np.arange(len(m)), home][:, None] - apart[home]
+        visits = (score >= score[np.arange(len(m)), home][:, None] - apart[home] - 1e-9) & (np.arange(len(cells)) < home[:, None])
         visits[np.arange(len(m)), home] = True
         row, cell = np.nonzero(visits)
         role = np.where(cell == home[row], 0, 1).astype(np.int32)
         keep = np.concatenate([row[role == 0], row])
         return {
-            "cell": np.concatenate([cell[role == 0], cell]).astype(np.int32), "role": np.concatenate([np.zeros((role == 0).sum()), np.ones(len(row))]).astype(np.int32),
+            "cell": np.concatenate([cell[role == 0], cell]).astype(np.int32), "role": np.concatenate([np.zeros((role == 0).sum()), 1 + role]).astype(np.int32),
             "rep": batch.column(1).take(pa.array(keep)), "mult": batch.column(2).take(pa.array(keep)), "v": batch.column(0).take(pa.array(keep)),
         }
 
@@ -127,7 +129,7 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float
     blocks = dealt.where("role = 0").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)  # a row for each cell, at most CELLS
     homes = dealt.where("role = 0").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    guests = dealt.where("role = 1").join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    guests = dealt.where("role > 0").join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = homes.unionByName(guests).select("cell", "block", "role", "rep", "mult", "v")
     pairs = pairs.repartition(parts(spark), "cell", "block").sortWithinPartitions("cell", "block", "role")
 
@@ -147,13 +149,17 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float
                     continue
                 if key != (cell[s], block[s]):
                     continue
-                linked = (here @ v[s:e].T >= threshold) & (ids[:, None] != rep[s:e]) & (length[:, None] == size[s:e])
-                count = linked @ m[s:e]
-                on = np.flatnonzero(count)
-                a, b = _near(linked, ids, rep[s:e])
-                yield pa.RecordBatch.from_pydict({
-                    "a": pa.array([*ids[on].tolist(), *a], pa.int64()), "b": pa.array([None] * len(on) + b, pa.int64()), "n": pa.array([*count[on].tolist(), *[0] * len(a)], pa.int64()),
-                })
+                count, back, edges = np.zeros(len(ids), np.int64), np.zeros(e - s, np.int64), []
+                for t in range(s, e, GUESTS):
+                    g = slice(t, min(t + GUESTS, e))
+                    linked = (here @ v[g].T >= threshold) & (ids[:, None] != rep[g]) & (length[:, None] == size[g])
+                    count += linked @ m[g]
+                    if role[s] == 2:  # from another cell, where ``here`` does not visit
+                        back[t - s : g.stop - s] = mult @ linked
+                    edges.append(np.array(_near(linked, ids, rep[g]), dtype=np.int64).reshape(2, -1))
+                a, b = np.unique(np.concatenate(edges, axis=1), axis=1).tolist()
+                who, n_ = np.concatenate([ids[count > 0], rep[s:e][back > 0]]).tolist(), np.concatenate([count[count > 0], back[back > 0]]).tolist()
+                yield pa.RecordBatch.from_pydict({"a": pa.array([*who, *a], pa.int64()), "b": pa.array([None] * len(who) + b, pa.int64()), "n": pa.array([*n_, *[0] * len(a)], pa.int64())})
 
     found = saved(pairs.mapInArrow(compare, "a long, b long, n long"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
