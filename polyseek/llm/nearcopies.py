@@ -46,8 +46,8 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 2048):
-        mixed = hashes[at : at + 2048, None] * _FACTORS + _SHIFTS
+    for at in range(0, len(hashes), 512):
+        mixed = hashes[at : at + 512, None] * _FACTORS + _SHIFTS
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         np.minimum(least, mixed.min(axis=0), out=least)
@@ -79,6 +79,34 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, row), sorted, of keys that have several, with a digest of all rows of the key."""
+
+    def several(keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        sizes = np.diff(bounds)
+        many = np.flatnonzero(sizes > 1)
+        keep = np.repeat(sizes > 1, sizes)
+        who = [d for g in many.tolist() for d in [xxhash.xxh3_128_digest(rows[bounds[g] : bounds[g + 1]].tobytes())] * int(sizes[g])]
+        return pa.RecordBatch.from_pydict({"key": keys[keep], "row": rows[keep], "who": pa.array(who, pa.binary())})
+
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        keys, rows = (batch.column(i).to_numpy() for i in range(2))
+        if not len(keys):
+            continue
+        if rest and rest[0][0][0] == keys[-1]:  # one key so far
+            rest.append((keys, rows))
+            continue
+        keys, rows = (np.concatenate([*(r[i] for r in rest), x]) for i, x in enumerate((keys, rows)))
+        cut = int(np.searchsorted(keys, keys[-1]))
+        rest = [(keys[cut:], rows[cut:])]
+        if cut:
+            yield several(keys[:cut], rows[:cut])
+    if rest:
+        yield several(*(np.concatenate([r[i] for r in rest]) for i in range(2)))
+
+
 def kept_rows(docs: DataFrame, key: str) -> DataFrame:
     """The ``key`` of the row that stays of each group of docs (key, doc_id, text): that of least doc_id, nulls last.
 
@@ -94,19 +122,20 @@ def kept_rows(docs: DataFrame, key: str) -> DataFrame:
         return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array(digest, pa.binary()), "keys": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))}
 
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    sketches = saved(arrow(slim, sketch, "row long, doc_id long, digest binary, keys array<long>"))
-    first = sketches.groupBy("digest").agg(F.min(order).alias("o")).select("o.row", "o.doc_id")
-    distinct = saved(first.join(sketches.select("row", "keys").hint("merge"), "row"))
-    buckets = distinct.select("row", F.explode("keys").alias("key"))
-    alike = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
-    alike = alike.where("n > 1").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = saved(buckets.join(alike.hint("merge"), "key"))
+    sketches = arrow(slim, sketch, "row long, doc_id long, digest binary, keys array<long>", most=1 << 20)
+    first = sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "keys")).alias("f"))
+    distinct = saved(first.select("f.o.row", "f.o.doc_id", "f.keys"))
+    buckets = distinct.select("row", F.explode("keys").alias("key")).select("key", "row")
+    buckets = buckets.repartition(parts(spark), "key").sortWithinPartitions("key", "row")
+    met = saved(buckets.mapInArrow(_shared, "key long, row long, who binary"))
+    alike = met.groupBy("who").agg(F.min("key").alias("key")).select("key")
+    members = saved(met.select("key", "row").join(alike.hint("merge"), "key"))
 
     def sets_of(batch: pa.RecordBatch) -> dict:
         return {"row": batch.column(0), "hashes": pa.array([shingles(t).tobytes() for t in column(batch, "text")], pa.binary())}
 
     wanted = slim.select("row", "text").join(members.select("row").distinct().hint("merge"), "row", "left_semi")
-    sets = saved(arrow(wanted, sets_of, "row long, hashes binary"))
+    sets = saved(arrow(wanted, sets_of, "row long, hashes binary", most=1 << 20))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges() -> pa.RecordBatch:
