@@ -25,6 +25,11 @@ STEPS, RATE, PENALTY = 120, 0.1, 1e-3
 FEATURES = ("bias", "upper", "symbols", "bars", "repeats", "seen", "short", "stop", "bangs", "digits")
 
 
+def _digits(line: str) -> int:
+    """Characters of a line, of any length, that are digits."""
+    return sum(map(line.count, "0123456789")) if line.isascii() else sum(map(str.isdigit, line))
+
+
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(lines x features, words of each line) for the lines that hold a word."""
     rows, sizes, seen = [], [], set()
@@ -36,7 +41,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         rows.append((
             1.0, sum(map(str.isupper, words)) / n, min(2.0, sum(map(line.count, "#*$%&<>")) / n), min(2.0, line.count("|") / n),
             1 - len(set(words)) / n if n > 9 else 0.0, float(line in seen and n > 2), float(n < 4), float(words[-1][-1] in ".!?"),
-            min(2.0, line.count("!") / n), sum(map(str.isdigit, line)) / chars if chars < 1000 else 0.0,
+            min(2.0, line.count("!") / n), _digits(line) / chars,
         ))
         sizes.append(n)
         seen.add(line)
