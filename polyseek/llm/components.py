@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(v, root): each vertex of the undirected edges (a, b) with the least vertex of its component, roots left out.
 
-    Empty edges give an empty table; loops and repeated edges do not matter.
+    Empty edges give an empty table; loops and repeated edges do not matter. Raises if the last round still changed edges.
     """
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -37,4 +37,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             break
         state = now
         e = _star(_star(e, True), False)
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return e.select(F.col("a").alias("v"), F.col("b").alias("root"))
