@@ -316,7 +316,7 @@ query("crosstab", "lang:s q0:i q1:i", "SELECT lang, count(*) FILTER (WHERE quali
 @query("encode_pandas_udf", "doc_id:i pos:i norm:f")
 def _encode(t: Fixture) -> DataFrame:
     """A stand-in encoder behind the interface that a model would use: hashed bag-of-characters vectors of tokens."""
-    words = text.positions(t.table("documents"), "doc_id", text.tokens(F.col("text"), 32))
+    words = text.positions(t.table("documents"), "doc_id", text.tokens(F.col("text"), text.DOC_TOKENS))
 
     def encode(batches):  # noqa: ANN001, ANN202
         for b in batches:
