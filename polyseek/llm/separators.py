@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end: int) -> tuple[DataFrame, st
     fs.create_dir(at, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, literal=True)  # the separator must not come from a text
         last = np.array([end], dtype=enc.dtype).tobytes()
         fs, at = folder(out)
         name = f"flat-{TaskContext.get().partitionId():06d}.bin"

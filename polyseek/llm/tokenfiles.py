@@ -28,7 +28,8 @@ from polyseek.llm.common import column, parts, pieces, saved, scratch, small_bat
 from polyseek.llm.tokens import encoder
 
 END = 2
-SAMPLE = 1000
+#: Documents that the dictionary is trained on, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 1000, 16 << 20
 DICTIONARY = 1 << 16
 MAGIC = b"PSTOK001"
 _HEAD = "<8sB32s"
@@ -60,10 +61,14 @@ def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
         return b""
 
 
-def sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
-    """The texts of ``most`` documents, those with the least hash of doc_id."""
-    ids = texts(docs).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return [r.text for r in texts(docs).where("text is not null").join(F.broadcast(ids), "doc_id").select("text").limit(2 * most).collect()]
+def sample(docs: DataFrame, most: int = SAMPLE, size: int = SAMPLE_BYTES) -> list[str]:
+    """Texts of at most ``most`` rows, those with the least hash of doc_id and text, and of ``size`` bytes in all."""
+    rows = texts(docs).where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("_o"), F.octet_length("text").alias("_n"))
+    rows = rows.where(F.col("_n") <= size).orderBy("_o", "doc_id").limit(most)  # three numbers a row
+    upto = F.sum("_n").over(Window.orderBy("_o", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ids = rows.withColumn("_upto", upto).where(F.col("_upto") <= size).select("doc_id", "_o").distinct()
+    picked = texts(docs).where("text is not null").withColumn("_o", F.xxhash64("doc_id", "text")).join(F.broadcast(ids), ["doc_id", "_o"])
+    return [r.text for r in picked.dropDuplicates(["doc_id", "_o"]).select("text").collect()]
 
 
 def _frames(ids: list[bytes], dictionary: bytes) -> list[bytes]:

@@ -1,15 +1,17 @@
-"""Token ids of whole texts, by the tokenizers library, with repeated stretches encoded once."""
+"""Token ids of whole texts, by the tokenizers library, with repeated words encoded once."""
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from collections.abc import Iterable
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 
-#: Words and stretches whose ids a worker keeps, at most; later ones are encoded again in each batch.
-KEPT = 500_000
+#: Words whose ids a worker keeps, at most; later ones are encoded again in each batch.
+KEPT = 800_000
 # Cuts at places where byte-level BPE cuts too: after a run of letters and digits, after one of other signs, and in
 # white space; what holds an apostrophe stays together up to the next white space, for the contractions.
 STRETCH = re.compile(r" ?[^\W_]+| ?(?:[^\w\s']|_)++(?!')| ?(?:[^\w\s]|_)*'\S*| ?\S+|\s+(?!\S)|\s")
@@ -28,66 +30,98 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian numbers: uint16 for vocabularies that allow it, else uint32."""
+    """Ids of texts as bytes of little-endian numbers: uint16 for vocabularies that allow it, else uint32.
 
-    def __init__(self, path: str):
+    With ``literal`` the strings of special tokens are ordinary text; without it they are their own ids, as the library
+    has it by default. Memory: ``KEPT`` words, and the distinct words of one batch.
+    """
+
+    def __init__(self, path: str, literal: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        #: Ids of words with a space in front, and of stretches as they are.
         self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
-    def _learn_stretches(self, new: list[str]) -> None:
-        model, known, dtype, letters = self.tokenizer.model, self.stretches, self.dtype, self.letters
-        hard = []
-        for s in new:
-            if s.lstrip(" ").isalpha():  # one pre-token: the model alone gives its ids
-                known[s] = np.array([t.id for t in model.tokenize(s.encode().decode("latin-1").translate(letters))], dtype=dtype).tobytes()
+    def _put(self, names: list[str], ids: Iterable[list[int]], known: dict[str, bytes]) -> None:
+        ids = list(ids)
+        ends = (np.cumsum([len(x) for x in ids], dtype=np.int64) * self.dtype.itemsize).tolist()
+        flat = np.fromiter(chain.from_iterable(ids), dtype=self.dtype).tobytes()
+        known.update(zip(names, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _learn(self, new: Iterable[str], space: bool) -> None:
+        """Ids of stretches that no other stretch of a word shares a token with."""
+        easy, hard = [], []
+        for w in new:
+            (easy if w.isalpha() else hard).append(w)
+        before, known = (" ", self.words) if space else ("", self.bare)
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        first = letters[32] if space else ""
+        # One pre-token each: the model alone gives the ids.
+        spelled = [first + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)) for w in easy]
+        self._put(easy, ([t.id for t in tokenize(s)] for s in spelled), known)
+        self._put(hard, (e.ids for e in self.tokenizer.encode_batch_fast([before + w for w in hard], add_special_tokens=False)), known)
+
+    def _learn_words(self, new: Iterable[str], space: bool) -> None:
+        """Ids of words, those of several stretches from their stretches."""
+        one, several = [], []
+        for w in new:
+            if w.isalpha():
+                one.append(w)
             else:
-                hard.append(s)
-        for s, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
-            known[s] = np.array(e.ids, dtype=dtype).tobytes()
-
-    def _learn_words(self, new: list[str], known: dict[str, bytes], before: str) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            cuts = [STRETCH.findall(before + w) for w in part]
-            fresh = list(set(chain.from_iterable(cuts)) - self.stretches.keys())
-            self._learn_stretches(fresh)
-            get = self.stretches.__getitem__
-            known.update(zip(part, [b"".join(map(get, c)) for c in cuts], strict=True))
-            if len(self.stretches) > KEPT:
-                for s in fresh:
-                    del self.stretches[s]
+                c = STRETCH.findall(" " + w if space else w)
+                (one if len(c) < 2 else several).append(w if len(c) < 2 else (w, c))
+        rest = set(chain.from_iterable(c[1:] for _, c in several))
+        heads = {c[0] for _, c in several}
+        spaced = {h[1:] for h in heads if h[:1] == " " and space}
+        rest.update(h for h in heads if not (space and h[:1] == " "))
+        self._learn({*one, *spaced}.difference(self.words) if space else set(one).difference(self.bare), space)
+        if not space:
+            self._learn({h[1:] for h in heads if h[:1] == " "}.difference(self.words), True)
+        self._learn(rest.difference(self.bare), False)
+        bare, words = self.bare, self.words
+        known = words if space else bare
+        for w, c in several:
+            known[w] = b"".join([words[c[0][1:]] if space and c[0][:1] == " " else bare[c[0]], *map(bare.__getitem__, c[1:])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # A text splits before each space that a word follows; only its first part has no space in front.
-        cuts = [(BLANK.split(t) if ODD.search(t) else t.split(" ")) if not CONTROL.search(t) else None for t in texts]
-        later: set[str] = set()
-        for c in cuts:
+        whole = [bool(CONTROL.search(t) or (self.special and self.special.search(t))) for t in texts]
+        cuts = [None if w else BLANK.split(t) if ODD.search(t) else t.split(" ") for w, t in zip(whole, texts, strict=True)]
+        get = self.words.get
+        had, had_bare = len(self.words), len(self.bare)
+        heads = [c.pop(0) if c else "" for c in cuts]
+        got = [list(map(get, c)) if c else [] for c in cuts]
+        fresh: set[str] = set()
+        for c, g in zip(cuts, got, strict=True):
             if c:
-                later.update(c[1:])
-        heads: dict[str, bytes] = {}
-        fresh = list(later - self.words.keys())
-        self._learn_words(fresh, self.words, " ")
-        self._learn_words(list({c[0] for c in cuts if c}), heads, "")
-        get = self.words.__getitem__
-        out = [heads[c[0]] + b"".join(map(get, c[1:])) if c is not None else self._whole(t) for c, t in zip(cuts, texts, strict=True)]
-        if len(self.words) > KEPT:
-            for w in fresh:
-                del self.words[w]
+                fresh.update(compress(c, map(not_, g)))
+        self._learn_words(fresh, True)
+        self._learn_words(set(heads).difference(self.bare), False)
+        words, bare = self.words, self.bare
+        out = [
+            self._whole(t) if c is None else b"".join([bare[h], *[x or words[w] for w, x in zip(c, g, strict=True)]])
+            for t, h, c, g in zip(texts, heads, cuts, got, strict=True)
+        ]
+        for known, before in ((self.words, had), (self.bare, had_bare)):
+            if len(known) > KEPT:  # what this batch added goes again
+                for w in list(known)[before:]:
+                    del known[w]
         return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = False) -> Encoder:
     """The process's encoder for a tokenizer file, opened once."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+    if (path, literal) not in _open:
+        _open[path, literal] = Encoder(path, literal)
+    return _open[path, literal]
