@@ -1,13 +1,18 @@
 """Exact removal of passages repeated from earlier documents, by suffix automata of reference shards.
 
 A window is ``length`` consecutive words; a word goes if a window that covers it also starts in a document of smaller
-doc_id. Windows are grouped by their anchor (anchors.py), so equal windows are in one group. A group whose stretches
-(all words of the windows with the anchor) are all equal is settled by its least doc_id. Of the other groups every
-distinct stretch is a reference passage: shards of groups go to tasks, each builds one suffix automaton of its shard's
-passages, streams all of them through it and keeps the least doc_id at the state of each window. Sending shards to the
-documents that can match them takes the place of a broadcast, whose size would grow with the corpus.
-A group of more than ``HOT`` distinct stretches (one passage in very many surroundings) would make one automaton
-unbounded: its windows are hashed and aggregated instead, pre-aggregated before the shuffle.
+doc_id. Anchors (anchors.py) only filter and route: windows are grouped by their anchor, so equal windows are in one group,
+and groups within one document go. The distinct stretches (all words of the windows with one anchor) of the others, each
+with its least doc_id, are the reference passages. Every removal is decided by an automaton's matching statistics: at each
+position of a streamed text the state of its last ``length`` words tells the least document that has them.
+
+- References of up to ``BROADCAST`` bytes in all make one automaton, which is broadcast; documents stream through it.
+- Larger references are split into shards of whole groups. A shard's stretches can only match inside it, so each goes to
+  one task, which builds the automaton of at most about ``SHARD`` passages, streams its stretches through it and returns
+  the least document of each window; documents take these from the stretches that they have.
+
+A group of more than ``HOT`` distinct stretches (one passage in very many surroundings) is cut finer first: each of its
+windows becomes a stretch of its own, and those of one document only go, before anything is compared.
 """
 
 from __future__ import annotations
@@ -21,17 +26,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyseek.llm.anchors import BYTES, Rolling, anchored
-from polyseek.llm.common import arrow, column, parts, saved, small_batches
-from polyseek.llm.suffixes import keyed, packed
+from polyseek.llm.anchors import BYTES, Rolling, anchored, ranges
+from polyseek.llm.common import arrow, column, numbered, parts, saved, small_batches
 
 LENGTH = 50
 ANCHOR = 25
 HOT = 256
+#: Bytes of passages that are broadcast as one automaton, at most.
+BROADCAST = 1 << 20
 #: Passages of one automaton, at least, where a task has that many.
 SHARD = 1000
+#: Words of a text that are hashed at a time.
+SEGMENT = 1 << 18
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+ROWS = "uid long, doc_id long, h long, c long, first int, last int"
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,25 +50,46 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def window_rows(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+def word_values(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word, computed over runs of words."""
+    out = np.empty(len(start), dtype=np.uint64)
+    for s in range(0, len(start), SEGMENT):
+        a, b = start[s : s + SEGMENT], end[s : s + SEGMENT]
+        out[s : s + SEGMENT] = Rolling(BYTES[data[a[0] : b[-1]]], 4).of(a - a[0], b - a[0])
+    return out
+
+
+def window_rows(packed: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """A row for each run of windows with one anchor: uid, doc_id, h, c and first and last window, in words."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        raw = [(t or "").encode() for t in column(batch, "text")]
-        bounds = np.concatenate([[0], np.cumsum([len(b) + 1 for b in raw], dtype=np.int64)])
-        data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-        start, end = word_spans(data)
-        values = Rolling(BYTES[data], 4).of(start, end)
-        offsets = np.searchsorted(start, bounds)
-        x = anchored(values, offsets, length, k)
-        base = offsets[x["seq"]]
-        uid, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        return {
-            "uid": uid[x["seq"]], "doc_id": doc[x["seq"]], "h": x["h"].view(np.int64), "c": x["c"].view(np.int64),
-            "first": (x["first"] - base).astype(np.int32), "last": (x["last"] - base).astype(np.int32),
-        }
-
-    return arrow(keyed(docs).where("doc_id is not null"), run, "uid long, doc_id long, h long, c long, first int, last int", most=1 << 19)
+    def rows(sequences: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(v) for *_, v in sequences], dtype=np.int64)])
+        x = anchored(np.concatenate([v for *_, v in sequences]), offsets, length, k)
+        uid, doc, shift = (np.array([s[i] for s in sequences], dtype=np.int64)[x["seq"]] for i in range(3))
+        shift -= offsets[x["seq"]]
+        return pa.RecordBatch.from_pydict({
+            "uid": uid, "doc_id": doc, "h": x["h"].view(np.int64), "c": x["c"].view(np.int64),
+            "first": (x["first"] + shift).astype(np.int32), "last": (x["last"] + shift).astype(np.int32),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, size = [], 0
+        for batch in batches:
+            for uid, doc, z in zip(*(column(batch, n) for n in ("uid", "doc_id", "z")), strict=True):
+                data = np.frombuffer(unpack(z), dtype=np.uint8)
+                start, end = word_spans(data)
+                for at in range(0, max(len(start) - length + 1, 0), SEGMENT):
+                    p = slice(at, at + SEGMENT + length - 1)
+                    held.append((uid, doc, at, word_values(data, start[p], end[p])))
+                    size += len(held[-1][3])
+                    if size >= SEGMENT // 4:
+                        yield rows(held)
+                        held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return packed.where("doc_id is not null").select("uid", "doc_id", "z").mapInArrow(run, ROWS)
 
 
 class SuffixAutomaton:
@@ -131,16 +161,21 @@ class SuffixAutomaton:
 
 def least_documents(passages: list[tuple[list, int]], length: int) -> list[list[int]]:
     """For each (words, doc_id) the least doc_id over all passages for each of its windows."""
+    sam, least = _reference(passages, length)
+    return [[least[s] for s in sam.states(words, length)] for words, _ in passages]
+
+
+def _reference(passages: list[tuple[list, int]], length: int) -> tuple[SuffixAutomaton, dict[int, int]]:
+    """The automaton of passages, and the least doc_id at the state of each of their windows."""
     sam = SuffixAutomaton()
     for words, _ in passages:
         sam.add(words)
-    at = [sam.states(words, length) for words, _ in passages]
     least: dict[int, int] = {}
-    for (_, doc), states in zip(passages, at, strict=True):
-        for s in states:
+    for words, doc in passages:
+        for s in sam.states(words, length):
             if least.get(s, doc) >= doc:
                 least[s] = doc
-    return [[least[s] for s in states] for states in at]
+    return sam, least
 
 
 def _shards(length: int):
@@ -164,75 +199,111 @@ def _shards(length: int):
     return run
 
 
-def passages(docs: DataFrame, want: DataFrame, length: int) -> DataFrame:
-    """h, c, m, n and the words of each wanted (uid, first, last, h, c, m, n), joined by spaces."""
-    want = want.groupBy("uid").agg(F.collect_list(F.struct("h", "c", "m", "n", "first", "last")).alias("runs"))
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows whose h stands in several documents."""
+    several = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+    return saved(rows.join(saved(several), "h", "left_semi"))
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """The distinct stretches (h, c) with their least document m and where they stand there: uid, first, last."""
+    least = rows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "uid", "first", "last")).alias("r"))
+    return saved(least.select("h", "c", F.col("r.doc_id").alias("m"), "r.uid", "r.first", "r.last"))
+
+
+def single_windows(rows: DataFrame, packed: DataFrame, length: int) -> DataFrame:
+    """Each window of rows as a row of its own."""
+    runs = rows.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        unpack = zstandard.ZstdDecompressor().decompress
+        out = []
+        for uid, doc, z, spans in zip(*(column(batch, n) for n in ("uid", "doc_id", "z", "runs")), strict=True):
+            data = np.frombuffer(unpack(z), dtype=np.uint8)
+            values = word_values(data, *word_spans(data))
+            p = ranges(np.array([r["first"] for r in spans]), np.array([r["last"] for r in spans]) + 1)
+            out.append((np.full(len(p), uid), np.full(len(p), doc), *(Rolling(values, seed).of(p, p + length).view(np.int64) for seed in (5, 6)), p.astype(np.int32), p.astype(np.int32)))
+        return dict(zip(("uid", "doc_id", "h", "c", "first", "last"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)) if out else None
+
+    return saved(arrow(packed.select("uid", "doc_id", "z").join(runs, "uid"), run, ROWS, most=1 << 19))
+
+
+def passages(packed: DataFrame, want: DataFrame, length: int) -> DataFrame:
+    """h, c, m and the words of each reference, joined by spaces."""
+    want = want.groupBy("uid").agg(F.collect_list(F.struct("h", "c", "m", "first", "last")).alias("runs"))
 
     def run(batch: pa.RecordBatch) -> dict | None:
         unpack = zstandard.ZstdDecompressor().decompress
         out = []
         for z, runs in zip(column(batch, "z"), column(batch, "runs"), strict=True):
             words = unpack(z).split()
-            out += [(r["h"], r["c"], r["m"], r["n"], b" ".join(words[r["first"] : r["last"] + length])) for r in runs]
-        return dict(zip(("h", "c", "m", "n", "words"), zip(*out, strict=True), strict=True)) if out else None
+            out += [(r["h"], r["c"], r["m"], b" ".join(words[r["first"] : r["last"] + length])) for r in runs]
+        return {n: pa.array(v, pa.binary() if n == "words" else pa.int64()) for n, v in zip(("h", "c", "m", "words"), zip(*out, strict=True), strict=True)} if out else None
 
-    return arrow(packed(docs).join(want, "uid").select("z", "runs"), lambda b: _typed(run(b)), "h long, c long, m long, n long, words binary")
+    return saved(arrow(packed.join(want, "uid").select("z", "runs"), run, "h long, c long, m long, words binary", most=1 << 20))
 
 
-def _typed(x: dict | None) -> dict | None:
-    return x and {n: pa.array(v, pa.binary() if n == "words" else pa.int64()) for n, v in x.items()}
+def _runs(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position of each run of true values."""
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    return turn[::2], turn[1::2] - 1
 
 
-def _hot_windows(length: int):
-    def run(batch: pa.RecordBatch) -> dict | None:
-        out = []
-        for h, c, m, words in zip(*(column(batch, n) for n in ("h", "c", "m", "words")), strict=True):
-            data = np.frombuffer(words, dtype=np.uint8)
-            start, end = word_spans(data)
-            p = np.arange(len(start) - length + 1)
-            a, b = (Rolling(BYTES[data], seed).of(start[p], end[p + length - 1]) for seed in (5, 6))
-            out.append((np.full(len(p), h), np.full(len(p), c), np.full(len(p), m), p, a.view(np.int64), b.view(np.int64)))
-        return dict(zip(("h", "c", "m", "j", "w", "v"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)) if out else None
+def streamed(packed: DataFrame, rows: DataFrame, text: DataFrame, length: int) -> DataFrame:
+    """(uid, first, last) of windows that also start in an earlier document: one broadcast automaton of all references,
+    through which the documents of rows stream."""
+    ids: dict[bytes, int] = {}
+    held = [([ids.setdefault(w, len(ids)) for w in r.words.split()], r.m) for r in text.orderBy("m", "h", "c").collect()]  # at most BROADCAST bytes
+    shard = packed.sparkSession.sparkContext.broadcast((ids, *_reference(held, length)))
 
-    return run
+    def run(batch: pa.RecordBatch) -> dict:
+        ids, sam, least = shard.value
+        unpack = zstandard.ZstdDecompressor().decompress
+        uid, first, last = [], [], []
+        for u, doc, z in zip(*(column(batch, n) for n in ("uid", "doc_id", "z")), strict=True):
+            states = sam.states([ids.get(w, -1) for w in unpack(z).split()], length)
+            a, b = _runs(np.array([least.get(s, doc) < doc for s in states], dtype=bool))
+            uid += [u] * len(a)
+            first += a.tolist()
+            last += b.tolist()
+        return {"uid": pa.array(uid, pa.int64()), "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32())}
 
+    docs = packed.select("uid", "doc_id", "z").join(rows.select("uid").distinct(), "uid", "left_semi")
+    return arrow(docs, run, "uid long, first int, last int", most=1 << 20)
 
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(uid, spans): first and last starts, in words, of windows that also start in a document of smaller doc_id."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = window_rows(docs, length, k)
-    shared = saved(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"))
-    rows = saved(rows.join(shared, "h", "left_semi"))
-    distinct = saved(rows.groupBy("h", "c").agg(F.min("doc_id").alias("m"), F.min(F.struct("doc_id", "uid", "first", "last")).alias("r")))
-    counts = saved(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    # One stretch in the whole group: its least document settles it.
-    alone = distinct.join(counts, "h", "left_anti").select("h", "c", "m", F.lit(None).cast("array<bigint>").alias("mins"))
-    open_ = distinct.join(counts, "h").select("h", "c", "m", "n", "r.uid", "r.first", "r.last")
-    text = saved(passages(docs, open_, length))
-    few = text.where(F.col("n") <= HOT).select("h", "c", "m", "words").repartition(parts(spark), "h").sortWithinPartitions("h")
-    few = few.mapInArrow(_shards(length), "h long, c long, mins array<bigint>")
-    many = saved(arrow(text.where(F.col("n") > HOT).select("h", "c", "m", "words"), _hot_windows(length), "h long, c long, m long, j long, w long, v long"))
-    least = saved(many.groupBy("w", "v").agg(F.min("m").alias("least")))
-    many = many.join(least, ["w", "v"]).groupBy("h", "c").agg(F.sort_array(F.collect_set(F.struct("j", "least"))).alias("x")).select("h", "c", F.col("x.least").alias("mins"))
-    found = saved(few.unionByName(many).select("h", "c", F.lit(None).cast("long").alias("m"), "mins").unionByName(alone))
-    hit = rows.join(found, ["h", "c"]).where(F.coalesce(F.array_min("mins"), "m") < F.col("doc_id"))
-
-    def spans(batch: pa.RecordBatch) -> dict:
+
+def sharded(rows: DataFrame, text: DataFrame, length: int) -> DataFrame:
+    """(uid, first, last) as streamed() gives them, by an automaton for each shard of references."""
+    n = parts(rows.sparkSession)
+    least = saved(text.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shards(length), "h long, c long, mins array<bigint>"))
+    hit = rows.join(least, ["h", "c"]).where(F.array_min("mins") < F.col("doc_id"))
+
+    def run(batch: pa.RecordBatch) -> dict:
         uid, first, last = [], [], []
         for u, d, f, z, mins in zip(*(column(batch, n) for n in ("uid", "doc_id", "first", "last", "mins")), strict=True):
-            if mins is None:
-                uid.append(u), first.append(f), last.append(z)
-                continue
-            gone = np.concatenate([[False], np.array(mins[: z - f + 1]) < d, [False]])
-            turn = np.flatnonzero(gone[1:] != gone[:-1])
-            uid += [u] * (len(turn) // 2)
-            first += (f + turn[::2]).tolist()
-            last += (f + turn[1::2] - 1).tolist()
+            a, b = _runs(np.array(mins[: z - f + 1]) < d)
+            uid += [u] * len(a)
+            first += (f + a).tolist()
+            last += (f + b).tolist()
         return {"uid": pa.array(uid, pa.int64()), "first": pa.array(first, pa.int32()), "last": pa.array(last, pa.int32())}
 
-    cut = arrow(hit.select("uid", "doc_id", "first", "last", "mins"), spans, "uid long, first int, last int")
-    return cut.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return arrow(hit.select("uid", "doc_id", "first", "last", "mins"), run, "uid long, first int, last int")
+
+
+def repeats(packed: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+    """(uid, spans): first and last starts, in words, of windows that also start in a document of smaller doc_id."""
+    small_batches(packed.sparkSession)
+    rows = shared(saved(window_rows(packed, length, k)))
+    found = references(rows)
+    hot = saved(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
+    if not hot.isEmpty():
+        fine = shared(single_windows(rows.join(hot, "h", "left_semi"), packed, length))
+        found = found.join(hot, "h", "left_anti").unionByName(references(fine))
+        rows = rows.join(hot, "h", "left_anti").unionByName(fine)
+    text = passages(packed, found, length)
+    size = text.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    spans = streamed(packed, rows, text, length) if size <= BROADCAST else sharded(rows, text, length)
+    return spans.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, kept: bool = True) -> DataFrame:
@@ -240,8 +311,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, kept
 
     Windows are judged on the input; kept words are joined by one space. Null texts have no words. Rows of equal doc_id
     are not smaller than each other; a null doc_id is smaller than none and has no smaller one: its row stays whole.
+    Columns other than doc_id and text are not read. An empty table gives an empty one.
     """
-    spans = repeats(docs, length, k)
+    packed = numbered(docs)
+    spans = repeats(packed, length, k)
 
     def run(batch: pa.RecordBatch) -> dict:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -259,4 +332,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, kept
         return {"doc_id": batch.column(0), "n_words": total, "n_removed": gone, "kept_sha256": [hashlib.sha256(b).hexdigest() for b in left]} | ({"kept": left} if kept else {})
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * kept
-    return arrow(packed(docs).join(spans, "uid", "left").select("doc_id", "z", "spans"), run, schema)
+    return arrow(packed.join(spans, "uid", "left").select("doc_id", "z", "spans"), run, schema)

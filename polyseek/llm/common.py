@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,23 @@ def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def numbered(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """uid, doc_id, z (the text's UTF-8 bytes, zstd-packed; null as empty), none (whether the text is null) and the columns
+    of ``keep`` as _0, _1 and so on, of each row of docs, written to the scratch folder: uid is a number of the row's own."""
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def run(batch: pa.RecordBatch) -> dict:
+        pack, text = zstandard.ZstdCompressor(level=3).compress, column(batch, "text_")
+        out = {"uid": batch.column(0), "doc_id": batch.column(1), "z": [pack((t or "").encode()) for t in text], "none": [t is None for t in text]}
+        return out | {f"_{i}": batch.column(3 + i) for i in range(len(keep))}
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id_"), F.col("text").cast("string").alias("text_"),
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
+    )
+    return saved(arrow(rows, run, ", ".join(["uid long, doc_id long, z binary, none boolean", *(f"_{i} {fields[c]}" for i, c in enumerate(keep))])))
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -92,9 +92,34 @@ def test_suffix_array(docs, empty, rows):
     assert suffixes.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffix_automata(docs, empty, rows, monkeypatch, hot):
+def test_suffix_array_over_many_buckets(spark):
+    rng = random.Random(21)
+    say = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    common = [say(rng.randint(10, 90)) for _ in range(5)]
+    texts = ["".join(rng.choice([say(rng.randint(0, 30)), *common, common[0][3:40]]) for _ in range(rng.randint(0, 7))) for _ in range(60)]
+    texts += ["z" * 400, "xy" * 90, texts[0], "é" * 50]
+    raw = [t.encode() for t in texts]
+    count = Counter(b[p : p + 20] for b in raw for p in range(len(b) - 19))
+    want = []
+    for i, b in enumerate(raw):
+        m = np.zeros(len(b), dtype=bool)
+        for p in range(len(b) - 19):
+            if count[b[p : p + 20]] > 1:
+                m[p : p + 20] = True
+        want.append((i, int(m.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        got = suffixes.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6), 20, 5)
+        assert _sorted(got, "doc_id", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize(("hot", "broadcast"), [(256, 1 << 20), (256, 0), (1, 0)])
+def test_suffix_automata(docs, empty, rows, monkeypatch, hot, broadcast):
     monkeypatch.setattr(automata, "HOT", hot)
+    monkeypatch.setattr(automata, "BROADCAST", broadcast)
     first: dict = {}
     words = [(r[0], (r[1] or "").encode().split()) for r in rows]
     for d, w in sorted(words, key=lambda x: x[0]):

@@ -178,3 +178,15 @@ def test_kmeans_and_edges():
 
 def test_dictionary_of_nothing():
     assert tokenfiles.train([]) == b"" and tokenfiles.train([b"x"] * 100) == b""
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=8, max_size=8), st.text("ab", min_size=6, max_size=6)), min_size=2, max_size=9, unique=True))
+def test_shared_windows(suffixes_):
+    rows = sorted((a.encode(), b.encode()) for a, b in suffixes_)
+    same = lambda x, y: next((i for i in range(len(x)) if x[i] != y[i]), len(x))
+    want = [{p for j, (c, d) in enumerate(rows) if j != i for p in range(8 - same(a, c), same(b, d) + 1)} for i, (a, b) in enumerate(rows)]
+    got = [set() for _ in rows]
+    for i, r, left in suffixes.shared_windows([b for _, b in rows], [same(x[0], y[0]) for x, y in itertools.pairwise(rows)], 8):
+        got[i].update(range(8 - r, left + 1))
+    assert got == want
