@@ -1,9 +1,11 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length, with exception phrases.
 
 Folding lower-cases, maps homoglyphs of other scripts to Latin letters and digits or signs inside words to the letters
-they stand for, and adds each word with accents once more without them. Lexicon terms are word beginnings (whole words are the longest of them), each with the
-log ratio of its document rates in toxic and other labelled documents. They are learned, with a logistic curve over the
-normalised weight, from at most ``SAMPLE`` labelled rows (those with the least hash of doc_id).
+they stand for, and adds each word with accents once more without them. Lexicon terms are word beginnings (whole words are
+the longest of them), each with the log ratio of its document rates in toxic and other labelled documents. Exception
+phrases are a term's word with the word before or after it, where that pair is usual in other documents and never stands
+in a toxic one; a term inside one has no weight. All this is learned, with a logistic curve over the normalised weight,
+from at most ``SAMPLE`` labelled rows (those with the least hash of doc_id and text).
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import functions as F
 from polyseek.llm.common import arrow, column, saved, texts
 
 SAMPLE = 20_000
-#: Terms of the lexicon, at most: the strongest ones.
-TERMS = 2_000
+#: Terms that are fitted (those in the most toxic rows), terms of the lexicon and exception phrases, at most. Like SAMPLE
+#: these bound what is learned on the driver; the scoring sees every term and phrase.
+CANDIDATES, TERMS, EXCEPTIONS = 100_000, 2_000, 2_000
+#: Other documents that an exception phrase stands in, at least.
+USUAL = 3
 MIN_DOCS, MIN_RATIO = 4, 2.5
 PREFIX = (3, 9)
 
@@ -95,6 +100,20 @@ class Lexicon:
         total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
         return total / math.sqrt(words)
 
+    def phrases(self, automaton: ahocorasick.Automaton | None, text: str) -> set[str]:
+        """The pairs of words in text of which one holds a term."""
+        if automaton is None:
+            return set()
+        line, _ = folded(text)
+        starts = {end - size + 1 for end, (size, weight) in automaton.iter(line) if weight is not None}
+        out = set()
+        for s in starts:  # the space before a word
+            stop = line.index(" ", s + 1)
+            word, before = line[s + 1 : stop], line[:s].rpartition(" ")[2] if s else ""
+            after = line[stop + 1 : line.find(" ", stop + 1)] if stop + 1 < len(line) else ""
+            out.update(p for p in (before and f"{before} {word}", after and f"{word} {after}") if p)
+        return out
+
     def score(self, automaton: ahocorasick.Automaton | None, text: str | None) -> float:
         z = self.slope * self.hits(automaton, text or "") + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -122,10 +141,16 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, fl
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from docs (doc_id, text) and labels (doc_id, toxic); give only the rows that may be learned from.
 
-    Without labelled rows of both kinds the lexicon is empty and every score is low.
+    ``exceptions`` are phrases beside those that are learned. A doc_id with labels of both kinds is left out, as are null
+    texts and null doc_ids; repeated rows count once each. Without labelled rows of both kinds the lexicon is empty and
+    every score is low.
     """
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = saved(texts(docs).where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"))  # known: two numbers a row
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_t")).where("toxic = _t")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic").limit(sample)
+    rows = texts(docs).where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")  # known: two numbers a row
+    rows = saved(rows.withColumn("_o", F.xxhash64("doc_id", "text")))
+    least = rows.select("doc_id", "_o").orderBy("_o", "doc_id").limit(sample)  # a doc_id may have several texts
+    rows = saved(rows.join(F.broadcast(least.distinct()), ["doc_id", "_o"], "left_semi").select("doc_id", "text", "toxic"))
 
     def count(batch: pa.RecordBatch) -> dict:
         seen: Counter = Counter()
@@ -136,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
 
     bad = arrow(rows.where("toxic = 1"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("bad"))
     bad = bad.where((F.col("bad") >= MIN_DOCS) | (F.col("term") == ""))
-    wanted = {r.term: r.bad for r in bad.orderBy(F.desc("bad"), "term").limit(50 * TERMS).collect()}
+    wanted = {r.term: r.bad for r in bad.orderBy(F.desc("bad"), "term").limit(CANDIDATES).collect()}
     toxic_rows = wanted.pop("", 0)
 
     def recount(batch: pa.RecordBatch) -> dict:
@@ -158,6 +183,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
             weights[t] = ratio[t]
     draft = Lexicon(weights, exceptions)
 
+    def pairs(batch: pa.RecordBatch) -> dict:
+        automaton, seen = draft.automaton(), Counter()
+        for t, toxic in zip(column(batch, "text"), column(batch, "toxic"), strict=True):
+            seen.update((p, toxic) for p in draft.phrases(automaton, t))
+        return {"phrase": [p for p, _ in seen], "toxic": pa.array([t for _, t in seen], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
+
+    both = arrow(rows, pairs, "phrase string, toxic int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("good"), F.max("toxic").alias("bad"))
+    usual = both.where((F.col("bad") == 0) & (F.col("good") >= USUAL)).orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS)
+    exceptions = (*exceptions, *(r.phrase for r in usual.collect()))
+    draft = Lexicon(weights, exceptions)
+
     def measure(batch: pa.RecordBatch) -> dict:
         automaton = draft.automaton()
         return {"x": [draft.hits(automaton, t) for t in column(batch, "text")], "toxic": batch.column(2)}
@@ -168,7 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
 
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score) of each row; null and empty texts get the score of no match."""
+    """(doc_id, score) of each row, repeated ones and those with a null doc_id too; null and empty texts get the score of no
+    match. Columns other than doc_id and text are not read; an empty table gives an empty one."""
     held: list = []
 
     def run(batch: pa.RecordBatch) -> dict:
