@@ -1,25 +1,30 @@
 """Quality rules: a linear-chain conditional random field marks lines as content or boilerplate, by Viterbi decoding.
 
 The field is trained here, on the lines of at most ``SAMPLE`` labelled documents of each class (those with the least hash
-of doc_id): lines carry their document's label at first, then, within rejected documents, the label that the field
-itself decodes. Content share is the share of words that stand in content lines.
+of doc_id and text), of each at most ``CHAINS`` chains of ``CHAIN`` lines, evenly spaced: lines carry their document's
+label at first, then, within rejected documents, the label that the field itself decodes. Decoding takes whole texts.
+Content share is the share of words that stand in content lines.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseek.llm.common import arrow, column, texts
+from polyseek.llm.common import WORD, arrow, column, texts
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Labelled documents of each class that the field is fitted on, at most.
 SAMPLE = 300
+#: Lines of a chain, and chains of one document, that the field is fitted on, at most.
+CHAIN, CHAINS = 64, 32
 MIN_SHARE = 0.5
 STEPS, RATE, PENALTY = 120, 0.1, 1e-3
 FEATURES = ("bias", "upper", "symbols", "bars", "repeats", "seen", "short", "stop", "bangs", "digits")
@@ -30,11 +35,17 @@ def _digits(line: str) -> int:
     return sum(map(line.count, "0123456789")) if line.isascii() else sum(map(str.isdigit, line))
 
 
+#: White space to Python but not to the contract's words; what else separates words there.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WORDS = re.compile(WORD)
+
+
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(lines x features, words of each line) for the lines that hold a word."""
     rows, sizes, seen = [], [], set()
+    cut = WORDS.findall if ODD.search(text) else str.split
     for line in text.split("\n"):
-        words = line.split()
+        words = cut(line)
         if not words:
             continue
         n, chars = len(words), len(line)
@@ -108,17 +119,39 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS) -> tuple[
     return w, move
 
 
+def chains(features: np.ndarray) -> list[np.ndarray]:
+    """The lines of a document in chains, of more than ``CHAINS`` those that are evenly spaced."""
+    out = [features[i : i + CHAIN] for i in range(0, len(features), CHAIN)]
+    return out if len(out) <= CHAINS else [out[i * len(out) // CHAINS] for i in range(CHAINS)]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The field for docs (doc_id, text) and labels (doc_id, quality); without labels of both classes all is content."""
-    labels = labels.where("quality in (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    picked = [labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
+    """The field for docs (doc_id, text) and labels (doc_id, quality); without labels of both classes all is content.
+
+    A doc_id with labels of both classes is left out, as are null texts and null doc_ids; repeated rows count once each.
+    """
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_q")).where("quality = _q")
+    picked = [known.where(F.col("quality") == q).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))  # two numbers for each of 2 x sample rows
-    got = texts(docs).where("text is not null").join(picked, "doc_id").select("text", "quality").collect()
-    if len({r.quality for r in got}) < 2:
+    rows = texts(docs).where("text is not null").join(picked, "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+
+    def lines(batch: pa.RecordBatch) -> dict:
+        out = {"o": [], "quality": [], "chain": []}
+        for d, t, q in zip(*(column(batch, n) for n in ("doc_id", "text", "quality")), strict=True):
+            order = int.from_bytes(hashlib.sha256(f"{d} {t}".encode()).digest()[:7], "big")
+            for c in chains(line_features(t)[0]):
+                out["o"].append(order), out["quality"].append(q), out["chain"].append(c.ravel().tolist())
+        return {"o": pa.array(out["o"], pa.int64()), "quality": pa.array(out["quality"], pa.int32()), "chain": pa.array(out["chain"], pa.list_(pa.float64()))}
+
+    # A doc_id may have several texts: the least of all rows stay, at most CHAINS rows of CHAIN lines for each.
+    found = arrow(rows.dropDuplicates(["doc_id", "text"]), lines, "o long, quality int, chain array<double>", most=1 << 20)
+    ranked = found.withColumn("r", F.dense_rank().over(Window.partitionBy("quality").orderBy("o"))).where(F.col("r") <= sample)
+    got = sorted((r.o, r.quality, list(r.chain)) for r in ranked.collect())
+    if len({q for _, q, _ in got}) < 2:
         return np.zeros(len(FEATURES)), np.zeros((2, 2))
-    lines = [(line_features(r.text)[0], r.quality) for r in got]
-    field = fit([(f, np.full(len(f), q)) for f, q in lines])
-    return fit([(f, np.ones(len(f), dtype=np.int64) if q else viterbi(f @ field[0], field[1])) for f, q in lines if len(f)])
+    cut = [(np.array(c).reshape(-1, len(FEATURES)), q) for _, q, c in got]
+    field = fit([(f, np.full(len(f), q)) for f, q in cut])
+    return fit([(f, np.ones(len(f), dtype=np.int64) if q else viterbi(f @ field[0], field[1])) for f, q in cut])
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -147,7 +180,8 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 def judge(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], min_share: float = MIN_SHARE) -> DataFrame:
     """Per row of docs: doc_id, the base counts, base_failed, kept and content_share (null without a word).
 
-    Null and empty texts have no words and fail the base rules. Symbols are those of ``SYMBOLS``.
+    Null and empty texts have no words and fail the base rules. Symbols are those of ``SYMBOLS``. Repeated rows and null
+    doc_ids stay rows of their own; columns other than doc_id and text are not read; an empty table gives an empty one.
     """
     weights, move = field
 
@@ -169,7 +203,8 @@ def judge(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], min_share: floa
 
 
 def kept_documents(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
+    """The rows of docs that pass judge()'s rules, with all their columns; null and empty texts fail, repeated rows and null
+    doc_ids are judged by their text like any other."""
     weights, move = field
 
     @F.pandas_udf("boolean")
