@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding in numpy, in batches of words of equal length.
 
 Every substring of up to the longest piece's length gets a hash from prefix sums; binary search in the sorted keys of the
-pieces tells which substrings are pieces. Unigram models then run Viterbi: all words of one length advance together over
-end positions, and a vectorised maximum over start positions stores the backpointers. BPE models do not maximise a sum
-of scores, so Viterbi does not give their ids; there all words of a length merge together, each step taking every
-word's best adjacent pair by a vectorised maximum, leftmost of equal ones, until none is left. Characters that are no
+pieces tells which substrings are pieces. Viterbi then runs over them: all words of one length advance together over
+end positions, and a vectorised maximum over start positions stores the backpointers. That gives the ids of unigram
+models, and for every model the number of pieces on the best path. BPE models do not maximise a sum of scores, so their
+ids are other ones: all words of a length merge together, each step taking every word's best adjacent pair by a
+vectorised maximum, leftmost of equal ones, until none is left. Characters that are no
 piece fall back to byte pieces, or to the unknown id where the model has none. Whitespace is escaped, with the dummy
 prefix if the model asks for it; texts are not otherwise normalised, so models must have the identity normaliser.
 """
@@ -43,9 +44,14 @@ class Pieces:
         keys = np.array([self._key(pieces[i]) for i in usable], dtype=np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable, dtype=np.int32)[order]
+        #: Leading bits of the keys: most substrings are ruled out by one look here, the others are searched for.
+        self.leading = np.zeros(1 << 20, dtype=bool)
+        self.leading[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.surface = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else p.replace(SPACE, " ").encode() if t != 2 else b" \xe2\x81\x87 " for p, t in zip(pieces, types, strict=True)]
         self.dtype = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        #: Pieces of each known word on its best path.
+        self.best: dict[str, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -74,8 +80,11 @@ class Pieces:
         for m in range(1, out.shape[2]):
             at = base + np.arange(size - m + 1)
             key = roll.of(at, at + m)
+            row, start = np.nonzero(self.leading[(key >> np.uint64(44)).astype(np.int64)])
+            key = key[row, start]
             spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[:, : size - m + 1, m] = np.where(self.keys[spot] == key, self.ids[spot], -1)
+            on = self.keys[spot] == key
+            out[row[on], start[on], m] = self.ids[spot[on]]
         return out
 
     def _merge(self, found: np.ndarray) -> np.ndarray:
@@ -167,15 +176,18 @@ class Pieces:
         for w in words:
             by.setdefault(len(w), []).append(w)
         for size, group in by.items():
-            if size > LONG and self.bpe:
-                for w in group:
-                    self._put(w, self._merge_long(w))
-                continue
             step = max(1, 400_000 // (size * (min(self.longest, size) + 1)))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 found = self.found(part)
-                length = self._merge(found) if self.bpe else self._viterbi(found)
+                length = self._viterbi(found)
+                self.best.update(zip(part, np.count_nonzero(length, axis=1).tolist(), strict=True))
+                if self.bpe and size > LONG:
+                    for w in part:
+                        self._put(w, self._merge_long(w))
+                    continue
+                if self.bpe:
+                    length = self._merge(found)
                 rows, starts = np.nonzero(length)
                 ids = found[rows, starts, length[rows, starts]]
                 bounds = np.searchsorted(rows, np.arange(len(part) + 1))
@@ -197,16 +209,20 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of little-endian numbers."""
+        return [ids for ids, _ in self.encode_with_best(texts)]
+
+    def encode_with_best(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """The ids of each text, and the number of pieces on its path of the greatest sum of scores."""
         mark = SPACE if self.prefix else ""
         # Pieces have the space sign at their beginning only: no merge and no piece crosses from a word into its next.
         cuts = [UNIT.findall(mark + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = set().union(*cuts) - self.known.keys()
+        fresh = set().union(*cuts).difference(self.known)
         self.learn(fresh)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cuts]
+        get, best = self.known.__getitem__, self.best.__getitem__
+        out = [(b"".join(map(get, c)), sum(map(best, c))) for c in cuts]
         if len(self.known) > KEPT:
             for w in fresh:
-                del self.known[w]
+                del self.known[w], self.best[w]
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -225,16 +241,22 @@ def model(path: str) -> Pieces:
 
 
 def encoded(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of ids as little-endian uint32), round_trip (decoding gives the text again) and, if
-    asked for, ids, for each row of docs. Null and empty texts have no ids."""
+    """doc_id, n_tokens, ids_crc32 (of ids as little-endian uint32), round_trip (decoding gives the text again), best_tokens
+    (pieces on the path of the greatest sum of scores; for unigram models equal to n_tokens, where no piece falls back to
+    bytes) and, if asked for, ids, for each row of docs.
+
+    Null and empty texts have no ids and round_trip true. Repeated rows and null doc_ids stay rows of their own; columns
+    other than doc_id and text are not read; an empty table gives an empty one. A word of n characters takes memory in
+    proportion to n times the longest piece.
+    """
 
     def made(m: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts_ = [t or "" for t in column(batch, "text")]
-        got = m.encode(texts_)
+        got, best = zip(*m.encode_with_best(texts_), strict=True)
         wide = [np.frombuffer(b, dtype=m.dtype).astype("<u4") for b in got]
         out = {
             "doc_id": batch.column(0), "n_tokens": [len(x) for x in wide], "ids_crc32": [zlib.crc32(x.tobytes()) for x in wide],
-            "round_trip": [m.decode(b) == t for b, t in zip(got, texts_, strict=True)],
+            "round_trip": [m.decode(b) == t for b, t in zip(got, texts_, strict=True)], "best_tokens": list(best),
         } | ({"ids": pa.array([x.astype(np.int32) for x in wide], pa.list_(pa.int32()))} if ids else {})
         return pa.RecordBatch.from_pydict(out)
 
@@ -246,6 +268,7 @@ def encoded(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                     yield made(m, piece)
         finally:  # workers live on: the next stage needs the memory
             m.known.clear()
+            m.best.clear()
 
     small_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids)
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, best_tokens long" + ", ids array<int>" * ids)
