@@ -75,16 +75,18 @@ def count(spark: SparkSession, uri: str, end: int, width: int = 2, block: int =
                 with fs.open_input_file(f"{at}/{name}") as f:
                     ids = np.frombuffer(f.read_at(n * width, start * width), dtype=f"<u{width}")
                 where = np.flatnonzero(ids == end)
-                lengths = np.diff(where, prepend=-1) - 1
+                lengths = (np.diff(where, prepend=-1) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "file": [name], "size": [size], "block": [no], "start": [start], "found": [len(where)], "last": pa.array([start + int(where[-1]) if len(where) else None], pa.int64()),
-                    "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
+                    "lengths": pa.array([lengths], pa.list_(pa.int64())),
                 })
 
     scanned = saved(todo.mapInArrow(run, "file string, size long, block long, start long, found long, last long, lengths array<long>"))
+    # The prefix scan sees three numbers a block (40 bytes for each megabyte of a file); the lengths join it afterwards.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    rows = scanned.withColumn("base", F.coalesce(F.sum("found").over(before), F.lit(0))).withColumn("open", F.col("start") - F.coalesce(F.max("last").over(before), F.lit(-1)) - 1)
-    done = rows.select("file", "base", "open", F.posexplode("lengths").alias("i", "length"))
+    scan = scanned.select("file", "block", F.coalesce(F.sum("found").over(before), F.lit(0)).alias("base"), (F.col("start") - F.coalesce(F.max("last").over(before), F.lit(-1)) - 1).alias("open"))
+    done = scanned.select("file", "block", "lengths").join(scan.hint("merge"), ["file", "block"])
+    done = done.select("file", "base", "open", F.posexplode("lengths").alias("i", "length"))
     done = done.select("file", (F.col("base") + F.col("i")).alias("ordinal"), (F.col("length") + F.when(F.col("i") == 0, F.col("open")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("ended"))
     rest = scanned.groupBy("file").agg(F.sum("found").alias("ordinal"), (F.max("size") - F.coalesce(F.max("last"), F.lit(-1)) - 1).alias("n_tokens"))
     return done.union(rest.where("n_tokens > 0").select("file", "ordinal", "n_tokens", F.lit(False).alias("ended")))
