@@ -1,8 +1,15 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands give candidates, every link is confirmed exactly.
+"""SimHash near-dedup at a similarity of word shingles: fingerprints meet at covering-code anchors, every link is confirmed
+by exact Jaccard similarity, and MinHash bands add the pairs whose fingerprints are further apart than anchors reach.
 
-Texts of equal shingle sets collapse to one row first. The others are dealt to a bucket by each of ``BANDS`` keys of
-``ROWS`` minima, so that a pair at similarity s meets with probability 1 - (1 - s^ROWS)^BANDS (0.99995 at 0.8). Buckets
+Texts of equal shingle sets collapse to one row first. The others are dealt to a bucket by each anchor of their
+fingerprint (simhash.py), where all pairs within 3 bits meet, and by each of ``BANDS`` keys of ``ROWS`` minima, where a
+pair at similarity s meets with probability 1 - (1 - s^ROWS)^BANDS (0.99995 at 0.8; about 10 bits differ there). Buckets
 with the same members are compared once. Rows are told apart by a key of their own, never by doc_id.
+
+A bucket of more than ``HOT`` members is dealt in chunks of about ``CHUNK``, each with the same few members as pivots, so
+that copies of one text join across chunks through them. Members that are not in their bucket's largest component after
+that go past every chunk once, so no link between components is lost; the cost of this grows with the number of such
+members times the bucket, not with the square of a group of copies.
 """
 
 from __future__ import annotations
@@ -15,13 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyseek.llm.anchors import mixed
 from polyseek.llm.common import arrow, column, parts, saved, small_batches, word_bounds
 from polyseek.llm.components import connected_components
+from polyseek.llm.simhash import anchors_of, majority
 
 WIDTH = 5
 #: Least similarity of a link, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 25, 5
+#: Members of a bucket that are compared in one task, at most, members of a chunk of larger ones, and pivots (about).
+HOT, CHUNK, PIVOTS = 512, 256, 32
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,10 +118,53 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield several(*(np.concatenate([r[i] for r in rest]) for i in range(2)))
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among rows (key, salt, role, row, hashes), sorted by the first three: those of role 0 of one (key, salt) among
+    each other, or, where there are any of role 1, these in blocks with those."""
+    now, held, block = None, [], []
+
+    def found() -> pa.RecordBatch:
+        rows = held + block
+        pairs = linked([h for _, h in rows])
+        return pa.RecordBatch.from_pydict({"a": pa.array([rows[p][0] for p, _ in pairs], pa.int64()), "b": pa.array([rows[q][0] for _, q in pairs], pa.int64())})
+
+    streamed = False
+    for batch in batches:
+        for key, salt, role, row, h in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if (key, salt) != now:
+                if block or (not streamed and len(held) > 1):
+                    yield found()
+                now, held, block, streamed = (key, salt), [], [], False
+            if role:
+                streamed = True
+                if len(block) == CHUNK:
+                    yield found()
+                    block = []
+            (block if role else held).append((row, np.frombuffer(h, dtype="<u8")))
+    if block or (not streamed and len(held) > 1):
+        yield found()
+
+
+def compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among rows (key, salt, role, row)."""
+    dealt = rows.join(sets.hint("merge"), "row").select("key", "salt", "role", "row", "hashes")
+    dealt = dealt.repartition(parts(rows.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "role")
+    return saved(dealt.mapInArrow(_edges, "a long, b long"))
+
+
+def large_buckets(buckets: DataFrame) -> DataFrame:
+    """(key, n, one) of the buckets of more than ``HOT`` rows; one is the least key of those with the same members."""
+    spot = F.xxhash64("row")
+    big = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.shiftright(spot, 20)).alias("_a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("_b")).where(F.col("n") > HOT)
+    one = big.groupBy("n", "_a", "_b").agg(F.min("key").alias("one"))
+    return saved(big.join(one, ["n", "_a", "_b"]).select("key", "n", "one"))
+
+
 def kept_rows(docs: DataFrame, key: str) -> DataFrame:
     """The ``key`` of the row that stays of each group of docs (key, doc_id, text): that of least doc_id, nulls last.
 
-    Groups are joined by links of similarity ``LEAST`` or more. Texts without a word are copies of each other.
+    Groups are joined by links of similarity ``LEAST`` or more. Texts without a word are copies of each other; an empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -119,42 +173,48 @@ def kept_rows(docs: DataFrame, key: str) -> DataFrame:
     def sketch(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in column(batch, "text")]
         digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array(digest, pa.binary()), "keys": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))}
+        keys = [band_keys(s) for s in sets]
+        with_words = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
+        rows, anchors = anchors_of(np.array([majority(sets[i]) for i in with_words.tolist()], dtype=np.uint64))
+        for i, a in zip(with_words[rows].tolist(), mixed(anchors + np.uint64(1)).view(np.int64).tolist(), strict=True):
+            keys[i].append(a)
+        return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array(digest, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
 
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     sketches = arrow(slim, sketch, "row long, doc_id long, digest binary, keys array<long>", most=1 << 20)
     first = sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "keys")).alias("f"))
     distinct = saved(first.select("f.o.row", "f.o.doc_id", "f.keys"))
     buckets = distinct.select("row", F.explode("keys").alias("key")).select("key", "row")
-    buckets = buckets.repartition(parts(spark), "key").sortWithinPartitions("key", "row")
-    met = saved(buckets.mapInArrow(_shared, "key long, row long, who binary"))
+    large = large_buckets(buckets)
+    any_large = not large.isEmpty()
+    cold = buckets.join(large.select("key"), "key", "left_anti") if any_large else buckets
+    met = saved(cold.repartition(parts(spark), "key").sortWithinPartitions("key", "row").mapInArrow(_shared, "key long, row long, who binary"))
     alike = met.groupBy("who").agg(F.min("key").alias("key")).select("key")
     members = saved(met.select("key", "row").join(alike.hint("merge"), "key"))
+    todo = members.select("key", F.lit(0).alias("salt"), F.lit(0).alias("role"), "row")
+    big = None
+    if any_large:
+        big = saved(buckets.join(large.where("key = one").select("key", "n"), "key").withColumn("salts", F.ceil(F.col("n") / CHUNK).cast("int")))
+        todo = todo.union(big.select("key", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"), "row"))
+        pivots = big.where(F.pmod(F.xxhash64("row", "key"), F.col("n")) < PIVOTS)
+        todo = todo.union(pivots.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "row"))
 
     def sets_of(batch: pa.RecordBatch) -> dict:
         return {"row": batch.column(0), "hashes": pa.array([shingles(t).tobytes() for t in column(batch, "text")], pa.binary())}
 
-    wanted = slim.select("row", "text").join(members.select("row").distinct().hint("merge"), "row", "left_semi")
+    wanted = slim.select("row", "text").join(todo.select("row").distinct().hint("merge"), "row", "left_semi")
     sets = saved(arrow(wanted, sets_of, "row long, hashes binary", most=1 << 20))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges() -> pa.RecordBatch:
-            found = linked(held)
-            return pa.RecordBatch.from_pydict({"a": pa.array([ids[p] for p, _ in found], pa.int64()), "b": pa.array([ids[q] for _, q in found], pa.int64())})
-
-        now, ids, held = None, [], []
-        for batch in batches:
-            for k, row, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != now:
-                    if len(ids) > 1:
-                        yield edges()
-                    now, ids, held = k, [], []
-                ids.append(row)
-                held.append(np.frombuffer(h, dtype="<u8"))
-        if len(ids) > 1:
-            yield edges()
-
-    dealt = members.join(sets.hint("merge"), "row").select("key", "row", "hashes").repartition(parts(spark), "key").sortWithinPartitions("key")
-    roots = connected_components(dealt.mapInArrow(compare, "a long, b long"))
+    edges = compared(todo, sets)
+    roots = connected_components(edges)
+    if any_large:
+        named = big.join(roots, F.col("row") == F.col("v"), "left").select("key", "row", "salts", F.coalesce("root", "row").alias("root"))
+        sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("c")).where("c > 1")
+        named = saved(named.join(main.select("key", F.col("m.root").alias("main")), "key"))
+        apart = named.where("root <> main")
+        if not apart.isEmpty():
+            todo = named.select("key", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"), "row")
+            todo = todo.union(apart.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("role"), "row"))
+            roots = connected_components(edges.union(compared(todo, sets)))
     grouped = distinct.select("row", "doc_id").join(roots, F.col("row") == F.col("v"), "left").withColumn("component", F.coalesce("root", "row"))
     return grouped.groupBy("component").agg(F.min(order).alias("o")).select(F.col("o.row").alias(key))
