@@ -11,8 +11,9 @@ position of a streamed text the state of its last ``length`` words tells the lea
   one task, which builds the automaton of at most about ``SHARD`` passages, streams its stretches through it and returns
   the least document of each window; documents take these from the stretches that they have.
 
-A group of more than ``HOT`` distinct stretches (one passage in very many surroundings) is cut finer first: each of its
-windows becomes a stretch of its own, and those of one document only go, before anything is compared.
+A group of more than ``HOT`` distinct stretches (one passage in very many surroundings) would be too much for one task: the
+windows of its distinct stretches become references of their own, equal ones collapse to their least document before the
+shuffle, and each stretch puts its windows' answers together again.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyseek.llm.anchors import BYTES, Rolling, anchored, ranges
+from polyseek.llm.anchors import BYTES, Rolling, anchored
 from polyseek.llm.common import arrow, column, numbered, parts, saved, small_batches
 
 LENGTH = 50
@@ -211,23 +212,6 @@ def references(rows: DataFrame) -> DataFrame:
     return saved(least.select("h", "c", F.col("r.doc_id").alias("m"), "r.uid", "r.first", "r.last"))
 
 
-def single_windows(rows: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    """Each window of rows as a row of its own."""
-    runs = rows.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-
-    def run(batch: pa.RecordBatch) -> dict:
-        unpack = zstandard.ZstdDecompressor().decompress
-        out = []
-        for uid, doc, z, spans in zip(*(column(batch, n) for n in ("uid", "doc_id", "z", "runs")), strict=True):
-            data = np.frombuffer(unpack(z), dtype=np.uint8)
-            values = word_values(data, *word_spans(data))
-            p = ranges(np.array([r["first"] for r in spans]), np.array([r["last"] for r in spans]) + 1)
-            out.append((np.full(len(p), uid), np.full(len(p), doc), *(Rolling(values, seed).of(p, p + length).view(np.int64) for seed in (5, 6)), p.astype(np.int32), p.astype(np.int32)))
-        return dict(zip(("uid", "doc_id", "h", "c", "first", "last"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)) if out else None
-
-    return saved(arrow(packed.select("uid", "doc_id", "z").join(runs, "uid"), run, ROWS, most=1 << 19))
-
-
 def passages(packed: DataFrame, want: DataFrame, length: int) -> DataFrame:
     """h, c, m and the words of each reference, joined by spaces."""
     want = want.groupBy("uid").agg(F.collect_list(F.struct("h", "c", "m", "first", "last")).alias("runs"))
@@ -272,10 +256,38 @@ def streamed(packed: DataFrame, rows: DataFrame, text: DataFrame, length: int) -
     return arrow(docs, run, "uid long, first int, last int", most=1 << 20)
 
 
+def single_windows(text: DataFrame, length: int) -> DataFrame:
+    """h, c, m, j, w, v, words: each window j of references (h, c, m, words), w and v being hashes of its words."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {n: [] for n in ("h", "c", "m", "j", "w", "v", "words")}
+        for h, c, m, raw in zip(*(column(batch, n) for n in ("h", "c", "m", "words")), strict=True):
+            data = np.frombuffer(raw, dtype=np.uint8)
+            start, end = word_spans(data)
+            p = np.arange(len(start) - length + 1)
+            first, last = start[p], end[p + length - 1]
+            for n, x in (("h", np.full(len(p), h)), ("c", np.full(len(p), c)), ("m", np.full(len(p), m)), ("j", p), *((n, Rolling(BYTES[data], k).of(first, last).view(np.int64)) for n, k in (("w", 5), ("v", 6)))):
+                out[n] += x.tolist()
+            out["words"] += [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        return {n: pa.array(x, pa.binary() if n == "words" else pa.int64()) for n, x in out.items()}
+
+    return saved(arrow(text.select("h", "c", "m", "words"), run, "h long, c long, m long, j long, w long, v long, words binary", most=1 << 19))
+
+
 def sharded(rows: DataFrame, text: DataFrame, length: int) -> DataFrame:
     """(uid, first, last) as streamed() gives them, by an automaton for each shard of references."""
     n = parts(rows.sparkSession)
+    hot = saved(text.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
+    windows = None
+    if not hot.isEmpty():
+        windows = single_windows(text.join(hot, "h", "left_semi"), length)
+        own = windows.groupBy("w", "v").agg(F.min(F.struct("m", "words")).alias("r")).select(F.col("w").alias("h"), F.col("v").alias("c"), "r.m", "r.words")
+        text = text.join(hot, "h", "left_anti").select("h", "c", "m", "words").union(own)
     least = saved(text.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shards(length), "h long, c long, mins array<bigint>"))
+    if windows is not None:
+        answers = windows.select("h", "c", "j", "w", "v").join(least.select(F.col("h").alias("w"), F.col("c").alias("v"), F.get("mins", F.lit(0)).alias("l")), ["w", "v"])
+        whole = answers.groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("j", "l"))).alias("x")).select("h", "c", F.col("x.l").alias("mins"))
+        least = least.unionByName(whole)
     hit = rows.join(least, ["h", "c"]).where(F.array_min("mins") < F.col("doc_id"))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -295,11 +307,6 @@ def repeats(packed: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFra
     small_batches(packed.sparkSession)
     rows = shared(saved(window_rows(packed, length, k)))
     found = references(rows)
-    hot = saved(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
-    if not hot.isEmpty():
-        fine = shared(single_windows(rows.join(hot, "h", "left_semi"), packed, length))
-        found = found.join(hot, "h", "left_anti").unionByName(references(fine))
-        rows = rows.join(hot, "h", "left_anti").unionByName(fine)
     text = passages(packed, found, length)
     size = text.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     spans = streamed(packed, rows, text, length) if size <= BROADCAST else sharded(rows, text, length)
