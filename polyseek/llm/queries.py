@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, embeddings, mixing, quality, sentencepieces, separators, simhash, suffixes, tokenfiles, toxicity
+from polyseek.llm import automata, embeddings, mixing, quality, sentencepieces, separators, simhash, suffixes, tokenfiles, toxicity, twins
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     out = toxicity.scores(docs, toxicity.learn(docs, labels.where(~held_out)))
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_suffix_array": twins.OP3, "op7_suffix_automata": twins.OP7, "op8_embeddings": twins.OP8}

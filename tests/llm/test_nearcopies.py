@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from polyseek.llm import nearcopies
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -52,7 +54,12 @@ def _edited():
     return out
 
 
-def test_edited_copies(spark):
+@pytest.mark.parametrize("hot", [512, 3])
+def test_edited_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(nearcopies, "HOT", hot)  # 3: every group is a large bucket, in chunks of two with one pivot or so
+    if hot == 3:
+        monkeypatch.setattr(nearcopies, "CHUNK", 2)
+        monkeypatch.setattr(nearcopies, "PIVOTS", 1)
     rows = list(enumerate(_edited()))
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA).repartition(5)

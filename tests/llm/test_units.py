@@ -67,6 +67,21 @@ def test_fingerprint_pairs_share_an_anchor():
             assert set(kx[rx == i].tolist()) & set(ky[ry == i].tolist())
 
 
+def test_finer_parts_meet():
+    rng = np.random.default_rng(4)
+    for bits in range(4):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        y = x.copy()
+        for i in range(len(y)):
+            for b in rng.choice(32, bits, replace=False):
+                y[i] ^= np.uint64(1) << np.uint64(b + 32)
+        anchors = rng.integers(0, 1 << 31, 100, dtype=np.uint64)  # of the lower half: bit 31 is not set
+        for masks in simhash.FINER:
+            (rx, kx), (ry, ky) = simhash.finer(anchors, x, masks), simhash.finer(anchors, y, masks)
+            assert all(set(kx[rx == i].tolist()) & set(ky[ry == i].tolist()) for i in range(len(x)))
+            assert not ((kx >> np.uint64(31)) & np.uint64(1)).any()
+
+
 def test_group_links_connect():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
