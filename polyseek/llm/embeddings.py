@@ -17,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyseek.llm.common import arrow, parts, saved, small_batches
+from polyseek.llm.common import parts, pieces, saved, small_batches
 from polyseek.llm.components import connected_components
 
 THRESHOLD = 0.9
 SPREAD = 1.0
 SAMPLE = 20_000
 SAMPLE_BYTES = 16 << 20
-#: Distinct vectors for each cell, cells at most, and homes of a block at most (about).
-CELL, CELLS, BLOCK = 1000, 4096, 1500
+#: Distinct vectors for each cell, cells of one level at most, and homes of a block at most (about; fewer for long vectors).
+CELL, CELLS, BLOCK = 4096, 4096, 4096
+BLOCK_BYTES = 32 << 20
+#: Sampled homes for each centroid of a cell's own, and rows of a cell that one task deals out (about).
+SUB_SAMPLE, DEAL = 8, 100_000
+DEALT = "cell long, role int, rep long, mult long, v array<double>"
 #: Visitors compared with a block at once.
 GUESTS = 250
 ROUNDS = 8
@@ -91,11 +95,85 @@ def _near(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int],
     return [*a[rows].tolist(), *b[cols].tolist()], [*low_a[rows].tolist(), *low_b[cols].tolist()]
 
 
+def _visits(score: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best cell of each row, and which cells a vector that links with it may have as its best."""
+    best = score.argmax(axis=1)
+    return best, score >= score[np.arange(len(score)), best][:, None] - apart[best] - 1e-9
+
+
+def _gaps(cells: np.ndarray, factor: float) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * cells @ cells.T)) * factor
+
+
+def _out(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, role: np.ndarray, at: int) -> pa.RecordBatch:
+    """Rows of DEALT from those of batch, whose rep, mult and v are columns at, at + 1 and at + 2."""
+    keep = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(role.astype(np.int32)), *(batch.column(at + i).take(keep) for i in range(3))], names=["cell", "role", "rep", "mult", "v"])
+
+
+def divided(dealt: DataFrame, n: int, width: int, factor: float) -> DataFrame:
+    """Homes and visitors of cells dealt to ``n`` cells within each, by centroids of the cell's own."""
+    spark = dealt.sparkSession
+    sizes = saved(dealt.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("homes"), F.ceil(F.count("*") / DEAL).cast("int").alias("salts")))
+    rows = dealt.join(F.broadcast(sizes), "cell")  # a row for each cell of the first level
+    sample = rows.where("role = 0").where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("homes")) < SUB_SAMPLE * n).select("cell", "v")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            c = spherical_kmeans(np.concatenate(held), n)
+            return pa.RecordBatch.from_pydict({"cell": np.full(len(c), now), "sub": np.arange(len(c)), "v": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+        for batch in batches:
+            cell, v = batch.column(0).to_numpy(), matrix(batch.column(1), width)
+            for c in np.unique(cell):
+                if c != now:
+                    if held:
+                        yield done()
+                    now, held = c, []
+                held.append(v[cell == c])
+        if held:
+            yield done()
+
+    subs = saved(sample.repartition(parts(spark), "cell").sortWithinPartitions("cell").mapInArrow(fit, "cell long, sub long, v array<double>"))
+    centres = subs.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).alias("role"), F.col("sub").alias("rep"), F.lit(0).cast("long").alias("mult"), "v")
+    todo = rows.select("cell", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), "role", "rep", "mult", "v").union(centres)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, cells, apart = None, [], None, None
+        for batch in batches:
+            cell, salt, role, rep = (batch.column(i).to_numpy() for i in range(4))
+            bounds = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]) | ((role[1:] < 0) != (role[:-1] < 0)), [True]]))
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part = batch.slice(s, e - s)
+                if key != (cell[s], salt[s]):
+                    key, held, cells = (cell[s], salt[s]), [], None
+                if role[s] < 0:
+                    held.append((rep[s:e], matrix(part.column(5), width)))
+                    continue
+                if cells is None:
+                    order = np.argsort(np.concatenate([r for r, _ in held])) if held else np.zeros(0, dtype=int)
+                    cells = np.concatenate([m for _, m in held])[order] if held else np.zeros((1, width))
+                    apart = _gaps(cells, factor)
+                best, near = _visits(matrix(part.column(5), width) @ cells.T, apart)
+                r = role[s:e]
+                near &= (r == 2)[:, None] | ((r == 1)[:, None] & (np.arange(len(cells)) < best[:, None]))
+                own = np.flatnonzero(r < 2)  # homes, and the same vectors as visitors of their own cell
+                row, sub = np.nonzero(near)
+                row, sub, kind = np.concatenate([own, row]), np.concatenate([best[own], sub]), np.concatenate([r[own], np.full(len(row), 2)])
+                yield _out(part, row, cell[s] * n + sub, kind, 3)
+
+    todo = todo.repartition(parts(spark), "cell", "salt").sortWithinPartitions("cell", "salt", "role")
+    return saved(todo.mapInArrow(deal, DEALT))
+
+
 def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float = SPREAD) -> DataFrame:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept (vec_id = component_id).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
-    different lengths. Equal vectors count as one with a multiplicity before anything is compared.
+    different lengths. Equal vectors count as one with a multiplicity before anything is compared. Columns other than vec_id
+    and embedding are not read; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -108,26 +186,26 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float
     for i, r in enumerate(rows):
         x[i, : len(r)] = r
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    cells = spherical_kmeans(x, min(CELLS, -(-n // CELL))) if len(x) else np.zeros((1, width))
-    apart = np.sqrt(np.maximum(0, 2 - 2 * cells @ cells.T)) * (spread * np.sqrt(max(0.0, 1 - threshold * threshold)))
-
-    def assign(batch: pa.RecordBatch) -> dict:
-        m = matrix(batch.column(0), width)
-        score = m @ cells.T
-        home = score.argmax(axis=1)
-        visits = (score >= score[np.arange(len(m)), home][:, None] - apart[home] - 1e-9) & (np.arange(len(cells)) < home[:, None])
-        visits[np.arange(len(m)), home] = True
-        row, cell = np.nonzero(visits)
-        role = np.where(cell == home[row], 0, 1).astype(np.int32)
-        keep = np.concatenate([row[role == 0], row])
-        return {
-            "cell": np.concatenate([cell[role == 0], cell]).astype(np.int32), "role": np.concatenate([np.zeros((role == 0).sum()), 1 + role]).astype(np.int32),
-            "rep": batch.column(1).take(pa.array(keep)), "mult": batch.column(2).take(pa.array(keep)), "v": batch.column(0).take(pa.array(keep)),
-        }
-
-    dealt = saved(arrow(distinct.select("v", "rep", "mult"), assign, "cell int, role int, rep long, mult long, v array<double>", most=1 << 20))
-    blocks = dealt.where("role = 0").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # a row for each cell, at most CELLS
+    wanted = -(-n // CELL)
+    cells = spherical_kmeans(x, min(CELLS, wanted)) if len(x) else np.zeros((1, width))
+    factor = spread * np.sqrt(max(0.0, 1 - threshold * threshold))
+    apart = _gaps(cells, factor)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 1 << 20):
+                home, visits = _visits(matrix(batch.column(0), width) @ cells.T, apart)
+                row, cell = np.nonzero(visits & (np.arange(len(cells)) < home[:, None]))
+                every = np.arange(len(home))
+                order = [1, 2, 0]  # rep, mult, v
+                flat = pa.RecordBatch.from_arrays([batch.column(i) for i in order], names=["rep", "mult", "v"])
+                yield _out(flat, np.concatenate([every, every, row]), np.concatenate([home, home, cell]), np.repeat([0, 1, 2], [len(every), len(every), len(row)]), 0)
+
+    dealt = saved(distinct.select("v", "rep", "mult").mapInArrow(assign, DEALT))
+    if wanted > CELLS:
+        dealt = divided(dealt, -(-wanted // CELLS), width, factor)
+    block = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(width, 1))))
+    blocks = dealt.where("role = 0").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     homes = dealt.where("role = 0").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     guests = dealt.where("role > 0").join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = homes.unionByName(guests).select("cell", "block", "role", "rep", "mult", "v")

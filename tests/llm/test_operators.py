@@ -321,6 +321,20 @@ def test_embeddings(spark):
     assert embeddings.near_groups(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_divided_cells(spark, monkeypatch):
+    """Many cells of two levels and small blocks: every link of correlated vectors is found and counted at both ends."""
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    monkeypatch.setattr(embeddings, "CELLS", 5)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(700, 4)) @ rng.normal(size=(4, 24))).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_groups(df).collect()}
+    assert want.sum() > 5000 and [got[i] for i in range(700)] == want.tolist()
+
+
 def test_embedding_recall(spark):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(1500, 32))
