@@ -87,6 +87,23 @@ def _sequences(rows: Iterator[tuple[int, bytes]], length: int) -> Iterator[list[
         yield held
 
 
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether the stretches a and b (start, stop, anchor) have the same bytes and anchors at one place. A distance that
+    very many pairs have, as in a periodic text, is compared once for all of them."""
+    out = (stop[a] - start[a] == stop[b] - start[b]) & (at[a] - start[a] == at[b] - start[b])
+    gap = start[b] - start[a]
+    todo = np.flatnonzero(out)
+    distance, counts = np.unique(gap[todo], return_counts=True)
+    for d in distance[(counts * 200 > len(data)) & (distance > 0)].tolist():
+        other = np.concatenate([[0], np.cumsum(data[:-d] != data[d:], dtype=np.int32)])
+        i = todo[gap[todo] == d]
+        out[i] = other[stop[a[i]]] == other[start[a[i]]]
+        todo = todo[gap[todo] != d]
+    for i in todo.tolist():
+        out[i] = data[start[a[i]] : stop[a[i]]].tobytes() == data[start[b[i]] : stop[b[i]]].tobytes()
+    return out
+
+
 def _anchors(length: int, k: int):
     """Rows of a batch of texts: kind 0, spans of windows that repeat within it; 1, suffixes whose anchor string does; 2,
     the others; 3, one row for each anchor string of kind 1."""
@@ -99,17 +116,15 @@ def _anchors(length: int, k: int):
         at, first, last, h, c = x["anchor"], x["first"], x["last"], x["h"], x["c"]
         shift = np.array([a for _, a, _ in sequences], dtype=np.int64)[x["seq"]] - offsets[x["seq"]]
         uid = np.array([u for u, _, _ in sequences], dtype=np.int64)[x["seq"]]
-        # Runs of one content, by hash and then by their bytes.
-        order = np.argsort(c, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]])) if len(order) else order
-        leader = order[np.repeat(head, np.diff(np.append(head, len(order))))]
+        # Runs of one content, by hash and then by their bytes: each is compared with the one before.
+        order = np.lexsort((first, c))
         same = np.zeros(len(order), dtype=bool)
-        todo = np.flatnonzero(leader != order)
-        for s in range(0, len(todo), 1 << 14):
-            a, b = order[todo[s : s + (1 << 14)]], leader[todo[s : s + (1 << 14)]]
-            same[a] = (keys_of(data, at[a], first[a], last[a], length, left) == keys_of(data, at[b], first[b], last[b], length, left)).all(axis=1)
+        again = np.flatnonzero(c[order][1:] == c[order][:-1])
+        same[again + 1] = _equal(data, order[again], order[again + 1], at, first, last + length)
+        head = np.flatnonzero(~same)
         multi = np.zeros(len(order), dtype=np.int32)
-        multi[leader[same[order]]] = 1
+        multi[order[head[np.diff(np.append(head, len(order))) > 1]]] = 1
+        same[order] = same.copy()
         gone = np.flatnonzero(same | (multi > 0))
         su, sf, sl = merged(uid[gone], first[gone] + shift[gone], last[gone] + shift[gone])
         keep = np.flatnonzero(~same)
@@ -457,12 +472,11 @@ def cut(data: bytes, spans: list, length: int) -> tuple[bytes, int, int]:
     """What is left of data, bytes removed, and maximal removed runs."""
     if not spans:
         return data, 0, 0
-    mark = np.zeros(len(data) + 1, dtype=np.int32)
-    np.add.at(mark, [s["first"] for s in spans], 1)
-    np.add.at(mark, [s["last"] + length for s in spans], -1)
-    gone = np.cumsum(mark[:-1]) > 0
-    left = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-    return left, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+    first = np.array([s["first"] for s in spans], dtype=np.int64)
+    _, start, end = merged(np.zeros(len(first), dtype=np.int64), first, np.array([s["last"] for s in spans], dtype=np.int64) + length - 1)
+    end = end + 1
+    left = b"".join([data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True)])
+    return left, len(data) - len(left), len(start)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, kept: bool = True) -> DataFrame:
