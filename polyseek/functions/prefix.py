@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets, at least: with more shuffle partitions there are as many as these.
 BUCKETS = 64
 
 
 def running_before(df: DataFrame, order: str, weight: str, out: str) -> DataFrame:
     """df with ``out``, the sum of weight over rows of smaller ``order`` (distinct values). Approximate quantiles cut the
     rows into buckets; totals run within buckets and, over one row for each bucket, between them."""
-    edges = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000))).first()[0] or []
+    n = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    edges = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(16 * n))).first()[0] or []
     cuts = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
     df = df.withColumn("_b", F.size(F.filter(cuts, lambda e: e < F.col(order))))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

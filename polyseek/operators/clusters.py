@@ -36,6 +36,22 @@ def size_docs(posts: DataFrame) -> DataFrame:
     return posts.groupBy("centroid_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+def tokens_per_doc(sizes: DataFrame) -> DataFrame:
+    """sizes (n_tokens, n_docs) with tokens_per_doc, 0 for cells without documents."""
+    return sizes.withColumn("tokens_per_doc", F.when(F.col("n_docs") > 0, F.col("n_tokens") / F.col("n_docs")).otherwise(0.0))
+
+
+def offline_flags(offline: DataFrame) -> DataFrame:
+    """centroid_id, very_dispersed (dispersion above the 95th percentile) and poorly_isolated (isolation below the 5th)."""
+    edges = F.broadcast(offline.agg(F.percentile("dispersion", F.lit(0.95)).alias("_d"), F.percentile("isolation", F.lit(0.05)).alias("_i")))  # one row
+    return offline.crossJoin(edges).select("centroid_id", (F.col("dispersion") > F.col("_d")).alias("very_dispersed"), (F.col("isolation") < F.col("_i")).alias("poorly_isolated"))
+
+
+def size_correlations(offline: DataFrame) -> DataFrame:
+    """One row: Pearson correlations of cell size with documents, concentration, dispersion and isolation."""
+    return offline.agg(*[F.corr("n_tokens", c).alias(f"n_tokens_{c}") for c in ("n_docs", "top_1_doc_share", "gini_coefficient", "dispersion", "isolation")])
+
+
 def doc_counts(posts: DataFrame) -> DataFrame:
     return posts.groupBy("centroid_id", "doc_id").agg(F.count("*").alias("n"))
 
@@ -82,6 +98,13 @@ def traffic_concentration(freq: DataFrame) -> DataFrame:
     return out.drop("all")
 
 
+def traffic_entropy(freq: DataFrame) -> DataFrame:
+    """Entropy (nats) of the cells' shares of traffic, and over its greatest value; one pass, no window over all cells."""
+    s = freq.where("sel_freq > 0").agg(F.sum("sel_freq").alias("_t"), F.sum(F.col("sel_freq") * F.ln("sel_freq")).alias("_x"), F.count("*").alias("_n"))
+    e = F.ln("_t") - F.col("_x") / F.col("_t")
+    return s.select(e.alias("traffic_entropy"), F.when(F.col("_n") > 1, e / F.ln(F.greatest("_n", F.lit(2)))).otherwise(e).alias("normalized_traffic_entropy"))
+
+
 def query_load(m1: DataFrame) -> DataFrame:
     return m1.groupBy("query_id", "centroid_id").agg(F.count("*").alias("n"))
 
@@ -140,8 +163,13 @@ def routing_fidelity(m5: DataFrame) -> DataFrame:
 # Frames: one wide row per cell, query or miss.
 
 
-def quantile_bin(df: DataFrame, value: str, at: list[float], out: str) -> DataFrame:
-    """Bin number (from 1) by linear quantiles: right-closed, lowest included, repeated edges dropped. Null stays null."""
+def quantile_bin(df: DataFrame, value: str, at: list[float], out: str, fill: bool = False) -> DataFrame:
+    """Bin number (from 1) by linear quantiles: right-closed, lowest included, repeated edges dropped. Null stays null, or
+    with ``fill`` counts as the median."""
+    if fill:
+        median = F.broadcast(df.agg(F.median(value).alias("_md")))  # one row
+        filled = df.crossJoin(median).withColumn("_v", F.coalesce(value, "_md"))
+        return quantile_bin(filled, "_v", at, out).drop("_v", "_md")
     edges = df.agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, at)))).alias("_e"))
     out_ = df.crossJoin(F.broadcast(edges))  # one row
     inner = F.filter("_e", lambda e: e < F.col(value))

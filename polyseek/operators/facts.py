@@ -29,9 +29,13 @@ def m3(won: DataFrame, ranking: DataFrame) -> DataFrame:
 def oracle_rows(qtok: DataFrame, won: DataFrame, index: Index) -> DataFrame:
     """Score of every embedding of every document that any token of the query touched."""
     scope = won.select("query_id", "doc_id").distinct()
-    posts = index.postings.select("doc_id", "embedding_pos", "centroid_id", "cv", "codes")
-    rows = scope.join(posts, "doc_id").join(qtok.select(*TOKEN, "qv"), "query_id")
-    return rows.select(*TOKEN, "doc_id", "embedding_pos", "centroid_id", (dot(F.col("qv"), F.col("cv")) + dot(F.col("qv"), pick(index.weights, F.col("codes")))).alias("score"))
+    posts = scope.join(index.postings.select("doc_id", "embedding_pos", "centroid_id", "codes"), "doc_id")
+    tokens = qtok.select(*TOKEN, "qv")
+    # The centroids' part once for each token and cell in scope, not once for each embedding.
+    near = posts.select("query_id", "centroid_id").distinct().join(index.centroids.select("centroid_id", "cv"), "centroid_id").join(tokens, "query_id")
+    near = near.select(*TOKEN, "centroid_id", dot(F.col("qv"), F.col("cv")).alias("_c"))
+    rows = posts.join(tokens, "query_id").join(near, [*TOKEN, "centroid_id"])
+    return rows.select(*TOKEN, "doc_id", "embedding_pos", "centroid_id", (F.col("_c") + dot(F.col("qv"), pick(index.weights, F.col("codes")))).alias("score"))
 
 
 def m4(rows: DataFrame) -> DataFrame:

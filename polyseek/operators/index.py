@@ -3,15 +3,24 @@ the codec's few numbers."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyseek.functions.vectors import add, dot, normalise, pick, sub, tie
+from polyseek.plans import config
 
 #: Bytes up to which the smaller side of an all-pairs product is broadcast; beyond it is met in blocks.
 BROADCAST_BYTES = 64 << 20
+#: Documents of a part of a cell in whose order positions are counted, by their id.
+PART = 1 << 20
+#: Centroids of one matrix product.
+PRODUCT = 4096
 
 
 @dataclass
@@ -24,15 +33,60 @@ class Index:
     weights: list[float]
 
     def save(self, path: str) -> None:
+        """Postings, centroids, codec, and what they are made of as one line of JSON."""
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
         spark = self.postings.sparkSession
         spark.createDataFrame([(self.cutoffs, self.weights)], "cutoffs array<double>, weights array<double>").write.mode("overwrite").json(f"{path}/codec")
+        about = metadata(spark.read.parquet(f"{path}/postings"), len(self.weights)).first().asDict()
+        spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
+    def load(cls, spark: SparkSession, path: str, check: bool = True) -> Index:
+        """The saved index; with ``check`` its positions must be 0..n-1, each once, and its cells' sizes their number."""
         codec = spark.read.schema("cutoffs array<double>, weights array<double>").json(f"{path}/codec").first()
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/centroids"), codec.cutoffs, codec.weights)
+        out = cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/centroids"), codec.cutoffs, codec.weights)
+        if check:
+            r = integrity(out).first()
+            if not (r.n_embeddings == r.n_positions == (r.sum_sizes or 0) and (r.last_pos is None or r.last_pos == r.n_embeddings - 1)):
+                raise ValueError(f"{path}: not a whole index: {r.asDict()}")
+        return out
+
+
+def metadata(postings: DataFrame, levels: int, chunk: int = 25_000) -> DataFrame:
+    """One row: passages, chunks of them, embeddings, cells with any, mean length and bits of a code."""
+    return postings.agg(
+        F.countDistinct("doc_id").alias("num_passages"), F.ceil(F.countDistinct("doc_id") / chunk).alias("num_chunks"), F.count("*").alias("num_embeddings"),
+        F.countDistinct("centroid_id").alias("num_partitions"), (F.count("*") / F.countDistinct("doc_id")).alias("avg_doclen"), F.lit(max(levels, 1).bit_length() - 1).alias("nbits"),
+    )
+
+
+@dataclass(frozen=True)
+class CentroidMatrix:
+    """The centroids of an index as one matrix in the order of their ids, for a broadcast behind a check of its size."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    vectors: np.ndarray
+
+
+def centroid_matrix(centroids: DataFrame) -> CentroidMatrix | None:
+    """The matrix, or None where it is larger than ``BROADCAST_BYTES`` or rows differ in length."""
+    n, low, high = centroids.agg(F.count("*"), F.min(F.size("cv")), F.max(F.size("cv"))).first()
+    if not n or low != high or n * high * 8 > BROADCAST_BYTES:
+        return None
+    size = F.col("size") if "size" in centroids.columns else F.lit(0)
+    rows = centroids.select("centroid_id", size.cast("long").alias("size"), F.col("cv").cast("array<double>").alias("cv")).toArrow().sort_by("centroid_id")
+    flat = rows.column("cv").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return CentroidMatrix(rows.column("centroid_id").to_numpy(), rows.column("size").to_numpy(), flat.reshape(n, high))
+
+
+def vector_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors of an Arrow batch as rows."""
+    out = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
+    if len(out) != len(column):
+        raise ValueError(f"vectors must have {width} numbers")
+    return out
 
 
 def products(left: DataFrame, right: DataFrame, right_rows: int | None = None, width: int | None = None) -> DataFrame:
@@ -51,10 +105,42 @@ def products(left: DataFrame, right: DataFrame, right_rows: int | None = None, w
 
 
 def assign(tokens: DataFrame, centroids: DataFrame, key: str = "vec_id", rows: int | None = None) -> DataFrame:
-    """tokens(key, v, ...) with the centroid_id of greatest dot product (ties: least id) and its cv."""
-    best = products(tokens.select(key, "v"), centroids.select("centroid_id", "cv"), rows)
+    """tokens(key, v, ...) with the centroid_id of greatest dot product (ties: least id) and its cv.
+
+    Centroids that fit a broadcast meet each Arrow batch in one matrix product: nothing is shuffled. Larger ones are met
+    in blocks, and each row keeps its best."""
+    near = centroids.select("centroid_id", "cv")
+    held = centroid_matrix(near) if rows is None or rows > 0 else None
+    if held is not None:
+        # Only key and vector go through Python; other columns come back by the row they belong to.
+        found = best_centroid(tokens, held)
+        return found.join(F.broadcast(near), "centroid_id")
+    best = products(tokens.select(key, "v"), near, rows)
     best = best.groupBy(key).agg(F.max(F.struct(tie(dot(F.col("v"), F.col("cv"))).alias("s"), (-F.col("centroid_id")).alias("c"))).alias("m"))
-    return tokens.join(best.select(key, (-F.col("m.c")).alias("centroid_id")), key).join(centroids.select("centroid_id", "cv"), "centroid_id")
+    return tokens.join(best.select(key, (-F.col("m.c")).alias("centroid_id")), key).join(near, "centroid_id")
+
+
+def best_centroid(tokens: DataFrame, held: CentroidMatrix) -> DataFrame:
+    """tokens(v, ...) with centroid_id, by one matrix product for each batch and block of centroids."""
+    shared = tokens.sparkSession.sparkContext.broadcast(held)  # at most BROADCAST_BYTES
+    at = tokens.columns.index("v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = vector_matrix(batch.column(at), m.vectors.shape[1])
+            top, who = np.full(len(v), -np.inf), np.zeros(len(v), dtype=np.int64)
+            for b in range(0, len(m.ids), PRODUCT):
+                score = np.round(v @ m.vectors[b : b + PRODUCT].T, 9)
+                i = score.argmax(axis=1)
+                s = score[np.arange(len(v)), i]
+                who, top = np.where(s > top, b + i, who), np.maximum(s, top)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.ids[who].astype(np.int64))], names=[*batch.schema.names, "centroid_id"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
+    return tokens.mapInArrow(run, f"{fields}, centroid_id long")
 
 
 def lloyd(tokens: DataFrame, centroids: DataFrame, rounds: int, rows: int | None = None) -> DataFrame:
@@ -68,9 +154,46 @@ def lloyd(tokens: DataFrame, centroids: DataFrame, rounds: int, rows: int | None
     return centroids
 
 
+def order_of(key: str, seed: int = 12345) -> Column:
+    """A random order of rows that is the same in every run and engine."""
+    return F.md5(F.concat_ws("_", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 12345) -> DataFrame:
     """n rows of least hash: the same ones in every run."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(order_of(key, seed), key).limit(n)
+
+
+#: Share and number of sampled embeddings that the codec is measured on, at most.
+HELD_SHARE, HELD_MOST = 0.05, 50_000
+
+
+def sample_split(tokens: DataFrame, seed: int = 12345) -> DataFrame:
+    """The tokens of sampled passages (their number: config.sample_size) with ``heldout``: the first by hash, a twentieth
+    or ``HELD_MOST`` of them at most, one at least."""
+    passages = tokens.select("doc_id").distinct()
+    picked = sampled(passages, "doc_id", config.sample_size(passages.count()), seed)
+    rows = tokens.join(F.broadcast(picked) if picked.count() * 8 <= BROADCAST_BYTES else picked, "doc_id", "left_semi")
+    n = rows.count()
+    held = sampled(rows.select("vec_id"), "vec_id", max(1, min(int(HELD_SHARE * n), HELD_MOST)), seed + 1).withColumn("heldout", F.lit(True))
+    return rows.join(F.broadcast(held), "vec_id", "left").withColumn("heldout", F.coalesce("heldout", F.lit(False)))  # at most HELD_MOST ids
+
+
+def build_from_sample(tokens: DataFrame, nbits: int = 4, rounds: int = 4, seed: int = 12345, cells_: int | None = None) -> Index:
+    """The whole build: sample of passages, number of cells from the number of embeddings, Lloyd's k-means on the sample
+    without what is held out, the codec on that, then all tokens."""
+    from polyseek.sources.scratch import stored
+
+    split = stored(sample_split(tokens, seed))
+    train = split.where("not heldout")
+    k = min(cells_ or config.partitions(tokens.count()), train.count())
+    first = sampled(train.select("vec_id", "v"), "vec_id", k, seed + 2)
+    ids = Window.orderBy("vec_id")  # one row for each cell
+    centroids = first.select((F.row_number().over(ids) - 1).cast("long").alias("centroid_id"), F.col("v").alias("cv"))
+    for _ in range(rounds):
+        centroids = stored(lloyd(train, centroids, 1))
+    res = residuals(assign(split.where("heldout").select("vec_id", "v"), centroids))
+    return build(tokens, centroids, nbits, codec=codec_frame(res, nbits))
 
 
 def residuals(assigned: DataFrame) -> DataFrame:
@@ -125,18 +248,26 @@ def cells(centroids: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def postings(assigned: DataFrame, centroids: DataFrame, cutoffs: list[float]) -> DataFrame:
-    """Embeddings in the order of cell, document, position; embedding_pos is their rank over all cells."""
-    own = Window.partitionBy("centroid_id").orderBy("doc_id", "pos")
-    rows = residuals(assigned).withColumn("codes", quantise(F.col("r"), cutoffs)).withColumn("_n", F.row_number().over(own) - 1)
-    return rows.join(centroids.select("centroid_id", "start"), "centroid_id").withColumn("embedding_pos", F.col("start") + F.col("_n")).drop("_n", "start", "r")
-
-
-def build(tokens: DataFrame, centroids: DataFrame, nbits: int = 4, heldout: Column | None = None, rows: int | None = None) -> Index:
-    """Index of tokens(vec_id, doc_id, pos, v); the codec is measured on the tokens that ``heldout`` marks (default: all)."""
+    """Embeddings in the order of cell, document, position; embedding_pos is their rank over all cells. Ranks are counted
+    within parts of a cell (documents by a block of their id) and, over one row for each part, between them, so that no
+    window holds a whole cell. Vectors do not stay: a code and its centroid stand for them."""
+    rows = residuals(assigned).withColumn("codes", quantise(F.col("r"), cutoffs)).drop("r", "v", "cv").withColumn("_d", F.floor(F.col("doc_id") / PART))
+    parts = rows.groupBy("centroid_id", "_d").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy("centroid_id").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("centroid_id", "_d", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_b"))
+    own = Window.partitionBy("centroid_id", "_d").orderBy("doc_id", "pos")
+    rows = rows.withColumn("_n", F.row_number().over(own) - 1).join(parts, ["centroid_id", "_d"])
+    return rows.join(centroids.select("centroid_id", "start"), "centroid_id").withColumn("embedding_pos", F.col("start") + F.col("_b") + F.col("_n")).drop("_n", "_b", "_d", "start")
+
+
+def build(tokens: DataFrame, centroids: DataFrame, nbits: int = 4, heldout: Column | None = None, rows: int | None = None, codec: DataFrame | None = None) -> Index:
+    """Index of tokens(vec_id, doc_id, pos, v) around given centroids; the codec is ``codec``, or measured on the tokens that
+    ``heldout`` marks (default: all)."""
     at = assign(tokens, centroids, rows=rows)
-    res = residuals(at if heldout is None else at.where(heldout))
-    codec = codec_frame(res, nbits).first()  # 2 * 2**nbits numbers
-    cutoffs, weights = list(codec.cutoffs or []), list(codec.weights or [])
+    if codec is None:
+        codec = codec_frame(residuals(at if heldout is None else at.where(heldout)), nbits)
+    codec_ = codec.first()  # 2 * 2**nbits numbers
+    cutoffs, weights = list(codec_.cutoffs or []), list(codec_.weights or [])
     table = cells(centroids, at)
     return Index(postings(at, table, cutoffs), table, cutoffs, weights)
 

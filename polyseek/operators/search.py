@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyseek.functions.vectors import dot, is_zero, pick, sqdist, tie, total
-from polyseek.operators.index import Index, products
+from polyseek.operators.index import CentroidMatrix, Index, centroid_matrix, products, reconstructed, vector_matrix
 from polyseek.plans.config import SearchConfig, t_prime
 
 
@@ -17,6 +21,32 @@ def centroid_scores(qtok: DataFrame, centroids: DataFrame, rows: int | None = No
     return out.select("query_id", "q_token_id", "centroid_id", "size", dot(F.col("qv"), F.col("cv")).alias("score"))
 
 
+def routes(qtok: DataFrame, held: CentroidMatrix, nprobe: int, at: int, bound: int | None = None) -> DataFrame:
+    """query_id, q_token_id, mse and probes (centroid_id, rank, score, size) of each non-zero query token: what probes()
+    and missing_scores() say, by one matrix product for each batch, without a row for each token and cell."""
+    shared = qtok.sparkSession.sparkContext.broadcast(held)  # centroid_matrix() has checked its size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        n = len(m.ids)
+        k, last = min(nprobe, n), min(bound or n, n)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                batch = whole.slice(s, 256)
+                score = vector_matrix(batch.column(2), m.vectors.shape[1]) @ m.vectors.T
+                order = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, : max(k, last)]  # ties: least id
+                ranked = np.take_along_axis(score, order, axis=1)
+                reached = np.cumsum(m.sizes[order], axis=1)[:, :last] >= at
+                cut = np.where(reached.any(axis=1), reached.argmax(axis=1), last - 1)
+                mse = ranked[np.arange(len(ranked)), cut] if at else np.zeros(len(ranked))
+                flat = {"centroid_id": m.ids[order[:, :k]].ravel(), "rank": np.tile(np.arange(1, k + 1, dtype=np.int32), len(ranked)), "score": ranked[:, :k].ravel(), "size": m.sizes[order[:, :k]].ravel()}
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ranked) + 1) * k, k, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in flat.values()], names=list(flat)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mse), lists], names=["query_id", "q_token_id", "mse", "probes"])
+
+    live = qtok.where(~is_zero(F.col("qv"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("q_token_id").cast("long").alias("q_token_id"), F.col("qv").cast("array<double>").alias("qv"))
+    return live.mapInArrow(run, "query_id long, q_token_id long, mse double, probes array<struct<centroid_id:long,rank:int,score:double,size:long>>")
+
+
 def probes(scores: DataFrame, nprobe: int) -> DataFrame:
     """The nprobe best cells of each token, rank from 1 (score, then least id)."""
     w = Window.partitionBy("query_id", "q_token_id").orderBy(tie(F.col("score")).desc(), "centroid_id")
@@ -74,10 +104,16 @@ def search(qtok: DataFrame, index: Index, config: SearchConfig, candidates: Data
     if at is None:
         n = index.centroids.agg(F.count("*"), F.sum("size")).first()
         at = t_prime(n[0], n[1] or 0, config.k)
-    scores = centroid_scores(qtok, index.centroids, rows)
-    routed = probes(scores, config.nprobe)
+    held = centroid_matrix(index.centroids)
+    if held is not None:
+        routed = routes(qtok, held, config.nprobe, at, config.bound)
+        missing = routed.select("query_id", "q_token_id", "mse")
+        routed = routed.select("query_id", "q_token_id", F.inline("probes"))
+    else:
+        scores = centroid_scores(qtok, index.centroids, rows)
+        routed, missing = probes(scores, config.nprobe), missing_scores(scores, at, config.bound)
     won = winners(token_scores(qtok, routed, index, config.centroid_only, candidates))
-    return top_k(document_scores(won, missing_scores(scores, at, config.bound)), config.k)
+    return top_k(document_scores(won, missing), config.k)
 
 
 def search_statistics(qtok: DataFrame, routed: DataFrame, won: DataFrame) -> DataFrame:
@@ -138,17 +174,18 @@ def stage_filter(candidates: DataFrame, scores: DataFrame, index: Index, keep: i
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("query_id", "doc_id", "score")
 
 
-def staged_search(qtok: DataFrame, index: Index, k: int, setting: tuple[int, float, int], candidates: DataFrame | None = None, relu: bool = True) -> DataFrame:
+def staged_search(qtok: DataFrame, index: Index, k: int, setting: tuple[int, float, int], candidates: DataFrame | None = None, relu: bool = True, allowed: Column | None = None) -> DataFrame:
     """Candidates, both filters, exact scores on reconstructed (normalised) vectors. candidates (query_id, doc_id) take
-    the place of the first stage."""
-    from polyseek.operators.index import reconstructed
-
+    the place of the first stage; of either only those go on for which ``allowed`` (of query_id, doc_id) holds."""
     ncells, threshold, ndocs = setting
     scores = centroid_scores(qtok, index.centroids)
     found = candidates if candidates is not None else stage_candidates(scores, index, ncells)
+    found = found if allowed is None else found.where(allowed)
     found = stage_filter(found, scores, index, ndocs, threshold).select("query_id", "doc_id")
     found = stage_filter(found, scores, index, max(1, ndocs // 4)).select("query_id", "doc_id")
-    v = index.postings.select("doc_id", reconstructed(F.col("cv"), F.col("codes"), index.weights).alias("v"))
+    posts = index.postings.select("doc_id", "centroid_id", "codes").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    posts = posts.join(index.centroids.select("centroid_id", "cv"), "centroid_id")
+    v = posts.select("doc_id", reconstructed(F.col("cv"), F.col("codes"), index.weights).alias("v"))
     rows = found.join(v, "doc_id").join(qtok.select("query_id", "q_token_id", "qv"), "query_id")
     best = rows.groupBy("query_id", "doc_id", "q_token_id").agg(F.max(dot(F.col("qv"), F.col("v"))).alias("s"))
     one = F.greatest(F.col("s"), F.lit(0.0)) if relu else F.col("s")

@@ -51,9 +51,16 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_ranks(average_ranks(both, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("r"), F.count("*").alias("n"))
 
 
+#: Distinct points that kendall() compares with each other, at most.
+KENDALL = 30_000
+
+
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of a small frame (clusters, queries): pairs of its distinct points, weighted by their counts."""
+    """Kendall's tau-b of a small frame (clusters, queries): pairs of its distinct points, weighted by their counts. Raises
+    beyond ``KENDALL`` points, as the pairs grow with their square."""
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("c"))
+    if pts.limit(KENDALL + 1).count() > KENDALL:
+        raise ValueError(f"more than {KENDALL} distinct points: use spearman()")
     a, b = pts.toDF("x1", "y1", "c1"), pts.toDF("x2", "y2", "c2")
     pair = a.join(b, (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2"))))
     w = F.col("c1") * F.col("c2")
@@ -66,6 +73,24 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     return one.select((F.coalesce("s", F.lit(0.0)) / F.nullif(F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty"))), F.lit(0.0))).alias("tau"), "n")
 
 
+def correlation_matrix(df: DataFrame, columns: list[str], method: str = "spearman") -> DataFrame:
+    """(x, y, r, p, n) of each pair of columns over the rows where both are there; method: pearson, spearman, kendall. p is
+    two-sided, by the t distribution (Kendall: by the normal one)."""
+    of = {"pearson": pearson, "spearman": spearman, "kendall": kendall}[method]
+    rows = []
+    for i, x in enumerate(columns):
+        for y in columns[i + 1 :]:
+            r, n = of(df, x, y).first()
+            if r is None or n < 3:
+                p = None
+            elif method == "kendall":
+                p = 2 * normal_sf(abs(r) / math.sqrt(2 * (2 * n + 5) / (9 * n * (n - 1))))
+            else:
+                p = correlation_p(r, n)
+            rows.append((x, y, r, p, n))
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double, p double, n long")
+
+
 def partial_correlation(df: DataFrame, x: str, y: str, control: str) -> DataFrame:
     s = df.dropna(subset=[x, y, control]).agg(F.corr(x, y).alias("xy"), F.corr(x, control).alias("xz"), F.corr(y, control).alias("yz"), F.count("*").alias("n"))
     r = (F.col("xy") - F.col("xz") * F.col("yz")) / F.nullif(F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)), F.lit(0.0))
@@ -180,7 +205,8 @@ def bootstrap_spearman(x: list[float], y: list[float], n: int = 1000, level: flo
         a, b = ranks(x[i]), ranks(y[i])
         if a.std() and b.std():
             out.append(np.corrcoef(a, b)[0, 1])
-    return (float(np.quantile(out, (1 - level) / 2)), float(np.quantile(out, (1 + level) / 2))) if out else (float("nan"), float("nan"))
+    # Correlations are at most 1 but for rounding.
+    return tuple(float(min(1.0, max(-1.0, round(np.quantile(out, q), 12)))) for q in ((1 - level) / 2, (1 + level) / 2)) if out else (float("nan"), float("nan"))
 
 
 def proportion_test(successes: int, n: int, null: float = 0.5, alternative: str = "two-sided") -> tuple[float, float]:
@@ -195,34 +221,19 @@ def mann_whitney_p(u: float, n1: int, n2: int, ties: float = 0.0) -> float:
     return min(1.0, 2 * normal_sf((abs(u - n1 * n2 / 2) - 0.5) / sd)) if sd else 1.0
 
 
+def mann_whitney(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """U of a, and the p that a is no greater than b, by the normal approximation with ties and continuity."""
+    both = np.concatenate([a, b])
+    _, back, counts = np.unique(both, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(counts) - (counts - 1) / 2)[back]
+    u, n = float(ranks[: len(a)].sum() - len(a) * (len(a) + 1) / 2), len(both)
+    sd = math.sqrt(len(a) * len(b) / 12 * (n + 1 - float((counts.astype(float) ** 3 - counts).sum()) / (n * (n - 1))))
+    return u, normal_sf((u - len(a) * len(b) / 2 - 0.5) / sd) if sd else 1.0
+
+
 def welch_p(t: float, df: float) -> float:
     return t_two_sided(t, df)
 
 
 def chi_square_p(chi2: float, df: int) -> float:
     return chi2_sf(chi2, df)
-
-
-def _finding(name: str, supported: bool, effect: float, p: float, n: int) -> dict:
-    return {"hypothesis": name, "supported": bool(supported), "effect_size": float(effect), "p_value": float(p), "n": int(n)}
-
-
-#: Report, x, y and the sign that the rank correlation must have.
-RULES = (("diversity_yield", "diversity", "yield", 1), ("dispersion_misses", "dispersion", "m6_miss_rate", 1), ("hubness_redundancy", "sel_freq", "redundancy", 1), ("concentration_redundancy", "top_1_doc_share", "redundancy", 1), ("borderline_misses", "sel_freq", "m6_miss_rate", -1))
-
-
-def hypothesis_reports(frame: DataFrame, least: int = 10) -> DataFrame:
-    """One row for each report over a cluster frame: supported if the rank correlation has the sign expected and p < .05.
-    Fewer than ``least`` rows support nothing."""
-    spark = frame.sparkSession
-    out = []
-    frame = frame.withColumn("diversity", F.col("n_docs") / F.col("n_tokens"))
-    for name, x, y, sign in RULES:
-        r, n = spearman(frame, x, y).first()
-        p = correlation_p(r, n) if r is not None else float("nan")
-        out.append(_finding(name, n >= least and r is not None and r * sign > 0 and p < 0.05, r if r is not None else 0.0, p, n))
-    return spark.createDataFrame(out, "hypothesis string, supported boolean, effect_size double, p_value double, n long")
-
-
-def column_or_null(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None)

@@ -36,6 +36,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: (lambda spark, sf_dir, f=f, spec=spec: shaped(f(Fixture(spark, sf_dir)), spec)) for n, (f, spec, _) in _queries.items()}
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> Fixture:
+    """A fixture whose stored parts (index, winners, facts) are written already: what a measured run has before its queries."""
+    t = Fixture(spark, sf_dir)
+    for part in ("index", "cells", "won", "m4", "m5"):
+        getattr(t, part)
+    return t
+
+
+def answer(name: str, t: Fixture) -> DataFrame:
+    """The query called name over a fixture, which keeps what it has stored for the next."""
+    f, spec, _ = _queries[name]
+    return shaped(f(t), spec)
+
+
 def oracle_sql() -> dict[str, str]:
     return {n: twin(sql, spec) for n, (_, spec, sql) in _queries.items() if sql}
 
@@ -119,7 +133,9 @@ query("reverse_index", "doc_id:i n:i first_pos:i last_pos:i", "SELECT doc_id, co
 )
 query("embedding_to_centroid", "embedding_pos:i centroid_id:i", "SELECT embedding_pos, centroid_id FROM post")(lambda t: index.position_to_centroid(t.index.postings.select("embedding_pos"), t.cells, 64))
 query("reconstruct_error", "vec_id:i cosine:f", "SELECT vec_id, list_dot_product(v, m) / sqrt(list_dot_product(m, m)) AS cosine FROM (SELECT vec_id, list_transform(list_zip(cv, w), lambda x: x[1] + x[2]) AS m FROM postw) JOIN (SELECT vec_id, v FROM tok) USING (vec_id)")(
-    lambda t: t.index.postings.select("vec_id", search.dot(F.col("v"), index.reconstructed(F.col("cv"), F.col("codes"), t.index.weights)).alias("cosine"))
+    lambda t: t.index.postings.select("vec_id", "centroid_id", "codes").join(t.tokens.select("vec_id", "v"), "vec_id").join(t.cells.select("centroid_id", "cv"), "centroid_id").select(
+        "vec_id", search.dot(F.col("v"), index.reconstructed(F.col("cv"), F.col("codes"), t.index.weights)).alias("cosine")
+    )
 )
 query("index_integrity", "n_embeddings:i n_positions:i last_pos:i sum_sizes:i", "SELECT count(*) AS n_embeddings, count(DISTINCT embedding_pos) AS n_positions, max(embedding_pos) AS last_pos, (SELECT sum(size) FROM cells) AS sum_sizes FROM post")(lambda t: index.integrity(t.index))
 query("index_plan", "passages:i sample:i partitions:i", "SELECT p AS passages, least(1 + CAST(floor(16 * sqrt(120 * p)) AS BIGINT), p) AS sample, CAST(pow(2, floor(log2(16 * sqrt(n)))) AS BIGINT) AS partitions FROM (SELECT count(DISTINCT doc_id) AS p, count(*) AS n FROM tok)")(
@@ -373,9 +389,11 @@ def _bootstrap(t: Fixture) -> DataFrame:
 
 @query("hypothesis_reports", "hypothesis:s supported:b effect_size:f p_value:f n:i")
 def _reports(t: Fixture) -> DataFrame:
+    from polyseek.operators import hypotheses
     from polyseek.sources.scratch import stored
 
-    return statistics.hypothesis_reports(stored(t.frame))  # five reports read it
+    lost = facts.fallback(t.m4r, t.oracle, t.r0)
+    return hypotheses.reports(stored(t.frame), stored(clusters.severity(t.m5)), stored(lost), stored(t.status), stored(t.top))  # several reports read each
 
 
 @query("incremental_search_append", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")
@@ -390,3 +408,4 @@ def _incremental(t: Fixture) -> DataFrame:
     return t.spark.read.parquet(f"{root}/out")
 
 
+from polyseek.plans import ingest, measures  # noqa: E402, F401  they register more queries

@@ -79,8 +79,55 @@ def ranking(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, schemas.RANKING)
 
 
-def facts(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A fact table (m1, r0, m3, m4, ...) under root; filters and columns reach the scan."""
-    known = {"m1": schemas.M1, "r0": schemas.R0, "m3": schemas.M3, "m4": schemas.M4}
-    reader = spark.read.schema(known[name]) if name in known else spark.read
-    return reader.parquet(f"{root}/{name}")
+#: The fact tables whose schemas are known before they are read.
+FACTS = {"m1": schemas.M1, "r0": schemas.R0, "m3": schemas.M3, "m4": schemas.M4}
+
+
+def first_of(spark: SparkSession, paths: list[str]) -> str:
+    """The first of the paths that exists."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+def facts(spark: SparkSession, root: str | list[str], name: str) -> DataFrame:
+    """A fact table (m1, r0, m3, m4, ...) under root, or under the first of several roots that has it, as a folder or as one
+    file; filters and columns reach the scan."""
+    roots = [root] if isinstance(root, str) else root
+    reader = spark.read.schema(FACTS[name]) if name in FACTS else spark.read
+    return reader.parquet(first_of(spark, [f"{r}/{name}{end}" for r in roots for end in ("", ".parquet")]))
+
+
+class FactStore:
+    """The facts of one measured run by name. Stored tables are read; of the others m2, m5 and m6 follow from the raw facts,
+    m5 with the winners' cells if m4 has them or ``postings`` is given. Each table is planned once."""
+
+    def __init__(self, spark: SparkSession, root: str | list[str], postings: DataFrame | None = None):
+        self.spark, self.root, self.postings = spark, root, postings
+        self._known: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            try:
+                self._known[name] = facts(self.spark, self.root, name)
+            except FileNotFoundError:
+                if name not in ("m2", "m5", "m6"):
+                    raise
+                self._known[name] = self._derived(name)
+        return self._known[name]
+
+    def _derived(self, name: str) -> DataFrame:
+        from polyseek.operators import facts as derive
+
+        if name == "m2":
+            return derive.m2(self["m1"], self["m3"])
+        if name == "m6":
+            return derive.m6(self["m5"])
+        m4 = self["m4"]
+        if "oracle_centroid_id" not in m4.columns:
+            if self.postings is None:
+                raise ValueError("m5 needs the cells of the oracle winners: give postings")
+            m4 = m4.join(self.postings.select(F.col("embedding_pos").alias("oracle_embedding_pos"), F.col("centroid_id").alias("oracle_centroid_id")), "oracle_embedding_pos")
+        return derive.m5(m4, self["r0"], self["m3"])

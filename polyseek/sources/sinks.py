@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,22 @@ def save_queries(rows: DataFrame, path: str, overwrite: object = False) -> None:
     rows.select("qid", "text").write.mode(MODES[overwrite]).csv(path, sep="\t", quote="", escape="")
 
 
+def erase(spark: SparkSession, path: str) -> None:
+    """Delete a folder, as an overwriting build does first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def provenance(**more: object) -> dict:
+    """What made a result: revision of the working folder's repository (null outside one), time, arguments, settings."""
+    try:
+        got = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+        revision = got.stdout.strip() or None
+    except OSError:
+        revision = None
+    return {"revision": revision, "time": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "arguments": sys.argv[1:], **more}
+
+
 def save_json(rows: DataFrame, path: str, overwrite: object = False) -> None:
     rows.write.mode(MODES[overwrite]).json(path)
 
@@ -35,6 +55,12 @@ def _one(spark: SparkSession, about: dict) -> DataFrame:
 
 
 def save_facts(rows: DataFrame, root: str, name: str, overwrite: object = "resume") -> None:
+    """Write facts; to resume leaves out queries that the table has already, so a repeated run adds none twice."""
+    if overwrite == "resume":
+        try:
+            rows = pending(rows, rows.sparkSession.read.parquet(f"{root}/{name}"))
+        except AnalysisException:  # nothing there yet
+            pass
     rows.write.mode(MODES[overwrite]).parquet(f"{root}/{name}")
 
 
