@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.functions.vectors import normalise
-from polyseek.operators import clusters, evaluate, facts, index, search, statistics, text
+from polyseek.functions.vectors import norm
+from polyseek.operators import clusters, encode, evaluate, facts, index, search, statistics, text
 from polyseek.plans import config
 from polyseek.plans.fixture import CELLS, CONFIG, Fixture
 from polyseek.plans.twins import twin
@@ -329,18 +329,11 @@ query("crosstab", "lang:s q0:i q1:i", "SELECT lang, count(*) FILTER (WHERE quali
 
 
 # What SQL does not express: rows only.
-@query("encode_pandas_udf", "doc_id:i pos:i norm:f")
+@query("encode_pandas_udf", "doc_id:i pos:i norm:f", "SELECT doc_id, pos, 1.0 AS norm FROM (SELECT doc_id, generate_subscripts(ws[1:512], 1) - 1 AS pos, unnest(ws[1:512]) AS t FROM words) WHERE NOT (length(t) = 1 AND contains('!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', t))")
 def _encode(t: Fixture) -> DataFrame:
-    """A stand-in encoder behind the interface that a model would use: hashed bag-of-characters vectors of tokens."""
-    words = text.positions(t.table("documents"), "doc_id", text.tokens(F.col("text"), text.DOC_TOKENS))
-
-    def encode(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            v = [[float(w.count(c)) for c in "etaoinsh"] for w in b["token"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "pos": b["pos"], "vec": v})
-
-    out = words.mapInPandas(encode, "doc_id long, pos int, vec array<double>")
-    return out.select("doc_id", "pos", search.dot(normalise(F.col("vec")), normalise(F.col("vec"))).alias("norm"))
+    """Token vectors of documents by the encoder without a model: where they stand, and that they have length 1."""
+    out = encode.encode(t.table("documents"), "doc_id", text.tokens(F.col("text"), text.DOC_TOKENS))
+    return out.select("doc_id", "pos", norm(F.col("v")).alias("norm"))
 
 
 @query("arrow_residual_scorer", TOK + "doc_id:i score:f", "SELECT query_id, q_token_id, doc_id, max(score) AS score FROM tsc GROUP BY ALL")
