@@ -131,7 +131,8 @@ def taken(at: DataFrame, sources: DataFrame, block: int = BLOCK, passes: int = P
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of docs (doc_id, text, source)."""
+    """(doc_id, size, source_size, target, taken) of each row of docs (doc_id, text, source), repeated ones and those with a
+    null doc_id too. Null and empty texts have size 0 and nothing taken; other columns are not read."""
     at, sources, _ = placed(docs, [], weights, budget, passes)
     sums = taken(at, sources, block, passes).groupBy("uid").agg(F.sum("words").alias("taken"))
     return at.join(sums.hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -27,7 +27,8 @@ BLOCK = 1 << 20
 
 def write_flat(docs: DataFrame, tokenizer: str, end: int) -> tuple[DataFrame, str]:
     """Encode docs (null as empty) into one flat file a task. Gives (file, ordinal, doc_id), the order in which they were
-    written, for callers that want to name the documents that a scan finds; and the files' folder."""
+    written, for callers that want to name the documents that a scan finds; and the files' folder. Repeated rows and null
+    doc_ids are documents of their own; columns other than doc_id and text are not read; an empty table makes empty files."""
     spark = docs.sparkSession
     small_batches(spark)
     out = scratch(spark)

@@ -105,7 +105,8 @@ class TokenFile:
 
 def write(docs: DataFrame, tokenizer: str, end: int = END) -> tuple[DataFrame, str, bytes]:
     """Encode docs (doc_id, text; null as empty), each followed by id ``end``. Gives (pid, name, n_docs, n_ids) of the
-    files, their folder and the dictionary. An empty table makes no files."""
+    files, their folder and the dictionary. An empty table makes no files. Repeated rows and null doc_ids (first of all) are
+    documents of their own; columns other than doc_id and text are not read."""
     spark = docs.sparkSession
     small_batches(spark)
     out = scratch(spark)
