@@ -1,9 +1,9 @@
 """SimHash near-dedup at a similarity of word shingles: fingerprints meet at covering-code anchors, every link is confirmed
 by exact Jaccard similarity, and MinHash bands add the pairs whose fingerprints are further apart than anchors reach.
 
-Texts of equal shingle sets collapse to one row first. The others are dealt to a bucket by each anchor of their
-fingerprint (simhash.py), where all pairs within 3 bits meet, and by each of ``BANDS`` keys of ``ROWS`` minima, where a
-pair at similarity s meets with probability 1 - (1 - s^ROWS)^BANDS (0.99995 at 0.8; about 10 bits differ there). Buckets
+Texts of equal shingle sets collapse to one row first. Of the others those pairs are candidates that simhash.py links by
+their fingerprints' anchors, within 3 bits. All are dealt to a bucket by each of ``BANDS`` keys of ``ROWS`` minima too, where
+a pair at similarity s meets with probability 1 - (1 - s^ROWS)^BANDS (0.99995 at 0.8; about 10 bits differ there). Buckets
 with the same members are compared once. Rows are told apart by a key of their own, never by doc_id.
 
 A bucket of more than ``HOT`` members is dealt in chunks of about ``CHUNK``, each with the same few members as pivots, so
@@ -22,10 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyseek.llm.anchors import mixed
 from polyseek.llm.common import arrow, column, parts, saved, small_batches, word_bounds
 from polyseek.llm.components import connected_components
-from polyseek.llm.simhash import anchors_of, majority
+from polyseek.llm.simhash import fingerprint_links, majority
 
 WIDTH = 5
 #: Least similarity of a link, as a fraction.
@@ -173,17 +172,19 @@ def kept_rows(docs: DataFrame, key: str) -> DataFrame:
     def sketch(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in column(batch, "text")]
         digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        keys = [band_keys(s) for s in sets]
-        with_words = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
-        rows, anchors = anchors_of(np.array([majority(sets[i]) for i in with_words.tolist()], dtype=np.uint64))
-        for i, a in zip(with_words[rows].tolist(), mixed(anchors + np.uint64(1)).view(np.int64).tolist(), strict=True):
-            keys[i].append(a)
-        return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array(digest, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        fp = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+        return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array(digest, pa.binary()), "fp": fp, "keys": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))}
 
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    sketches = arrow(slim, sketch, "row long, doc_id long, digest binary, keys array<long>", most=1 << 20)
-    first = sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "keys")).alias("f"))
-    distinct = saved(first.select("f.o.row", "f.o.doc_id", "f.keys"))
+    sketches = arrow(slim, sketch, "row long, doc_id long, digest binary, fp long, keys array<long>", most=1 << 20)
+    first = sketches.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "fp", "keys")).alias("f"))
+    distinct = saved(first.select("f.o.row", "f.o.doc_id", "f.fp", "f.keys"))
+    # Pairs by fingerprint: linked ones, and rows of one fingerprint with the least of them.
+    prints = distinct.where(F.size("keys") > 0).select("row", "fp")
+    reps = saved(prints.groupBy("fp").agg(F.min("row").alias("rep")))
+    near = fingerprint_links(reps).union(prints.join(reps, "fp").where("row <> rep").select("row", "rep"))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = saved(near.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("row")))
     buckets = distinct.select("row", F.explode("keys").alias("key")).select("key", "row")
     large = large_buckets(buckets)
     any_large = not large.isEmpty()
@@ -191,7 +192,7 @@ def kept_rows(docs: DataFrame, key: str) -> DataFrame:
     met = saved(cold.repartition(parts(spark), "key").sortWithinPartitions("key", "row").mapInArrow(_shared, "key long, row long, who binary"))
     alike = met.groupBy("who").agg(F.min("key").alias("key")).select("key")
     members = saved(met.select("key", "row").join(alike.hint("merge"), "key"))
-    todo = members.select("key", F.lit(0).alias("salt"), F.lit(0).alias("role"), "row")
+    todo = members.union(near).select("key", F.lit(0).alias("salt"), F.lit(0).alias("role"), "row")
     big = None
     if any_large:
         big = saved(buckets.join(large.where("key = one").select("key", "n"), "key").withColumn("salts", F.ceil(F.col("n") / CHUNK).cast("int")))

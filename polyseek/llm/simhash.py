@@ -148,17 +148,12 @@ def links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, threshold: int) ->
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def near_groups(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, fp) with component_id, the least doc_id reachable over links of at most ``threshold`` differing bits.
-
-    Equal fingerprints collapse to their least doc_id before anything is compared, so copies never meet as pairs. Rows with
-    a null doc_id get the component of equal fingerprints that have one, else null. An empty table gives an empty one.
-    """
+def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (a, b) that join the reps of distinct (fp, rep), each fp once, that differ in at most ``threshold`` bits: all of
+    small anchors, and a spanning set of large ones."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"threshold must be 0 to {THRESHOLD}")
-    spark = fps.sparkSession
-    fps = saved(fps)
-    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    spark = distinct.sparkSession
 
     def replicate(batch: pa.RecordBatch) -> dict:
         fp = batch.column(0).to_numpy()
@@ -195,6 +190,17 @@ def near_groups(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         fine = arrow(replicas.join(hot, "anchor", "left_semi"), cut, "anchor long, fp long, rep long")
         replicas = saved(replicas.join(hot, "anchor", "left_anti").unionByName(fine))
     dealt = replicas.repartition(parts(spark), "anchor").sortWithinPartitions("anchor")
-    roots = connected_components(dealt.mapInArrow(compare, "a long, b long"))
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def near_groups(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, fp) with component_id, the least doc_id reachable over links of at most ``threshold`` differing bits.
+
+    Equal fingerprints collapse to their least doc_id before anything is compared, so copies never meet as pairs. Rows with
+    a null doc_id get the component of equal fingerprints that have one, else null. An empty table gives an empty one.
+    """
+    fps = saved(fps)
+    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    roots = connected_components(fingerprint_links(distinct, threshold))
     group = saved(distinct.join(roots, F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
     return fps.join(group, "fp", "left").select("doc_id", "fp", "component_id")
