@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-#: Windows of 200 bytes as 400 hexadecimal digits; removed runs are islands of window starts at most 200 apart.
+#: Windows of 200 bytes as 400 hexadecimal digits, cut from pieces that begin every 1000 bytes; removed runs are islands of window starts at most 200 apart.
 OP3 = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(hex(encode(text)), '') AS x FROM documents),
-w AS (SELECT r, p, md5(substring(x, CAST(2 * p - 1 AS BIGINT), 400)) AS k FROM d, unnest(generate_series(1, CAST(length(x) // 2 - 199 AS BIGINT))) AS t(p)),
+c AS (SELECT r, q, substring(x, CAST(2000 * q + 1 AS BIGINT), 2398) AS y FROM d, unnest(generate_series(0, CAST((length(x) // 2 - 200) // 1000 AS BIGINT))) AS t(q) WHERE length(x) >= 400),
+w AS (SELECT r, 1000 * q + j AS p, md5(substring(y, CAST(2 * j - 1 AS BIGINT), 400)) AS k FROM c, unnest(generate_series(1, least(1000, CAST(length(y) // 2 - 199 AS BIGINT)))) AS t(j)),
 twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 hit AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM w WHERE k IN (SELECT k FROM twice)),
 island AS (SELECT r, p, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS i FROM hit),
