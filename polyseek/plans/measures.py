@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyseek.functions.distributions import chi2_sf
-from polyseek.operators import clusters, facts, search, statistics
+from polyseek.operators import clusters, facts, index, search, statistics
 from polyseek.operators.tracking import Tracker
 from polyseek.plans import config
 from polyseek.plans.catalog import TOK, query
@@ -105,3 +105,26 @@ def _tracked(t: Fixture) -> DataFrame:
             facts.r0(t.routed).count()
         tracker.next()
     return tracker.summary(t.spark).select("step", "iterations", (F.col("total") > 0).alias("timed"))
+
+
+@query("pack_two_bits", "vec_id:i byte:i value:i same:b", "SELECT vec_id, unnest(range(16)) AS byte, unnest(list_transform(range(16), lambda b: 64 * k[4 * b + 1] + 16 * k[4 * b + 2] + 4 * k[4 * b + 3] + k[4 * b + 4])) AS value, true AS same FROM (SELECT vec_id, list_transform(r, lambda y: len(list_filter(cut, lambda c: c < y))) AS k FROM res CROSS JOIN (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS cut FROM (SELECT unnest(r) AS x FROM res)))")
+def _two_bits(t: Fixture) -> DataFrame:
+    res = index.residuals(t.assigned)
+    cutoffs = index.codec_frame(res, 2).first().cutoffs
+    rows = res.select("vec_id", index.quantise(F.col("r"), cutoffs).alias("codes")).withColumn("p", index.packed(F.col("codes"), 2))
+    return rows.select("vec_id", (index.unpacked(F.col("p"), 2) == F.col("codes")).alias("same"), F.posexplode("p").alias("byte", "value"))
+
+
+_ZEROED = "SELECT query_id, doc_id, {0} AS score FROM (SELECT query_id, q_token_id, doc_id, max(list_dot_product(qv, v)) AS s FROM (SELECT * FROM qtok WHERE q_token_id <> 3) CROSS JOIN (SELECT doc_id, v FROM tok) GROUP BY ALL) GROUP BY ALL"
+
+
+def _with_zeros(t: Fixture) -> DataFrame:
+    """The query tokens, the last of each query a zero vector, as padding is."""
+    return t.qtok.withColumn("qv", F.when(F.col("q_token_id") == 3, F.transform("qv", lambda x: F.lit(0.0))).otherwise(F.col("qv")))
+
+
+query("maxsim_zero_tokens", "query_id:i doc_id:i score:f", _ZEROED.format("sum(s)"))(lambda t: search.exact_maxsim(_with_zeros(t), t.tokens))
+query("mean_zero_tokens", "query_id:i doc_id:i score:f", _ZEROED.format("avg(s)"))(lambda t: search.exact_maxsim(_with_zeros(t), t.tokens, "mean"))
+query("route_zero_tokens", TOK + "mse:f", "SELECT query_id, q_token_id, mse FROM missing WHERE q_token_id <> 3")(
+    lambda t: search.routes(_with_zeros(t), search.centroid_matrix(t.cells), CONFIG.nprobe, T_PRIME).select("query_id", "q_token_id", "mse")
+)
