@@ -9,10 +9,20 @@ from polyseek.functions.vectors import dot, pick, tie
 from polyseek.operators.index import products
 
 
+def value_counts(rows: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
+    """Each value of each group with how often it comes (_c), how many come before it (_p) and the group's size. Groups are
+    pre-aggregated: windows see distinct values, not rows."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(*by)
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    before = F.coalesce(F.sum("_c").over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("_p", before).withColumn("group_size", F.sum("_c").over(own))
+
+
 def gini(rows: DataFrame, by: list[str], value: str, out: str = "gini") -> DataFrame:
     """Gini coefficient of value within each group: 0 where the sum is 0."""
-    w = Window.partitionBy(*by).orderBy(value)
-    s = rows.withColumn("_i", F.row_number().over(w)).groupBy(*by).agg(F.sum(F.col("_i") * F.col(value)).alias("_a"), F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    ranks = F.col("_c") * F.col("_p") + F.col("_c") * (F.col("_c") + 1) / 2  # sum of the ranks that equal values share
+    s = value_counts(rows, by, value).groupBy(*by).agg(F.sum(ranks * F.col(value)).alias("_a"), F.sum(F.col("_c") * F.col(value)).alias("_s"), F.sum("_c").alias("_n"))
     g = 2 * F.col("_a") / (F.col("_n") * F.nullif("_s", F.lit(0))) - (F.col("_n") + 1) / F.col("_n")
     return s.select(*by, F.coalesce(g, F.lit(0.0)).alias(out))
 
@@ -25,11 +35,11 @@ def entropy(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return s.select(*by, "entropy", F.when(F.col("_n") > 1, F.col("entropy") / F.ln(F.greatest(F.col("_n"), F.lit(2)))).otherwise(F.col("entropy")).alias("normalized_entropy"))
 
 
-def top_share(rows: DataFrame, by: list[str], value: str, tie_by: str, count: Column, out: str) -> DataFrame:
-    """Share of the sum that the ``count`` greatest values hold (count may use group_size)."""
-    w = Window.partitionBy(*by)
-    s = rows.withColumn("group_size", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(value).desc(), tie_by)))
-    return s.groupBy(*by).agg((F.sum(F.when(F.col("_r") <= count, F.col(value)).otherwise(0)) / F.nullif(F.sum(value), F.lit(0))).alias(out))
+def top_share(rows: DataFrame, by: list[str], value: str, shares: dict[str, Column]) -> DataFrame:
+    """Shares of the sum that the greatest values hold: how many of them by name (may use group_size)."""
+    s = value_counts(rows, by, value, descending=True)
+    part = lambda k: F.sum(F.greatest(F.lit(0), F.least(k - F.col("_p"), F.col("_c"))) * F.col(value)) / F.nullif(F.sum(F.col("_c") * F.col(value)), F.lit(0))
+    return s.groupBy(*by).agg(*[part(k).alias(name) for name, k in shares.items()])
 
 
 def size_docs(posts: DataFrame) -> DataFrame:
@@ -58,10 +68,7 @@ def doc_counts(posts: DataFrame) -> DataFrame:
 
 def doc_shares(posts: DataFrame) -> DataFrame:
     """Share of a cell's tokens in its top 1, 5 and 10 documents."""
-    w = Window.partitionBy("centroid_id").orderBy(F.col("n").desc(), "doc_id")
-    s = doc_counts(posts).withColumn("_r", F.row_number().over(w))
-    part = lambda k: (F.sum(F.when(F.col("_r") <= k, F.col("n"))) / F.sum("n")).alias(f"top_{k}_doc_share")
-    return s.groupBy("centroid_id").agg(part(1), part(5), part(10))
+    return top_share(doc_counts(posts), ["centroid_id"], "n", {f"top_{k}_doc_share": F.lit(k) for k in (1, 5, 10)})
 
 
 def dispersion(posts: DataFrame, weights: list[float]) -> DataFrame:
@@ -92,10 +99,8 @@ def anti_hubs(freq: DataFrame) -> DataFrame:
 def traffic_concentration(freq: DataFrame) -> DataFrame:
     """Gini over all cells and the share of the top 1, 5 and 10 per cent of them."""
     one = freq.withColumn("all", F.lit(0))
-    out = gini(one, ["all"], "sel_freq", "traffic_gini")
-    for p in (1, 5, 10):
-        out = out.join(top_share(one, ["all"], "sel_freq", "centroid_id", F.greatest(F.lit(1), F.floor(F.col("group_size") * p / 100)), f"top_{p}pct_share"), "all")
-    return out.drop("all")
+    shares = {f"top_{p}pct_share": F.greatest(F.lit(1), F.floor(F.col("group_size") * p / 100)) for p in (1, 5, 10)}
+    return gini(one, ["all"], "sel_freq", "traffic_gini").join(top_share(one, ["all"], "sel_freq", shares), "all").drop("all")
 
 
 def traffic_entropy(freq: DataFrame) -> DataFrame:
@@ -114,7 +119,7 @@ def query_activation(m1: DataFrame) -> DataFrame:
     load = query_load(m1)
     out = load.groupBy("query_id").agg(F.count("*").alias("unique_centroids"), (F.stddev_pop("n") / F.nullif(F.avg("n"), F.lit(0.0))).alias("load_cv"))
     e = entropy(load, ["query_id"], "n").toDF("query_id", "activation_entropy", "normalized_activation_entropy")
-    top = top_share(load, ["query_id"], "n", "centroid_id", F.greatest(F.lit(1), F.floor(F.col("group_size") / 20)), "top_5_centroid_share")
+    top = top_share(load, ["query_id"], "n", {"top_5_centroid_share": F.greatest(F.lit(1), F.floor(F.col("group_size") / 20))})
     return out.join(e, "query_id").join(gini(load, ["query_id"], "n", "load_gini"), "query_id").join(top, "query_id")
 
 
