@@ -14,6 +14,8 @@ from polyseek.sources.scratch import folder as scratch
 
 #: A word, as Java and Python patterns write it: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a partition, about, where their number follows from the data.
+RANGE_BYTES = 128 << 20
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -28,6 +30,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def ranges(spark: SparkSession, size: int) -> int:
+    """Partitions for a table of ``size`` bytes: one for each ``RANGE_BYTES``, and no fewer than the session asks for."""
+    return max(parts(spark), -(-size // RANGE_BYTES))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the columns named, whatever others the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

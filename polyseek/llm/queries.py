@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.llm import automata, embeddings, mixing, quality, sentencepieces, separators, simhash, suffixes, tokenfiles, toxicity, twins
+from polyseek.llm import automata, balltree, embeddings, mixing, negatives, private, quality, sentencepieces, separators, simhash, suffixes, tokenfiles, toxicity, twins
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = private.found_spans(docs, private.learn(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_separator_scan": op6_separator_scan, "op7_suffix_automata": op7_suffix_automata, "op8_embeddings": op8_embeddings, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_separator_scan": op6_separator_scan, "op7_suffix_automata": op7_suffix_automata, "op8_embeddings": op8_embeddings, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing, "op11_private": op11_private, "op12_hard_negatives": op12_hard_negatives, "op13_ball_tree": op13_ball_tree}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_array": twins.OP3, "op7_suffix_automata": twins.OP7, "op8_embeddings": twins.OP8}
+    return {"op3_suffix_array": twins.OP3, "op7_suffix_automata": twins.OP7, "op8_embeddings": twins.OP8, "op12_hard_negatives": twins.OP12, "op13_ball_tree": twins.OP13}

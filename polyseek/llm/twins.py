@@ -44,3 +44,44 @@ low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN n USING (vec_id)
 """
+
+#: Rows by a number of their own; products are exact in double precision for whole numbers of this size.
+OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pair AS (
+  SELECT a.u AS a, a.vec_id AS anchor_id, b.u AS b, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.u <> b.u AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+pos AS (SELECT a, anchor_id, b, vec_id, score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT pos.anchor_id, pos.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY pair.score DESC, pair.vec_id NULLS LAST) AS INT) AS rank,
+  pair.vec_id AS negative_id, pos.score AS positive_score, pair.score AS negative_score
+FROM pos JOIN pair ON pair.a = pos.a AND NOT pair.same AND 50 * pos.score <= 100 * pair.score AND 100 * pair.score <= 95 * pos.score QUALIFY rank <= 3
+"""
+
+
+def op13(rounds: int = 10) -> str:
+    """Rounds of assignment and whole means one after another, each a table of its own."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"n{i} AS MATERIALIZED (SELECT u, arg_min(c, d * 8 + c) AS c, min(d) AS d FROM (SELECT u, c, CAST(list_dot_product(v.q, v.q) - 2 * list_dot_product(v.q, k{i}.q) + list_dot_product(k{i}.q, k{i}.q) AS BIGINT) AS d FROM v, k{i}) GROUP BY u)"
+        )
+        if i < rounds:
+            steps.append(
+                f"k{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.q, k{i}.q) AS q FROM k{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS q FROM "
+                f"(SELECT c, i, sum(CAST(v.q[i] AS BIGINT)) AS s, count(*) AS n FROM n{i} JOIN v USING (u), range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c) m USING (c))"
+            )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS u, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+k0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS INT) AS c, q FROM v QUALIFY c < 8),
+{(","+chr(10)).join(steps)}
+SELECT v.vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(k{rounds}.q, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM n{rounds} JOIN v USING (u) JOIN k{rounds} USING (c)
+"""
+
+
+OP13 = op13()
