@@ -26,6 +26,8 @@ SAMPLE = 20_000
 SAMPLE_BYTES = 16 << 20
 #: Distinct vectors for each cell, cells of one level at most, and homes of a block at most (about; fewer for long vectors).
 CELL, CELLS, BLOCK = 4096, 4096, 4096
+#: Homes of a cell beyond which it is divided: fewer are met in a few blocks.
+CROWDED = 16 * CELL
 BLOCK_BYTES = 32 << 20
 #: Sampled homes for each centroid of a cell's own, and rows of a cell that one task deals out (about).
 SUB_SAMPLE, DEAL = 8, 100_000
@@ -67,11 +69,12 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct vectors with a direction: v, rep (least vec_id), mult (how many)."""
+    """Distinct vectors with a direction: v, least (vec_id, null if all are), mult (how many), written with a number of
+    each vector's own, rep."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
-    return v.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    return saved(v.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")).withColumn("rep", F.monotonically_increasing_id()))
 
 
 def _near(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -111,27 +114,33 @@ def _out(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, role: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(role.astype(np.int32)), *(batch.column(at + i).take(keep) for i in range(3))], names=["cell", "role", "rep", "mult", "v"])
 
 
-def divided(dealt: DataFrame, n: int, width: int, factor: float) -> DataFrame:
-    """Homes and visitors of cells dealt to ``n`` cells within each, by centroids of the cell's own."""
+def divided(dealt: DataFrame, width: int, factor: float) -> DataFrame:
+    """Homes and visitors of crowded cells (more than ``CROWDED`` homes) dealt to cells within each, by centroids of the
+    cell's own, about one for ``CELL`` homes. Other cells stay; every cell's number becomes cell * CELLS + that within it."""
     spark = dealt.sparkSession
     sizes = saved(dealt.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("homes"), F.ceil(F.count("*") / DEAL).cast("int").alias("salts")))
+    crowded = sizes.where(F.col("homes") > CROWDED).withColumn("n", F.least(F.ceil(F.col("homes") / CELL), F.lit(CELLS)).cast("int"))
+    if crowded.isEmpty():
+        return dealt
+    other = dealt.join(F.broadcast(crowded.select("cell")), "cell", "left_anti").withColumn("cell", F.col("cell") * CELLS)
+    sizes = crowded
     rows = dealt.join(F.broadcast(sizes), "cell")  # a row for each cell of the first level
-    sample = rows.where("role = 0").where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("homes")) < SUB_SAMPLE * n).select("cell", "v")
+    sample = rows.where("role = 0").where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("homes")) < SUB_SAMPLE * F.col("n")).select("cell", "v", "n")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, n = None, [], 1
 
         def done() -> pa.RecordBatch:
             c = spherical_kmeans(np.concatenate(held), n)
             return pa.RecordBatch.from_pydict({"cell": np.full(len(c), now), "sub": np.arange(len(c)), "v": pa.array(c.tolist(), pa.list_(pa.float64()))})
 
         for batch in batches:
-            cell, v = batch.column(0).to_numpy(), matrix(batch.column(1), width)
+            cell, v, wanted = batch.column(0).to_numpy(), matrix(batch.column(1), width), batch.column(2).to_numpy()
             for c in np.unique(cell):
                 if c != now:
                     if held:
                         yield done()
-                    now, held = c, []
+                    now, held, n = c, [], int(wanted[cell == c][0])
                 held.append(v[cell == c])
         if held:
             yield done()
@@ -162,25 +171,27 @@ def divided(dealt: DataFrame, n: int, width: int, factor: float) -> DataFrame:
                 own = np.flatnonzero(r < 2)  # homes, and the same vectors as visitors of their own cell
                 row, sub = np.nonzero(near)
                 row, sub, kind = np.concatenate([own, row]), np.concatenate([best[own], sub]), np.concatenate([r[own], np.full(len(row), 2)])
-                yield _out(part, row, cell[s] * n + sub, kind, 3)
+                yield _out(part, row, cell[s] * CELLS + sub, kind, 3)
 
     todo = todo.repartition(parts(spark), "cell", "salt").sortWithinPartitions("cell", "salt", "role")
-    return saved(todo.mapInArrow(deal, DEALT))
+    return saved(todo.mapInArrow(deal, DEALT).union(other))
 
 
 def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float = SPREAD) -> DataFrame:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept (vec_id = component_id).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
-    different lengths. Equal vectors count as one with a multiplicity before anything is compared. Columns other than vec_id
-    and embedding are not read; an empty table gives an empty one.
+    different lengths. Equal vectors count as one with a multiplicity before anything is compared. Rows are told apart by
+    their vectors, not their ids: rows with a null vec_id or one that repeats are vectors of their own, a component of
+    null ids alone has a null component_id (and its rows are kept, as equal to it). Columns other than vec_id and embedding
+    are not read; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    distinct = saved(usable(vectors))
+    distinct = usable(vectors)
     n, width = distinct.agg(F.count("*"), F.max(F.size("v"))).first()
     width = width or 0
-    picked = distinct.select("v", F.xxhash64("rep").alias("o")).orderBy("o").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(width, 1)))))
+    picked = distinct.select("v", F.xxhash64("v").alias("o")).orderBy("o").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(width, 1)))))
     rows = [r.v for r in picked.select("v").collect()]
     x = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
@@ -202,8 +213,7 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float
                 yield _out(flat, np.concatenate([every, every, row]), np.concatenate([home, home, cell]), np.repeat([0, 1, 2], [len(every), len(every), len(row)]), 0)
 
     dealt = saved(distinct.select("v", "rep", "mult").mapInArrow(assign, DEALT))
-    if wanted > CELLS:
-        dealt = divided(dealt, -(-wanted // CELLS), width, factor)
+    dealt = divided(dealt, width, factor)
     block = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(width, 1))))
     blocks = dealt.where("role = 0").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     homes = dealt.where("role = 0").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -244,7 +254,9 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, spread: float
     roots = connected_components(found.where("b is not null").select("a", "b"))
     roots = roots.toDF("_v", "root")
     classes = distinct.join(counts, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("_v"), "left")
-    classes = saved(classes.select(F.col("v").alias("_e"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
+    classes = saved(classes.select(F.col("v").alias("_e"), "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")))
+    lows = classes.groupBy("root").agg(F.min("least").alias("component"))
     rows_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("_e"))
-    out = rows_.join(classes, "_e", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = rows_.join(classes.join(lows, "root").drop("least"), "_e", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("root").isNotNull(), F.col("component")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

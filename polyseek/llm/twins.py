@@ -32,23 +32,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
-#: All pairs; components by repeated least labels over links.
+#: All pairs of rows, by a number of their own; components by repeated least labels over links.
 OP8 = """
-WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-ok AS (
-  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS u, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS MATERIALIZED (
+  SELECT u, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
   AND len(list_filter(e, lambda x: x <> 0)) > 0),
-link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
-reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
-low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
-n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
-SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN n USING (vec_id)
+link AS MATERIALIZED (SELECT a.u AS a, b.u AS b FROM ok a JOIN ok b ON a.u <> b.u AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT u AS a, u AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS u, min(vec_id) AS component_id FROM reach JOIN v ON b = u GROUP BY a),
+n AS (SELECT a AS u, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN low USING (u) LEFT JOIN n USING (u)
 """
 
 #: Rows by a number of their own; products are exact in double precision for whole numbers of this size.
 OP12 = """
-WITH v AS (
-  SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: coalesce(floor(256 * x), 0)) AS q
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pair AS (
   SELECT a.u AS a, a.vec_id AS anchor_id, b.u AS b, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score

@@ -300,7 +300,7 @@ def test_embeddings(spark):
     base = rng.normal(size=(60, 16))
     near = base[:25] + 0.12 * rng.normal(size=(25, 16))
     vecs = [*base.tolist(), *near.tolist(), *base[:5].tolist(), (3 * base[7]).tolist(), [0.0] * 16, None, [], [float("nan")] * 16, [None] * 16, [1.0, 2.0], [2.0, 4.0]]
-    df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, rep string")
+    df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, least string")
     good = {i: np.array(v, np.float32).astype(float) for i, v in enumerate(vecs) if v and None not in v and np.isfinite(v).all() and any(v)}
     link = {i: set() for i in range(len(vecs))}
     for a, x in good.items():
@@ -325,6 +325,7 @@ def test_embeddings_of_divided_cells(spark, monkeypatch):
     """Many cells of two levels and small blocks: every link of correlated vectors is found and counted at both ends."""
     monkeypatch.setattr(embeddings, "CELL", 20)
     monkeypatch.setattr(embeddings, "CELLS", 5)
+    monkeypatch.setattr(embeddings, "CROWDED", 30)
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rng = np.random.default_rng(6)
     x = (rng.normal(size=(700, 4)) @ rng.normal(size=(4, 24))).astype(np.float32)
@@ -381,4 +382,4 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
