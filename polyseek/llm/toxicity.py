@@ -97,7 +97,16 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 best[start] = max(weight, best.get(start, 0.0))
-        total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+        if spared:  # one sweep over both, by their starts
+            spared.sort()
+            total, at, reach = 0.0, 0, -1
+            for s in sorted(best):
+                while at < len(spared) and spared[at][0] <= s:
+                    reach = max(reach, spared[at][1])
+                    at += 1
+                total += best[s] if s >= reach else 0.0
+        else:
+            total = sum(best.values())
         return total / math.sqrt(words)
 
     def phrases(self, automaton: ahocorasick.Automaton | None, text: str) -> set[str]:
@@ -109,7 +118,7 @@ class Lexicon:
         out = set()
         for s in starts:  # the space before a word
             stop = line.index(" ", s + 1)
-            word, before = line[s + 1 : stop], line[:s].rpartition(" ")[2] if s else ""
+            word, before = line[s + 1 : stop], line[line.rfind(" ", 0, s) + 1 : s] if s else ""
             after = line[stop + 1 : line.find(" ", stop + 1)] if stop + 1 < len(line) else ""
             out.update(p for p in (before and f"{before} {word}", after and f"{word} {after}") if p)
         return out

@@ -205,3 +205,21 @@ def test_shared_windows(suffixes_):
     for i, r, left in suffixes.shared_windows([b for _, b in rows], [same(x[0], y[0]) for x, y in itertools.pairwise(rows)], 8):
         got[i].update(range(8 - r, left + 1))
     assert got == want
+
+
+def test_toxicity_of_long_texts_is_linear():
+    import time
+
+    from polyseek.llm import toxicity
+
+    lex = toxicity.Lexicon({"blan": 2.0, "zorg ": 1.0}, ("harmless blanfex", "blanfex indeed zorg"), 1.0, -3.0)
+    a = lex.automaton()
+    text = "harmless blanfex indeed zorg blanfex zorg clean " * 110_000  # more than 5 MB
+    assert len(text) > 5_000_000
+    began = time.perf_counter()
+    value = lex.hits(a, text)
+    assert time.perf_counter() - began < 20
+    # Each time of four hits one stands in no phrase of its own: the second "blanfex" with "zorg" after it.
+    assert abs(value - 110_000 * 3.0 / (7 * 110_000) ** 0.5) < 1e-6
+    began = time.perf_counter()
+    assert "harmless blanfex" in lex.phrases(a, text) and time.perf_counter() - began < 30
