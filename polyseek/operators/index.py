@@ -5,54 +5,90 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polyseek.functions.arrow import long_lists
+from polyseek.functions.arrow import matrix as vector_matrix
+from polyseek.functions.quantiles import exact_quantiles
 from polyseek.functions.vectors import add, dot, normalise, pick, sub, tie
+from polyseek.operators import blocks
 from polyseek.plans import config
+from polyseek.sources.scratch import stored
 
 #: Bytes up to which the smaller side of an all-pairs product is broadcast; beyond it is met in blocks.
 BROADCAST_BYTES = 64 << 20
 #: Documents of a part of a cell in whose order positions are counted, by their id.
 PART = 1 << 20
-#: Centroids of one matrix product.
-PRODUCT = 4096
+#: Centroids of one matrix product, postings of a range of a saved copy.
+PRODUCT, RANGE_ROWS = 4096, 1 << 21
 
 
 @dataclass
 class Index:
-    """postings(embedding_pos, centroid_id, doc_id, pos, codes), centroids(centroid_id, cv, size, start), the codec."""
+    """postings(embedding_pos, centroid_id, doc_id, pos, codes), centroids(centroid_id, cv, size, start), the codec.
+
+    A saved index has its postings twice: ``blocks`` (blocks.BLOCKS in folders of ``per_folder`` neighbouring cells), which a
+    search reads by cell, and rows in the order of documents with packed codes, for what starts from documents."""
 
     postings: DataFrame
     centroids: DataFrame
     cutoffs: list[float]
     weights: list[float]
+    blocks: DataFrame | None = None
+    per_folder: int = 1
+
+    @property
+    def nbits(self) -> int:
+        return max(len(self.weights), 1).bit_length() - 1
+
+    def clustered(self, path: str) -> Index:
+        """This index with its postings written to path in blocks by cell."""
+        spark = self.postings.sparkSession
+        cells = (self.centroids.agg(F.max("centroid_id")).first()[0] or 0) + 1
+        per = blocks.write_blocks(blocks.blocks(self.postings, self.nbits, ranges_of(self.postings)), path, cells)
+        return replace(self, blocks=blocks.read_blocks(spark, path), per_folder=per)
 
     def save(self, path: str) -> None:
-        """Postings, centroids, codec, and what they are made of as one line of JSON."""
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+        """Postings by cell and by document, centroids, codec, and what they are made of as one line of JSON."""
         spark = self.postings.sparkSession
-        spark.createDataFrame([(self.cutoffs, self.weights)], "cutoffs array<double>, weights array<double>").write.mode("overwrite").json(f"{path}/codec")
-        about = metadata(spark.read.parquet(f"{path}/postings"), len(self.weights)).first().asDict()
+        per = self.clustered(f"{path}/cells").per_folder
+        rows = self.postings.repartitionByRange(ranges_of(self.postings), "doc_id").sortWithinPartitions("doc_id", "pos")
+        blocks.packed_rows(rows, self.nbits).write.mode("overwrite").option("parquet.block.size", blocks.ROW_GROUP).parquet(f"{path}/documents")
+        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+        width = self.centroids.agg(F.max(F.size("cv"))).first()[0]
+        codec = [(self.cutoffs, self.weights, width, per)]
+        spark.createDataFrame(codec, CODEC).write.mode("overwrite").json(f"{path}/codec")
+        about = metadata(spark.read.parquet(f"{path}/documents"), len(self.weights)).first().asDict()
         spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, check: bool = True) -> Index:
         """The saved index; with ``check`` its positions must be 0..n-1, each once, and its cells' sizes their number."""
-        codec = spark.read.schema("cutoffs array<double>, weights array<double>").json(f"{path}/codec").first()
-        out = cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/centroids"), codec.cutoffs, codec.weights)
+        codec = spark.read.schema(CODEC).json(f"{path}/codec").first()
+        rows = spark.read.parquet(f"{path}/documents")
+        nbits = max(len(codec.weights), 1).bit_length() - 1
+        out = cls(blocks.code_lists(rows, nbits, codec.width), spark.read.parquet(f"{path}/centroids"), codec.cutoffs, codec.weights, blocks.read_blocks(spark, f"{path}/cells"), codec.per_folder)
         if check:
-            r = integrity(out).first()
-            if not (r.n_embeddings == r.n_positions == (r.sum_sizes or 0) and (r.last_pos is None or r.last_pos == r.n_embeddings - 1)):
-                raise ValueError(f"{path}: not a whole index: {r.asDict()}")
+            r = integrity(replace(out, postings=rows)).first()
+            n = out.blocks.agg(F.sum(F.length("docs") / 8).cast("long")).first()[0] or 0
+            if not (n == r.n_embeddings == r.n_positions == (r.sum_sizes or 0) and (r.last_pos is None or r.last_pos == r.n_embeddings - 1)):
+                raise ValueError(f"{path}: not a whole index: {r.asDict()}, {n} in blocks")
         return out
 
 
+CODEC = "cutoffs array<double>, weights array<double>, width int, per_folder int"
+
+
+def ranges_of(postings: DataFrame) -> int:
+    """Partitions of a range-partitioned copy of postings: one for each ``RANGE_ROWS`` of them, no fewer than the session asks for."""
+    return max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-postings.count() // RANGE_ROWS))
+
+
 def metadata(postings: DataFrame, levels: int, chunk: int = 25_000) -> DataFrame:
     """One row: passages, chunks of them, embeddings, cells with any, mean length and bits of a code."""
     return postings.agg(
@@ -81,14 +117,6 @@ def centroid_matrix(centroids: DataFrame) -> CentroidMatrix | None:
     return CentroidMatrix(rows.column("centroid_id").to_numpy(), rows.column("size").to_numpy(), flat.reshape(n, high))
 
 
-def vector_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """The vectors of an Arrow batch as rows."""
-    out = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
-    if len(out) != len(column):
-        raise ValueError(f"vectors must have {width} numbers")
-    return out
-
-
 def products(left: DataFrame, right: DataFrame, right_rows: int | None = None, width: int | None = None) -> DataFrame:
     """Every row of left with every row of right (the smaller side): a broadcast if that side's size allows it, else
     blocks of it that each left row visits. Rows and vector length are measured unless they are known."""
@@ -120,6 +148,17 @@ def assign(tokens: DataFrame, centroids: DataFrame, key: str = "vec_id", rows: i
     return tokens.join(best.select(key, (-F.col("m.c")).alias("centroid_id")), key).join(near, "centroid_id")
 
 
+def nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The row of centres with the greatest dot product (to nine digits; ties: the first) for each row of v."""
+    top, who = np.full(len(v), -np.inf), np.zeros(len(v), dtype=np.int64)
+    for b in range(0, len(centres), PRODUCT):
+        score = np.round(v @ centres[b : b + PRODUCT].T, 9)
+        i = score.argmax(axis=1)
+        s = score[np.arange(len(v)), i]
+        who, top = np.where(s > top, b + i, who), np.maximum(s, top)
+    return who
+
+
 def best_centroid(tokens: DataFrame, held: CentroidMatrix) -> DataFrame:
     """tokens(v, ...) with centroid_id, by one matrix product for each batch and block of centroids."""
     shared = tokens.sparkSession.sparkContext.broadcast(held)  # at most BROADCAST_BYTES
@@ -130,26 +169,65 @@ def best_centroid(tokens: DataFrame, held: CentroidMatrix) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = vector_matrix(batch.column(at), m.vectors.shape[1])
-            top, who = np.full(len(v), -np.inf), np.zeros(len(v), dtype=np.int64)
-            for b in range(0, len(m.ids), PRODUCT):
-                score = np.round(v @ m.vectors[b : b + PRODUCT].T, 9)
-                i = score.argmax(axis=1)
-                s = score[np.arange(len(v)), i]
-                who, top = np.where(s > top, b + i, who), np.maximum(s, top)
+            who = nearest(vector_matrix(batch.column(at), m.vectors.shape[1]), m.vectors)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.ids[who].astype(np.int64))], names=[*batch.schema.names, "centroid_id"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInArrow(run, f"{fields}, centroid_id long")
 
 
+def cell_sums(tokens: DataFrame, held: CentroidMatrix) -> DataFrame:
+    """centroid_id, n, s: number and sum of the vectors of each cell. A task adds its own vectors up in one matrix, so that the
+    shuffle carries cells x tasks rows, which the tasks behind it add up again as they come."""
+    shared = tokens.sparkSession.sparkContext.broadcast(held)  # at most BROADCAST_BYTES
+    rows = tokens.select(F.col("v").cast("array<double>").alias("v"))
+    schema = "centroid_id long, n long, s array<double>"
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        count, total = np.zeros(len(m.ids), np.int64), np.zeros_like(m.vectors)
+        for batch in batches:
+            v = vector_matrix(batch.column(0), m.vectors.shape[1])
+            if len(v):
+                who = nearest(v, m.vectors)
+                order = np.argsort(who, kind="stable")
+                cell, first, n = np.unique(who[order], return_index=True, return_counts=True)
+                total[cell] += np.add.reduceat(v[order], first, axis=0)
+                count[cell] += n
+        there = np.flatnonzero(count)
+        for s in range(0, len(there), PRODUCT):
+            c = there[s : s + PRODUCT]
+            yield pa.RecordBatch.from_arrays([pa.array(m.ids[c]), pa.array(count[c]), long_lists(total[c])], names=["centroid_id", "n", "s"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            if batch.num_rows:
+                s = vector_matrix(batch.column(2), len(batch.column(2)[0]))
+                for c, n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), s, strict=True):
+                    if c in sums:
+                        sums[c][0] += n
+                        sums[c][1] += x
+                    else:
+                        sums[c] = [n, x.copy()]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), long_lists(np.stack([x for _, x in sums.values()]))], names=["centroid_id", "n", "s"])
+
+    return rows.mapInArrow(own, schema).repartition("centroid_id").mapInArrow(merged, schema)
+
+
 def lloyd(tokens: DataFrame, centroids: DataFrame, rounds: int, rows: int | None = None) -> DataFrame:
-    """Spherical k-means from given centroids; a cell without tokens keeps its centroid. Rounds past the fourth should
-    start from a written table: each one deepens the plan."""
+    """Spherical k-means from given centroids; a cell without tokens keeps its centroid. Centroids that fit a broadcast are
+    summed up inside the tasks; larger sets are met in blocks, a row for each component of a token. Rounds past the
+    fourth should start from a written table: each one deepens the plan."""
     for _ in range(rounds):
-        at = assign(tokens.select("vec_id", "v"), centroids, rows=rows)
-        sums = at.select("centroid_id", F.posexplode("v").alias("d", "x")).groupBy("centroid_id", "d").agg(F.avg("x").alias("x"))
-        means = sums.groupBy("centroid_id").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("m")).select("centroid_id", normalise(F.col("m.x")).alias("new"))
+        held = centroid_matrix(centroids.select("centroid_id", "cv")) if rows is None or rows > 0 else None
+        if held is not None:
+            means = cell_sums(tokens, held).select("centroid_id", normalise(F.transform("s", lambda x: x / F.col("n"))).alias("new"))
+        else:
+            at = assign(tokens.select("vec_id", "v"), centroids, rows=rows)
+            sums = at.select("centroid_id", F.posexplode("v").alias("d", "x")).groupBy("centroid_id", "d").agg(F.avg("x").alias("x"))
+            means = sums.groupBy("centroid_id").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("m")).select("centroid_id", normalise(F.col("m.x")).alias("new"))
         centroids = centroids.select("centroid_id", "cv").join(means, "centroid_id", "left").select("centroid_id", F.coalesce("new", "cv").alias("cv"))
     return centroids
 
@@ -182,8 +260,6 @@ def sample_split(tokens: DataFrame, seed: int = 12345) -> DataFrame:
 def build_from_sample(tokens: DataFrame, nbits: int = 4, rounds: int = 4, seed: int = 12345, cells_: int | None = None) -> Index:
     """The whole build: sample of passages, number of cells from the number of embeddings, Lloyd's k-means on the sample
     without what is held out, the codec on that, then all tokens."""
-    from polyseek.sources.scratch import stored
-
     split = stored(sample_split(tokens, seed))
     train = split.where("not heldout")
     k = min(cells_ or config.partitions(tokens.count()), train.count())
@@ -201,12 +277,13 @@ def residuals(assigned: DataFrame) -> DataFrame:
 
 
 def codec_frame(res: DataFrame, nbits: int) -> DataFrame:
-    """One row: cutoffs at i / 2**nbits, weights at (i + 1/2) / 2**nbits of all components, and the mean absolute one."""
-    n = 1 << nbits
-    x = res.select(F.explode("r").alias("x"))
-    at = [i / n for i in range(1, n)]
-    mid = [(i + 0.5) / n for i in range(n)]
-    return x.agg(F.percentile("x", F.array(*map(F.lit, at))).alias("cutoffs"), F.percentile("x", F.array(*map(F.lit, mid))).alias("weights"), F.avg(F.abs("x")).alias("avg_residual"))
+    """One row: cutoffs at i / 2**nbits, weights at (i + 1/2) / 2**nbits of all components, and the mean absolute one. Exact, by
+    counting passes over the written residuals: no task sees all components."""
+    spark, n = res.sparkSession, 1 << nbits
+    x = stored(res.select("r"))
+    mean = x.agg(F.sum(F.aggregate("r", F.lit(0.0), lambda s, v: s + F.abs(v))) / F.sum(F.size("r"))).first()[0]
+    found = exact_quantiles(x, "r", [*(i / n for i in range(1, n)), *((i + 0.5) / n for i in range(n))])
+    return spark.createDataFrame([(found and found[: n - 1], found and found[n - 1 :], mean)], "cutoffs array<double>, weights array<double>, avg_residual double")
 
 
 def quantise(r: Column, cutoffs: list[float]) -> Column:
@@ -262,10 +339,11 @@ def postings(assigned: DataFrame, centroids: DataFrame, cutoffs: list[float]) ->
 
 def build(tokens: DataFrame, centroids: DataFrame, nbits: int = 4, heldout: Column | None = None, rows: int | None = None, codec: DataFrame | None = None) -> Index:
     """Index of tokens(vec_id, doc_id, pos, v) around given centroids; the codec is ``codec``, or measured on the tokens that
-    ``heldout`` marks (default: all)."""
+    ``heldout`` marks (default: the held-out ones of sample_split())."""
     at = assign(tokens, centroids, rows=rows)
     if codec is None:
-        codec = codec_frame(residuals(at if heldout is None else at.where(heldout)), nbits)
+        part = assign(sample_split(tokens).where("heldout").select("vec_id", "v"), centroids, rows=rows) if heldout is None else at.where(heldout)
+        codec = codec_frame(residuals(part), nbits)
     codec_ = codec.first()  # 2 * 2**nbits numbers
     cutoffs, weights = list(codec_.cutoffs or []), list(codec_.weights or [])
     table = cells(centroids, at)

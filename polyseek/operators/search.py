@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyseek.functions.vectors import dot, is_zero, pick, sqdist, tie, total
-from polyseek.operators.index import CentroidMatrix, Index, centroid_matrix, products, reconstructed, vector_matrix
+from polyseek.functions.arrow import matrix as vector_matrix
+from polyseek.operators import blocks
+from polyseek.operators.index import CentroidMatrix, Index, centroid_matrix, products, reconstructed
 from polyseek.plans.config import SearchConfig, t_prime
+from polyseek.sources.scratch import stored
 
 
 def centroid_scores(qtok: DataFrame, centroids: DataFrame, rows: int | None = None) -> DataFrame:
@@ -98,22 +101,37 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def block_scores(qtok: DataFrame, routed: DataFrame, index: Index, centroid_only: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """token_scores() from the blocks of the probed cells: only their folders are read, and of each block and token only the best
+    embedding of a document becomes a row. routed should be a written table: its cells are counted first."""
+    vectors = qtok.select(F.col("query_id").cast("long").alias("query_id"), F.col("q_token_id").cast("long").alias("q_token_id"), F.col("qv").cast("array<double>").alias("qv"))
+    counts = [(r.centroid_id, r["count"]) for r in routed.groupBy("centroid_id").count().collect()]  # a row for each probed cell
+    width = index.centroids.select(F.size("cv")).first()
+    probes_ = routed.select("centroid_id", F.col("query_id").cast("long").alias("query_id"), F.col("q_token_id").cast("long").alias("q_token_id"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"))
+    probes_ = probes_.join(vectors, ["query_id", "q_token_id"])
+    rows = blocks.scored(probes_, counts, width[0] if width else 1, index.blocks, index.per_folder, index.weights, not centroid_only)
+    return rows if candidates is None else rows.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def search(qtok: DataFrame, index: Index, config: SearchConfig, candidates: DataFrame | None = None, rows: int | None = None) -> DataFrame:
-    """query_id, doc_id, rank, score, influential: the k best documents of each query."""
+    """query_id, doc_id, rank, score, influential: the k best documents of each query.
+
+    Routing is written out once. An index with blocks is read by the cells that were probed; one without is joined."""
     at = config.t_prime
     if at is None:
         n = index.centroids.agg(F.count("*"), F.sum("size")).first()
         at = t_prime(n[0], n[1] or 0, config.k)
     held = centroid_matrix(index.centroids)
     if held is not None:
-        routed = routes(qtok, held, config.nprobe, at, config.bound)
+        routed = stored(routes(qtok, held, config.nprobe, at, config.bound))
         missing = routed.select("query_id", "q_token_id", "mse")
         routed = routed.select("query_id", "q_token_id", F.inline("probes"))
     else:
-        scores = centroid_scores(qtok, index.centroids, rows)
+        scores = stored(centroid_scores(qtok, index.centroids, rows))
         routed, missing = probes(scores, config.nprobe), missing_scores(scores, at, config.bound)
-    won = winners(token_scores(qtok, routed, index, config.centroid_only, candidates))
-    return top_k(document_scores(won, missing), config.k)
+        routed = stored(routed) if index.blocks is not None else routed
+    found = (token_scores if index.blocks is None else block_scores)(qtok, routed, index, config.centroid_only, candidates)
+    return top_k(document_scores(winners(found), missing), config.k)
 
 
 def search_statistics(qtok: DataFrame, routed: DataFrame, won: DataFrame) -> DataFrame:
