@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyseek.functions.quantiles import exact_quantiles
 from polyseek.functions.vectors import dot, pick, tie
-from polyseek.operators.index import products
+from polyseek.operators import matrices
+from polyseek.sources.scratch import stored
 
 
 def value_counts(rows: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
@@ -77,12 +79,9 @@ def dispersion(posts: DataFrame, weights: list[float]) -> DataFrame:
     return posts.groupBy("centroid_id").agg(F.avg(dot(w, w)).alias("dispersion"))
 
 
-def isolation(centroids: DataFrame, k: int = 10, rows: int | None = None) -> DataFrame:
-    """Per cell: 1 - mean cosine of its k nearest other centroids, the nearest and the mean."""
-    a, b = centroids.select(F.col("centroid_id").alias("a"), F.col("cv").alias("av")), centroids.select("centroid_id", "cv")
-    cos = products(a, b, rows).where("a <> centroid_id").select("a", "centroid_id", dot(F.col("av"), F.col("cv")).alias("s"))
-    w = Window.partitionBy("a").orderBy(tie(F.col("s")).desc(), "centroid_id")
-    near = cos.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("a")
+def isolation(centroids: DataFrame, k: int = 10) -> DataFrame:
+    """Per cell: 1 - mean cosine of its k nearest other centroids, the nearest and the mean. Blocks keep k a row."""
+    near = matrices.nearest(centroids, centroids, k).groupBy("a")
     return near.agg((1 - F.avg("s")).alias("isolation"), F.max("s").alias("nearest_neighbor_sim"), F.avg("s").alias("mean_neighbor_sim")).withColumnRenamed("a", "centroid_id")
 
 
@@ -171,14 +170,13 @@ def routing_fidelity(m5: DataFrame) -> DataFrame:
 def quantile_bin(df: DataFrame, value: str, at: list[float], out: str, fill: bool = False) -> DataFrame:
     """Bin number (from 1) by linear quantiles: right-closed, lowest included, repeated edges dropped. Null stays null, or
     with ``fill`` counts as the median."""
+    values = stored(df.select(F.col(value).cast("double").alias("x")))  # counted several times
     if fill:
-        median = F.broadcast(df.agg(F.median(value).alias("_md")))  # one row
-        filled = df.crossJoin(median).withColumn("_v", F.coalesce(value, "_md"))
-        return quantile_bin(filled, "_v", at, out).drop("_v", "_md")
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, at)))).alias("_e"))
-    out_ = df.crossJoin(F.broadcast(edges))  # one row
-    inner = F.filter("_e", lambda e: e < F.col(value))
-    return out_.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(F.lit(1), F.size(inner)))).drop("_e")
+        median = exact_quantiles(values, "x", [0.5])
+        filled = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(median[0] if median else None).cast("double")))
+        return quantile_bin(filled, "_v", at, out).drop("_v")
+    edges = F.array(*[F.lit(float(e)) for e in sorted(set(exact_quantiles(values, "x", at) or []))]).cast("array<double>")
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e < F.col(value))))))
 
 
 def cluster_frame(offline: DataFrame, online: DataFrame, m6: DataFrame, m1: DataFrame) -> DataFrame:

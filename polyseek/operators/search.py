@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseek.functions.vectors import dot, is_zero, pick, sqdist, tie, total
+from polyseek.functions.vectors import dot, is_zero, pick, tie, total
 from polyseek.functions.arrow import matrix as vector_matrix
-from polyseek.operators import blocks
-from polyseek.operators.index import CentroidMatrix, Index, centroid_matrix, products, reconstructed
+from polyseek.operators import blocks, matrices
+from polyseek.operators.index import BROADCAST_BYTES, CentroidMatrix, Index, centroid_matrix, reconstructed
 from polyseek.plans.config import SearchConfig, t_prime
 from polyseek.sources.scratch import stored
 
 
 def centroid_scores(qtok: DataFrame, centroids: DataFrame, rows: int | None = None) -> DataFrame:
-    """query_id, q_token_id, centroid_id, size, score for every non-zero query token and every cell."""
+    """query_id, q_token_id, centroid_id, size, score for every non-zero query token and every cell. ``rows``: cells, where known."""
     live = qtok.where(~is_zero(F.col("qv"))).select("query_id", "q_token_id", "qv")
-    out = products(live, centroids.select("centroid_id", "cv", "size"), rows)
-    return out.select("query_id", "q_token_id", "centroid_id", "size", dot(F.col("qv"), F.col("cv")).alias("score"))
+    out = matrices.all_scores(live, centroids).join(centroids.select("centroid_id", "size"), "centroid_id")
+    return out.select("query_id", "q_token_id", "centroid_id", "size", "score")
 
 
 def routes(qtok: DataFrame, held: CentroidMatrix, nprobe: int, at: int, bound: int | None = None) -> DataFrame:
@@ -146,9 +147,7 @@ def exact_maxsim(qtok: DataFrame, tokens: DataFrame, form: str = "sum", rows: in
     """Scores of all documents without an index. form: sum; relu (token maxima of at least 0); l2 (negative squared
     distance); mean (over non-zero query tokens)."""
     live = qtok.where(~is_zero(F.col("qv"))).select("query_id", "q_token_id", "qv")
-    pair = products(tokens.select("vec_id", "doc_id", "v"), live, rows)
-    value = -sqdist(F.col("qv"), F.col("v")) if form == "l2" else dot(F.col("qv"), F.col("v"))
-    best = pair.groupBy("query_id", "q_token_id", "doc_id").agg(F.max(value).alias("score"))
+    best = matrices.token_maxima(live, tokens, "l2" if form == "l2" else "dot")
     one = F.greatest(F.col("score"), F.lit(0.0)) if form == "relu" else F.col("score")
     out = best.groupBy("query_id", "doc_id").agg((F.avg(one) if form == "mean" else F.sum(one)).alias("score"))
     return out
@@ -169,15 +168,83 @@ def translated(ranking: DataFrame, ids: DataFrame) -> DataFrame:
 # The older scorer in stages: candidate cells, two centroid-only filters, exact scores.
 
 
-def stage_candidates(scores: DataFrame, index: Index, ncells: int) -> DataFrame:
+def stage_candidates(qtok: DataFrame, index: Index, ncells: int) -> DataFrame:
     """query_id, doc_id of documents in any of the ncells best cells of any token."""
-    picked = probes(scores, ncells).select("query_id", "centroid_id").distinct()
+    held = centroid_matrix(index.centroids)
+    picked = probes(centroid_scores(qtok, index.centroids), ncells) if held is None else routes(qtok, held, ncells, 0).select("query_id", F.inline("probes"))
+    picked = picked.select("query_id", "centroid_id").distinct()
     return picked.join(index.postings.select("centroid_id", "doc_id").distinct(), "centroid_id").select("query_id", "doc_id").distinct()
 
 
-def stage_filter(candidates: DataFrame, scores: DataFrame, index: Index, keep: int, threshold: float | None = None) -> DataFrame:
-    """The keep best candidates by the sum over tokens of the best centroid score among the document's cells (with a
-    threshold only cells whose best score over tokens reaches it; -9999 where none does). Ties: higher doc_id first."""
+@dataclass(frozen=True)
+class QueryMatrices:
+    """The non-zero tokens of every query as one matrix with the rows of each."""
+
+    vectors: np.ndarray
+    span: dict[int, tuple[int, int]]
+
+
+def query_matrices(qtok: DataFrame) -> QueryMatrices | None:
+    """The tokens of all queries for a broadcast, or None where they are larger than ``BROADCAST_BYTES``."""
+    live = qtok.where(~is_zero(F.col("qv"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("q_token_id").cast("long").alias("q_token_id"), F.col("qv").cast("array<double>").alias("qv"))
+    n, width = matrices.sizes(live, "qv")
+    if n * width * 8 > BROADCAST_BYTES:
+        return None
+    t = live.toArrow().sort_by([("query_id", "ascending"), ("q_token_id", "ascending")])
+    ids = t.column("query_id").to_numpy()
+    who, first = np.unique(ids, return_index=True)
+    ends = [*first[1:].tolist(), len(ids)]
+    return QueryMatrices(vector_matrix(t.column("qv").combine_chunks(), width), {int(w): (int(a), b) for w, a, b in zip(who, first, ends, strict=True)})
+
+
+def _by_query(rows: DataFrame, held: QueryMatrices, score: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """query_id, doc_id, score of rows(query_id, doc_id, ...): score(tokens of the query, its rows) for runs of one query."""
+    shared = rows.sparkSession.sparkContext.broadcast(held)  # query_matrices() has checked its size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            q = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1], [True]])) if len(q) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if int(q[a]) in m.span:
+                    low, high = m.span[int(q[a])]
+                    part = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score(m.vectors[low:high], part))], names=["query_id", "doc_id", "score"])
+
+    first = [F.col(c).cast("long").alias(c) for c in ("query_id", "doc_id")]
+    rest = [c for c in rows.columns if c not in ("query_id", "doc_id")]
+    return rows.select(*first, *rest).sortWithinPartitions("query_id").mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def _runs(lists: pa.ListArray) -> np.ndarray:
+    """Where each list of a column begins in its flat values, counted from the first."""
+    offsets = lists.offsets.to_numpy()
+    return offsets[:-1] - offsets[0]
+
+
+def _approximate(candidates: DataFrame, qtok: DataFrame, index: Index, threshold: float | None) -> DataFrame:
+    """query_id, doc_id, score: the sum over tokens of the best centroid score among the document's cells, one matrix product for the
+    candidates of a query that a task holds; no row for each token and cell."""
+    centres, held = centroid_matrix(index.centroids), query_matrices(qtok)
+    if centres is None or held is None:
+        return _approximate_by_rows(candidates, centroid_scores(qtok, index.centroids), index, threshold)
+    shared = qtok.sparkSession.sparkContext.broadcast(centres)  # at most BROADCAST_BYTES
+    docs = index.postings.select("doc_id", F.col("centroid_id").cast("long").alias("centroid_id")).groupBy("doc_id").agg(F.collect_set("centroid_id").alias("cells"))  # as many as a document has tokens
+
+    def score(q: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        c = shared.value
+        cells, back = np.unique(part.column(2).flatten().to_numpy(), return_inverse=True)
+        s = q @ c.vectors[np.searchsorted(c.ids, cells)].T
+        if threshold is not None:
+            s[:, s.max(axis=0) < threshold] = -np.inf
+        best = np.maximum.reduceat(s[:, back], _runs(part.column(2)), axis=1)
+        return np.where(np.isfinite(best), best, -9999.0).sum(axis=0)
+
+    return _by_query(candidates.join(docs, "doc_id").select("query_id", "doc_id", "cells"), held, score)
+
+
+def _approximate_by_rows(candidates: DataFrame, scores: DataFrame, index: Index, threshold: float | None) -> DataFrame:
     used = scores.select("query_id", "q_token_id", "centroid_id", "score")
     if threshold is not None:
         good = used.groupBy("query_id", "centroid_id").agg(F.max("score").alias("m")).where(F.col("m") >= threshold)
@@ -187,24 +254,48 @@ def stage_filter(candidates: DataFrame, scores: DataFrame, index: Index, keep: i
     tokens = scores.select("query_id", "q_token_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
     sums = seen.groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"), F.count("*").alias("seen"))
     out = candidates.join(sums, ["query_id", "doc_id"], "left").join(tokens, "query_id")
-    out = out.withColumn("score", F.coalesce("s", F.lit(0.0)) - F.lit(9999.0) * (F.col("n") - F.coalesce("seen", F.lit(0))))
+    return out.select("query_id", "doc_id", (F.coalesce("s", F.lit(0.0)) - F.lit(9999.0) * (F.col("n") - F.coalesce("seen", F.lit(0)))).alias("score"))
+
+
+def stage_filter(candidates: DataFrame, qtok: DataFrame, index: Index, keep: int, threshold: float | None = None) -> DataFrame:
+    """The keep best candidates by the sum over tokens of the best centroid score among the document's cells (with a
+    threshold only cells whose best score over tokens reaches it; -9999 where none does). Ties: higher doc_id first."""
+    out = _approximate(candidates, qtok, index, threshold)
     w = Window.partitionBy("query_id").orderBy(tie(F.col("score")).desc(), F.col("doc_id").desc())
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("query_id", "doc_id", "score")
 
 
+def stage_scores(found: DataFrame, qtok: DataFrame, index: Index, relu: bool = True) -> DataFrame:
+    """query_id, doc_id, score: MaxSim on the reconstructed, normalised vectors of each document found."""
+    posts = index.postings.select("doc_id", F.col("centroid_id").cast("long").alias("centroid_id"), "codes").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    centres, held = centroid_matrix(index.centroids), query_matrices(qtok)
+    if centres is None or held is None:
+        v = posts.join(index.centroids.select("centroid_id", "cv"), "centroid_id").select("doc_id", reconstructed(F.col("cv"), F.col("codes"), index.weights).alias("v"))
+        rows = found.join(v, "doc_id").join(qtok.where(~is_zero(F.col("qv"))).select("query_id", "q_token_id", "qv"), "query_id")
+        best = rows.groupBy("query_id", "doc_id", "q_token_id").agg(F.max(dot(F.col("qv"), F.col("v"))).alias("s"))
+        return best.groupBy("query_id", "doc_id").agg(F.sum(F.greatest(F.col("s"), F.lit(0.0)) if relu else F.col("s")).alias("score"))
+    shared = qtok.sparkSession.sparkContext.broadcast(centres)  # at most BROADCAST_BYTES
+    weights = np.array(index.weights)
+    docs = posts.groupBy("doc_id").agg(F.collect_list(F.struct("centroid_id", "codes")).alias("t"))  # a document's tokens
+
+    def score(q: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        c = shared.value
+        tokens = part.column(2).flatten()
+        cells, codes = tokens.field(0).to_numpy(), tokens.field(1)
+        v = c.vectors[np.searchsorted(c.ids, cells)] + weights[codes.flatten().to_numpy().reshape(len(cells), -1)]
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        best = np.maximum.reduceat(q @ (v / np.where(size > 0, size, 1)).T, _runs(part.column(2)), axis=1)
+        return (np.maximum(best, 0) if relu else best).sum(axis=0)
+
+    return _by_query(found.join(docs, "doc_id").select("query_id", "doc_id", "t"), held, score)
+
+
 def staged_search(qtok: DataFrame, index: Index, k: int, setting: tuple[int, float, int], candidates: DataFrame | None = None, relu: bool = True, allowed: Column | None = None) -> DataFrame:
     """Candidates, both filters, exact scores on reconstructed (normalised) vectors. candidates (query_id, doc_id) take
     the place of the first stage; of either only those go on for which ``allowed`` (of query_id, doc_id) holds."""
     ncells, threshold, ndocs = setting
-    scores = centroid_scores(qtok, index.centroids)
-    found = candidates if candidates is not None else stage_candidates(scores, index, ncells)
+    found = candidates if candidates is not None else stage_candidates(qtok, index, ncells)
     found = found if allowed is None else found.where(allowed)
-    found = stage_filter(found, scores, index, ndocs, threshold).select("query_id", "doc_id")
-    found = stage_filter(found, scores, index, max(1, ndocs // 4)).select("query_id", "doc_id")
-    posts = index.postings.select("doc_id", "centroid_id", "codes").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    posts = posts.join(index.centroids.select("centroid_id", "cv"), "centroid_id")
-    v = posts.select("doc_id", reconstructed(F.col("cv"), F.col("codes"), index.weights).alias("v"))
-    rows = found.join(v, "doc_id").join(qtok.select("query_id", "q_token_id", "qv"), "query_id")
-    best = rows.groupBy("query_id", "doc_id", "q_token_id").agg(F.max(dot(F.col("qv"), F.col("v"))).alias("s"))
-    one = F.greatest(F.col("s"), F.lit(0.0)) if relu else F.col("s")
-    return top_k(best.groupBy("query_id", "doc_id").agg(F.sum(one).alias("score")), k)
+    found = stage_filter(found, qtok, index, ndocs, threshold).select("query_id", "doc_id")
+    found = stored(stage_filter(found, qtok, index, max(1, ndocs // 4)).select("query_id", "doc_id"))  # read twice
+    return top_k(stage_scores(found, qtok, index, relu), k)

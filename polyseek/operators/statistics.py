@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from polyseek.functions.distributions import chi2_sf, correlation_p, normal_sf, t_two_sided
 from polyseek.functions.prefix import running_before
+from polyseek.functions.quantiles import exact_quantiles
+from polyseek.operators import mergecount
+from polyseek.sources.scratch import stored
 
 
 def stratify(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -21,8 +24,10 @@ def describe_extended(df: DataFrame, value: str, at: tuple[float, ...] = (0.05,
     """Moments with sample corrections (skewness and excess kurtosis too), range, quartile distance, percentiles."""
     s = df.agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.skewness(value).alias("_g"), F.kurtosis(value).alias("_k"), *[F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in at],
+        F.skewness(value).alias("_g"), F.kurtosis(value).alias("_k"),
     )
+    found = exact_quantiles(df, value, list(at)) or [None] * len(at)
+    s = s.select("*", *[F.lit(q).cast("double").alias(f"p{round(100 * p)}") for p, q in zip(at, found, strict=True)])
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("_g") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
     kurt = F.when(n > 3, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.col("_k") + 6))
@@ -51,26 +56,48 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_ranks(average_ranks(both, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("r"), F.count("*").alias("n"))
 
 
-#: Distinct points that kendall() compares with each other, at most.
-KENDALL = 30_000
+#: Distinct points of one range of kendall(): a task sorts and merges these.
+KENDALL_RANGE = 1 << 20
+
+
+def _squares(points: DataFrame, by: str, *parts: str) -> DataFrame:
+    """One row: sum over groups of ``by`` of (pairs of weight in different parts, for all parts named), as exact decimals."""
+    square = lambda c: c.cast("decimal(38,0)") * c.cast("decimal(38,0)")
+    sums = {(): points.groupBy(by).agg(F.sum("c").alias("w"))}
+    for keys in [(p,) for p in parts] + ([parts] if len(parts) > 1 else []):
+        sums[keys] = points.groupBy(by, *keys).agg(F.sum("c").alias("w"))
+    total = None
+    for keys, rows in sums.items():
+        one = rows.agg(F.coalesce(F.sum(square(F.col("w"))), F.lit(0)).cast("decimal(38,0)").alias("s")).withColumn("s", F.col("s") * (-1 if len(keys) == 1 else 1))
+        total = one if total is None else total.unionByName(one)
+    return total.agg(F.sum("s").alias("s"))
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of a small frame (clusters, queries): pairs of its distinct points, weighted by their counts. Raises
-    beyond ``KENDALL`` points, as the pairs grow with their square."""
+    """Kendall's tau-b of any number of rows, by merge counting.
+
+    Distinct points, with their counts, are cut into ranges by (x, y) and by (y, x). Concordant minus discordant pairs within a
+    range of x are counted by merging (mergecount.concordance), as are those within a range of y whose ranges of x differ; pairs
+    that differ in both ranges follow from the weights of each pair of ranges. Equal x (or y) that a cut parts would count as
+    concordant; what they add is taken off by sums over each value. No task sees more than a range, no pair becomes a row."""
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("c"))
-    if pts.limit(KENDALL + 1).count() > KENDALL:
-        raise ValueError(f"more than {KENDALL} distinct points: use spearman()")
-    a, b = pts.toDF("x1", "y1", "c1"), pts.toDF("x2", "y2", "c2")
-    pair = a.join(b, (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2"))))
-    w = F.col("c1") * F.col("c2")
-    sign = F.signum(F.col("x2") - F.col("x1")) * F.signum(F.col("y2") - F.col("y1"))
-    s = pair.agg(F.sum(w * sign).alias("s"))
-    tied = lambda c: pts.groupBy(c).agg(F.sum("c").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{c}"))
-    n = pts.agg(F.sum("c").alias("n"))
-    one = s.crossJoin(tied("x")).crossJoin(tied("y")).crossJoin(n)  # one row each
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return one.select((F.coalesce("s", F.lit(0.0)) / F.nullif(F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty"))), F.lit(0.0))).alias("tau"), "n")
+    pts = stored(pts)
+    spark = pts.sparkSession
+    n, points = pts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ranges = max(1, -(-points // KENDALL_RANGE))
+    by_x = stored(pts.repartitionByRange(ranges, "x", "y").withColumn("p", F.spark_partition_id()))
+    both = stored(by_x.repartitionByRange(ranges, "y", "x").withColumn("q", F.spark_partition_id()))
+    within = mergecount.concordance(by_x, "p", "x", "y") + mergecount.concordance(both, "q", "p", "y")
+    # Weights of pairs of ranges: ranges x ranges numbers.
+    weights = {(r.p, r.q): r.w for r in both.groupBy("p", "q").agg(F.sum("c").alias("w")).collect()}
+    across = mergecount.across(weights)
+    same_x = _squares(by_x, "x", "p").first().s or 0
+    same_y = _squares(both, "y", "p", "q").first().s or 0
+    s = within + across - (int(same_x) + int(same_y)) // 2
+    tied = lambda c: int(pts.groupBy(c).agg(F.sum("c").cast("decimal(38,0)").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0)).cast("decimal(38,0)")).first()[0]) // 2
+    pairs = n * (n - 1) // 2
+    free = (pairs - tied("x")) * (pairs - tied("y"))
+    return spark.createDataFrame([(s / math.sqrt(free) if free > 0 else None, n)], "tau double, n long")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "spearman") -> DataFrame:
@@ -91,10 +118,41 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "spearma
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double, p double, n long")
 
 
-def partial_correlation(df: DataFrame, x: str, y: str, control: str) -> DataFrame:
-    s = df.dropna(subset=[x, y, control]).agg(F.corr(x, y).alias("xy"), F.corr(x, control).alias("xz"), F.corr(y, control).alias("yz"), F.count("*").alias("n"))
-    r = (F.col("xy") - F.col("xz") * F.col("yz")) / F.nullif(F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)), F.lit(0.0))
-    return s.select(r.alias("r"), "n")
+def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:
+    """Covariances (sample) of all pairs of columns over the rows where all are there, in one pass, and the number of rows."""
+    d = df.dropna(subset=columns).select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    k = len(columns)
+    row = d.agg(F.count("*").alias("n"), *[F.covar_samp(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    out = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] if row[f"c{min(i, j)}_{max(i, j)}"] is not None else np.nan for j in range(k)] for i in range(k)], dtype=float)
+    return out, row.n
+
+
+def partial_correlation(df: DataFrame, x: str, y: str, control: str | list[str] | tuple[str, ...], method: str = "pearson") -> DataFrame:
+    """(r, p, n): correlation of x and y without what any list of controls explains, and its two-sided p by the t distribution. One pass
+    gathers the covariances; what the controls explain is taken off by a Cholesky factor of theirs, controls that others explain
+    (or that do not vary) left out. method spearman works on ranks over the rows where all are there. Null where x or y
+    does not vary beyond the controls."""
+    controls = [control] if isinstance(control, str) else list(control)
+    columns = [x, y, *controls]
+    if method == "spearman":
+        df = df.dropna(subset=columns).select(*columns)
+        for c in dict.fromkeys(columns):
+            df = average_ranks(df, c, f"_rank_{c}")
+        columns = [f"_rank_{c}" for c in columns]
+    g, n = gram(df, columns)
+    r, used = None, 0
+    if n > 1 and np.isfinite(g).all():
+        scale = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
+        g = g / scale / scale[:, None]
+        rest, todo = g.copy(), list(range(2, len(columns)))
+        for c in todo:  # a row of the Cholesky factor for each control
+            if rest[c, c] > 1e-10:
+                rest = rest - np.outer(rest[:, c], rest[c]) / rest[c, c]
+                used += 1
+        if rest[0, 0] > 1e-10 and rest[1, 1] > 1e-10:
+            r = float(max(-1.0, min(1.0, rest[0, 1] / math.sqrt(rest[0, 0] * rest[1, 1]))))
+    p = correlation_p(r, n - used) if r is not None and n - used > 2 else None
+    return df.sparkSession.createDataFrame([(r, p, n)], "r double, p double, n long")
 
 
 def effect_sizes(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyseek.functions.vectors import norm
-from polyseek.operators import clusters, encode, evaluate, facts, index, search, statistics, text
+from polyseek.operators import clusters, encode, evaluate, facts, index, matrices, search, statistics, text
 from polyseek.plans import config
 from polyseek.plans.fixture import CELLS, CONFIG, Fixture
 from polyseek.plans.twins import twin
@@ -156,7 +156,7 @@ query("relu_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, s
 query("length_normalised_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, avg(s) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "mean"))
 query("l2_maxsim", "query_id:i doc_id:i score:f", "SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, q_token_id, doc_id, max(2 * list_dot_product(qv, v) - list_dot_product(qv, qv) - list_dot_product(v, v)) AS s FROM qtok CROSS JOIN tok GROUP BY ALL) GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "l2"))
 query("two_part_score", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, coalesce(sum(s) FILTER (WHERE q_token_id < 2 AND r <= 1), 0) + coalesce(sum(s) FILTER (WHERE q_token_id >= 2 AND r <= 1), 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, q_token_id < 2 ORDER BY s DESC) AS r FROM {_EXACT}) GROUP BY ALL")(
-    lambda t: search.two_part_sum(index.products(t.tokens.select("doc_id", "v"), t.qtok).groupBy("query_id", "q_token_id", "doc_id").agg(F.max(search.dot(F.col("qv"), F.col("v"))).alias("score")), 2, (1, 1))
+    lambda t: search.two_part_sum(matrices.token_maxima(t.qtok, t.tokens), 2, (1, 1))
 )
 query("search_topk", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")(lambda t: search.search(t.qtok, t.index, CONFIG))
 query("search_quantised", "query_id:i doc_id:i score:f influential:i", "SELECT query_id, doc_id, score, influential FROM docs")(lambda t: t.docs)
@@ -178,10 +178,10 @@ query("search_stats", "query_id:i query_length:i n_clusters_selected:i total_tok
 _S0 = "(SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, centroid_id FROM ranked WHERE rank <= 2) JOIN post USING (centroid_id))"
 _F1 = f"(SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, sum(coalesce(s, -9999)) AS score FROM {_S0} JOIN (SELECT DISTINCT query_id, q_token_id FROM qtok) USING (query_id) LEFT JOIN (SELECT c.query_id, c.q_token_id, p.doc_id, max(c.score) AS s FROM csc c JOIN (SELECT query_id, centroid_id FROM csc GROUP BY ALL HAVING max(score) >= 0.2) USING (query_id, centroid_id) JOIN post p ON p.centroid_id = c.centroid_id GROUP BY ALL) x USING (query_id, q_token_id, doc_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) <= 40)"
 _F2 = f"(SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT f.query_id, f.doc_id, c.q_token_id, max(c.score) AS s FROM {_F1} f JOIN post p USING (doc_id) JOIN csc c ON c.query_id = f.query_id AND c.centroid_id = p.centroid_id GROUP BY ALL) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) <= 10)"
-query("stage_candidates", "query_id:i doc_id:i", f"SELECT * FROM {_S0}")(lambda t: search.stage_candidates(t.scores, t.index, 2))
-query("stage_filter1", "query_id:i doc_id:i score:f", f"SELECT * FROM {_F1}")(lambda t: search.stage_filter(search.stage_candidates(t.scores, t.index, 2), t.scores, t.index, 40, 0.2))
+query("stage_candidates", "query_id:i doc_id:i", f"SELECT * FROM {_S0}")(lambda t: search.stage_candidates(t.qtok, t.index, 2))
+query("stage_filter1", "query_id:i doc_id:i score:f", f"SELECT * FROM {_F1}")(lambda t: search.stage_filter(search.stage_candidates(t.qtok, t.index, 2), t.qtok, t.index, 40, 0.2))
 query("stage_filter2", "query_id:i doc_id:i score:f", f"SELECT * FROM {_F2}")(
-    lambda t: search.stage_filter(search.stage_filter(search.stage_candidates(t.scores, t.index, 2), t.scores, t.index, 40, 0.2).select("query_id", "doc_id"), t.scores, t.index, 10)
+    lambda t: search.stage_filter(search.stage_filter(search.stage_candidates(t.qtok, t.index, 2), t.qtok, t.index, 40, 0.2).select("query_id", "doc_id"), t.qtok, t.index, 10)
 )
 query("stage_final", "query_id:i doc_id:i rank:i score:f", f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(greatest(s, 0)) AS score FROM (SELECT f.query_id, f.doc_id, q_token_id, max(list_dot_product(qv, m) / sqrt(list_dot_product(m, m))) AS s FROM {_F2} f JOIN (SELECT doc_id, list_transform(list_zip(cv, w), lambda x: x[1] + x[2]) AS m FROM postw) USING (doc_id) JOIN qtok USING (query_id) GROUP BY ALL) GROUP BY ALL) QUALIFY rank <= 5")(
     lambda t: search.staged_search(t.qtok, t.index, 5, (2, 0.2, 40))
@@ -302,9 +302,16 @@ def _li(t: Fixture) -> DataFrame:
 _AVGRANK = "(SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM {0})"
 query("pearson", "r:f n:i", f"SELECT corr(x, y) AS r, count(*) AS n FROM {_LI}")(lambda t: statistics.pearson(_li(t), "x", "y"))
 query("spearman", "r:f n:i", f"SELECT corr(rx, ry) AS r, count(*) AS n FROM {_AVGRANK.format(_LI)}")(lambda t: statistics.spearman(_li(t), "x", "y"))
-query("kendall", "tau:f n:i", "SELECT sum(sign(b.x - a.x) * sign(b.y - a.y)) / sqrt(sum(CASE WHEN a.x <> b.x THEN 1.0 ELSE 0 END) * sum(CASE WHEN a.y <> b.y THEN 1.0 ELSE 0 END)) AS tau, (SELECT count(*) FROM offline) AS n FROM (SELECT centroid_id, CAST(n_tokens AS DOUBLE) AS x, dispersion AS y FROM offline) a JOIN (SELECT centroid_id, CAST(n_tokens AS DOUBLE) AS x, dispersion AS y FROM offline) b ON a.centroid_id < b.centroid_id")(
+query("kendall_cells", "tau:f n:i", "SELECT sum(sign(b.x - a.x) * sign(b.y - a.y)) / sqrt(sum(CASE WHEN a.x <> b.x THEN 1.0 ELSE 0 END) * sum(CASE WHEN a.y <> b.y THEN 1.0 ELSE 0 END)) AS tau, (SELECT count(*) FROM offline) AS n FROM (SELECT centroid_id, CAST(n_tokens AS DOUBLE) AS x, dispersion AS y FROM offline) a JOIN (SELECT centroid_id, CAST(n_tokens AS DOUBLE) AS x, dispersion AS y FROM offline) b ON a.centroid_id < b.centroid_id")(
     lambda t: statistics.kendall(t.offline, "n_tokens", "dispersion")
 )
+_PAIRED = f"(SELECT a.x AS lo, b.x AS hi FROM (SELECT DISTINCT x FROM {_LI}) a JOIN (SELECT DISTINCT x FROM {_LI}) b ON a.x < b.x)"
+# Of each two values of x the Mann-Whitney statistic of y: concordant less discordant pairs are 2 U - m n.
+_MW = f"(SELECT lo, hi, sum(CASE WHEN x = hi THEN r ELSE 0 END) AS rs, count(*) FILTER (WHERE x = hi) AS n2, count(*) FILTER (WHERE x = lo) AS n1 FROM (SELECT lo, hi, x, rank() OVER (PARTITION BY lo, hi ORDER BY y) + (count(*) OVER (PARTITION BY lo, hi, y) - 1) / 2 AS r FROM {_PAIRED} JOIN {_LI} l ON l.x = lo OR l.x = hi) GROUP BY ALL)"
+_TIES = "(SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) AS k FROM {0} GROUP BY {1}))"
+query("kendall", "tau:f n:i", f"SELECT s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)) AS tau, n FROM (SELECT (SELECT sum(2 * (rs - n2 * (n2 + 1) / 2) - n1 * n2) FROM {_MW}) AS s, (SELECT count(*) FROM {_LI}) AS n, {_TIES.format(_LI, 'x')} AS tx, {_TIES.format(_LI, 'y')} AS ty)")(
+    lambda t: statistics.kendall(_li(t), "x", "y")
+)
 query("partial_corr", "r:f n:i", f"SELECT (corr(x, y) - corr(x, z) * corr(y, z)) / sqrt((1 - corr(x, z) ** 2) * (1 - corr(y, z) ** 2)) AS r, count(*) AS n FROM {_LI}")(lambda t: statistics.partial_correlation(_li(t), "x", "y", "z"))
 _G = "(SELECT event_type AS g, avg(value) AS m, variance(value) AS v, count(value) AS n FROM events GROUP BY 1)"
 query("effect_sizes", "group_1:s group_2:s cohens_d:f", f"SELECT a.g AS group_1, b.g AS group_2, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS cohens_d FROM {_G} a JOIN {_G} b ON a.g < b.g")(lambda t: statistics.effect_sizes(t.table("events"), "event_type", "value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyseek.functions.distributions import chi2_sf
-from polyseek.operators import clusters, facts, index, search, statistics
+from polyseek.operators import clusters, facts, index, matrices, search, statistics
 from polyseek.operators.tracking import Tracker
 from polyseek.plans import config
 from polyseek.plans.catalog import TOK, query
@@ -34,8 +34,7 @@ query("two_part_full_shape", "query_id:i doc_id:i score:f", f"SELECT query_id, d
 
 
 def _maxima(t: Fixture) -> DataFrame:
-    pair = search.products(t.tokens.select("doc_id", "v"), t.qtok.select("query_id", "q_token_id", "qv"))
-    return pair.groupBy("query_id", "q_token_id", "doc_id").agg(F.max(search.dot(F.col("qv"), F.col("v"))).alias("score"))
+    return matrices.token_maxima(t.qtok, t.tokens)
 
 
 _UNITV = "SELECT doc_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM (SELECT doc_id, list_transform(list_zip(cv, w), lambda x: x[1] + x[2]) AS m FROM postw)"
@@ -52,6 +51,13 @@ query("stage_settings", "k:i cells:i threshold:f candidates:i", "SELECT * FROM (
 )
 
 # Tests and matrices.
+_OK = "(SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_discount AS DOUBLE) AS z, CAST(l_tax AS DOUBLE) AS w FROM lineitem)"
+# The residuals of x, y and w on z, then those of x and y on what is left of w.
+_RES1 = f"(SELECT x - regr_intercept(x, z) OVER () - z * regr_slope(x, z) OVER () AS x, y - regr_intercept(y, z) OVER () - z * regr_slope(y, z) OVER () AS y, w - regr_intercept(w, z) OVER () - z * regr_slope(w, z) OVER () AS w FROM {_OK})"
+_RES2 = f"(SELECT x - regr_intercept(x, w) OVER () - w * regr_slope(x, w) OVER () AS x, y - regr_intercept(y, w) OVER () - w * regr_slope(y, w) OVER () AS y FROM {_RES1})"
+query("partial_corr_two_controls", "r:f n:i", f"SELECT corr(x, y) AS r, count(*) AS n FROM {_RES2}")(
+    lambda t: statistics.partial_correlation(t.table("lineitem"), "l_quantity", "l_extendedprice", ["l_discount", "l_tax"])
+)
 _COLS = ("n_tokens", "n_docs", "dispersion", "sel_freq")
 _PAIRS = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, corr({x}, {y}) AS r, count(*) AS n FROM frame0 WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for i, x in enumerate(_COLS) for y in _COLS[i + 1 :])
 query("correlation_matrix", "x:s y:s r:f n:i", _PAIRS)(lambda t: statistics.correlation_matrix(_stored(t.frame), list(_COLS), "pearson"))
