@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyseek.functions.vectors import dot, pick, tie
-from polyseek.operators.index import Index
+from polyseek.operators import search
+from polyseek.operators.index import Index, centroid_matrix
+from polyseek.plans.config import SearchConfig, t_prime
+from polyseek.sources.scratch import stored
 
 TOKEN = ["query_id", "q_token_id"]
 
@@ -165,3 +168,48 @@ def centroid_spread(rows: DataFrame, r0_: DataFrame, k: float = 1.5) -> DataFram
     s = rows.withColumn("_m", F.max("score").over(w)).withColumn("_d", F.stddev_pop("score").over(w)).where(F.col("score") >= F.col("_m") - k * F.col("_d"))
     s = s.join(r0_.select(*TOKEN, "centroid_id", F.lit(1).alias("_p")), [*TOKEN, "centroid_id"], "left")
     return s.groupBy(*TOKEN, "doc_id").agg(F.count("*").alias("strong"), F.countDistinct("centroid_id").alias("strong_centroids"), (F.count("_p") / F.count("*")).alias("capture_rate"))
+
+
+#: Pairs up to which a golden scan filters by a bit table before its join, and bits of the table for each of them.
+GOLDEN_MOST, GOLDEN_BITS = 1 << 22, 16
+
+
+def golden_scan(m4_: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Rows of M4 whose (query_id, doc_id) is judged, in two stages: a Bloom filter of two hashes over the pairs, one row that is
+    broadcast to the scan (at most ``GOLDEN_BITS`` bits for each of ``GOLDEN_MOST`` pairs), then the exact semi join of what is left.
+    Of a large M4 only rows of judged pairs, and a few others, are shuffled."""
+    pairs = qrels.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    n = pairs.count()
+    if not n:
+        return m4_.where(F.lit(False))
+    keys = [F.col("query_id").cast("long"), F.col("doc_id").cast("long")]
+    if n <= GOLDEN_MOST:
+        words = max(1, -(-n * GOLDEN_BITS // 64))
+        at = [F.pmod(h, F.lit(64 * words)) for h in (F.xxhash64(*keys), F.xxhash64(F.lit(7), *keys))]
+        bits = pairs.select(F.explode(F.array(*at)).alias("b")).groupBy(F.expr("b div 64").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("w"))
+        bits = m4_.sparkSession.range(words).select(F.col("id").alias("i")).join(bits, "i", "left").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("s"))
+        bits = bits.select(F.col("s.w").alias("_bits"))  # one row of ``words`` numbers
+        m4_ = m4_.crossJoin(F.broadcast(bits))
+        for a in at:
+            m4_ = m4_.where(F.getbit(F.get("_bits", F.floor(a / 64).cast("int")), (a % 64).cast("int")) == 1)
+        m4_ = m4_.drop("_bits")
+    return m4_.join(pairs, ["query_id", "doc_id"], "left_semi")
+
+
+def measure(qtok: DataFrame, index: Index, config: SearchConfig) -> dict[str, DataFrame]:
+    """m1, r0, m3, m4 and ranking of a search, each a plan over stored routes and winners."""
+    at = config.t_prime
+    if at is None:
+        n = index.centroids.agg(F.count("*"), F.sum("size")).first()
+        at = t_prime(n[0], n[1] or 0, config.k)
+    held = centroid_matrix(index.centroids)
+    if held is not None:
+        rows = stored(search.routes(qtok, held, config.nprobe, at, config.bound))
+        routed, missing = rows.select(*TOKEN, F.inline("probes")), rows.select(*TOKEN, "mse")
+    else:
+        scores = stored(search.centroid_scores(qtok, index.centroids))
+        routed, missing = stored(search.probes(scores, config.nprobe)), search.missing_scores(scores, at, config.bound)
+    scored = search.token_scores if index.blocks is None else search.block_scores
+    won = stored(search.winners(scored(qtok, routed, index)))
+    ranking = stored(search.top_k(search.document_scores(won, missing), config.k))
+    return {"m1": m1(routed), "r0": r0(routed), "m3": m3(won, ranking), "m4": m4(oracle_rows(qtok, won, index)), "ranking": ranking}

@@ -138,3 +138,18 @@ def reports(frame: DataFrame, severity: DataFrame, fallback: DataFrame, status:
         borderline_misses(frame), no_fallback(fallback), recall_by_routing(status, ranking), lucky_oracle(status, ranking),
     ]
     return frame.sparkSession.createDataFrame(rows, SCHEMA)
+
+
+def report_inputs(frame: DataFrame, fallback: DataFrame, status: DataFrame, ranking: DataFrame) -> DataFrame:
+    """(name, value, n): the correlations, shares and differences that the rules of reports() judge, without their p-values."""
+    f = frame.withColumn("diversity", F.col("n_docs") / F.nullif("n_tokens", F.lit(0)))
+    pairs = [("diversity", "yield"), ("diversity", "redundancy"), ("top_1_doc_share", "redundancy"), ("dispersion", "m6_miss_rate"), ("sel_freq", "redundancy")]
+    rows = []
+    for x, y in pairs:
+        s = statistics.spearman(f, x, y).first()
+        rows.append((f"{x} {y}", s.r, s.n))
+    lost = fallback.agg(F.count("*").alias("n"), F.count_if(F.col("num_fallback") == 0).alias("k")).first()
+    rows.append(("no_fallback", lost.k / lost.n if lost.n else None, lost.n))
+    rows += [(f"recall {r.routing_status}", r.recall, r.pairs) for r in facts.recall_by(status, ranking, "routing_status").collect()]  # three at most
+    rows += [(f"rescue {r.mechanism}", None, r.pairs) for r in facts.rescue(status, ranking).collect()]  # two at most
+    return frame.sparkSession.createDataFrame(rows, "name string, value double, n long")

@@ -16,8 +16,19 @@ from polyseek.operators import mergecount
 from polyseek.sources.scratch import stored
 
 
-def stratify(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.median(value).alias("median"), F.count(value).alias("n"))
+#: What stratify() can give for a column, by name.
+AGGREGATES: dict[str, Callable[[str], Column]] = {
+    "mean": F.avg, "std": F.stddev, "median": F.median, "n": F.count, "min": F.min, "max": F.max, "sum": F.sum, "var": F.variance, "nunique": F.countDistinct,
+    "q25": lambda c: F.percentile(c, F.lit(0.25)), "q75": lambda c: F.percentile(c, F.lit(0.75)),
+}
+
+
+def stratify(df: DataFrame, by: str | list[str], value: str | list[str], functions: tuple[str, ...] = ("mean", "std", "median", "n")) -> DataFrame:
+    """Aggregates (names of ``AGGREGATES``) of one or several columns for each combination of one or several others. Columns are named
+    by the function, and with several values by value and function. Null groups stay groups."""
+    groups, values = ([x] if isinstance(x, str) else list(x) for x in (by, value))
+    name = lambda v, f: f if len(values) == 1 else f"{v}_{f}"
+    return df.groupBy(*groups).agg(*[AGGREGATES[f](v).alias(name(v, f)) for v in values for f in functions])
 
 
 def describe_extended(df: DataFrame, value: str, at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:

@@ -118,3 +118,13 @@ def offsets(df: DataFrame, key: str, length: str) -> DataFrame:
 
 def numeric_id(value: Column) -> Column:
     return F.when(value.rlike("^[0-9]+$"), value.cast("long"))
+
+
+def distinct_in_order(df: DataFrame, value: str, order: str, out: str = "place") -> DataFrame:
+    """Each value once, with the place (from 0) of its first row in the order of a column of distinct numbers."""
+    return numbered(df.groupBy(value).agg(F.min(order).alias("_first")), "_first", out).drop("_first")
+
+
+def titled(title: Column, text: Column) -> Column:
+    """Title and text of a benchmark corpus as one text, a space between them even where one is empty."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))

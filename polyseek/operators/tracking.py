@@ -14,24 +14,26 @@ class Tracker:
     """Records how long named steps of iterations take, on the driver."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, str, float]] = []
+        self.rows: list[tuple[int, str, float, int]] = []
         self.iteration = 0
 
     @contextmanager
-    def step(self, name: str) -> Iterator[None]:
+    def step(self, name: str) -> Iterator[list[int]]:
+        """Times what runs inside; numbers of rows put into the list that it gives are summed up with it."""
+        rows: list[int] = []
         began = time.perf_counter()
         try:
-            yield
+            yield rows
         finally:
-            self.rows.append((self.iteration, name, time.perf_counter() - began))
+            self.rows.append((self.iteration, name, time.perf_counter() - began, sum(rows)))
 
     def next(self) -> None:
         self.iteration += 1
 
     def steps(self, spark: SparkSession) -> DataFrame:
-        """(iteration, step, seconds) of everything recorded."""
-        return spark.createDataFrame(self.rows, "iteration int, step string, seconds double")
+        """(iteration, step, seconds, rows) of everything recorded."""
+        return spark.createDataFrame(self.rows, "iteration int, step string, seconds double, rows long")
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        """(step, iterations, total, mean) over all iterations."""
-        return self.steps(spark).groupBy("step").agg(F.countDistinct("iteration").alias("iterations"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"))
+        """(step, iterations, total, mean, rows) over all iterations."""
+        return self.steps(spark).groupBy("step").agg(F.countDistinct("iteration").alias("iterations"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"), F.sum("rows").alias("rows"))

@@ -102,10 +102,21 @@ query("event_json", "event_id:i n_props:i", "SELECT event_id, len(json_keys(prop
 query("set_operations", "doc_id:i side:s", "SELECT doc_id, 'both' AS side FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'documents' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")(
     lambda t: (lambda d, g: d.intersect(g).withColumn("side", F.lit("both")).unionByName(d.subtract(g).withColumn("side", F.lit("documents"))))(t.table("documents").select("doc_id"), t.table("labels").select("doc_id"))
 )
-query("experiment_grid", "nprobe:i nbits:i k:i", "SELECT * FROM (VALUES (1), (2), (4), (8)) a(nprobe), (VALUES (2), (4)) b(nbits), (VALUES (10), (100)) c(k)")(
-    lambda t: t.spark.createDataFrame(config.grid(nprobe=[1, 2, 4, 8], nbits=[2, 4], k=[10, 100]), "nprobe int, nbits int, k int")
+_GRID = "(SELECT nprobe, query_id, count(DISTINCT doc_id) AS n FROM ranked JOIN (VALUES (1), (2), (4)) g(nprobe) ON rank <= nprobe JOIN post USING (centroid_id) GROUP BY ALL)"
+query("experiment_grid", "nprobe:i k:i n_results:i n_queries:i", f"SELECT nprobe, k, sum(least(k, n)) AS n_results, count(*) AS n_queries FROM {_GRID}, (VALUES (5), (10)) c(k) GROUP BY ALL")(
+    lambda t: _grid_run(t, config.grid(nprobe=[1, 2, 4], k=[5, 10]))
 )
 
+
+def _grid_run(t: Fixture, settings: list[dict]) -> DataFrame:
+    """Every setting of a grid, searched: how many results it gives for how many queries."""
+    out = None
+    for given in settings:
+        found = search.search(t.qtok, t.index, CONFIG.merged(config.SearchConfig.of(**given)))
+        one = found.agg(*[F.lit(v).alias(k) for k, v in given.items()], F.count("*").alias("n_results"), F.countDistinct("query_id").alias("n_queries"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
 # Index.
 query("assign_centroid", "vec_id:i centroid_id:i", "SELECT vec_id, centroid_id FROM asg")(lambda t: t.assigned)
 _LLOYD = "(SELECT centroid_id, list(x ORDER BY d) AS m FROM (SELECT centroid_id, d, avg(x) AS x FROM (SELECT centroid_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM {0}) GROUP BY ALL) GROUP BY 1)"
@@ -147,9 +158,19 @@ query("centroid_scores", TOK + "centroid_id:i score:f", "SELECT query_id, q_toke
 query("topn_probe", TOK + "centroid_id:i rank:i score:f", "SELECT query_id, q_token_id, centroid_id, rank, score FROM routed")(lambda t: t.routed)
 query("missing_similarity", TOK + "mse:f", "SELECT * FROM missing")(lambda t: t.missing)
 query("probe_bound", TOK + "mse:f", "SELECT query_id, q_token_id, coalesce(arg_min(score, rank) FILTER (WHERE cum >= 200), arg_max(score, rank)) AS mse FROM ranked WHERE rank <= 3 GROUP BY ALL")(lambda t: search.missing_scores(t.scores, 200, 3))
-query("t_prime_policy", "cells:i embeddings:i k:i t_prime:i", "SELECT cells, embeddings, k, CASE WHEN cells <= 65536 THEN CAST(floor(sqrt(8 * embeddings) / 1000) AS BIGINT) * 1000 WHEN k > 100 THEN 100000 ELSE 50000 END AS t_prime FROM (VALUES (16, 124999, 10), (16, 125000, 10), (65536, 12500000, 10), (65537, 12500000, 100), (65537, 12500000, 101)) x(cells, embeddings, k)")(
-    lambda t: t.spark.createDataFrame([(*x, config.t_prime(*x)) for x in ((16, 124999, 10), (16, 125000, 10), (65536, 12500000, 10), (65537, 12500000, 100), (65537, 12500000, 101))], "cells long, embeddings long, k long, t_prime long")
+_SIZES = "(SELECT (SELECT count(*) FROM cen) * f AS cells, (SELECT count(*) FROM tok) * g AS embeddings, k FROM (VALUES (1), (8192)) a(f), (VALUES (1), (1000), (1000000)) b(g), (VALUES (10), (100), (101)) c(k))"
+query("t_prime_policy", "cells:i embeddings:i k:i t_prime:i", f"SELECT cells, embeddings, k, CASE WHEN cells <= 65536 THEN CAST(floor(sqrt(8 * embeddings) / 1000) AS BIGINT) * 1000 WHEN k > 100 THEN 100000 ELSE 50000 END AS t_prime FROM {_SIZES}")(
+    lambda t: _t_primes(t)
 )
+
+
+def _t_primes(t: Fixture) -> DataFrame:
+    """The default for the index's own sizes, and as if it were larger by some factors."""
+    cells, embeddings = t.index.centroids.count(), t.index.postings.count()
+    rows = [(cells * f, embeddings * g, k, config.t_prime(cells * f, embeddings * g, k)) for f in (1, 8192) for g in (1, 1000, 1_000_000) for k in (10, 100, 101)]
+    return t.spark.createDataFrame(rows, "cells long, embeddings long, k long, t_prime long")
+
+
 _EXACT = "(SELECT query_id, q_token_id, doc_id, max(list_dot_product(qv, v)) AS s FROM qtok CROSS JOIN tok GROUP BY ALL)"
 query("exact_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, sum(s) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens))
 query("relu_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, sum(greatest(s, 0)) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "relu"))
@@ -408,4 +429,4 @@ def _incremental(t: Fixture) -> DataFrame:
     return t.spark.read.parquet(f"{root}/out")
 
 
-from polyseek.plans import ingest, measures  # noqa: E402, F401  they register more queries
+from polyseek.plans import forms, ingest, measures  # noqa: E402, F401  they register more queries

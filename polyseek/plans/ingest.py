@@ -10,7 +10,7 @@ from polyseek.operators import index, search, text
 from polyseek.plans.catalog import query
 from polyseek.plans.fixture import CONFIG, Fixture
 from polyseek.sources import readers, sinks
-from polyseek.sources.scratch import folder
+from polyseek.sources.scratch import folder, stored
 
 _USERS = "SELECT conv_id || '-' || turn AS qid, text FROM conversations WHERE role = 'user' AND length(text) > 0"
 
@@ -99,12 +99,13 @@ def _ranking(t: Fixture) -> DataFrame:
     return readers.ranking(t.spark, f"{root}/ranking.tsv")
 
 
-@query("ranking_sidecar", "nprobe:i has_time:b has_arguments:b", "SELECT 4 AS nprobe, true AS has_time, true AS has_arguments")
+@query("ranking_sidecar", "nprobe:i rows:i queries:i has_time:b has_arguments:b", "SELECT 4 AS nprobe, count(*) AS rows, count(DISTINCT query_id) AS queries, true AS has_time, true AS has_arguments FROM top")
 def _sidecar(t: Fixture) -> DataFrame:
-    root = folder(t.spark)
-    sinks.save_ranking(t.top.limit(1), f"{root}/ranking.tsv", sinks.provenance(nprobe=CONFIG.nprobe))
-    about = t.spark.read.json(f"{root}/ranking.tsv.meta")
-    return about.select(F.get_json_object("metadata", "$.nprobe").alias("nprobe"), F.get_json_object("metadata", "$.time").isNotNull().alias("has_time"), F.get_json_object("metadata", "$.arguments").isNotNull().alias("has_arguments"))
+    root, top = folder(t.spark), stored(t.top)
+    n = top.agg(F.count("*").alias("rows"), F.countDistinct("query_id").alias("queries")).first().asDict()
+    sinks.save_ranking(top, f"{root}/ranking.tsv", sinks.provenance(nprobe=CONFIG.nprobe, **n))
+    about, of = t.spark.read.json(f"{root}/ranking.tsv.meta"), lambda k: F.get_json_object("metadata", f"$.{k}")
+    return about.select(of("nprobe").alias("nprobe"), of("rows").alias("rows"), of("queries").alias("queries"), of("time").isNotNull().alias("has_time"), of("arguments").isNotNull().alias("has_arguments"))
 
 
 @query("answers_scan", "query_id:s doc_id:i", "SELECT query_id, doc_id FROM qrels")
@@ -165,15 +166,15 @@ def _grouper(t: Fixture) -> DataFrame:
     return rows.select("group", F.size("items").alias("n"), F.size(F.filter("items", lambda x: x.isNull())).alias("n_null"))
 
 
-@query("zip_lists", "vec_id:i i:i a:f b:f", "SELECT vec_id, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS a, unnest(list_transform(range(64), lambda i: v[1 + i % 5])) AS b FROM tok WHERE vec_id % 50 = 0")
+@query("zip_lists", "vec_id:i i:i a:f b:f", "SELECT vec_id, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS a, unnest(list_transform(range(64), lambda i: v[1 + i % 5])) AS b FROM tok")
 def _zip(t: Fixture) -> DataFrame:
-    rows = t.tokens.where("vec_id % 50 = 0").select("vec_id", F.posexplode(text.zipped_to_first(F.col("v"), F.slice("v", 1, 5))).alias("i", "x"))
+    rows = t.tokens.select("vec_id", F.posexplode(text.zipped_to_first(F.col("v"), F.slice("v", 1, 5))).alias("i", "x"))
     return rows.select("vec_id", "i", "x.a", "x.b")
 
 
-@query("zipstar_lists", "vec_id:i i:i a:f b:f", "SELECT vec_id, i, v[i + 1] AS a, CASE WHEN i < 5 THEN v[64 - i] END AS b FROM tok, range(64) r(i) WHERE vec_id % 50 = 0")
+@query("zipstar_lists", "vec_id:i i:i a:f b:f", "SELECT vec_id, i, v[i + 1] AS a, CASE WHEN i < 5 THEN v[64 - i] END AS b FROM tok, range(64) r(i)")
 def _zipstar(t: Fixture) -> DataFrame:
-    rows = t.tokens.where("vec_id % 50 = 0").withColumn("w", F.slice(F.reverse("v"), 1, 5)).select("vec_id", F.posexplode(text.zipped(F.col("v"), F.col("w"))).alias("i", "x"))
+    rows = t.tokens.withColumn("w", F.slice(F.reverse("v"), 1, 5)).select("vec_id", F.posexplode(text.zipped(F.col("v"), F.col("w"))).alias("i", "x"))
     return rows.select("vec_id", "i", F.col("x.v").alias("a"), F.col("x.w").alias("b"))
 
 

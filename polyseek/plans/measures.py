@@ -28,15 +28,13 @@ query("search_routes", TOK + "mse:f n:i best:i worst_score:f", "SELECT query_id,
     lambda t: search.routes(t.qtok, search.centroid_matrix(t.cells), CONFIG.nprobe, T_PRIME).select("query_id", "q_token_id", "mse", F.size("probes").alias("n"), F.col("probes")[0]["centroid_id"].alias("best"), F.element_at("probes", -1)["score"].alias("worst_score"))
 )
 _BEST = "SELECT query_id, doc_id, q_token_id, max(list_dot_product(qv, v)) AS s FROM qtok CROSS JOIN (SELECT doc_id, v FROM tok) GROUP BY ALL"
-query("two_part_full_shape", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, sum(s) AS score FROM ({_BEST}) GROUP BY ALL")(
-    lambda t: search.two_part_sum(_maxima(t), 64, (32, 8))
+_LONG = "(SELECT vec_id // 100 AS query_id, vec_id % 100 AS q_token_id, v AS qv FROM tok)"
+_LBEST = f"(SELECT query_id, doc_id, q_token_id, max(list_dot_product(qv, v)) AS s FROM {_LONG} CROSS JOIN (SELECT doc_id, v FROM tok) GROUP BY ALL)"
+query("two_part_full_shape", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, coalesce(sum(s) FILTER (WHERE q_token_id < 64 AND r <= 32), 0) + coalesce(sum(s) FILTER (WHERE q_token_id >= 64 AND r <= 8), 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, q_token_id < 64 ORDER BY s DESC) AS r FROM {_LBEST}) GROUP BY ALL")(
+    lambda t: search.two_part_sum(matrices.token_maxima(t.tokens.select(F.expr("vec_id div 100").alias("query_id"), (F.col("vec_id") % 100).alias("q_token_id"), F.col("v").alias("qv")), t.tokens), 64, (32, 8))
 )
 
 
-def _maxima(t: Fixture) -> DataFrame:
-    return matrices.token_maxima(t.qtok, t.tokens)
-
-
 _UNITV = "SELECT doc_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM (SELECT doc_id, list_transform(list_zip(cv, w), lambda x: x[1] + x[2]) AS m FROM postw)"
 _EXACT = "SELECT query_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(greatest(s, 0)) AS score FROM (SELECT query_id, doc_id, q_token_id, max(list_dot_product(qv, u)) AS s FROM ({0}) c JOIN (" + _UNITV + ") USING (doc_id) JOIN qtok USING (query_id) GROUP BY ALL) GROUP BY ALL)) WHERE rank <= 10"
 _GIVEN = "SELECT DISTINCT q.query_id, t.doc_id FROM qtok q, tok t WHERE (t.doc_id + q.query_id) % 4 = 0"
@@ -46,10 +44,17 @@ query("staged_given_candidates", "query_id:i doc_id:i rank:i score:f", _EXACT.fo
 query("staged_predicate", "query_id:i doc_id:i rank:i score:f", _EXACT.format("SELECT DISTINCT query_id, doc_id FROM (SELECT * FROM ranked WHERE rank <= 2) JOIN post USING (centroid_id) WHERE doc_id % 3 = 1"))(
     lambda t: search.staged_search(t.qtok, t.index, 10, (2, -1.0, 1 << 20), allowed=F.col("doc_id") % 3 == 1)
 )
-query("stage_settings", "k:i cells:i threshold:f candidates:i", "SELECT * FROM (VALUES (10, 1, 0.5, 256), (100, 2, 0.45, 1024), (1000, 4, 0.4, 4096), (2000, 4, 0.4, 8000)) s(k, cells, threshold, candidates)")(
-    lambda t: t.spark.createDataFrame([(k, *config.stage_defaults(k)) for k in (10, 100, 1000, 2000)], "k int, cells int, threshold double, candidates int")
+query("stage_settings", "k:i cells:i threshold:f candidates:i", "SELECT k, CASE WHEN k <= 10 THEN 1 WHEN k <= 100 THEN 2 ELSE 4 END AS cells, CASE WHEN k <= 10 THEN 0.5 WHEN k <= 100 THEN 0.45 ELSE 0.4 END AS threshold, CASE WHEN k <= 10 THEN 256 WHEN k <= 100 THEN 1024 ELSE greatest(4 * k, 4096) END AS candidates FROM (SELECT DISTINCT n_docs * f AS k FROM sized, (VALUES (1), (4), (100)) a(f))")(
+    lambda t: _stage_settings(t)
 )
 
+
+def _stage_settings(t: Fixture) -> DataFrame:
+    """Settings of a search for as many results as the cells have documents, and for 4 and 100 times as many."""
+    sizes = sorted({r.n_docs * f for r in clusters.size_docs(t.index.postings).select("n_docs").distinct().collect() for f in (1, 4, 100)})
+    return t.spark.createDataFrame([(k, *config.stage_defaults(k)) for k in sizes], "k long, cells int, threshold double, candidates long")
+
+
 # Tests and matrices.
 _OK = "(SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_discount AS DOUBLE) AS z, CAST(l_tax AS DOUBLE) AS w FROM lineitem)"
 # The residuals of x, y and w on z, then those of x and y on what is left of w.
@@ -93,24 +98,25 @@ def _p_values(t: Fixture) -> DataFrame:
 @query("bootstrap_reports", "name:s value:f lo:f hi:f")
 def _bootstraps(t: Fixture) -> DataFrame:
     """Intervals over one number for each cell: the mean yield, and the rank correlation of size with dispersion."""
-    rows = t.frame.select("centroid_id", "yield", "n_tokens", "dispersion").orderBy("centroid_id").collect()  # a row for each cell
+    rows = t.frame.select("centroid_id", "yield", "n_tokens", "dispersion", "hub_type").orderBy("centroid_id").collect()  # a row for each cell
     known = [r["yield"] for r in rows if r["yield"] is not None]
     lo, hi = statistics.bootstrap_spearman([r.n_tokens for r in rows], [r.dispersion for r in rows])
-    diff, p = statistics.bootstrap_comparison(known[: len(known) // 2], known[len(known) // 2 :])
-    out = [("mean_yield", *statistics.bootstrap_ci(known)), ("size_dispersion", statistics.spearman(t.frame, "n_tokens", "dispersion").first().r, lo, hi), ("halves", diff, p, p)]
+    hubs = [[r["yield"] for r in rows if r["yield"] is not None and (r.hub_type == "bad_hub") == bad] for bad in (True, False)]
+    diff, p = statistics.bootstrap_comparison(*hubs) if all(hubs) else (None, None)
+    out = [("mean_yield", *statistics.bootstrap_ci(known)), ("size_dispersion", statistics.spearman(t.frame, "n_tokens", "dispersion").first().r, lo, hi), ("bad_hubs_against_others", diff, p, p)]
     return t.spark.createDataFrame(out, "name string, value double, lo double, hi double")
 
 
-@query("execution_tracker", "step:s iterations:i timed:b", "SELECT * FROM (VALUES ('route', 2, true), ('score', 2, true)) s(step, iterations, timed)")
+@query("execution_tracker", "step:s iterations:i rows:i timed:b", "SELECT 'route' AS step, 2 AS iterations, 2 * count(*) AS rows, true AS timed FROM routed UNION ALL SELECT 'score', 2, 2 * count(*), true FROM won")
 def _tracked(t: Fixture) -> DataFrame:
     tracker = Tracker()
     for _ in range(2):
-        with tracker.step("route"):
-            t.routed.count()
-        with tracker.step("score"):
-            facts.r0(t.routed).count()
+        with tracker.step("route") as rows:
+            rows.append(t.routed.count())
+        with tracker.step("score") as rows:
+            rows.append(t.won.count())
         tracker.next()
-    return tracker.summary(t.spark).select("step", "iterations", (F.col("total") > 0).alias("timed"))
+    return tracker.summary(t.spark).select("step", "iterations", "rows", (F.col("total") > 0).alias("timed"))
 
 
 @query("pack_two_bits", "vec_id:i byte:i value:i same:b", "SELECT vec_id, unnest(range(16)) AS byte, unnest(list_transform(range(16), lambda b: 64 * k[4 * b + 1] + 16 * k[4 * b + 2] + 4 * k[4 * b + 3] + k[4 * b + 4])) AS value, true AS same FROM (SELECT vec_id, list_transform(r, lambda y: len(list_filter(cut, lambda c: c < y))) AS k FROM res CROSS JOIN (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS cut FROM (SELECT unnest(r) AS x FROM res)))")

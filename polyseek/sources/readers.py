@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyseek import schemas
-from polyseek.operators.text import numeric_id, passage, unescaped
+from polyseek.operators.text import numeric_id, passage, titled, unescaped
+from polyseek.sources.scratch import stored
 
 
 def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -19,6 +20,27 @@ def collection(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("pid").cast("long").alias("pid"), passage(F.col("title"), unescaped(F.col("passage"))).alias("text"))
 
 
+def benchmark_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A collection (pid, text) and its id map (doc_id, external_id) from JSON lines with _id, title and text. Internal ids are dense, in
+    the order of the external ones (numbers by value, then other ids by code point); of repeated ids the least text stays."""
+    rows = spark.read.schema("_id string, title string, text string").json(path).where("_id is not null")
+    rows = rows.groupBy("_id").agg(F.min(F.struct(titled(F.col("title"), F.col("text")).alias("text"))).alias("t"))
+    ids = ordered_ids(rows.select(F.col("_id").alias("external_id")))
+    return ids.join(rows, F.col("external_id") == F.col("_id")).select(F.col("doc_id").alias("pid"), "t.text"), ids
+
+
+def ordered_ids(ids: DataFrame) -> DataFrame:
+    """doc_id (dense, from 0), external_id of distinct external ids: range-partitioned by the id, numbered within ranges, and over one
+    row for each range, between them."""
+    number = F.when(F.col("external_id").rlike("^[0-9]{1,18}$"), F.col("external_id").cast("long"))
+    rows = ids.withColumn("_n", number).withColumn("_s", F.col("_n").isNull())
+    rows = stored(rows.repartitionByRange("_s", "_n", "external_id").withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_k")).select("_p", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_b"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("_s", "_n", "external_id"))
+    return rows.withColumn("_r", own).join(F.broadcast(sizes), "_p").select((F.col("_b") + F.col("_r") - 1).alias("doc_id"), "external_id")  # a row for each range
+
+
 def misnumbered(rows: DataFrame) -> DataFrame:
     """Rows whose pid leaves 0..n-1 or comes twice: a collection must have none."""
     n = rows.count()

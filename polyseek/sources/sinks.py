@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyseek.operators.index import Index
 from polyseek.operators.text import escaped
 
 MODES = {False: "errorifexists", True: "overwrite", "reuse": "ignore", "resume": "append"}
@@ -73,3 +74,24 @@ def index_bytes(spark: SparkSession, path: str) -> int:
     """Size of an index folder, all files."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return int(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength())
+
+
+def index_size(index: Index) -> DataFrame:
+    """(part, bytes) of an index by what it must hold: codes (nbits of each component), ids and positions of its embeddings (8 bytes
+    each), centroids in single precision, and their sizes."""
+    n, width = index.postings.count(), index.centroids.agg(F.max(F.size("cv"))).first()[0] or 0
+    k = index.centroids.count()
+    per = 8 // index.nbits
+    rows = [("codes", n * -(-width // per)), ("ids", 16 * n), ("centroids", 4 * width * k), ("sizes", 8 * k)]
+    return index.postings.sparkSession.createDataFrame(rows, "part string, bytes long")
+
+
+def save_derived(tables: dict[str, DataFrame], root: str, about: dict, overwrite: object = True) -> None:
+    """Derived tables as Parquet under root and a summary of them (rows, columns, what made them) as one JSON line."""
+    spark, sizes = None, {}
+    for name, rows in tables.items():
+        rows.write.mode(MODES[overwrite]).parquet(f"{root}/{name}")
+        spark = rows.sparkSession
+        sizes[name] = {"rows": spark.read.schema(rows.schema).parquet(f"{root}/{name}").count(), "columns": rows.columns}
+    if spark is not None:
+        save_json(_one(spark, {"tables": sizes, **about}), f"{root}/summary", overwrite)
