@@ -79,14 +79,15 @@ def placed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS,
     """Documents with uid, size, start in their source's stream and its figures; the sources; uid and ``keep`` of each document."""
     sized = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep,
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("_h"), *keep,
     )
     sized = saved(sized)
     sources = saved(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, passes))
     there = sources.withColumnRenamed("source", "_s")
-    out = sized.select("uid", "doc_id", "size", "source").join(there, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    out = out.withColumn("_c", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)))
-    return saved(running(out, ["sid"], "_c", ["doc_id", "uid"], "size", "start").drop("_c")), sources, sized
+    out = sized.select("uid", "doc_id", "size", "source", "_h").join(there, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # Null and repeated doc_ids are told apart by their texts, so that they do not add up in one chunk.
+    out = out.withColumn("_c", F.pmod(F.xxhash64("_h"), F.lit(CHUNKS)))
+    return saved(running(out, ["sid"], "_c", ["doc_id", "_h", "uid"], "size", "start").drop("_c", "_h")), sources, sized
 
 
 def drawn(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS, passes: int = PASSES) -> DataFrame:

@@ -14,7 +14,7 @@ members times the bucket, not with the square of a group of copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 25, 5
 #: Members of a bucket that are compared in one task, at most, members of a chunk of larger ones, and pivots (about).
 HOT, CHUNK, PIVOTS = 512, 256, 32
+#: Whether candidates meet by prefixes (all links) or by MinHash bands.
+EXACT = False
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,11 +161,52 @@ def large_buckets(buckets: DataFrame) -> DataFrame:
     return saved(big.join(one, ["n", "_a", "_b"]).select("key", "n", "one"))
 
 
-def kept_rows(docs: DataFrame, key: str) -> DataFrame:
+def prefix_size(n: int) -> int:
+    """How many shingles of n, the first in any fixed order, hold one that every set of similarity ``LEAST`` has among its own first."""
+    a, b = LEAST
+    return n - -(-a * n // b) + 1 if n else 0
+
+
+def _tokens(whole: bool) -> Callable[[pa.RecordBatch], dict]:
+    """(row, n, key) of the shingles of a prefix, in the order of their hashes, or of all."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t) for t in column(batch, "text")]
+        part = [s if whole else s[: prefix_size(len(s))] for s in sets]
+        sizes = np.array([len(p) for p in part], dtype=np.int64)
+        flat = np.concatenate(part) if part else np.zeros(0, "<u8")
+        return {"row": np.repeat(batch.column(0).to_numpy(), sizes), "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int64), sizes), "key": (flat ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)}
+
+    return run
+
+
+def prefix_buckets(slim: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(key, row): rows by the shingles of their prefixes; two rows of similarity ``LEAST`` or more share a key, always.
+
+    The order of shingles is that of their hashes, frequent ones last: first every row's prefix is taken by hash alone; shingles
+    that come in more than ``HOT`` of these prefixes are frequent, and the rows that hold one in their prefix take it anew
+    with these behind all others. Other rows' prefixes stay as they are, since only later shingles moved."""
+    schema = "row long, n long, key long"
+    entries = arrow(slim.select("row", "text"), _tokens(False), schema, most=1 << 20).join(distinct.select("row").hint("merge"), "row", "left_semi")
+    entries = saved(entries.select("key", "row"))
+    frequent = saved(entries.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    if frequent.isEmpty():
+        return entries
+    moved = saved(entries.join(frequent, "key").select("row").distinct())
+    every = arrow(slim.select("row", "text").join(moved.hint("merge"), "row", "left_semi"), _tokens(True), schema, most=1 << 20)
+    every = every.join(frequent.withColumn("late", F.lit(1)), "key", "left").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "key"))).alias("t"))
+    a, b = LEAST
+    size = F.col("n") - F.ceil(F.col("n") * a / b) + 1
+    anew = every.select(F.explode(F.slice("t", F.lit(1), size.cast("int"))).alias("t"), "row").select("t.key", "row")
+    return saved(entries.join(moved.hint("merge"), "row", "left_anti").select("key", "row").union(anew))
+
+
+def kept_rows(docs: DataFrame, key: str, exact: bool = EXACT) -> DataFrame:
     """The ``key`` of the row that stays of each group of docs (key, doc_id, text): that of least doc_id, nulls last.
 
-    Groups are joined by links of similarity ``LEAST`` or more. Texts without a word are copies of each other; an empty
-    table gives an empty one.
+    Groups are joined by links of similarity ``LEAST`` or more. With ``exact`` candidates meet by prefix_buckets() instead of
+    MinHash bands, so that no link is missed. Texts without a word are copies of each other; an empty table gives an
+    empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -185,7 +228,7 @@ def kept_rows(docs: DataFrame, key: str) -> DataFrame:
     near = fingerprint_links(reps).union(prints.join(reps, "fp").where("row <> rep").select("row", "rep"))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = saved(near.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("row")))
-    buckets = distinct.select("row", F.explode("keys").alias("key")).select("key", "row")
+    buckets = prefix_buckets(slim, distinct) if exact else distinct.select("row", F.explode("keys").alias("key")).select("key", "row")
     large = large_buckets(buckets)
     any_large = not large.isEmpty()
     cold = buckets.join(large.select("key"), "key", "left_anti") if any_large else buckets

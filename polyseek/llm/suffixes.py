@@ -37,6 +37,8 @@ from polyseek.llm.anchors import BYTES, anchored
 from polyseek.llm.common import arrow, column, numbered, parts, saved, small_batches
 
 LENGTH = 200
+#: Bytes of the keys of a bucket, about: a task holds them.
+BUCKET_BYTES = 256 << 20
 #: Bytes of an anchor: with 50, about one position in 76 is one.
 ANCHOR = 50
 SEGMENT = 1 << 20
@@ -435,12 +437,12 @@ def across(ends: list, length: int) -> tuple[list[tuple], list[tuple]]:
     return sorted(spans), reach
 
 
-def settled(rows: DataFrame, length: int, left: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, first, last), spans of windows that repeat among suffixes with keys; and suffixes of one window each, still to
-    be compared over all buckets."""
+def settled(rows: DataFrame, length: int, left: int, k: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, first, last), spans of windows that repeat among ``n`` suffixes with keys; and suffixes of one window each, still to
+    be compared over all buckets. There are as many buckets as the keys' bytes ask for."""
     spark = rows.sparkSession
     small_batches(spark)
-    dealt = rows.repartitionByRange(parts(spark), "key", "uid", "at")
+    dealt = rows.repartitionByRange(max(parts(spark), -(-n * (length + left) // BUCKET_BYTES)), "key", "uid", "at")
     found = saved(dealt.mapInArrow(_settle(length, left, k), FOUND))
     equal, reach = across(found.where("kind = 2").collect(), length)  # two rows a bucket
     spans = found.where("kind = 0").select("uid", "first", "last").union(spark.createDataFrame(equal, "uid long, first int, last int"))
@@ -462,8 +464,9 @@ def repeats(packed: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFra
     met = rows.repartition(parts(spark), deal).sortWithinPartitions("h").mapInArrow(_met, ANCHORS.replace("h long, ", ""))
     met = saved(met)
     runs = met.where("kind = 1").select("uid", "at", "first", "last", "multi")
-    near, far = settled(with_keys(runs, packed, length, left), length, left, k)
-    single, _ = settled(with_keys(far, packed, length, 0), length, 0, k)
+    near, far = settled(with_keys(runs, packed, length, left), length, left, k, runs.count())
+    far = saved(far)
+    single, _ = settled(with_keys(far, packed, length, 0), length, 0, k, far.count())
     spans = met.where("kind = 0").select("uid", "first", "last").union(near).union(single)
     return spans.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 

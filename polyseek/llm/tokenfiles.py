@@ -14,6 +14,7 @@ import hashlib
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyseek.llm.common import column, parts, pieces, saved, scratch, small_batches, texts
+from polyseek.llm.common import column, parts, pieces, ranges, saved, scratch, small_batches, texts
 from polyseek.llm.tokens import encoder
 
 END = 2
@@ -35,6 +36,8 @@ MAGIC = b"PSTOK001"
 _HEAD = "<8sB32s"
 _TAIL = "<QQ"
 LEVEL = 3
+#: Bytes that are read of a file at once, about, where all its documents are wanted.
+READ = 8 << 20
 
 
 def folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -96,6 +99,19 @@ class TokenFile:
         self.null = np.frombuffer(index, dtype="u1", count=n, offset=24 * n).astype(bool)
         self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
+    def all_ids(self, block: int = READ) -> Iterator[np.ndarray]:
+        """The ids of every document in order, read in stretches of about ``block`` bytes."""
+        i, start = 0, struct.calcsize(_HEAD)
+        while i < len(self.ends):
+            j = max(i + 1, int(np.searchsorted(self.ends, start + block, side="right")))
+            self.file.seek(start)
+            held = self.file.read(int(self.ends[j - 1]) - start)
+            low = 0
+            for end, n in zip((self.ends[i:j] - start).tolist(), self.counts[i:j].tolist(), strict=True):
+                yield np.frombuffer(self.unpack.decompress(held[low:end], max_output_size=max(1, n * self.width)), dtype=f"<u{self.width}")
+                low = end
+            i, start = j, int(self.ends[j - 1])
+
     def ids(self, i: int) -> np.ndarray:
         start = struct.calcsize(_HEAD) if i == 0 else int(self.ends[i - 1])
         self.file.seek(start)
@@ -118,10 +134,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> tuple[DataFrame, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         last = np.array([end], dtype=enc.dtype).tobytes()
-        ids: list[int] = []
-        null: list[bool] = []
-        ends: list[int] = []
-        counts: list[int] = []
+        ids, ends, counts, null = array("q"), array("q"), array("q"), bytearray()  # 25 bytes a document
 
         def body() -> Iterator[bytes]:
             yield struct.pack(_HEAD, MAGIC, enc.dtype.itemsize, hashlib.sha256(dictionary).digest())
@@ -134,7 +147,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> tuple[DataFrame, s
                         at += len(f)
                         ids.append(d or 0), null.append(d is None), ends.append(at), counts.append(len(b) // enc.dtype.itemsize)
                     yield b"".join(frames)
-            index = b"".join(np.array(x, dtype="<i8").tobytes() for x in (ids, ends, counts)) + np.array(null, dtype="u1").tobytes()
+            index = b"".join(np.array(x, dtype="<i8").tobytes() for x in (ids, ends, counts)) + bytes(null)
             index = zstandard.ZstdCompressor(level=LEVEL).compress(index)
             yield index + struct.pack(_TAIL, len(ids), len(index))
 
@@ -143,7 +156,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> tuple[DataFrame, s
         if ids:
             yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "name": [name], "n_docs": [len(ids)], "n_ids": [sum(counts)]})
 
-    dealt = texts(docs).repartitionByRange(parts(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    dealt = texts(docs).repartitionByRange(ranges(spark, size), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return saved(dealt.select("doc_id", "text").mapInArrow(run, "pid int, name string, n_docs long, n_ids long")), out, dictionary
 
 
@@ -157,7 +171,7 @@ def read(files: DataFrame, uri: str, dictionary: bytes) -> DataFrame:
         for batch in batches:
             for name, base in zip(column(batch, "name"), column(batch, "base"), strict=True):
                 f = TokenFile(uri, name, dictionary)
-                crc = [zlib.crc32(f.ids(i).astype("<u4").tobytes()) for i in range(len(f.counts))]
+                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in f.all_ids()]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(f.doc_id, pa.int64(), mask=f.null), "start": base + np.cumsum(f.counts) - f.counts, "n_tokens": np.asarray(f.counts), "ids_crc32": pa.array(crc, pa.int64()),
                 })

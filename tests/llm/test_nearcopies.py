@@ -85,3 +85,32 @@ def test_null_and_repeated_ids(spark):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 3, 7, 7]
     texts = {r.text for r in got}
     assert len(got) == 6 and {a, c, d, e, f} < texts and len(texts & {b, b + " x"}) == 1
+
+
+@pytest.mark.parametrize("hot", [512, 3])
+def test_exact_candidates(spark, monkeypatch, hot):
+    """Every pair of brute force shares a key, whatever is frequent; and the rows that stay are those of brute force."""
+    monkeypatch.setattr(nearcopies, "HOT", hot)
+    if hot == 3:
+        monkeypatch.setattr(nearcopies, "CHUNK", 2)
+        monkeypatch.setattr(nearcopies, "PIVOTS", 1)
+    rng = random.Random(3)
+    shared = " ".join("".join(rng.choice("xyz") for _ in range(5)) for _ in range(40))
+    texts = [t if i % 3 else f"{shared} {t}" for i, t in enumerate(_edited())] + [shared, f"{shared} a", "one", "one two three four", "", None]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "row long, doc_id long, text string").repartition(4)
+    keys: dict = {}
+    for r in nearcopies.prefix_buckets(docs.select("row", "text"), docs.select("row")).collect():
+        keys.setdefault(r.row, set()).add(r.key)
+    sets = [_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(pairs) > 100 and all(keys[i] & keys[j] for i, j in pairs)
+    got = sorted(r.row for r in nearcopies.kept_rows(docs, "row", exact=True).collect())
+    assert got == sorted(_kept(rows))
+    assert nearcopies.kept_rows(docs.limit(0), "row", exact=True).count() == 0
+
+
+def test_prefix_sizes():
+    for n in range(1, 300):
+        k = nearcopies.prefix_size(n)
+        assert n - k + 1 == -(-4 * n // 5) and 1 <= k <= n

@@ -223,3 +223,19 @@ def test_toxicity_of_long_texts_is_linear():
     assert abs(value - 110_000 * 3.0 / (7 * 110_000) ** 0.5) < 1e-6
     began = time.perf_counter()
     assert "harmless blanfex" in lex.phrases(a, text) and time.perf_counter() - began < 30
+
+
+def test_documents_of_a_token_file_in_stretches(spark):
+    import numpy as np
+    import public_tokenizers
+
+    from polyseek.llm import tokenfiles
+
+    docs = spark.createDataFrame([(i, "word " * (i % 7) + "x" * i) for i in range(60)], "doc_id long, text string").coalesce(1)
+    files, uri, dictionary = tokenfiles.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    for r in files.collect():
+        f = tokenfiles.TokenFile(uri, r.name, dictionary)
+        one = [f.ids(i) for i in range(len(f.counts))]
+        for block in (1, 40, 8 << 20):
+            got = list(f.all_ids(block))
+            assert len(got) == len(one) and all(np.array_equal(a, b) for a, b in zip(got, one, strict=True))
