@@ -33,7 +33,7 @@ BANDS, ROWS = 25, 5
 #: Members of a bucket that are compared in one task, at most, members of a chunk of larger ones, and pivots (about).
 HOT, CHUNK, PIVOTS = 512, 256, 32
 #: Whether candidates meet by prefixes (all links) or by MinHash bands.
-EXACT = False
+EXACT = True
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
