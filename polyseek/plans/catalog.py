@@ -383,14 +383,20 @@ def _arrow_scorer(t: Fixture) -> DataFrame:
     return out.groupBy("query_id", "q_token_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-@query("mllib_kmeans", "cells:i embeddings:i")
+@query("mllib_kmeans", "cells:i embeddings:i mllib_cost:f lloyd_cost:f")
 def _mllib(t: Fixture) -> DataFrame:
+    """The library's k-means beside the engine's: the sum over vectors of one minus the cosine with their cell's centroid, after
+    as many rounds from starts of their own."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = t.tokens.select("vec_id", array_to_vector("v").alias("features"))
+    data = t.tokens.select("vec_id", "v", array_to_vector("v").alias("features"))
     model = KMeans(k=CELLS, maxIter=4, seed=123, distanceMeasure="cosine").fit(data)
-    return model.transform(data).agg(F.countDistinct("prediction").alias("cells"), F.count("*").alias("embeddings"))
+    theirs = t.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, cv array<double>")  # a row for each cell
+    cost = lambda rows: rows.agg(F.sum(1 - search.dot(F.col("v"), F.col("cv")) / (norm(F.col("v")) * norm(F.col("cv"))))).first()[0]
+    mllib = cost(model.transform(data).join(F.broadcast(theirs), "prediction"))
+    ours = cost(index.assign(t.tokens, index.lloyd(t.tokens, t.seeds, 4)))
+    return model.transform(data).select(F.col("prediction"), vector_to_array("features")).agg(F.countDistinct("prediction").alias("cells"), F.count("*").alias("embeddings"), F.lit(mllib).alias("mllib_cost"), F.lit(ours).alias("lloyd_cost"))
 
 
 @query("bootstrap_ci", "event_type:s mean:f lo:f hi:f")

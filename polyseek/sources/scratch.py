@@ -18,7 +18,8 @@ def folder(spark: SparkSession) -> str:
     on a cluster, where executors would not share it, the setting must be there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):  # local-cluster has executors of their own
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="polyseek-")
         spark.conf.set("spark.checkpoint.dir", base)
