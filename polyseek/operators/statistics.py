@@ -251,6 +251,25 @@ def bootstrap_ci(values: list[float], statistic: Callable = np.mean, n: int = 10
     return float(statistic(x)), float(np.quantile(draws, (1 - level) / 2)), float(np.quantile(draws, (1 + level) / 2))
 
 
+def poisson_bootstrap(rows: DataFrame, by: str, value: str, name: Column, level: float = 0.95) -> DataFrame:
+    """Per group: the mean over resamples of the weighted mean of value, and its interval. rows hold each row once for each
+    resample ``b``; ``name`` tells them apart, and its hash is how often (Poisson, 1) the row is in the resample."""
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    times, cum = F.lit(0), 0.0
+    for i in range(8):
+        cum += math.exp(-1) / math.factorial(i)
+        times = times + F.when(F.col("_u") >= cum, 1).otherwise(0)
+    m = rows.withColumn("_u", u).withColumn("_w", times).groupBy(by, "b").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("m"))
+    tails = ((1 - level) / 2, (1 + level) / 2)
+    return m.groupBy(by).agg(F.avg("m").alias("mean"), *[F.percentile("m", F.lit(q)).alias(n) for q, n in zip(tails, ("lo", "hi"), strict=True)])
+
+
+def proportion_z(df: DataFrame, success: Column, null: float) -> DataFrame:
+    """One row: rows, successes and the z of their share against ``null`` (null without rows)."""
+    s = df.agg(F.count(success).alias("n"), F.count_if(success).alias("k"))
+    return s.select("n", "k", ((F.col("k") / F.nullif("n", F.lit(0)) - null) / F.sqrt(F.lit(null * (1 - null)) / F.nullif("n", F.lit(0)))).alias("z"))
+
+
 def bootstrap_comparison(a: list[float], b: list[float], statistic: Callable = np.mean, n: int = 1000, seed: int = 42) -> tuple[float, float]:
     """Difference of the statistic and its two-sided p: twice the smaller share of resampled differences past 0."""
     a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)

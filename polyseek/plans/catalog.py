@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -399,19 +400,17 @@ def _mllib(t: Fixture) -> DataFrame:
     return model.transform(data).select(F.col("prediction"), vector_to_array("features")).agg(F.countDistinct("prediction").alias("cells"), F.count("*").alias("embeddings"), F.lit(mllib).alias("mllib_cost"), F.lit(ours).alias("lloyd_cost"))
 
 
-@query("bootstrap_ci", "event_type:s mean:f lo:f hi:f")
+_U = "(SELECT event_type, b, value, CAST('0x' || substr(md5(event_id || '_' || b), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM events, range(1, 201) r(b))"
+_POISSON = " + ".join(f"CASE WHEN u >= {sum(math.exp(-1) / math.factorial(j) for j in range(i))!r} THEN 1 ELSE 0 END" for i in range(1, 9))
+
+
+@query("bootstrap_ci", "event_type:s mean:f lo:f hi:f", f"SELECT event_type, avg(m) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT event_type, b, sum(w * value) / sum(w) AS m FROM (SELECT *, {_POISSON} AS w FROM {_U}) GROUP BY ALL) GROUP BY 1")
 def _bootstrap(t: Fixture) -> DataFrame:
-    """A Poisson bootstrap in one pass: each row enters each of 200 resamples a Poisson(1) number of times."""
+    """A Poisson bootstrap in one pass: each row enters each of 200 resamples a Poisson(1) number of times, by a hash that is
+    the same in every engine. Resamples are sums of groups; no row is drawn on the driver."""
     e = t.table("events").select("event_id", "event_type", "value")
-    u = F.shiftrightunsigned(F.xxhash64("event_id", "b"), 11).cast("double") / float(1 << 53)
-    cum, times, p = 0.0, F.lit(0), 0.36787944117144233
-    for i in range(1, 9):
-        cum += p
-        times = times + F.when(u >= cum, 1).otherwise(0)
-        p /= i
-    r = e.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("w", times)
-    m = r.groupBy("event_type", "b").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
-    return m.groupBy("event_type").agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    r = e.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(200))))
+    return statistics.poisson_bootstrap(r, "event_type", "value", F.concat_ws("_", "event_id", "b"))
 
 
 @query("hypothesis_reports", "hypothesis:s supported:b effect_size:f p_value:f n:i")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyseek.functions import user
 from polyseek.operators import blocks, evaluate, facts, hypotheses, index, plots, ragged, search, statistics, text
 from polyseek.plans import catalog
 from polyseek.plans.catalog import TOK, query
@@ -204,3 +205,25 @@ query("report_inputs", "name:s value:f n:i", _INPUTS)(lambda t: hypotheses.repor
 query("stratify_several", "l_returnflag:s l_linestatus:s l_quantity_mean:f l_quantity_max:f l_quantity_nunique:i l_tax_mean:f l_tax_max:f l_tax_nunique:i", "SELECT l_returnflag, l_linestatus, avg(l_quantity) AS l_quantity_mean, max(l_quantity) AS l_quantity_max, count(DISTINCT l_quantity) AS l_quantity_nunique, avg(l_tax) AS l_tax_mean, max(l_tax) AS l_tax_max, count(DISTINCT l_tax) AS l_tax_nunique FROM lineitem GROUP BY ALL")(
     lambda t: statistics.stratify(t.table("lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_tax"], ("mean", "max", "nunique"))
 )
+
+
+query("proportion_z", "n:i k:i z:f", "SELECT count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS k, (count(*) FILTER (WHERE toxic = 1) / count(*) - 0.1) / sqrt(0.1 * 0.9 / count(*)) AS z FROM labels")(
+    lambda t: statistics.proportion_z(t.table("labels"), F.col("toxic") == 1, 0.1)
+)
+
+# Functions of the user's own.
+
+
+@query("passage_windows", "doc_id:i start:i n:i hash:s", "SELECT doc_id, s AS start, least(60, len(ws) - s) AS n, md5(array_to_string(ws[s + 1:s + 60], ' ')) AS hash FROM words, unnest(generate_series(0, greatest(0, len(ws) - 21), 40)) u(s) WHERE len(ws) > 0")
+def _windows(t: Fixture) -> DataFrame:
+    """Overlapping passages of every document, by a table function of the rows' texts."""
+    windows = user.passages(60, 40)
+    t.spark.udtf.register("polyseek_passages", windows)
+    t.table("documents").select("doc_id", "text").createOrReplaceTempView("polyseek_passages_of")
+    rows = t.spark.sql("SELECT doc_id, p.* FROM polyseek_passages_of d, LATERAL polyseek_passages(d.text) p")
+    return rows.select("doc_id", "start", "n", F.md5(F.col("passage").cast("binary")).alias("hash"))
+
+
+query("trimmed_means", "event_type:s mean:f", "SELECT event_type, avg(value) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT * FROM (SELECT event_type, value, CAST(floor(event_id / 500) AS BIGINT) AS part FROM events WHERE value IS NOT NULL))) WHERE r > floor(n * 0.1) AND r <= n - floor(n * 0.1) GROUP BY 1".replace("event_type ORDER", "event_type, part ORDER").replace("PARTITION BY event_type) AS n", "PARTITION BY event_type, part) AS n").replace("SELECT event_type, avg(value) AS mean FROM (SELECT *", "SELECT event_type, avg(m) AS mean FROM (SELECT event_type, part, avg(value) AS m FROM (SELECT *", 1).replace("GROUP BY 1", "GROUP BY ALL) GROUP BY 1"))(
+    lambda t: t.table("events").where("value is not null").groupBy("event_type", F.floor(F.col("event_id") / 500).alias("part")).agg(user.trimmed_mean(0.1)("value").alias("m")).groupBy("event_type").agg(F.avg("m").alias("mean"))
+)

@@ -330,3 +330,18 @@ def test_distinct_in_order(spark):
     df = spark.createDataFrame([(5, "b"), (1, "c"), (3, "b"), (2, "a"), (4, "c"), (6, None)], "o int, x string")
     assert rows_of(text.distinct_in_order(df, "x", "o"), "place", "x") == [(0, "c"), (1, "a"), (2, "b"), (3, None)]
     assert list(itertools.islice(statistics.AGGREGATES, 4)) == ["mean", "std", "median", "n"]
+
+
+def test_functions_of_the_users_own(spark):
+    from polyseek.functions import user
+
+    spark.udtf.register("windows_under_test", user.passages(4, 2))
+    spark.createDataFrame([(1, "a B c d e f"), (2, ""), (3, None), (4, "x")], "k int, text string").createOrReplaceTempView("texts_under_test")
+    got = rows_of(spark.sql("SELECT k, p.* FROM texts_under_test t, LATERAL windows_under_test(t.text) p"), "k", "start", "n", "passage")
+    assert got == [(1, 0, 4, "a b c d"), (1, 2, 4, "c d e f"), (1, 4, 2, "e f"), (4, 0, 1, "x")]
+    df = spark.createDataFrame([(1, float(v)) for v in (100, 1, 2, 3, -50)] + [(2, None), (3, 5.0)], "g int, x double")
+    means = {r.g: r.m for r in df.groupBy("g").agg(user.trimmed_mean(0.2)("x").alias("m")).collect()}
+    assert means[1] == 2.0 and means[3] == 5.0 and (means[2] is None or math.isnan(means[2]))
+    z = statistics.proportion_z(df, F.col("x") > 0, 0.5).first()
+    assert (z.n, z.k) == (6, 5) and abs(z.z - (5 / 6 - 0.5) / math.sqrt(0.25 / 6)) < 1e-12
+    assert statistics.proportion_z(df.limit(0), F.col("x") > 0, 0.5).first().z is None
