@@ -32,7 +32,8 @@ def m3(won: DataFrame, ranking: DataFrame) -> DataFrame:
 def oracle_rows(qtok: DataFrame, won: DataFrame, index: Index) -> DataFrame:
     """Score of every embedding of every document that any token of the query touched."""
     scope = won.select("query_id", "doc_id").distinct()
-    posts = scope.join(index.postings.select("doc_id", "embedding_pos", "centroid_id", "codes"), "doc_id")
+    scope = stored(scope) if index.documents is not None else scope  # read twice there
+    posts = scope.join(index.of_documents(scope).select("doc_id", "embedding_pos", "centroid_id", "codes"), "doc_id")
     tokens = qtok.select(*TOKEN, "qv")
     # The centroids' part once for each token and cell in scope, not once for each embedding.
     near = posts.select("query_id", "centroid_id").distinct().join(index.centroids.select("centroid_id", "cv"), "centroid_id").join(tokens, "query_id")

@@ -26,6 +26,8 @@ BROADCAST_BYTES = 64 << 20
 PART = 1 << 20
 #: Centroids of one matrix product, postings of a range of a saved copy.
 PRODUCT, RANGE_ROWS = 4096, 1 << 21
+#: Documents whose ids become a filter of a scan, at most.
+FEW = 10_000
 
 
 @dataclass
@@ -41,11 +43,26 @@ class Index:
     weights: list[float]
     blocks: DataFrame | None = None
     per_folder: int = 1
+    documents: DataFrame | None = None
+    width: int = 0
 
     @property
     def nbits(self) -> int:
         return max(len(self.weights), 1).bit_length() - 1
 
+    def of_documents(self, docs: DataFrame) -> DataFrame:
+        """The postings, with codes, of documents(doc_id). A saved index is read in the order of documents: up to ``FEW`` ids become a filter
+        on their range, which prunes row groups, and codes are unpacked of the rows found only."""
+        docs = docs.select("doc_id").distinct()
+        if self.documents is None:
+            return self.postings.join(docs, "doc_id", "left_semi")
+        rows = self.documents
+        found = [r.doc_id for r in docs.limit(FEW + 1).collect()]  # at most FEW + 1 ids
+        if len(found) <= FEW:
+            found = sorted(d for d in found if d is not None)
+            rows = rows.where(F.col("doc_id").between(found[0], found[-1])) if found else rows.where(F.lit(False))
+        return blocks.code_lists(rows.join(docs, "doc_id", "left_semi"), self.nbits, self.width)
+
     def clustered(self, path: str) -> Index:
         """This index with its postings written to path in blocks by cell."""
         spark = self.postings.sparkSession
@@ -72,7 +89,7 @@ class Index:
         codec = spark.read.schema(CODEC).json(f"{path}/codec").first()
         rows = spark.read.parquet(f"{path}/documents")
         nbits = max(len(codec.weights), 1).bit_length() - 1
-        out = cls(blocks.code_lists(rows, nbits, codec.width), spark.read.parquet(f"{path}/centroids"), codec.cutoffs, codec.weights, blocks.read_blocks(spark, f"{path}/cells"), codec.per_folder)
+        out = cls(blocks.code_lists(rows, nbits, codec.width), spark.read.parquet(f"{path}/centroids"), codec.cutoffs, codec.weights, blocks.read_blocks(spark, f"{path}/cells"), codec.per_folder, rows, codec.width)
         if check:
             r = integrity(replace(out, postings=rows)).first()
             n = out.blocks.agg(F.sum(F.length("docs") / 8).cast("long")).first()[0] or 0

@@ -267,7 +267,7 @@ def stage_filter(candidates: DataFrame, qtok: DataFrame, index: Index, keep: int
 
 def stage_scores(found: DataFrame, qtok: DataFrame, index: Index, relu: bool = True) -> DataFrame:
     """query_id, doc_id, score: MaxSim on the reconstructed, normalised vectors of each document found."""
-    posts = index.postings.select("doc_id", F.col("centroid_id").cast("long").alias("centroid_id"), "codes").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    posts = index.of_documents(found).select("doc_id", F.col("centroid_id").cast("long").alias("centroid_id"), "codes")
     centres, held = centroid_matrix(index.centroids), query_matrices(qtok)
     if centres is None or held is None:
         v = posts.join(index.centroids.select("centroid_id", "cv"), "centroid_id").select("doc_id", reconstructed(F.col("cv"), F.col("codes"), index.weights).alias("v"))

@@ -45,6 +45,14 @@ def _packed_roundtrip(t: Fixture) -> DataFrame:
     return index.Index.load(t.spark, root).postings.select("embedding_pos", "centroid_id", "doc_id", F.posexplode("codes").alias("dim", "code"))
 
 
+@query("oracle_of_loaded_index", TOK + "doc_id:i oracle_embedding_pos:i oracle_score:f", "SELECT * FROM m4")
+def _loaded_oracle(t: Fixture) -> DataFrame:
+    """Exhaustive scores of the touched documents, from the copy of the postings by document."""
+    root = folder(t.spark)
+    t.index.save(root)
+    return facts.m4(facts.oracle_rows(t.qtok, t.won, index.Index.load(t.spark, root)))
+
+
 @query("probed_cells_scan", "centroid_id:i n:i first:i last:i", "SELECT centroid_id, size AS n, start AS first, start + size - 1 AS last FROM cells SEMI JOIN (SELECT DISTINCT centroid_id FROM routed WHERE rank = 1) USING (centroid_id) WHERE size > 0")
 def _probed(t: Fixture) -> DataFrame:
     """What a scan by cell reads for the best cell of each query token."""

@@ -92,6 +92,21 @@ def test_a_search_reads_only_probed_folders(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [" in plan and "cell_folder" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_documents_of_a_saved_index(spark, tmp_path, monkeypatch):
+    tokens, built = small_index(spark)
+    built.save(str(tmp_path / "x"))
+    loaded = index.Index.load(spark, str(tmp_path / "x"))
+    asked = spark.createDataFrame([(3,), (40,), (3,), (None,), (999,)], "doc_id long")
+    want = rows_of(built.of_documents(asked), "embedding_pos", "doc_id", "codes")
+    assert len(want) == 8
+    found = loaded.of_documents(asked)
+    assert rows_of(found, "embedding_pos", "doc_id", "codes") == want
+    assert "GreaterThanOrEqual(doc_id,3)" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(index, "FEW", 1)
+    assert rows_of(loaded.of_documents(asked), "embedding_pos", "doc_id", "codes") == want
+    assert loaded.of_documents(asked.limit(0)).count() == 0
+
+
 def test_quantiles(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=3000), rng.integers(0, 3, 2000), [0.0, -0.0, 1e300, -1e300, 5e-324]])
