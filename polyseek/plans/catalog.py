@@ -40,7 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def prepared(spark: SparkSession, sf_dir: str) -> Fixture:
     """A fixture whose stored parts (index, winners, facts) are written already: what a measured run has before its queries."""
     t = Fixture(spark, sf_dir)
-    for part in ("index", "cells", "won", "m4", "m5"):
+    for part in ("index", "clustered", "cells", "won", "m4", "m5"):
         getattr(t, part)
     return t
 
@@ -113,7 +113,7 @@ def _grid_run(t: Fixture, settings: list[dict]) -> DataFrame:
     """Every setting of a grid, searched: how many results it gives for how many queries."""
     out = None
     for given in settings:
-        found = search.search(t.qtok, t.index, CONFIG.merged(config.SearchConfig.of(**given)))
+        found = search.search(t.qtok, t.clustered, CONFIG.merged(config.SearchConfig.of(**given)))
         one = found.agg(*[F.lit(v).alias(k) for k, v in given.items()], F.count("*").alias("n_results"), F.countDistinct("query_id").alias("n_queries"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -180,14 +180,14 @@ query("l2_maxsim", "query_id:i doc_id:i score:f", "SELECT query_id, doc_id, sum(
 query("two_part_score", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, coalesce(sum(s) FILTER (WHERE q_token_id < 2 AND r <= 1), 0) + coalesce(sum(s) FILTER (WHERE q_token_id >= 2 AND r <= 1), 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, q_token_id < 2 ORDER BY s DESC) AS r FROM {_EXACT}) GROUP BY ALL")(
     lambda t: search.two_part_sum(matrices.token_maxima(t.qtok, t.tokens), 2, (1, 1))
 )
-query("search_topk", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")(lambda t: search.search(t.qtok, t.index, CONFIG))
+query("search_topk", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")(lambda t: search.search(t.qtok, t.clustered, CONFIG))
 query("search_quantised", "query_id:i doc_id:i score:f influential:i", "SELECT query_id, doc_id, score, influential FROM docs")(lambda t: t.docs)
 _CONLY = "(SELECT query_id, doc_id, sum(coalesce(s, mse)) AS score FROM (SELECT DISTINCT query_id, doc_id FROM won) JOIN missing USING (query_id) LEFT JOIN (SELECT query_id, q_token_id, doc_id, max(cs) AS s FROM tsc GROUP BY ALL) USING (query_id, q_token_id, doc_id) GROUP BY ALL)"
 query("search_centroid_only", "query_id:i doc_id:i rank:i score:f", f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {_CONLY} QUALIFY rank <= 10")(
-    lambda t: search.search(t.qtok, t.index, CONFIG.merged(config.SearchConfig.of(centroid_only=True)))
+    lambda t: search.search(t.qtok, t.clustered, CONFIG.merged(config.SearchConfig.of(centroid_only=True)))
 )
 query("search_with_pid_filter", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM docs SEMI JOIN (SELECT DISTINCT doc_id FROM tok WHERE label < 2) USING (doc_id) QUALIFY rank <= 10")(
-    lambda t: search.search(t.qtok, t.index, CONFIG, t.tokens.where("label < 2").select("doc_id"))
+    lambda t: search.search(t.qtok, t.clustered, CONFIG, t.tokens.where("label < 2").select("doc_id"))
 )
 query("token_winners", TOK + "doc_id:i embedding_pos:i score:f", "SELECT * FROM won")(lambda t: t.won)
 query("influential_counts", "query_id:i influential:i documents:i", "SELECT query_id, influential, count(*) AS documents FROM docs GROUP BY ALL")(lambda t: t.docs.groupBy("query_id", "influential").agg(F.count("*").alias("documents")))
@@ -430,7 +430,7 @@ def _incremental(t: Fixture) -> DataFrame:
 
     root = folder(t.spark)
     t.qtok.select("query_id", "q_token_id", "qv").repartition(2, "query_id").write.parquet(f"{root}/in")
-    search_stream(t.spark, f"{root}/in", t.index, CONFIG, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    search_stream(t.spark, f"{root}/in", t.clustered, CONFIG, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/out")
 
 

@@ -48,8 +48,12 @@ class Fixture:
     def index(self) -> index.Index:
         """Stored tables, as an index is built once and searched often; the codec is measured on all tokens."""
         built = index.build(self.tokens, self.seeds, CONFIG.nbits, heldout=F.lit(True))
-        kept = index.Index(stored(built.postings), stored(built.centroids), built.cutoffs, built.weights)
-        return kept.clustered(folder(self.spark))
+        return index.Index(stored(built.postings), stored(built.centroids), built.cutoffs, built.weights)
+
+    @cached_property
+    def clustered(self) -> index.Index:
+        """The index with its postings in blocks by cell, as searches read it."""
+        return self.index.clustered(folder(self.spark))
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -22,7 +22,7 @@ from polyseek.sources.scratch import folder, stored
 def _block_winners(t: Fixture) -> DataFrame:
     """Token winners from packed blocks of the probed cells, by byte tables of 4-bit codes."""
     routed = stored(search.routes(t.qtok, search.centroid_matrix(t.index.centroids), CONFIG.nprobe, T_PRIME))
-    return search.winners(search.block_scores(t.qtok, routed.select("query_id", "q_token_id", F.inline("probes")), t.index))
+    return search.winners(search.block_scores(t.qtok, routed.select("query_id", "q_token_id", F.inline("probes")), t.clustered))
 
 
 _CODEC2 = "(SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS cuts, quantile_cont(x, [0.125, 0.375, 0.625, 0.875]) AS ws FROM (SELECT unnest(r) AS x FROM res))"
@@ -57,7 +57,7 @@ def _loaded_oracle(t: Fixture) -> DataFrame:
 def _probed(t: Fixture) -> DataFrame:
     """What a scan by cell reads for the best cell of each query token."""
     cells = [r.centroid_id for r in t.routed.where("rank = 1").select("centroid_id").distinct().collect()]  # of an index's cells
-    rows = blocks.of_cells(t.index.blocks, cells, t.index.per_folder).where(F.col("centroid_id").isin(cells))
+    rows = blocks.of_cells(t.clustered.blocks, cells, t.clustered.per_folder).where(F.col("centroid_id").isin(cells))
     n = (F.length("docs") / 8).cast("long")
     return rows.groupBy("centroid_id").agg(F.sum(n).alias("n"), F.min("first").alias("first"), F.max(F.col("first") + n - 1).alias("last"))
 
@@ -92,7 +92,7 @@ def _measured(t: Fixture) -> DataFrame:
 
     root = folder(t.spark)
     t.qtok.select("query_id", "q_token_id", "qv").repartition(2, "query_id").write.parquet(f"{root}/in")
-    measured_stream(t.spark, f"{root}/in", t.index, CONFIG, f"{root}/run", f"{root}/checkpoint").awaitTermination()
+    measured_stream(t.spark, f"{root}/in", t.clustered, CONFIG, f"{root}/run", f"{root}/checkpoint").awaitTermination()
     run, out = Run(t.spark, f"{root}/run"), None
     for name, c in (("m1", "num_token_token_sims"), ("r0", "rank"), ("m3", "winner_embedding_pos"), ("m4", "oracle_embedding_pos")):
         one = run.read(name).agg(F.lit(name).alias("fact"), F.count("*").alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.sum(c).alias("total"))
