@@ -32,6 +32,10 @@ LEAST = (4, 5)
 BANDS, ROWS = 25, 5
 #: Members of a bucket that are compared in one task, at most, members of a chunk of larger ones, and pivots (about).
 HOT, CHUNK, PIVOTS = 512, 256, 32
+#: A sample of one row in EVERY tells which shingles are frequent: those that OFTEN of its rows hold, FREQUENT of them at most.
+EVERY, OFTEN, FREQUENT = 64, 8, 1 << 20
+#: Rows whose numbers are broadcast instead of being joined in a shuffle, at most.
+WHOLE = 8 << 20
 #: Whether candidates meet by prefixes (all links) or by MinHash bands.
 EXACT = True
 SEED = 42
@@ -167,38 +171,67 @@ def prefix_size(n: int) -> int:
     return n - -(-a * n // b) + 1 if n else 0
 
 
-def _tokens(whole: bool) -> Callable[[pa.RecordBatch], dict]:
-    """(row, n, key) of the shingles of a prefix, in the order of their hashes, or of all."""
+def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values stand in a sorted table."""
+    at = np.minimum(np.searchsorted(table, values), max(0, len(table) - 1))
+    return table[at] == values if len(table) else np.zeros(len(values), dtype=bool)
 
-    def run(batch: pa.RecordBatch) -> dict:
+
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    return (hashes ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
+
+
+def frequent_shingles(slim: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many texts hold, as far as a sample of rows shows: those in ``OFTEN`` or more of one row in
+    ``EVERY``, the ``FREQUENT`` most frequent at most. Which they are changes how many candidates meet, never which links."""
+
+    def every(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in column(batch, "text")]
-        part = [s if whole else s[: prefix_size(len(s))] for s in sets]
-        sizes = np.array([len(p) for p in part], dtype=np.int64)
-        flat = np.concatenate(part) if part else np.zeros(0, "<u8")
-        return {"row": np.repeat(batch.column(0).to_numpy(), sizes), "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int64), sizes), "key": (flat ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)}
+        return {"key": _signed(np.concatenate([np.zeros(0, "<u8"), *sets]))}
+
+    some = slim.where(F.pmod(F.xxhash64("row"), F.lit(EVERY)) == 0).select("text")
+    found = arrow(some, every, "key long", most=1 << 20).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = found.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow()  # at most FREQUENT numbers
+    return np.sort(found.column("key").to_numpy().view(np.uint64) ^ np.uint64(1 << 63))
+
 
-    return run
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, row), sorted by key, of keys that have more than one; no key is held as a whole."""
+    last, sent = None, True
+    for batch in batches:
+        keys, rows = (batch.column(i).to_numpy() for i in range(2))
+        if not len(keys):
+            continue
+        again = np.concatenate([[last is not None and last[0] == keys[0]], keys[1:] == keys[:-1]])
+        keep = again | np.concatenate([again[1:], [False]])
+        out = [(keys[keep], rows[keep])]
+        if again[0] and not sent:
+            out.insert(0, (np.array([last[0]]), np.array([last[1]])))
+        yield pa.RecordBatch.from_pydict({"key": np.concatenate([k for k, _ in out]), "row": np.concatenate([r for _, r in out])})
+        last, sent = (keys[-1], rows[-1]), bool(keep[-1])
 
 
 def prefix_buckets(slim: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(key, row): rows by the shingles of their prefixes; two rows of similarity ``LEAST`` or more share a key, always.
-
-    The order of shingles is that of their hashes, frequent ones last: first every row's prefix is taken by hash alone; shingles
-    that come in more than ``HOT`` of these prefixes are frequent, and the rows that hold one in their prefix take it anew
-    with these behind all others. Other rows' prefixes stay as they are, since only later shingles moved."""
-    schema = "row long, n long, key long"
-    entries = arrow(slim.select("row", "text"), _tokens(False), schema, most=1 << 20).join(distinct.select("row").hint("merge"), "row", "left_semi")
-    entries = saved(entries.select("key", "row"))
-    frequent = saved(entries.groupBy("key").count().where(F.col("count") > HOT).select("key"))
-    if frequent.isEmpty():
-        return entries
-    moved = saved(entries.join(frequent, "key").select("row").distinct())
-    every = arrow(slim.select("row", "text").join(moved.hint("merge"), "row", "left_semi"), _tokens(True), schema, most=1 << 20)
-    every = every.join(frequent.withColumn("late", F.lit(1)), "key", "left").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "key"))).alias("t"))
-    a, b = LEAST
-    size = F.col("n") - F.ceil(F.col("n") * a / b) + 1
-    anew = every.select(F.explode(F.slice("t", F.lit(1), size.cast("int"))).alias("t"), "row").select("t.key", "row")
-    return saved(entries.join(moved.hint("merge"), "row", "left_anti").select("key", "row").union(anew))
+    """(key, row) of keys with several rows: rows of distinct by the shingles of their prefixes; two rows of similarity ``LEAST`` or
+    more share a key, always. The order of shingles, of which a prefix takes the first, is that of their hashes, frequent
+    ones last. One shuffle carries a fifth of the shingles, and only what is shared is written."""
+    spark = slim.sparkSession
+    late = spark.sparkContext.broadcast(frequent_shingles(slim))  # at most FREQUENT numbers
+
+    def prefixes(batch: pa.RecordBatch) -> dict:
+        part = []
+        for t in column(batch, "text"):
+            s = shingles(t)
+            behind = _in(s, late.value)
+            part.append(np.concatenate([s[~behind], s[behind]])[: prefix_size(len(s))])
+        sizes = np.array([len(p) for p in part], dtype=np.int64)
+        return {"key": _signed(np.concatenate([np.zeros(0, "<u8"), *part])), "row": np.repeat(batch.column(0).to_numpy(), sizes)}
+
+    there = distinct.select("row")
+    there = F.broadcast(there) if there.count() <= WHOLE else there.hint("merge")  # 8 bytes a row
+    entries = arrow(slim.select("row", "text").join(there, "row", "left_semi"), prefixes, "key long, row long", most=1 << 20)
+    dealt = entries.repartition(parts(spark), "key").sortWithinPartitions("key")
+    return saved(dealt.mapInArrow(_several, "key long, row long"))
 
 
 def kept_rows(docs: DataFrame, key: str, exact: bool = EXACT) -> DataFrame:

@@ -94,6 +94,8 @@ def test_exact_candidates(spark, monkeypatch, hot):
     if hot == 3:
         monkeypatch.setattr(nearcopies, "CHUNK", 2)
         monkeypatch.setattr(nearcopies, "PIVOTS", 1)
+        monkeypatch.setattr(nearcopies, "EVERY", 1)  # the shared passage is frequent
+        monkeypatch.setattr(nearcopies, "WHOLE", 0)
     rng = random.Random(3)
     shared = " ".join("".join(rng.choice("xyz") for _ in range(5)) for _ in range(40))
     texts = [t if i % 3 else f"{shared} {t}" for i, t in enumerate(_edited())] + [shared, f"{shared} a", "one", "one two three four", "", None]
@@ -114,3 +116,15 @@ def test_prefix_sizes():
     for n in range(1, 300):
         k = nearcopies.prefix_size(n)
         assert n - k + 1 == -(-4 * n // 5) and 1 <= k <= n
+
+
+def test_keys_of_several_rows():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    keys = sorted(rng.randrange(40) for _ in range(90))
+    want = sorted((k, i) for i, k in enumerate(keys) if keys.count(k) > 1)
+    for size in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_pydict({"key": keys[i : i + size], "row": list(range(i, min(90, i + size)))}) for i in range(0, 90, size)]
+        got = [(k, r) for b in nearcopies._several(iter(batches)) for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert sorted(got) == want
