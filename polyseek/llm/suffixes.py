@@ -437,9 +437,9 @@ def across(ends: list, length: int) -> tuple[list[tuple], list[tuple]]:
     return sorted(spans), reach
 
 
-def settled(rows: DataFrame, length: int, left: int, k: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, first, last), spans of windows that repeat among ``n`` suffixes with keys; and suffixes of one window each, still to
-    be compared over all buckets. There are as many buckets as the keys' bytes ask for."""
+def settled(rows: DataFrame, length: int, left: int, k: int, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """(uid, first, last), spans of windows that repeat among ``n`` suffixes with keys; suffixes of one window each, still to
+    be compared over all buckets, and how many these are at most. There are as many buckets as the keys' bytes ask for."""
     spark = rows.sparkSession
     small_batches(spark)
     dealt = rows.repartitionByRange(max(parts(spark), -(-n * (length + left) // BUCKET_BYTES)), "key", "uid", "at")
@@ -451,7 +451,8 @@ def settled(rows: DataFrame, length: int, left: int, k: int, n: int) -> tuple[Da
     late = late.select("uid", "first", F.least("last", F.col("at") - length + F.col("r")).alias("last"), "multi").where("first <= last")
     late = late.select("uid", F.explode(F.sequence("first", "last")).alias("at"), "multi")
     far = found.where("kind = 1").select("uid", "at", "multi").union(late).groupBy("uid", "at").agg(F.max("multi").alias("multi"))
-    return spans, far.select("uid", "at", F.col("at").alias("first"), F.col("at").alias("last"), "multi")
+    most = found.where("kind in (1, 3)").agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(F.col("last") - F.col("first") + 1))).first()[0] or 0
+    return spans, far.select("uid", "at", F.col("at").alias("first"), F.col("at").alias("last"), "multi"), int(most)
 
 
 def repeats(packed: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
@@ -464,9 +465,8 @@ def repeats(packed: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFra
     met = rows.repartition(parts(spark), deal).sortWithinPartitions("h").mapInArrow(_met, ANCHORS.replace("h long, ", ""))
     met = saved(met)
     runs = met.where("kind = 1").select("uid", "at", "first", "last", "multi")
-    near, far = settled(with_keys(runs, packed, length, left), length, left, k, runs.count())
-    far = saved(far)
-    single, _ = settled(with_keys(far, packed, length, 0), length, 0, k, far.count())
+    near, far, most = settled(with_keys(runs, packed, length, left), length, left, k, runs.count())
+    single, _, _ = settled(with_keys(far, packed, length, 0), length, 0, k, most)
     spans = met.where("kind = 0").select("uid", "first", "last").union(near).union(single)
     return spans.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
