@@ -4,7 +4,8 @@ by exact Jaccard similarity, and MinHash bands add the pairs whose fingerprints
 Texts of equal shingle sets collapse to one row first. Of the others those pairs are candidates that simhash.py links by
 their fingerprints' anchors, within 3 bits. All are dealt to a bucket by each of ``BANDS`` keys of ``ROWS`` minima too, where
 a pair at similarity s meets with probability 1 - (1 - s^ROWS)^BANDS (0.99995 at 0.8; about 10 bits differ there). Buckets
-with the same members are compared once. Rows are told apart by a key of their own, never by doc_id.
+with the same members are compared once. Rows are told apart by a key of their own, never by doc_id. On request candidates
+meet by prefixes of their shingles instead of bands (prefix_buckets()), which misses no link and costs more.
 
 A bucket of more than ``HOT`` members is dealt in chunks of about ``CHUNK``, each with the same few members as pivots, so
 that copies of one text join across chunks through them. Members that are not in their bucket's largest component after
