@@ -163,6 +163,21 @@ def code_lists(rows: DataFrame, nbits: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "codes array<smallint>"]))
 
 
+def block_rows(blocks_: DataFrame, nbits: int, width: int) -> DataFrame:
+    """doc_id, embedding_pos, centroid_id, codes of blocks: a row for each embedding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs = np.frombuffer(batch.column(2)[i].as_buffer(), dtype="<i8")
+                data = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint8).reshape(len(docs), -1)
+                pos = batch.column(1)[i].as_py() + np.arange(len(docs))
+                cell = np.full(len(docs), batch.column(0)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(pos), pa.array(cell), long_lists(unpack_bytes(data, nbits, width).astype(np.int16))], names=["doc_id", "embedding_pos", "centroid_id", "codes"])
+
+    return blocks_.select("centroid_id", "first", "docs", "packed").mapInArrow(run, "doc_id long, embedding_pos long, centroid_id long, codes array<smallint>")
+
+
 def packed_rows(rows: DataFrame, nbits: int) -> DataFrame:
     """rows with codes (an array) replaced by ``packed``."""
     at = rows.columns.index("codes")

@@ -144,20 +144,27 @@ def hubs(freq: DataFrame, yielded: DataFrame, low: float = 0.1, high: float = 0.
 
 def evidence_recall(m3: DataFrame, m4: DataFrame, ks: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
     """Per query and k: overlap of the k documents best by observed and by oracle evidence, over the smaller of k and the
-    number of oracle documents. Ties go to the lower doc_id."""
+    number of oracle documents. Ties go to the lower doc_id. m4: its rows, or a row for each query and document (score)."""
 
     def ranked(rows: DataFrame, score: str, name: str) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(tie(F.col("s")).desc(), "doc_id")
-        return rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("s")).select("query_id", "doc_id", F.row_number().over(w).alias(name))
+        rows = rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("s")) if score in rows.columns else rows.withColumnRenamed("score", "s")
+        return rows.select("query_id", "doc_id", F.row_number().over(w).alias(name)).where(F.col(name) <= max(ks))
 
-    both = ranked(m4, "oracle_score", "o").join(ranked(m3, "winner_score", "a"), ["query_id", "doc_id"], "left")
-    return both.groupBy("query_id").agg(*[(F.count_if((F.col("o") <= k) & (F.col("a") <= k)) / F.least(F.lit(k), F.count("*"))).alias(f"recall_at_{k}") for k in ks])
+    # Past the greatest k only the number of oracle documents counts: it does not pass the ranking.
+    n = (m4.select("query_id", "doc_id").distinct() if "oracle_score" in m4.columns else m4).groupBy("query_id").agg(F.count("*").alias("n"))
+    both = ranked(m4, "oracle_score", "o").join(ranked(m3, "winner_score", "a"), ["query_id", "doc_id"]).groupBy("query_id")
+    hits = both.agg(*[F.count_if((F.col("o") <= k) & (F.col("a") <= k)).alias(f"_{k}") for k in ks])
+    return n.join(hits, "query_id", "left").select("query_id", *[(F.coalesce(f"_{k}", F.lit(0)) / F.least(F.lit(k), "n")).alias(f"recall_at_{k}") for k in ks])
 
 
 def evidence_dispersion(m4: DataFrame) -> DataFrame:
-    """Distinct oracle cells per query and document: mean, median, greatest, share with one and with more."""
-    n = m4.groupBy("query_id", "doc_id").agg(F.countDistinct("oracle_centroid_id").alias("n"))
-    return n.agg(F.avg("n").alias("mean"), F.median("n").alias("median"), F.max("n").alias("max"), F.avg((F.col("n") == 1).cast("double")).alias("single"), F.avg((F.col("n") > 1).cast("double")).alias("several"))
+    """Distinct oracle cells per query and document: mean, median, greatest, share with one and with more. m4: its rows, or a row for
+    each query and document (cells)."""
+    n = m4.select(F.col("cells").alias("n")) if "cells" in m4.columns else m4.groupBy("query_id", "doc_id").agg(F.countDistinct("oracle_centroid_id").alias("n"))
+    n = n.groupBy("n").agg(F.count("*").alias("c"))  # a row for each number of cells
+    share = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)) / F.sum("c")
+    return n.agg((F.sum(F.col("n") * F.col("c")) / F.sum("c")).alias("mean"), F.percentile("n", F.lit(0.5), F.col("c")).alias("median"), F.max("n").alias("max"), share(F.col("n") == 1).alias("single"), share(F.col("n") > 1).alias("several"))
 
 
 def routing_fidelity(m5: DataFrame) -> DataFrame:

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from polyseek.functions.vectors import dot, is_zero, pick, tie, total
 from polyseek.functions.arrow import matrix as vector_matrix
-from polyseek.operators import blocks, matrices
+from polyseek.operators import blocks, matrices, pairs
 from polyseek.operators.index import BROADCAST_BYTES, CentroidMatrix, Index, centroid_matrix, reconstructed
 from polyseek.plans.config import SearchConfig, t_prime
 from polyseek.sources.scratch import stored
 
+#: Tokens that probe a cell, on average, from which scores are counted by document: their rows would be so many times the postings.
+SHARED = 16
+
 
 def centroid_scores(qtok: DataFrame, centroids: DataFrame, rows: int | None = None) -> DataFrame:
     """query_id, q_token_id, centroid_id, size, score for every non-zero query token and every cell. ``rows``: cells, where known."""
@@ -70,12 +73,17 @@ def missing_scores(scores: DataFrame, at: int, bound: int | None = None) -> Data
     return s.groupBy("query_id", "q_token_id").agg(crossing.alias("m"), last.alias("l")).select("query_id", "q_token_id", value.alias("mse"))
 
 
-def token_scores(qtok: DataFrame, routed: DataFrame, index: Index, centroid_only: bool = False, candidates: DataFrame | None = None) -> DataFrame:
-    """Every embedding of a probed cell with its score for the token; candidates (doc_id) restricts the documents."""
+def token_scores(qtok: DataFrame, routed: DataFrame, index: Index, centroid_only: bool = False, candidates: DataFrame | None = None, ranking: DataFrame | None = None) -> DataFrame:
+    """Every embedding of a probed cell with its score for the token; candidates (doc_id) restricts the documents, ranking (query_id,
+    doc_id) those of each query, whose rows alone are met then."""
     posts = index.postings.select("centroid_id", "doc_id", "embedding_pos", "codes")
     if candidates is not None:
         posts = posts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = routed.select("query_id", "q_token_id", "centroid_id", "rank", F.col("score").alias("cs")).join(posts, "centroid_id")
+    rows = routed.select("query_id", "q_token_id", "centroid_id", "rank", F.col("score").alias("cs"))
+    if ranking is None:
+        rows = rows.join(posts, "centroid_id")
+    else:
+        rows = rows.join(ranking.select("query_id", "doc_id").join(posts, "doc_id"), ["query_id", "centroid_id"])
     if centroid_only:
         return rows.withColumn("score", F.col("cs"))
     rows = rows.join(qtok.select("query_id", "q_token_id", "qv"), ["query_id", "q_token_id"])
@@ -117,7 +125,8 @@ def block_scores(qtok: DataFrame, routed: DataFrame, index: Index, centroid_only
 def search(qtok: DataFrame, index: Index, config: SearchConfig, candidates: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """query_id, doc_id, rank, score, influential: the k best documents of each query.
 
-    Routing is written out once. An index with blocks is read by the cells that were probed; one without is joined."""
+    Routing is written out once. An index with blocks is read by the cells that were probed. Where their postings are each scored for
+    more than ``SHARED`` tokens, or there are no blocks, postings are dealt by document and no score is shuffled (``pairs``)."""
     at = config.t_prime
     if at is None:
         n = index.centroids.agg(F.count("*"), F.sum("size")).first()
@@ -131,15 +140,33 @@ def search(qtok: DataFrame, index: Index, config: SearchConfig, candidates: Data
         scores = stored(centroid_scores(qtok, index.centroids, rows))
         routed, missing = probes(scores, config.nprobe), missing_scores(scores, at, config.bound)
         routed = stored(routed) if index.blocks is not None else routed
-    found = (token_scores if index.blocks is None else block_scores)(qtok, routed, index, config.centroid_only, candidates)
-    return top_k(document_scores(winners(found), missing), config.k)
+    posts = index.postings if index.blocks is None else shared_postings(routed, index)
+    if posts is None:
+        return top_k(document_scores(winners(block_scores(qtok, routed, index, config.centroid_only, candidates)), missing), config.k)
+    if candidates is not None:
+        posts = posts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs, asked = pairs.document_blocks(index, posts, config.centroid_only), pairs.query_blocks(qtok, routed, missing)
+    return top_k(pairs.document_scores(docs, asked, pairs.size_of(qtok), config.k), config.k)
+
+
+def shared_postings(routed: DataFrame, index: Index) -> DataFrame | None:
+    """The postings of the probed cells, from blocks, or None where they are scored for no more than ``SHARED`` tokens on average."""
+    probed = routed.groupBy("centroid_id").agg(F.count("*").alias("n")).join(index.centroids.select("centroid_id", "size"), "centroid_id")
+    cells = [(r.centroid_id, r.n, r["size"]) for r in probed.collect()]  # a row for each probed cell
+    if sum(n * s for _, n, s in cells) <= SHARED * sum(s for _, _, s in cells):
+        return None
+    ids = [c for c, _, _ in cells]
+    near = blocks.of_cells(index.blocks, ids, index.per_folder).join(F.broadcast(routed.select("centroid_id").distinct()) if 16 * len(ids) <= BROADCAST_BYTES else routed.select("centroid_id").distinct(), "centroid_id", "left_semi")
+    return blocks.block_rows(near, index.nbits, index.centroids.select(F.size("cv")).first()[0])
 
 
 def search_statistics(qtok: DataFrame, routed: DataFrame, won: DataFrame) -> DataFrame:
-    """Per query: its tokens, distinct cells probed, token scores, documents seen."""
+    """Per query: its tokens, distinct cells probed, token scores, documents seen. won: rows for each token and document, or for each
+    query and document with ``influential``."""
     a = qtok.where(~is_zero(F.col("qv"))).groupBy("query_id").agg(F.count("*").alias("query_length"))
     b = routed.groupBy("query_id").agg(F.countDistinct("centroid_id").alias("n_clusters_selected"))
-    c = won.groupBy("query_id").agg(F.count("*").alias("total_token_scores"), F.countDistinct("doc_id").alias("unique_docs"))
+    n = (F.sum("influential"), F.count("*")) if "influential" in won.columns else (F.count("*"), F.countDistinct("doc_id"))
+    c = won.groupBy("query_id").agg(n[0].alias("total_token_scores"), n[1].alias("unique_docs"))
     return a.join(b, "query_id", "left").join(c, "query_id", "left")
 
 
@@ -147,10 +174,25 @@ def exact_maxsim(qtok: DataFrame, tokens: DataFrame, form: str = "sum", rows: in
     """Scores of all documents without an index. form: sum; relu (token maxima of at least 0); l2 (negative squared
     distance); mean (over non-zero query tokens)."""
     live = qtok.where(~is_zero(F.col("qv"))).select("query_id", "q_token_id", "qv")
-    best = matrices.token_maxima(live, tokens, "l2" if form == "l2" else "dot")
-    one = F.greatest(F.col("score"), F.lit(0.0)) if form == "relu" else F.col("score")
-    out = best.groupBy("query_id", "doc_id").agg((F.avg(one) if form == "mean" else F.sum(one)).alias("score"))
-    return out
+
+    def score(best: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.add.reduceat(np.maximum(best, 0) if form == "relu" else best, own, axis=1)
+        return out / np.diff(np.append(own, len(ids))) if form == "mean" else out
+
+    return pairs.exact(live, tokens, score, form)
+
+
+def two_part_maxsim(qtok: DataFrame, tokens: DataFrame, first: int, keep: tuple[int, int]) -> DataFrame:
+    """two_part_sum() of all documents, without a row for each token and document."""
+
+    def score(best: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(best), len(own)))
+        for j, (a, b) in enumerate(zip(own.tolist(), [*own[1:].tolist(), len(ids)], strict=True)):
+            for part, k in ((ids[a:b] < first, keep[0]), (ids[a:b] >= first, keep[1])):
+                out[:, j] += -np.sort(-best[:, a:b][:, part], axis=1)[:, :k].sum(axis=1)
+        return out
+
+    return pairs.exact(qtok, tokens, score)
 
 
 def two_part_sum(best: DataFrame, first: int, keep: tuple[int, int]) -> DataFrame:

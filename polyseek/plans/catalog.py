@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyseek.functions.vectors import norm
-from polyseek.operators import clusters, encode, evaluate, facts, index, matrices, search, statistics, text
+from polyseek.operators import clusters, encode, evaluate, facts, index, pairs, search, statistics, text
 from polyseek.plans import config
 from polyseek.plans.fixture import CELLS, CONFIG, Fixture
 from polyseek.plans.twins import twin
@@ -178,7 +177,7 @@ query("relu_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, s
 query("length_normalised_maxsim", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, avg(s) AS score FROM {_EXACT} GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "mean"))
 query("l2_maxsim", "query_id:i doc_id:i score:f", "SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, q_token_id, doc_id, max(2 * list_dot_product(qv, v) - list_dot_product(qv, qv) - list_dot_product(v, v)) AS s FROM qtok CROSS JOIN tok GROUP BY ALL) GROUP BY ALL")(lambda t: search.exact_maxsim(t.qtok, t.tokens, "l2"))
 query("two_part_score", "query_id:i doc_id:i score:f", f"SELECT query_id, doc_id, coalesce(sum(s) FILTER (WHERE q_token_id < 2 AND r <= 1), 0) + coalesce(sum(s) FILTER (WHERE q_token_id >= 2 AND r <= 1), 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, q_token_id < 2 ORDER BY s DESC) AS r FROM {_EXACT}) GROUP BY ALL")(
-    lambda t: search.two_part_sum(matrices.token_maxima(t.qtok, t.tokens), 2, (1, 1))
+    lambda t: search.two_part_maxsim(t.qtok, t.tokens, 2, (1, 1))
 )
 query("search_topk", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")(lambda t: search.search(t.qtok, t.clustered, CONFIG))
 query("search_quantised", "query_id:i doc_id:i score:f influential:i", "SELECT query_id, doc_id, score, influential FROM docs")(lambda t: t.docs)
@@ -191,9 +190,9 @@ query("search_with_pid_filter", "query_id:i doc_id:i rank:i score:f", "SELECT qu
 )
 query("token_winners", TOK + "doc_id:i embedding_pos:i score:f", "SELECT * FROM won")(lambda t: t.won)
 query("influential_counts", "query_id:i influential:i documents:i", "SELECT query_id, influential, count(*) AS documents FROM docs GROUP BY ALL")(lambda t: t.docs.groupBy("query_id", "influential").agg(F.count("*").alias("documents")))
-query("unique_docs", "query_id:i unique_docs:i", "SELECT query_id, count(DISTINCT doc_id) AS unique_docs FROM won GROUP BY 1")(lambda t: t.won.groupBy("query_id").agg(F.countDistinct("doc_id").alias("unique_docs")))
+query("unique_docs", "query_id:i unique_docs:i", "SELECT query_id, count(DISTINCT doc_id) AS unique_docs FROM won GROUP BY 1")(lambda t: t.docs.groupBy("query_id").agg(F.count("*").alias("unique_docs")))
 query("search_stats", "query_id:i query_length:i n_clusters_selected:i total_token_scores:i unique_docs:i", "SELECT query_id, (SELECT count(*) FROM qtok q WHERE q.query_id = won.query_id) AS query_length, (SELECT count(DISTINCT centroid_id) FROM routed r WHERE r.query_id = won.query_id) AS n_clusters_selected, count(*) AS total_token_scores, count(DISTINCT doc_id) AS unique_docs FROM won GROUP BY 1")(
-    lambda t: search.search_statistics(t.qtok, t.routed, t.won)
+    lambda t: search.search_statistics(t.qtok, t.routed, t.docs)
 )
 
 # The staged scorer.
@@ -212,10 +211,10 @@ query("stage_final", "query_id:i doc_id:i rank:i score:f", f"SELECT query_id, do
 # Oracle, facts, derived.
 query("oracle_winners", TOK + "doc_id:i oracle_embedding_pos:i oracle_score:f oracle_centroid_id:i", "SELECT * FROM m4")(lambda t: t.m4)
 query("oracle_smart_skip", TOK + "doc_id:i observed:f other:f skipped:b", "SELECT query_id, q_token_id, doc_id, any_value(w.score) AS observed, max(o.score) FILTER (WHERE o.embedding_pos <> w.embedding_pos) AS other, coalesce(any_value(w.score) >= max(o.score) FILTER (WHERE o.embedding_pos <> w.embedding_pos) - 0.01, true) AS skipped FROM orc o JOIN won w USING (query_id, q_token_id, doc_id) GROUP BY ALL")(
-    lambda t: facts.smart_skip(t.oracle, t.won)
+    lambda t: facts.smart_skip_of(t.measured("observed_score", "other"))
 )
 query("oracle_vs_observed", TOK + "doc_id:i gap:f", "SELECT query_id, q_token_id, doc_id, oracle_score - won.score AS gap FROM m4 JOIN won USING (query_id, q_token_id, doc_id)")(
-    lambda t: t.m4.join(t.won, ["query_id", "q_token_id", "doc_id"]).withColumn("gap", F.col("oracle_score") - F.col("score"))
+    lambda t: t.measured("oracle_score", "observed_score").where("observed_score is not null").withColumn("gap", F.col("oracle_score") - F.col("observed_score"))
 )
 query("m1", TOK + "centroid_id:i num_token_token_sims:i", "SELECT * FROM m1")(lambda t: t.m1)
 query("r0", TOK + "centroid_id:i rank:i centroid_score:f", "SELECT * FROM r0")(lambda t: t.r0)
@@ -224,9 +223,9 @@ query("m4", TOK + "doc_id:i oracle_embedding_pos:i oracle_score:f", "SELECT * FR
 query("m2", "query_id:i m1_total_sims:i m3_influential_pairs:i m2_redundant_sims:i redundancy_rate:f", "SELECT * FROM m2")(lambda t: facts.m2(t.m1, t.m3))
 _M5 = TOK + "doc_id:i oracle_embedding_pos:i oracle_score:f oracle_centroid_id:i is_miss:b observed_embedding_pos:i observed_score:f score_delta:f"
 query("m5", _M5, "SELECT * FROM m5")(lambda t: t.m5)
-query("m5_topk_only", _M5, "SELECT * FROM m5 WHERE observed_score IS NOT NULL")(lambda t: facts.m5(t.m4, t.r0, t.m3, top_k_only=True))
+query("m5_topk_only", _M5, "SELECT * FROM m5 WHERE observed_score IS NOT NULL")(lambda t: facts.m5(facts.m4(facts.oracle_rows(t.qtok, t.top, t.index)), t.r0, t.m3, top_k_only=True))
 _M6 = "oracle_centroid_id:i miss_count:i oracle_win_count:i miss_rate:f"
-query("m6_global", _M6, "SELECT * FROM m6")(lambda t: facts.m6(t.m5))
+query("m6_global", _M6, "SELECT * FROM m6")(lambda t: t.m6)
 query("m6_per_query", "query_id:i " + _M6, "SELECT query_id, oracle_centroid_id, count(*) FILTER (WHERE is_miss) AS miss_count, count(*) AS oracle_win_count, count(*) FILTER (WHERE is_miss) / count(*) AS miss_rate FROM m5 GROUP BY ALL")(lambda t: facts.m6(t.m5, ("query_id",)))
 query("m6_grouping_sets", "query_id:i " + _M6, "SELECT query_id, oracle_centroid_id, count(*) FILTER (WHERE is_miss) AS miss_count, count(*) AS oracle_win_count, count(*) FILTER (WHERE is_miss) / count(*) AS miss_rate FROM m5 GROUP BY GROUPING SETS ((oracle_centroid_id), (query_id, oracle_centroid_id))")(lambda t: facts.m6_both(t.m5))
 query("run_diagnostics", "fact:s n_rows:i n_queries:i", " UNION ALL ".join(f"SELECT '{f}' AS fact, count(*) AS n_rows, count(DISTINCT query_id) AS n_queries FROM {f}" for f in ("m1", "r0", "m3", "m4")))(
@@ -245,10 +244,10 @@ query("hit_rate_bins", "hit_bin:f pairs:i found:i recall:f", "SELECT CASE WHEN o
 )
 query("rescue_mechanism", "mechanism:s pairs:i", "SELECT CASE WHEN oracle_hits > 0 THEN 'lucky_oracle' ELSE 'non_oracle_rescue' END AS mechanism, count(*) AS pairs FROM status SEMI JOIN top USING (query_id, doc_id) WHERE routing_status = 'partial' GROUP BY 1")(lambda t: facts.rescue(t.status, t.top))
 query("fallback_strength", TOK + "doc_id:i num_fallback:i relative_gap:f strength:s", "SELECT query_id, q_token_id, doc_id, num_fallback, g AS relative_gap, CASE WHEN g IS NULL THEN 'none' WHEN g < 0.05 THEN 'strong' WHEN g < 0.2 THEN 'moderate' ELSE 'weak' END AS strength FROM (SELECT query_id, q_token_id, doc_id, coalesce(n, 0) AS num_fallback, CASE WHEN oracle_score > 0 THEN (oracle_score - best) / oracle_score WHEN best IS NOT NULL THEN 0 END AS g FROM m4r LEFT JOIN (SELECT query_id, q_token_id, doc_id, count(*) AS n, max(score) AS best FROM orc SEMI JOIN r0 USING (query_id, q_token_id, centroid_id) GROUP BY ALL) x USING (query_id, q_token_id, doc_id) WHERE NOT oracle_is_accessible)")(
-    lambda t: facts.fallback(t.m4r, t.oracle, t.r0)
+    lambda t: t.fallback
 )
 query("centroid_spread", TOK + "doc_id:i strong:i strong_centroids:i capture_rate:f", "SELECT query_id, q_token_id, doc_id, count(*) AS strong, count(DISTINCT centroid_id) AS strong_centroids, count(rank) / count(*) AS capture_rate FROM (SELECT *, max(score) OVER w AS m, stddev_pop(score) OVER w AS d FROM orc WINDOW w AS (PARTITION BY query_id, q_token_id, doc_id)) LEFT JOIN r0 USING (query_id, q_token_id, centroid_id) WHERE score >= m - 1.5 * d GROUP BY ALL")(
-    lambda t: facts.centroid_spread(t.oracle, t.r0)
+    lambda t: t.measured("strong", "strong_centroids", "strong_probed").withColumn("capture_rate", F.col("strong_probed") / F.col("strong"))
 )
 
 # Cluster metrics.
@@ -269,9 +268,9 @@ query("yield", "centroid_id:i computed:i influential:i yield:f", "SELECT * FROM
 query("hub_class", "centroid_id:i sel_freq:i yield:f traffic_share:f bad_hubness:f good_hubness:f hub_type:s", "SELECT * FROM hub")(lambda t: clusters.hubs(t.freq, t.yields))
 _EV = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS {0} FROM (SELECT query_id, doc_id, sum({1}) AS s FROM {2} GROUP BY ALL)"
 query("evidence_recall", "query_id:i recall_at_10:f recall_at_100:f recall_at_1000:f", "SELECT query_id, " + ", ".join(f"count(*) FILTER (WHERE o <= {k} AND a <= {k}) / least({k}, count(*)) AS recall_at_{k}" for k in (10, 100, 1000)) + f" FROM ({_EV.format('o', 'oracle_score', 'm4')}) LEFT JOIN ({_EV.format('a', 'winner_score', 'm3')}) USING (query_id, doc_id) GROUP BY 1")(
-    lambda t: clusters.evidence_recall(t.m3, t.m4)
+    lambda t: clusters.evidence_recall(t.m3, pairs.oracle_documents(*t.met))
 )
-query("evidence_dispersion", "mean:f median:f max:i single:f several:f", "SELECT avg(n) AS mean, median(n) AS median, max(n) AS max, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END) AS single, avg(CASE WHEN n > 1 THEN 1.0 ELSE 0 END) AS several FROM (SELECT query_id, doc_id, count(DISTINCT oracle_centroid_id) AS n FROM m4 GROUP BY ALL)")(lambda t: clusters.evidence_dispersion(t.m4))
+query("evidence_dispersion", "mean:f median:f max:i single:f several:f", "SELECT avg(n) AS mean, median(n) AS median, max(n) AS max, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END) AS single, avg(CASE WHEN n > 1 THEN 1.0 ELSE 0 END) AS several FROM (SELECT query_id, doc_id, count(DISTINCT oracle_centroid_id) AS n FROM m4 GROUP BY ALL)")(lambda t: clusters.evidence_dispersion(pairs.oracle_documents(*t.met)))
 query("routing_fidelity", "query_id:i hits:i misses:i fidelity:f", "SELECT query_id, count(*) FILTER (WHERE NOT is_miss) AS hits, count(*) FILTER (WHERE is_miss) AS misses, count(*) FILTER (WHERE NOT is_miss) / count(*) AS fidelity FROM m5 GROUP BY 1")(lambda t: clusters.routing_fidelity(t.m5))
 
 # Frames.
@@ -367,21 +366,8 @@ def _encode(t: Fixture) -> DataFrame:
 
 @query("arrow_residual_scorer", TOK + "doc_id:i score:f", "SELECT query_id, q_token_id, doc_id, max(score) AS score FROM tsc GROUP BY ALL")
 def _arrow_scorer(t: Fixture) -> DataFrame:
-    """Token scores by numpy gathers in Arrow batches: the form for long vectors, where array functions interpret."""
-    import numpy as np
-
-    weights = np.array(t.index.weights)
-    posts = t.index.postings.select("centroid_id", "doc_id", "codes")
-    rows = t.routed.select("query_id", "q_token_id", "centroid_id", "score").join(t.qtok.select("query_id", "q_token_id", "qv"), ["query_id", "q_token_id"]).join(posts, "centroid_id")
-
-    def score(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            if len(b):
-                q, c = np.stack(b["qv"].to_numpy()), np.stack(b["codes"].to_numpy())
-                yield pd.DataFrame({"query_id": b["query_id"], "q_token_id": b["q_token_id"], "doc_id": b["doc_id"], "score": b["score"] + (q * weights[c]).sum(axis=1)})
-
-    out = rows.mapInPandas(score, "query_id long, q_token_id long, doc_id long, score double")
-    return out.groupBy("query_id", "q_token_id", "doc_id").agg(F.max("score").alias("score"))
+    """Token scores by numpy gathers and products in Arrow batches: the form for long vectors, where array functions interpret."""
+    return t.measured("best_probed").where("best_probed is not null").withColumnRenamed("best_probed", "score")
 
 
 @query("mllib_kmeans", "cells:i embeddings:i mllib_cost:f lloyd_cost:f")
@@ -418,8 +404,7 @@ def _reports(t: Fixture) -> DataFrame:
     from polyseek.operators import hypotheses
     from polyseek.sources.scratch import stored
 
-    lost = facts.fallback(t.m4r, t.oracle, t.r0)
-    return hypotheses.reports(stored(t.frame), stored(clusters.severity(t.m5)), stored(lost), stored(t.status), stored(t.top))  # several reports read each
+    return hypotheses.reports(stored(t.frame), stored(clusters.severity(t.m5)), stored(t.fallback), stored(t.status), t.top)  # several reports read each
 
 
 @query("incremental_search_append", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyseek.operators import clusters, facts, index, search
+from polyseek.operators import clusters, facts, index, pairs, search
 from polyseek.plans.config import SearchConfig
 from polyseek.sources.scratch import folder, stored
 
@@ -65,24 +65,30 @@ class Fixture:
 
     @cached_property
     def routed(self) -> DataFrame:
-        return search.probes(self.scores, CONFIG.nprobe)
+        return stored(search.probes(self.scores, CONFIG.nprobe))
 
     @cached_property
     def missing(self) -> DataFrame:
         return search.missing_scores(self.scores, T_PRIME)
 
+    @cached_property
+    def met(self) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+        """Blocks of documents and of queries, and the size of these. What is made of their pairs is a plan that counts them anew
+        whenever it is read: its rows grow with documents x queries and are neither shuffled nor stored."""
+        return pairs.document_blocks(self.index), stored(pairs.query_blocks(self.qtok, self.routed, self.missing)), pairs.size_of(self.qtok)
+
     @cached_property
     def won(self) -> DataFrame:
-        """Stored, like the facts of any measured run: what is derived reads it many times."""
-        return stored(search.winners(search.token_scores(self.qtok, self.routed, self.index)))
+        return pairs.winners(*self.met)
 
     @cached_property
     def docs(self) -> DataFrame:
-        return search.document_scores(self.won, self.missing)
+        return pairs.document_scores(*self.met)
 
     @cached_property
     def top(self) -> DataFrame:
-        return search.top_k(self.docs, CONFIG.k)
+        """Stored: k rows of each query, which are read many times."""
+        return stored(search.top_k(pairs.document_scores(*self.met, CONFIG.k), CONFIG.k))
 
     @cached_property
     def qrels(self) -> DataFrame:
@@ -100,24 +106,34 @@ class Fixture:
 
     @cached_property
     def m3(self) -> DataFrame:
-        return facts.m3(self.won, self.top)
+        """Stored: a row for each ranked document and token, from their postings alone."""
+        return stored(facts.m3(search.winners(search.token_scores(self.qtok, self.routed, self.index, ranking=self.top)), self.top))
 
-    @cached_property
-    def oracle(self) -> DataFrame:
-        return facts.oracle_rows(self.qtok, self.won, self.index)
+    def measured(self, *columns: str) -> DataFrame:
+        return pairs.measured(*self.met, columns)
 
     @cached_property
     def m4(self) -> DataFrame:
-        return stored(facts.m4(self.oracle))
+        return self.measured("oracle_embedding_pos", "oracle_score", "oracle_centroid_id")
 
     @cached_property
     def m5(self) -> DataFrame:
-        return stored(facts.m5(self.m4, self.r0, self.m3))
+        return facts.m5(self.measured("oracle_embedding_pos", "oracle_score", "oracle_centroid_id", "is_miss"), self.r0, self.m3)
+
+    @cached_property
+    def m6(self) -> DataFrame:
+        """Stored: a row for each cell."""
+        return stored(facts.m6(self.measured("oracle_centroid_id", "is_miss")))
 
     @cached_property
     def m4r(self) -> DataFrame:
         return facts.golden_m4(self.m4, self.qrels, self.r0, self.index.postings)
 
+    @cached_property
+    def fallback(self) -> DataFrame:
+        rows = self.measured("oracle_embedding_pos", "oracle_score", "oracle_centroid_id", "n_probed", "best_probed")
+        return facts.fallback_of(facts.golden_m4(rows, self.qrels, self.r0, self.index.postings))
+
     @cached_property
     def status(self) -> DataFrame:
         return facts.routing_status(self.m4r)
@@ -138,4 +154,4 @@ class Fixture:
 
     @cached_property
     def frame(self) -> DataFrame:
-        return clusters.cluster_frame(self.offline, clusters.hubs(self.freq, self.yields), facts.m6(self.m5), self.m1)
+        return clusters.cluster_frame(self.offline, clusters.hubs(self.freq, self.yields), self.m6, self.m1)

@@ -50,7 +50,8 @@ def _loaded_oracle(t: Fixture) -> DataFrame:
     """Exhaustive scores of the touched documents, from the copy of the postings by document."""
     root = folder(t.spark)
     t.index.save(root)
-    return facts.m4(facts.oracle_rows(t.qtok, t.won, index.Index.load(t.spark, root)))
+    touched = t.index.postings.join(t.routed.select("centroid_id").distinct(), "centroid_id", "left_semi")
+    return facts.oracle(t.qtok, t.routed, index.Index.load(t.spark, root), touched.select("doc_id"))
 
 
 @query("probed_cells_scan", "centroid_id:i n:i first:i last:i", "SELECT centroid_id, size AS n, start AS first, start + size - 1 AS last FROM cells SEMI JOIN (SELECT DISTINCT centroid_id FROM routed WHERE rank = 1) USING (centroid_id) WHERE size > 0")
@@ -73,7 +74,7 @@ _M3 = "query_id:i q_token_id:i doc_id:i winner_embedding_pos:i winner_score:f"
 @query("facts_compacted", _M3, "SELECT * FROM m3")
 def _compacted(t: Fixture) -> DataFrame:
     """Winners written as twenty chunks, merged behind the manifest, the old files deleted."""
-    run, rows = Run(t.spark, folder(t.spark)), stored(t.m3)
+    run, rows = Run(t.spark, folder(t.spark)), t.m3
     for i in range(20):
         run.add({"m3": rows.where(F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(20)) == i)}, batch=str(i))
         run.add({"m3": rows}, batch=str(i))  # a batch that is run again adds nothing
@@ -122,7 +123,7 @@ query("golden_scan", TOK + "doc_id:i oracle_score:f", "SELECT query_id, q_token_
 def _derived_saved(t: Fixture) -> DataFrame:
     """Derived tables and the JSON line that says what they hold."""
     root = folder(t.spark)
-    sinks.save_derived({"m2": facts.m2(t.m1, t.m3), "m6": facts.m6(t.m5)}, root, {"nprobe": CONFIG.nprobe})
+    sinks.save_derived({"m2": facts.m2(t.m1, t.m3), "m6": t.m6}, root, {"nprobe": CONFIG.nprobe})
     about = t.spark.read.json(f"{root}/summary").select(F.from_json(F.get_json_object("metadata", "$.tables"), "map<string, struct<rows: long, columns: array<string>>>").alias("m"))
     return about.select(F.explode("m").alias("table", "x")).select("table", F.col("x.rows").alias("n"), F.size("x.columns").alias("n_columns"))
 
@@ -209,7 +210,7 @@ _INPUTS = " UNION ALL ".join(
         f"SELECT 'rescue ' || mechanism, NULL, pairs FROM ({catalog._queries['rescue_mechanism'][2]})",
     ]
 )
-query("report_inputs", "name:s value:f n:i", _INPUTS)(lambda t: hypotheses.report_inputs(stored(t.frame), facts.fallback(t.m4r, t.oracle, t.r0), stored(t.status), stored(t.top)))
+query("report_inputs", "name:s value:f n:i", _INPUTS)(lambda t: hypotheses.report_inputs(stored(t.frame), t.fallback, stored(t.status), t.top))
 query("stratify_several", "l_returnflag:s l_linestatus:s l_quantity_mean:f l_quantity_max:f l_quantity_nunique:i l_tax_mean:f l_tax_max:f l_tax_nunique:i", "SELECT l_returnflag, l_linestatus, avg(l_quantity) AS l_quantity_mean, max(l_quantity) AS l_quantity_max, count(DISTINCT l_quantity) AS l_quantity_nunique, avg(l_tax) AS l_tax_mean, max(l_tax) AS l_tax_max, count(DISTINCT l_tax) AS l_tax_nunique FROM lineitem GROUP BY ALL")(
     lambda t: statistics.stratify(t.table("lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_tax"], ("mean", "max", "nunique"))
 )
