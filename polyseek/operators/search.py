@@ -212,10 +212,33 @@ def translated(ranking: DataFrame, ids: DataFrame) -> DataFrame:
 
 def stage_candidates(qtok: DataFrame, index: Index, ncells: int) -> DataFrame:
     """query_id, doc_id of documents in any of the ncells best cells of any token."""
+    asked = pairs.query_blocks(qtok, _picked(qtok, index, ncells))
+    return pairs.document_scores(pairs.document_blocks(index, centroid_only=True), asked, pairs.size_of(qtok)).select("query_id", "doc_id")
+
+
+def _picked(qtok: DataFrame, index: Index, ncells: int) -> DataFrame:
     held = centroid_matrix(index.centroids)
-    picked = probes(centroid_scores(qtok, index.centroids), ncells) if held is None else routes(qtok, held, ncells, 0).select("query_id", F.inline("probes"))
-    picked = picked.select("query_id", "centroid_id").distinct()
-    return picked.join(index.postings.select("centroid_id", "doc_id").distinct(), "centroid_id").select("query_id", "doc_id").distinct()
+    return probes(centroid_scores(qtok, index.centroids), ncells) if held is None else routes(qtok, held, ncells, 0).select("query_id", "q_token_id", F.inline("probes"))
+
+
+def first_filter(qtok: DataFrame, index: Index, ncells: int, keep: int, threshold: float | None = None) -> DataFrame:
+    """stage_filter() of stage_candidates(), by blocks of documents and queries: candidates that do not stay never become rows."""
+    live = qtok.where(~is_zero(F.col("qv")))
+    asked = pairs.query_blocks(live, _picked(live, index, ncells))
+    return _kept(pairs.approximate(pairs.document_blocks(index, centroid_only=True), asked, pairs.size_of(live), keep, threshold), keep)
+
+
+def _kept(out: DataFrame, keep: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(tie(F.col("score")).desc(), F.col("doc_id").desc())
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("query_id", "doc_id", "score")
+
+
+def block_winners(qtok: DataFrame, routed: DataFrame, index: Index) -> DataFrame:
+    """winners() from the blocks of the probed cells; by document where their scores would be many more than their postings."""
+    posts = shared_postings(routed, index)
+    if posts is None:
+        return winners(block_scores(qtok, routed, index))
+    return pairs.winners(pairs.document_blocks(index, posts), pairs.query_blocks(qtok, routed), pairs.size_of(qtok))
 
 
 @dataclass(frozen=True)
@@ -302,9 +325,7 @@ def _approximate_by_rows(candidates: DataFrame, scores: DataFrame, index: Index,
 def stage_filter(candidates: DataFrame, qtok: DataFrame, index: Index, keep: int, threshold: float | None = None) -> DataFrame:
     """The keep best candidates by the sum over tokens of the best centroid score among the document's cells (with a
     threshold only cells whose best score over tokens reaches it; -9999 where none does). Ties: higher doc_id first."""
-    out = _approximate(candidates, qtok, index, threshold)
-    w = Window.partitionBy("query_id").orderBy(tie(F.col("score")).desc(), F.col("doc_id").desc())
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("query_id", "doc_id", "score")
+    return _kept(_approximate(candidates, qtok, index, threshold), keep)
 
 
 def stage_scores(found: DataFrame, qtok: DataFrame, index: Index, relu: bool = True) -> DataFrame:
@@ -336,8 +357,11 @@ def staged_search(qtok: DataFrame, index: Index, k: int, setting: tuple[int, flo
     """Candidates, both filters, exact scores on reconstructed (normalised) vectors. candidates (query_id, doc_id) take
     the place of the first stage; of either only those go on for which ``allowed`` (of query_id, doc_id) holds."""
     ncells, threshold, ndocs = setting
-    found = candidates if candidates is not None else stage_candidates(qtok, index, ncells)
-    found = found if allowed is None else found.where(allowed)
-    found = stage_filter(found, qtok, index, ndocs, threshold).select("query_id", "doc_id")
+    if candidates is None and allowed is None:
+        found = first_filter(qtok, index, ncells, ndocs, threshold).select("query_id", "doc_id")
+    else:
+        found = candidates if candidates is not None else stage_candidates(qtok, index, ncells)
+        found = found if allowed is None else found.where(allowed)
+        found = stage_filter(found, qtok, index, ndocs, threshold).select("query_id", "doc_id")
     found = stored(stage_filter(found, qtok, index, max(1, ndocs // 4)).select("query_id", "doc_id"))  # read twice
     return top_k(stage_scores(found, qtok, index, relu), k)

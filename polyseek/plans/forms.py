@@ -22,7 +22,7 @@ from polyseek.sources.scratch import folder, stored
 def _block_winners(t: Fixture) -> DataFrame:
     """Token winners from packed blocks of the probed cells, by byte tables of 4-bit codes."""
     routed = stored(search.routes(t.qtok, search.centroid_matrix(t.index.centroids), CONFIG.nprobe, T_PRIME))
-    return search.winners(search.block_scores(t.qtok, routed.select("query_id", "q_token_id", F.inline("probes")), t.clustered))
+    return search.block_winners(t.qtok, routed.select("query_id", "q_token_id", F.inline("probes")), t.clustered)
 
 
 _CODEC2 = "(SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS cuts, quantile_cont(x, [0.125, 0.375, 0.625, 0.875]) AS ws FROM (SELECT unnest(r) AS x FROM res))"
@@ -34,7 +34,7 @@ def _two_bit_winners(t: Fixture) -> DataFrame:
     built = index.build(t.tokens, t.seeds, 2, heldout=F.lit(True))
     two = index.Index(stored(built.postings), stored(built.centroids), built.cutoffs, built.weights).clustered(folder(t.spark))
     routed = stored(search.routes(t.qtok, search.centroid_matrix(two.centroids), CONFIG.nprobe, T_PRIME))
-    return search.winners(search.block_scores(t.qtok, routed.select("query_id", "q_token_id", F.inline("probes")), two))
+    return search.block_winners(t.qtok, routed.select("query_id", "q_token_id", F.inline("probes")), two)
 
 
 @query("packed_blocks_roundtrip", "embedding_pos:i centroid_id:i doc_id:i dim:i code:i", "SELECT embedding_pos, centroid_id, doc_id, generate_subscripts(codes, 1) - 1 AS dim, unnest(codes) AS code FROM post")

@@ -96,3 +96,18 @@ def test_a_number_that_is_none_and_a_long_document(spark, parts, monkeypatch):
     met = pairs.document_blocks(built), pairs.query_blocks(hurt, routed), pairs.size_of(hurt)
     assert pairs.winners(*met).count() == search.winners(search.token_scores(hurt, routed, built)).count()
     assert search.exact_maxsim(q, odd).where("doc_id = 1 and not isnan(score)").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [None, 0.5])
+def test_the_first_filter_by_blocks(spark, parts, monkeypatch, threshold):
+    """The kept candidates are those that a row for each candidate gives, and none passes an aggregate above the pairs."""
+    monkeypatch.setattr(pairs, "ROWS", 23)
+    monkeypatch.setattr(pairs, "TOKENS", 6)
+    _, built, q, _, _ = parts
+    picked = search.probes(search.centroid_scores(q, built.centroids), 2).select("query_id", "centroid_id").distinct()
+    found = picked.join(built.postings.select("centroid_id", "doc_id"), "centroid_id").select("query_id", "doc_id").distinct()
+    candidates = search.stage_candidates(q, built, 2)
+    assert rows_of(candidates, "query_id", "doc_id") == rows_of(found, "query_id", "doc_id")
+    assert "Aggregate" not in plan(candidates).split("Join")[0]
+    want = search.stage_filter(found, q, built, 6, threshold)
+    assert rows_of(search.first_filter(q, built, 2, 6, threshold), *want.columns) == rows_of(want, *want.columns)
