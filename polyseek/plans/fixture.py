@@ -92,9 +92,14 @@ class Fixture:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        own = self.qtok.select("query_id", "label").distinct()
-        n = self.tokens.join(own, "label").groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("relevance"))
-        return n.where("relevance >= 3")
+        """Documents of which three tokens or more have a label of the query. Queries with the same labels share the count, so that the join
+        by label makes documents x sets of labels and only judged pairs are met with queries."""
+        own = self.qtok.where("label is not null").groupBy("query_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+        tokens = self.tokens.where("label is not null").groupBy("doc_id").agg(F.collect_list("label").alias("_l"))  # a document's tokens
+        sets = own.select("labels").distinct()
+        n = F.size(F.filter("_l", lambda x: F.array_contains(F.col("labels"), x))).cast("int")
+        judged = tokens.crossJoin(facts.near(sets)).select("doc_id", "labels", n.alias("relevance")).where("relevance >= 3")
+        return judged.join(facts.near(own), "labels").select("query_id", "doc_id", "relevance")
 
     @cached_property
     def m1(self) -> DataFrame:

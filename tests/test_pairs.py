@@ -111,3 +111,19 @@ def test_the_first_filter_by_blocks(spark, parts, monkeypatch, threshold):
     assert "Aggregate" not in plan(candidates).split("Join")[0]
     want = search.stage_filter(found, q, built, 6, threshold)
     assert rows_of(search.first_filter(q, built, 2, 6, threshold), *want.columns) == rows_of(want, *want.columns)
+
+
+def test_judgements_need_no_group_of_all_pairs(spark):
+    """Judged pairs are not grouped: the aggregates lie below the join that makes them."""
+    from pathlib import Path
+
+    from polyseek.plans.fixture import Fixture
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test tables")
+    t = Fixture(spark, data)
+    own = t.qtok.select("query_id", "label").distinct()
+    want = t.tokens.join(own, "label").groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("relevance")).where("relevance >= 3")
+    assert rows_of(t.qrels, *want.columns) == rows_of(want, *want.columns)
+    assert "Aggregate" not in plan(t.qrels).split("Join")[0]
