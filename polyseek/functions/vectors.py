@@ -27,7 +27,7 @@ def sqdist(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(total(F.transform(a, lambda x: x * x)))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def normalise(a: Column) -> Column:

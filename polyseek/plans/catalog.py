@@ -360,8 +360,8 @@ query("crosstab", "lang:s q0:i q1:i", "SELECT lang, count(*) FILTER (WHERE quali
 @query("encode_pandas_udf", "doc_id:i pos:i norm:f", "SELECT doc_id, pos, 1.0 AS norm FROM (SELECT doc_id, generate_subscripts(ws[1:512], 1) - 1 AS pos, unnest(ws[1:512]) AS t FROM words) WHERE NOT (length(t) = 1 AND contains('!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', t))")
 def _encode(t: Fixture) -> DataFrame:
     """Token vectors of documents by the encoder without a model: where they stand, and that they have length 1."""
-    out = encode.encode(t.table("documents"), "doc_id", text.tokens(F.col("text"), text.DOC_TOKENS))
-    return out.select("doc_id", "pos", norm(F.col("v")).alias("norm"))
+    out = encode.encode(t.table("documents"), "doc_id", text.tokens(F.col("text"), text.DOC_TOKENS), length="norm")
+    return out.select("doc_id", "pos", "norm")
 
 
 @query("arrow_residual_scorer", TOK + "doc_id:i score:f", "SELECT query_id, q_token_id, doc_id, max(score) AS score FROM tsc GROUP BY ALL")
