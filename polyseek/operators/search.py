@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from polyseek.sources.scratch import stored
 
 #: Tokens that probe a cell, on average, from which scores are counted by document: their rows would be so many times the postings.
 SHARED = 16
+#: Candidates from which a staged search counts the documents, to see whether its filters would keep all.
+FEW = 10_000
 
 
 def centroid_scores(qtok: DataFrame, centroids: DataFrame, rows: int | None = None) -> DataFrame:
@@ -221,11 +224,12 @@ def _picked(qtok: DataFrame, index: Index, ncells: int) -> DataFrame:
     return probes(centroid_scores(qtok, index.centroids), ncells) if held is None else routes(qtok, held, ncells, 0).select("query_id", "q_token_id", F.inline("probes"))
 
 
-def first_filter(qtok: DataFrame, index: Index, ncells: int, keep: int, threshold: float | None = None) -> DataFrame:
-    """stage_filter() of stage_candidates(), by blocks of documents and queries: candidates that do not stay never become rows."""
+def first_filter(qtok: DataFrame, index: Index, ncells: int, keep: int, threshold: float | None = None, posts: DataFrame | None = None) -> DataFrame:
+    """stage_filter() of stage_candidates(), by blocks of documents and queries: candidates that do not stay never become rows. posts:
+    the postings of the documents that may be candidates (default: all)."""
     live = qtok.where(~is_zero(F.col("qv")))
     asked = pairs.query_blocks(live, _picked(live, index, ncells))
-    return _kept(pairs.approximate(pairs.document_blocks(index, centroid_only=True), asked, pairs.size_of(live), keep, threshold), keep)
+    return _kept(pairs.approximate(pairs.document_blocks(index, posts, centroid_only=True), asked, pairs.size_of(live), keep, threshold), keep)
 
 
 def _kept(out: DataFrame, keep: int) -> DataFrame:
@@ -357,11 +361,29 @@ def staged_search(qtok: DataFrame, index: Index, k: int, setting: tuple[int, flo
     """Candidates, both filters, exact scores on reconstructed (normalised) vectors. candidates (query_id, doc_id) take
     the place of the first stage; of either only those go on for which ``allowed`` (of query_id, doc_id) holds."""
     ncells, threshold, ndocs = setting
-    if candidates is None and allowed is None:
-        found = first_filter(qtok, index, ncells, ndocs, threshold).select("query_id", "doc_id")
+    second = max(1, ndocs // 4)
+    posts = _allowed_postings(index, allowed) if candidates is None else None
+    if posts is not None:
+        n = posts.select("doc_id").distinct().count() if allowed is not None or ndocs > FEW else second + 1
+        if n <= second:  # both filters would keep every candidate: none becomes a row before its exact score
+            live = qtok.where(~is_zero(F.col("qv")))
+            asked = pairs.query_blocks(live, _picked(live, index, ncells))
+            return top_k(pairs.stage_scores(pairs.document_blocks(index, posts), asked, pairs.size_of(live), k, relu), k)
+        found = first_filter(qtok, index, ncells, ndocs, threshold, posts).select("query_id", "doc_id")
     else:
         found = candidates if candidates is not None else stage_candidates(qtok, index, ncells)
         found = found if allowed is None else found.where(allowed)
         found = stage_filter(found, qtok, index, ndocs, threshold).select("query_id", "doc_id")
-    found = stored(stage_filter(found, qtok, index, max(1, ndocs // 4)).select("query_id", "doc_id"))  # read twice
+    found = stored(stage_filter(found, qtok, index, second).select("query_id", "doc_id"))  # read twice
     return top_k(stage_scores(found, qtok, index, relu), k)
+
+
+def _allowed_postings(index: Index, allowed: Column | None) -> DataFrame | None:
+    """The postings of the documents for which ``allowed`` holds, or None where it asks for more than doc_id."""
+    if allowed is None:
+        return index.postings
+    try:
+        index.postings.select("doc_id").where(allowed).schema  # noqa: B018  resolves the names
+    except AnalysisException:
+        return None
+    return index.postings.where(allowed)

@@ -139,3 +139,18 @@ def test_runs_of_unequal_length_reduce_in_order():
     assert runs.best(x).tolist() == [[0, 0], [1, 1], [5, 4], [6, 8]]
     rank = np.array([[1, 1], [3, 2], [2, 2], [1, 1], [9, 2], [9, 1], [1, 1], [1, 1], [1, 1]])
     assert runs.best(x, rank).tolist() == [[0, 0], [2, 1], [5, 5], [6, 8]]
+
+
+@pytest.mark.parametrize("ndocs", [1 << 20, 16])  # filters that keep all, and such that do not
+def test_documents_are_chosen_before_they_are_candidates(spark, parts, monkeypatch, ndocs):
+    _, built, q, _, _ = parts
+    setting = (2, -1.0, ndocs)
+    of_pair = (F.col("doc_id") % 3 == 1) & (F.col("query_id") >= 0)
+    want = rows_of(search.staged_search(q, built, 3, setting, allowed=of_pair), "query_id", "doc_id", "rank", "score")
+
+    def never(*_):
+        raise AssertionError("a row for each pair of a query and a candidate")
+
+    monkeypatch.setattr(search, "stage_candidates", never)
+    got = rows_of(search.staged_search(q, built, 3, setting, allowed=F.col("doc_id") % 3 == 1), "query_id", "doc_id", "rank", "score")
+    assert got == want and got
