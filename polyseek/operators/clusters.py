@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyseek.functions.quantiles import exact_quantiles
 from polyseek.functions.vectors import dot, pick, tie
-from polyseek.operators import matrices
+from polyseek.operators import facts, matrices
 from polyseek.sources.scratch import stored
 
 
@@ -144,15 +144,21 @@ def hubs(freq: DataFrame, yielded: DataFrame, low: float = 0.1, high: float = 0.
 
 def evidence_recall(m3: DataFrame, m4: DataFrame, ks: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
     """Per query and k: overlap of the k documents best by observed and by oracle evidence, over the smaller of k and the
-    number of oracle documents. Ties go to the lower doc_id. m4: its rows, or a row for each query and document (score)."""
+    number of oracle documents. Ties go to the lower doc_id. m4: its rows, a row for each query and document (score), or the places of
+    M3's documents among all (``pairs.oracle_places``)."""
 
     def ranked(rows: DataFrame, score: str, name: str) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(tie(F.col("s")).desc(), "doc_id")
+        if "n" in rows.columns:
+            return rows.where("doc_id is not null").select("query_id", "doc_id", (F.col("n") + 1).alias(name)).where(F.col(name) <= max(ks))
         rows = rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("s")) if score in rows.columns else rows.withColumnRenamed("score", "s")
         return rows.select("query_id", "doc_id", F.row_number().over(w).alias(name)).where(F.col(name) <= max(ks))
 
     # Past the greatest k only the number of oracle documents counts: it does not pass the ranking.
-    n = (m4.select("query_id", "doc_id").distinct() if "oracle_score" in m4.columns else m4).groupBy("query_id").agg(F.count("*").alias("n"))
+    if "n" in m4.columns:
+        n = m4.where("doc_id is null and n > 0").select("query_id", "n")
+    else:
+        n = (m4.select("query_id", "doc_id").distinct() if "oracle_score" in m4.columns else m4).groupBy("query_id").agg(F.count("*").alias("n"))
     both = ranked(m4, "oracle_score", "o").join(ranked(m3, "winner_score", "a"), ["query_id", "doc_id"]).groupBy("query_id")
     hits = both.agg(*[F.count_if((F.col("o") <= k) & (F.col("a") <= k)).alias(f"_{k}") for k in ks])
     return n.join(hits, "query_id", "left").select("query_id", *[(F.coalesce(f"_{k}", F.lit(0)) / F.least(F.lit(k), "n")).alias(f"recall_at_{k}") for k in ks])
@@ -168,6 +174,10 @@ def evidence_dispersion(m4: DataFrame) -> DataFrame:
 
 
 def routing_fidelity(m5: DataFrame) -> DataFrame:
+    """m5: its rows, or their counts by query (``pairs.misses``)."""
+    if "oracle_win_count" in m5.columns:
+        hits = F.col("oracle_win_count") - F.col("miss_count")
+        return m5.select("query_id", hits.alias("hits"), F.col("miss_count").alias("misses"), (hits / F.col("oracle_win_count")).alias("fidelity"))
     return m5.groupBy("query_id").agg(F.count_if(~F.col("is_miss")).alias("hits"), F.count_if("is_miss").alias("misses"), F.avg((~F.col("is_miss")).cast("double")).alias("fidelity"))
 
 
@@ -197,16 +207,27 @@ def cluster_frame(offline: DataFrame, online: DataFrame, m6: DataFrame, m1: Data
 
 
 def query_frame(m2: DataFrame, activation: DataFrame, m5: DataFrame) -> DataFrame:
+    """m5: its rows, or their counts by query (``pairs.misses``)."""
+    if "oracle_win_count" in m5.columns:
+        rest = F.when(F.col("oracle_win_count") > F.col("observed"), 0.0)  # the gap of what was not observed
+        miss = m5.select("query_id", F.col("miss_count").alias("misses"), F.col("oracle_win_count").alias("oracle_wins"), (F.col("miss_count") / F.col("oracle_win_count")).alias("miss_rate"), F.greatest("max_delta", rest).alias("max_score_delta"))
+        return m2.join(activation, "query_id", "left").join(miss, "query_id", "left")
     miss = m5.groupBy("query_id").agg(F.count_if("is_miss").alias("misses"), F.count("*").alias("oracle_wins"), F.avg(F.col("is_miss").cast("double")).alias("miss_rate"), F.max("score_delta").alias("max_score_delta"))
     return m2.join(activation, "query_id", "left").join(miss, "query_id", "left")
 
 
 def miss_attribution(m5: DataFrame, offline: DataFrame) -> DataFrame:
-    """Misses with the properties of the cell that holds the oracle winner."""
-    props = offline.select(*[F.col(c).alias(f"oracle_{c}") for c in offline.columns])
-    return m5.where("is_miss").join(props, "oracle_centroid_id", "left")
+    """Misses with the properties of the cell that holds the oracle winner, which are broadcast while they are small. m5: its rows, or the
+    misses among them."""
+    props = facts.near(offline.select(*[F.col(c).alias(f"oracle_{c}") for c in offline.columns]))
+    return (m5.where("is_miss") if "is_miss" in m5.columns else m5).join(props, "oracle_centroid_id", "left")
 
 
 def severity(m5: DataFrame) -> DataFrame:
-    """Score gaps of misses by cell: count, mean, greatest, population deviation."""
+    """Score gaps of misses by cell: count, mean, greatest, population deviation. m5: its rows, or their counts by cell (``pairs.misses``)."""
+    if "oracle_win_count" in m5.columns:
+        n, mean = F.col("miss_count"), F.col("sum_delta") / F.col("miss_count")
+        top = F.greatest("max_missed", F.when(n > F.col("observed_misses"), 0.0))
+        std = F.sqrt(F.greatest(F.lit(0.0), F.col("sum_square") / n - mean * mean))
+        return m5.where("miss_count > 0").select("oracle_centroid_id", n.alias("n"), mean.alias("mean_score_delta"), top.alias("max_score_delta"), std.alias("std_score_delta"))
     return m5.where("is_miss").groupBy("oracle_centroid_id").agg(F.count("*").alias("n"), F.avg("score_delta").alias("mean_score_delta"), F.max("score_delta").alias("max_score_delta"), F.stddev_pop("score_delta").alias("std_score_delta"))

@@ -47,12 +47,12 @@ def oracle_rows(qtok: DataFrame, won: DataFrame, index: Index) -> DataFrame:
     return rows.select(*TOKEN, "doc_id", "embedding_pos", "centroid_id", (F.col("_c") + dot(F.col("qv"), pick(index.weights, F.col("codes")))).alias("score"))
 
 
-def oracle(qtok: DataFrame, routed: DataFrame, index: Index, scope: DataFrame | None = None) -> DataFrame:
+def oracle(qtok: DataFrame, routed: DataFrame, index: Index, scope: DataFrame | None = None, columns: tuple[str, ...] = ("oracle_embedding_pos", "oracle_score", "oracle_centroid_id")) -> DataFrame:
     """m4(oracle_rows()) by blocks of whole documents: no row for each embedding, and none is shuffled. scope (doc_id): the touched
     documents, where few are read."""
     docs = pairs.document_blocks(index, None if scope is None else index.of_documents(scope))
     asked = stored(pairs.query_blocks(qtok, routed))
-    return pairs.measured(docs, asked, pairs.size_of(qtok), ("oracle_embedding_pos", "oracle_score", "oracle_centroid_id"))
+    return pairs.measured(docs, asked, pairs.size_of(qtok), columns)
 
 
 def m4(rows: DataFrame) -> DataFrame:
@@ -98,16 +98,23 @@ def m5(m4_: DataFrame, r0_: DataFrame, m3_: DataFrame | None = None, top_k_only:
     return out
 
 
+def _counts(m5_: DataFrame) -> list:
+    """Misses and wins of M5's rows, or of their counts (``pairs.misses``)."""
+    if "oracle_win_count" in m5_.columns:
+        return [F.sum(c).alias(c) for c in ("miss_count", "oracle_win_count")]
+    return [F.count_if("is_miss").alias("miss_count"), F.count("*").alias("oracle_win_count")]
+
+
 def m6(m5_: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Misses and wins of each cell, over all queries or by query_id."""
-    out = m5_.groupBy(*by, "oracle_centroid_id").agg(F.count_if("is_miss").alias("miss_count"), F.count("*").alias("oracle_win_count"))
+    """Misses and wins of each cell, over all queries or by query_id. m5_: its rows or their counts."""
+    out = m5_.groupBy(*by, "oracle_centroid_id").agg(*_counts(m5_))
     return out.withColumn("miss_rate", F.col("miss_count") / F.col("oracle_win_count"))
 
 
 def m6_both(m5_: DataFrame) -> DataFrame:
     """Both levels of M6 in one pass; query_id is null on rows over all queries."""
     out = m5_.groupingSets([[F.col("oracle_centroid_id")], [F.col("query_id"), F.col("oracle_centroid_id")]], F.col("query_id"), F.col("oracle_centroid_id"))
-    out = out.agg(F.count_if("is_miss").alias("miss_count"), F.count("*").alias("oracle_win_count"))
+    out = out.agg(*_counts(m5_))
     return out.withColumn("miss_rate", F.col("miss_count") / F.col("oracle_win_count"))
 
 
@@ -129,8 +136,19 @@ def golden_m4(m4_: DataFrame, qrels: DataFrame, r0_: DataFrame, posts: DataFrame
     )
 
 
+#: What blocks of judged documents tell of each beside M4's columns.
+GOLDEN = ("num_doc_embeddings", "num_doc_centroids", "num_accessible_centroids")
+
+
+def golden_rows(rows: DataFrame) -> DataFrame:
+    """golden_m4() of rows that blocks of judged documents gave (is_miss, ``GOLDEN``)."""
+    reached = F.col("num_accessible_centroids") > 0
+    return rows.select(*[c for c in rows.columns if c != "is_miss"], (~F.col("is_miss")).alias("oracle_is_accessible"), reached.alias("any_embedding_accessible"))
+
+
 def routing_status(m4r: DataFrame) -> DataFrame:
-    out = m4r.groupBy("query_id", "doc_id").agg(
+    """m4r: rows of tokens, or a row for each query and document (``pairs.golden_documents``)."""
+    out = m4r if "oracle_hits" in m4r.columns else m4r.groupBy("query_id", "doc_id").agg(
         F.count_if("oracle_is_accessible").alias("oracle_hits"), F.count("*").alias("num_tokens"), F.bool_or("any_embedding_accessible").alias("any_embedding_accessible"),
         F.max("num_doc_embeddings").alias("num_doc_embeddings"), F.max("num_doc_centroids").alias("num_doc_centroids"), F.max("num_accessible_centroids").alias("num_accessible_centroids"),
     )
@@ -183,7 +201,7 @@ def fallback(m4r: DataFrame, rows: DataFrame, r0_: DataFrame) -> DataFrame:
 
 def fallback_of(m4r: DataFrame) -> DataFrame:
     """fallback() of judged rows that know their probed embeddings (n_probed, best_probed)."""
-    rows = m4r.where("not oracle_is_accessible")
+    rows = m4r.where("not oracle_is_accessible") if "oracle_is_accessible" in m4r.columns else m4r  # else misses alone
     return _graded(rows.select(*TOKEN, "doc_id", "oracle_score", F.col("n_probed").alias("num_fallback"), F.col("best_probed").alias("best_accessible")))
 
 

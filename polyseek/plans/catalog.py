@@ -226,8 +226,8 @@ query("m5", _M5, "SELECT * FROM m5")(lambda t: t.m5)
 query("m5_topk_only", _M5, "SELECT * FROM m5 WHERE observed_score IS NOT NULL")(lambda t: facts.m5(facts.m4(facts.oracle_rows(t.qtok, t.top, t.index)), t.r0, t.m3, top_k_only=True))
 _M6 = "oracle_centroid_id:i miss_count:i oracle_win_count:i miss_rate:f"
 query("m6_global", _M6, "SELECT * FROM m6")(lambda t: t.m6)
-query("m6_per_query", "query_id:i " + _M6, "SELECT query_id, oracle_centroid_id, count(*) FILTER (WHERE is_miss) AS miss_count, count(*) AS oracle_win_count, count(*) FILTER (WHERE is_miss) / count(*) AS miss_rate FROM m5 GROUP BY ALL")(lambda t: facts.m6(t.m5, ("query_id",)))
-query("m6_grouping_sets", "query_id:i " + _M6, "SELECT query_id, oracle_centroid_id, count(*) FILTER (WHERE is_miss) AS miss_count, count(*) AS oracle_win_count, count(*) FILTER (WHERE is_miss) / count(*) AS miss_rate FROM m5 GROUP BY GROUPING SETS ((oracle_centroid_id), (query_id, oracle_centroid_id))")(lambda t: facts.m6_both(t.m5))
+query("m6_per_query", "query_id:i " + _M6, "SELECT query_id, oracle_centroid_id, count(*) FILTER (WHERE is_miss) AS miss_count, count(*) AS oracle_win_count, count(*) FILTER (WHERE is_miss) / count(*) AS miss_rate FROM m5 GROUP BY ALL")(lambda t: facts.m6(t.misses("query_id", "oracle_centroid_id"), ("query_id",)))
+query("m6_grouping_sets", "query_id:i " + _M6, "SELECT query_id, oracle_centroid_id, count(*) FILTER (WHERE is_miss) AS miss_count, count(*) AS oracle_win_count, count(*) FILTER (WHERE is_miss) / count(*) AS miss_rate FROM m5 GROUP BY GROUPING SETS ((oracle_centroid_id), (query_id, oracle_centroid_id))")(lambda t: facts.m6_both(t.misses("query_id", "oracle_centroid_id")))
 query("run_diagnostics", "fact:s n_rows:i n_queries:i", " UNION ALL ".join(f"SELECT '{f}' AS fact, count(*) AS n_rows, count(DISTINCT query_id) AS n_queries FROM {f}" for f in ("m1", "r0", "m3", "m4")))(
     lambda t: t.m1.select(F.lit("m1").alias("fact"), "query_id").union(t.r0.select(F.lit("r0"), "query_id")).union(t.m3.select(F.lit("m3"), "query_id")).union(t.m4.select(F.lit("m4"), "query_id")).groupBy("fact").agg(F.count("*").alias("n_rows"), F.countDistinct("query_id").alias("n_queries"))
 )
@@ -268,10 +268,10 @@ query("yield", "centroid_id:i computed:i influential:i yield:f", "SELECT * FROM
 query("hub_class", "centroid_id:i sel_freq:i yield:f traffic_share:f bad_hubness:f good_hubness:f hub_type:s", "SELECT * FROM hub")(lambda t: clusters.hubs(t.freq, t.yields))
 _EV = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS {0} FROM (SELECT query_id, doc_id, sum({1}) AS s FROM {2} GROUP BY ALL)"
 query("evidence_recall", "query_id:i recall_at_10:f recall_at_100:f recall_at_1000:f", "SELECT query_id, " + ", ".join(f"count(*) FILTER (WHERE o <= {k} AND a <= {k}) / least({k}, count(*)) AS recall_at_{k}" for k in (10, 100, 1000)) + f" FROM ({_EV.format('o', 'oracle_score', 'm4')}) LEFT JOIN ({_EV.format('a', 'winner_score', 'm3')}) USING (query_id, doc_id) GROUP BY 1")(
-    lambda t: clusters.evidence_recall(t.m3, pairs.oracle_documents(*t.met))
+    lambda t: clusters.evidence_recall(t.m3, t.places)
 )
 query("evidence_dispersion", "mean:f median:f max:i single:f several:f", "SELECT avg(n) AS mean, median(n) AS median, max(n) AS max, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END) AS single, avg(CASE WHEN n > 1 THEN 1.0 ELSE 0 END) AS several FROM (SELECT query_id, doc_id, count(DISTINCT oracle_centroid_id) AS n FROM m4 GROUP BY ALL)")(lambda t: clusters.evidence_dispersion(pairs.oracle_documents(*t.met)))
-query("routing_fidelity", "query_id:i hits:i misses:i fidelity:f", "SELECT query_id, count(*) FILTER (WHERE NOT is_miss) AS hits, count(*) FILTER (WHERE is_miss) AS misses, count(*) FILTER (WHERE NOT is_miss) / count(*) AS fidelity FROM m5 GROUP BY 1")(lambda t: clusters.routing_fidelity(t.m5))
+query("routing_fidelity", "query_id:i hits:i misses:i fidelity:f", "SELECT query_id, count(*) FILTER (WHERE NOT is_miss) AS hits, count(*) FILTER (WHERE is_miss) AS misses, count(*) FILTER (WHERE NOT is_miss) / count(*) AS fidelity FROM m5 GROUP BY 1")(lambda t: clusters.routing_fidelity(t.misses("query_id")))
 
 # Frames.
 _OFF = "n_tokens:i n_docs:i top_1_doc_share:f top_5_doc_share:f top_10_doc_share:f gini_coefficient:f dispersion:f isolation:f nearest_neighbor_sim:f mean_neighbor_sim:f"
@@ -279,12 +279,12 @@ _FRAME = "centroid_id:i " + _OFF + " sel_freq:i yield:f traffic_share:f bad_hubn
 query("cluster_frame", _FRAME, "SELECT * FROM frame")(lambda t: t.frame)
 query("unified_centroid_table", "centroid_id:i n_tokens:i sel_freq:i miss_count:i m1_sims:i hub_type:s", "SELECT centroid_id, n_tokens, sel_freq, miss_count, m1_sims, hub_type FROM frame0")(lambda t: t.frame)
 query("query_frame", _ACT + " m1_total_sims:i m3_influential_pairs:i redundancy_rate:f misses:i oracle_wins:i miss_rate:f max_score_delta:f", "SELECT * FROM m2 LEFT JOIN activ USING (query_id) LEFT JOIN (SELECT query_id, count(*) FILTER (WHERE is_miss) AS misses, count(*) AS oracle_wins, count(*) FILTER (WHERE is_miss) / count(*) AS miss_rate, max(score_delta) AS max_score_delta FROM m5 GROUP BY 1) USING (query_id)")(
-    lambda t: clusters.query_frame(facts.m2(t.m1, t.m3), clusters.query_activation(t.m1), t.m5)
+    lambda t: clusters.query_frame(facts.m2(t.m1, t.m3), clusters.query_activation(t.m1), t.misses("query_id"))
 )
 query("miss_attribution", TOK + "doc_id:i oracle_centroid_id:i score_delta:f oracle_n_tokens:i oracle_dispersion:f", "SELECT query_id, q_token_id, doc_id, oracle_centroid_id, score_delta, n_tokens AS oracle_n_tokens, dispersion AS oracle_dispersion FROM m5 LEFT JOIN offline ON centroid_id = oracle_centroid_id WHERE is_miss")(
-    lambda t: clusters.miss_attribution(t.m5, t.offline)
+    lambda t: clusters.miss_attribution(pairs.measured(*t.ranked, ("oracle_centroid_id", "score_delta"), missed=True), t.offline)
 )
-query("severity_by_centroid", "oracle_centroid_id:i n:i mean_score_delta:f max_score_delta:f std_score_delta:f", "SELECT oracle_centroid_id, count(*) AS n, avg(score_delta) AS mean_score_delta, max(score_delta) AS max_score_delta, stddev_pop(score_delta) AS std_score_delta FROM m5 WHERE is_miss GROUP BY 1")(lambda t: clusters.severity(t.m5))
+query("severity_by_centroid", "oracle_centroid_id:i n:i mean_score_delta:f max_score_delta:f std_score_delta:f", "SELECT oracle_centroid_id, count(*) AS n, avg(score_delta) AS mean_score_delta, max(score_delta) AS max_score_delta, stddev_pop(score_delta) AS std_score_delta FROM m5 WHERE is_miss GROUP BY 1")(lambda t: clusters.severity(t.missed_cells))
 
 # Evaluation.
 _RANK = "(SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS r FROM docs)"
@@ -404,7 +404,7 @@ def _reports(t: Fixture) -> DataFrame:
     from polyseek.operators import hypotheses
     from polyseek.sources.scratch import stored
 
-    return hypotheses.reports(stored(t.frame), stored(clusters.severity(t.m5)), stored(t.fallback), stored(t.status), t.top)  # several reports read each
+    return hypotheses.reports(stored(t.frame), stored(clusters.severity(t.missed_cells)), stored(t.fallback), stored(t.status), t.top)  # several reports read each
 
 
 @query("incremental_search_append", "query_id:i doc_id:i rank:i score:f", "SELECT query_id, doc_id, rank, score FROM top")

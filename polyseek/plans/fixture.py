@@ -117,6 +117,31 @@ class Fixture:
     def measured(self, *columns: str) -> DataFrame:
         return pairs.measured(*self.met, columns)
 
+    @cached_property
+    def ranked(self) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+        """met, with the ranked documents of each query."""
+        return self.met[0], stored(pairs.query_blocks(self.qtok, self.routed, found=self.top.select("query_id", "doc_id"))), self.met[2]
+
+    @cached_property
+    def golden(self) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+        """met, of judged pairs only."""
+        return stored(pairs.document_blocks(self.index, qrels=self.qrels)), self.met[1], self.met[2]
+
+    def misses(self, *by: str) -> DataFrame:
+        """M5 counted by query or cell: no row of it leaves the task that makes it."""
+        return pairs.misses(*self.ranked, by)
+
+    @cached_property
+    def missed_cells(self) -> DataFrame:
+        """Stored: a row for each cell."""
+        return stored(self.misses("oracle_centroid_id"))
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """Stored: how many documents come before each of M3's, by oracle evidence. Their own evidence comes from their postings alone."""
+        own = facts.m4(facts.oracle_rows(self.qtok, self.top, self.index)).groupBy("query_id", "doc_id").agg(F.sum("oracle_score").alias("score"))
+        return stored(pairs.oracle_places(self.met[0], stored(pairs.query_blocks(self.qtok, self.routed, found=own)), self.met[2]))
+
     @cached_property
     def m4(self) -> DataFrame:
         return self.measured("oracle_embedding_pos", "oracle_score", "oracle_centroid_id")
@@ -128,20 +153,19 @@ class Fixture:
     @cached_property
     def m6(self) -> DataFrame:
         """Stored: a row for each cell."""
-        return stored(facts.m6(self.measured("oracle_centroid_id", "is_miss")))
+        return stored(facts.m6(self.missed_cells))
 
     @cached_property
     def m4r(self) -> DataFrame:
-        return facts.golden_m4(self.m4, self.qrels, self.r0, self.index.postings)
+        return facts.golden_rows(pairs.measured(*self.golden, ("oracle_embedding_pos", "oracle_score", "oracle_centroid_id", "is_miss", *facts.GOLDEN)))
 
     @cached_property
     def fallback(self) -> DataFrame:
-        rows = self.measured("oracle_embedding_pos", "oracle_score", "oracle_centroid_id", "n_probed", "best_probed")
-        return facts.fallback_of(facts.golden_m4(rows, self.qrels, self.r0, self.index.postings))
+        return facts.fallback_of(pairs.measured(*self.golden, ("oracle_score", "n_probed", "best_probed"), missed=True))
 
     @cached_property
     def status(self) -> DataFrame:
-        return facts.routing_status(self.m4r)
+        return facts.routing_status(pairs.golden_documents(*self.golden).withColumn("any_embedding_accessible", F.col("num_accessible_centroids") > 0))
 
     @cached_property
     def offline(self) -> DataFrame:

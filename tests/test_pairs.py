@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyseek.operators import facts, index, matrices, pairs, search
+from polyseek.operators import clusters, facts, index, matrices, pairs, search
 
 
 def plan(df):
@@ -154,3 +154,32 @@ def test_documents_are_chosen_before_they_are_candidates(spark, parts, monkeypat
     monkeypatch.setattr(search, "stage_candidates", never)
     got = rows_of(search.staged_search(q, built, 3, setting, allowed=F.col("doc_id") % 3 == 1), "query_id", "doc_id", "rank", "score")
     assert got == want and got
+
+
+def test_counts_leave_the_task_instead_of_rows(spark, parts, monkeypatch):
+    """M5 by query and by cell, the places of ranked documents and judged rows, as from rows of tokens and documents."""
+    monkeypatch.setattr(pairs, "ROWS", 23)
+    monkeypatch.setattr(pairs, "TOKENS", 6)
+    _, built, q, routed, missing = parts
+    docs, size = pairs.document_blocks(built), pairs.size_of(q)
+    met = docs, pairs.query_blocks(q, routed, missing), size
+    top, r0 = search.top_k(pairs.document_scores(*met, 4), 4).cache(), facts.r0(routed)
+    m4 = pairs.measured(*met, ("oracle_embedding_pos", "oracle_score", "oracle_centroid_id")).cache()
+    m3 = facts.m3(search.winners(search.token_scores(q, routed, built, ranking=top)), top).cache()
+    m5 = facts.m5(m4, r0, m3).cache()
+    ranked = docs, pairs.query_blocks(q, routed, found=top.select("query_id", "doc_id")), size
+    want = clusters.severity(m5)
+    assert rows_of(clusters.severity(pairs.misses(*ranked, ("oracle_centroid_id",))), *want.columns) == rows_of(want, *want.columns)
+    want = facts.m6(m5, ("query_id",))
+    assert rows_of(facts.m6(pairs.misses(*ranked, ("query_id", "oracle_centroid_id")), ("query_id",)), *want.columns) == rows_of(want, *want.columns)
+    one = q.select("query_id").distinct()
+    want = clusters.query_frame(one, one, m5)
+    assert rows_of(clusters.query_frame(one, one, pairs.misses(*ranked, ("query_id",))), *want.columns) == rows_of(want, *want.columns)
+    own = m4.groupBy("query_id", "doc_id").agg(F.sum("oracle_score").alias("score")).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"])
+    want = clusters.evidence_recall(m3, m4, (1, 2, 5))
+    assert rows_of(clusters.evidence_recall(m3, pairs.oracle_places(docs, pairs.query_blocks(q, routed, found=own), size), (1, 2, 5)), *want.columns) == rows_of(want, *want.columns)
+    qrels = m4.where("(doc_id + query_id) % 3 = 0").select("query_id", "doc_id").distinct()
+    golden = pairs.document_blocks(built, qrels=qrels), met[1], size
+    want = facts.golden_m4(m4, qrels, r0, built.postings)
+    got = facts.golden_rows(pairs.measured(*golden, ("oracle_embedding_pos", "oracle_score", "oracle_centroid_id", "is_miss", *facts.GOLDEN)))
+    assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
