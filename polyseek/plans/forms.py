@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyseek.functions import user
-from polyseek.operators import blocks, evaluate, facts, hypotheses, index, plots, ragged, search, statistics, text
+from polyseek.operators import blocks, evaluate, facts, hypotheses, index, pairs, plots, ragged, search, statistics, text
 from polyseek.plans import catalog
 from polyseek.plans.catalog import TOK, query
 from polyseek.plans.config import SearchConfig
@@ -51,7 +51,7 @@ def _loaded_oracle(t: Fixture) -> DataFrame:
     root = folder(t.spark)
     t.index.save(root)
     touched = t.index.postings.join(t.routed.select("centroid_id").distinct(), "centroid_id", "left_semi")
-    return facts.oracle(t.qtok, t.routed, index.Index.load(t.spark, root), touched.select("doc_id"))
+    return facts.oracle(t.qtok, t.routed, index.Index.load(t.spark, root), touched.select("doc_id"), columns=("oracle_embedding_pos", "oracle_score"))
 
 
 @query("probed_cells_scan", "centroid_id:i n:i first:i last:i", "SELECT centroid_id, size AS n, start AS first, start + size - 1 AS last FROM cells SEMI JOIN (SELECT DISTINCT centroid_id FROM routed WHERE rank = 1) USING (centroid_id) WHERE size > 0")
@@ -116,7 +116,7 @@ query("loader_cached", "oracle_centroid_id:i miss_count:i oracle_win_count:i mis
 query("loader_of_queries", "query_id:i oracle_centroid_id:i miss_count:i oracle_win_count:i", "SELECT query_id, oracle_centroid_id, count(*) FILTER (WHERE is_miss) AS miss_count, count(*) AS oracle_win_count FROM m5 SEMI JOIN (SELECT query_id FROM m2 WHERE redundancy_rate > 0.5) USING (query_id) GROUP BY ALL")(
     lambda t: (lambda m: m.of_queries("m6_per_query", m["m2"].where("redundancy_rate > 0.5")))(_measures(t))
 )
-query("golden_scan", TOK + "doc_id:i oracle_score:f", "SELECT query_id, q_token_id, doc_id, oracle_score FROM m4 SEMI JOIN qrels USING (query_id, doc_id)")(lambda t: facts.golden_scan(t.m4, t.qrels))
+query("golden_scan", TOK + "doc_id:i oracle_score:f", "SELECT query_id, q_token_id, doc_id, oracle_score FROM m4 SEMI JOIN qrels USING (query_id, doc_id)")(lambda t: pairs.measured(*t.golden, ("oracle_score",)))
 
 
 @query("derived_saved", "table:s n:i n_columns:i", "SELECT 'm2' AS \"table\", count(*) AS n, 5 AS n_columns FROM m2 UNION ALL SELECT 'm6', count(*), 4 FROM m6")
