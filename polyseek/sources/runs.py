@@ -42,8 +42,11 @@ class Run:
         version = self.version() if version is None else version
         if not version:
             return {"tables": {}, "batches": [], "gone": []}
-        rows = self.spark.read.text(f"{self.root}/manifests/{version:012d}.json", wholetext=True).collect()  # one text
-        return json.loads(rows[0].value)
+        stream = self._fs(self.root).open(self._path(f"{self.root}/manifests/{version:012d}.json"))  # one text: no job of its own
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _commit(self, change: Callable[[dict], dict]) -> int:
         """Write the manifest that follows the newest: to a file of its own, then renamed to its number."""
