@@ -158,8 +158,8 @@ def test_documents_are_chosen_before_they_are_candidates(spark, parts, monkeypat
 
 def test_counts_leave_the_task_instead_of_rows(spark, parts, monkeypatch):
     """M5 by query and by cell, the places of ranked documents and judged rows, as from rows of tokens and documents."""
-    monkeypatch.setattr(pairs, "ROWS", 23)
-    monkeypatch.setattr(pairs, "TOKENS", 6)
+    monkeypatch.setattr(pairs, "ROWS", 90)
+    monkeypatch.setattr(pairs, "TOKENS", 20)
     _, built, q, routed, missing = parts
     docs, size = pairs.document_blocks(built), pairs.size_of(q)
     met = docs, pairs.query_blocks(q, routed, missing), size
@@ -178,7 +178,7 @@ def test_counts_leave_the_task_instead_of_rows(spark, parts, monkeypatch):
     own = m4.groupBy("query_id", "doc_id").agg(F.sum("oracle_score").alias("score")).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"])
     want = clusters.evidence_recall(m3, m4, (1, 2, 5))
     assert rows_of(clusters.evidence_recall(m3, pairs.oracle_places(docs, pairs.query_blocks(q, routed, found=own), size), (1, 2, 5)), *want.columns) == rows_of(want, *want.columns)
-    qrels = m4.where("(doc_id + query_id) % 3 = 0").select("query_id", "doc_id").distinct()
+    qrels = m4.where("(doc_id + query_id) % 3 = 0").select("query_id", "doc_id").distinct().cache()
     golden = pairs.document_blocks(built, qrels=qrels), met[1], size
     want = facts.golden_m4(m4, qrels, r0, built.postings)
     got = facts.golden_rows(pairs.measured(*golden, ("oracle_embedding_pos", "oracle_score", "oracle_centroid_id", "is_miss", *facts.GOLDEN)))
