@@ -247,7 +247,7 @@ query("fallback_strength", TOK + "doc_id:i num_fallback:i relative_gap:f strengt
     lambda t: t.fallback
 )
 query("centroid_spread", TOK + "doc_id:i strong:i strong_centroids:i capture_rate:f", "SELECT query_id, q_token_id, doc_id, count(*) AS strong, count(DISTINCT centroid_id) AS strong_centroids, count(rank) / count(*) AS capture_rate FROM (SELECT *, max(score) OVER w AS m, stddev_pop(score) OVER w AS d FROM orc WINDOW w AS (PARTITION BY query_id, q_token_id, doc_id)) LEFT JOIN r0 USING (query_id, q_token_id, centroid_id) WHERE score >= m - 1.5 * d GROUP BY ALL")(
-    lambda t: t.measured("strong", "strong_centroids", "strong_probed").withColumn("capture_rate", F.col("strong_probed") / F.col("strong"))
+    lambda t: t.measured("strong", "strong_centroids", "strong_probed").where("strong > 0").withColumn("capture_rate", F.col("strong_probed") / F.col("strong"))
 )
 
 # Cluster metrics.

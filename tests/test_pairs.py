@@ -183,3 +183,22 @@ def test_counts_leave_the_task_instead_of_rows(spark, parts, monkeypatch):
     want = facts.golden_m4(m4, qrels, r0, built.postings)
     got = facts.golden_rows(pairs.measured(*golden, ("oracle_embedding_pos", "oracle_score", "oracle_centroid_id", "is_miss", *facts.GOLDEN)))
     assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+
+
+def test_spread_of_long_documents_and_of_what_is_no_number(spark, parts):
+    """Documents in more than 64 cells, and a token whose scores are no numbers: before, none of its embeddings counted, and the share was
+    a division by zero."""
+    _, _, q, _, _ = parts
+    v = np.random.default_rng(6).normal(size=(320, 12))
+    rows = [(i, 0 if i < 160 else 1 if i < 163 else 2 + i % 30, i, x) for i, x in enumerate(v.tolist())]
+    tokens = spark.createDataFrame(rows, "vec_id long, doc_id long, pos long, v array<double>")
+    seeds = tokens.where("vec_id < 150").select(F.col("vec_id").alias("centroid_id"), F.col("v").alias("cv"))
+    built = index.build(tokens, seeds, 2, codec=spark.createDataFrame([([-0.5, 0.0, 0.5], [-1.0, -0.2, 0.2, 1.0])], "cutoffs array<double>, weights array<double>"))
+    hurt = q.withColumn("qv", F.when(F.col("q_token_id") == 9, F.transform("qv", lambda x: F.lit(float("nan")))).otherwise(F.col("qv"))).cache()
+    routed = search.probes(search.centroid_scores(hurt, built.centroids), 40).cache()
+    won = search.winners(search.token_scores(hurt, routed, built))
+    want = facts.centroid_spread(facts.oracle_rows(hurt, won, built), facts.r0(routed), k=3.5)
+    met = pairs.document_blocks(built), pairs.query_blocks(hurt, routed), pairs.size_of(hurt)
+    got = pairs.measured(*met, ("strong", "strong_centroids", "strong_probed"), spread=3.5).withColumn("capture_rate", F.col("strong_probed") / F.col("strong"))
+    assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+    assert got.where("strong_centroids > 64").count() and got.where("q_token_id = 9 and strong > 1").count()
