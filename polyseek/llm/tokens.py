@@ -5,16 +5,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain, compress
-from operator import not_
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, at most; later ones are encoded again in each batch.
 KEPT = 800_000
 # Cuts at places where byte-level BPE cuts too: after a run of letters and digits, after one of other signs, and in
 # white space; what holds an apostrophe stays together up to the next white space, for the contractions.
 STRETCH = re.compile(r" ?[^\W_]+| ?(?:[^\w\s']|_)++(?!')| ?(?:[^\w\s]|_)*'\S*| ?\S+|\s+(?!\S)|\s")
+#: Signs of which a run at the end of a word is one stretch: what is neither letter, digit, white space nor apostrophe.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 BLANK = re.compile(r" (?=\S)")
 ODD = re.compile(r" (?:\s|$)")
 # White space to Python's patterns but not to the tokenizer's.
@@ -71,51 +74,76 @@ class Encoder:
 
     def _learn_words(self, new: Iterable[str], space: bool) -> None:
         """Ids of words, those of several stretches from their stretches."""
-        one, several = [], []
+        one, ended, several = [], [], []
         for w in new:
             if w.isalpha():
                 one.append(w)
+            elif (stem := w.rstrip(SIGNS)).isalpha():
+                ended.append((w, stem, w[len(stem) :]))
             else:
                 c = STRETCH.findall(" " + w if space else w)
                 (one if len(c) < 2 else several).append(w if len(c) < 2 else (w, c))
         rest = set(chain.from_iterable(c[1:] for _, c in several))
+        rest.update(tail for _, _, tail in ended)
         heads = {c[0] for _, c in several}
         spaced = {h[1:] for h in heads if h[:1] == " " and space}
         rest.update(h for h in heads if not (space and h[:1] == " "))
-        self._learn({*one, *spaced}.difference(self.words) if space else set(one).difference(self.bare), space)
-        if not space:
-            self._learn({h[1:] for h in heads if h[:1] == " "}.difference(self.words), True)
-        self._learn(rest.difference(self.bare), False)
         bare, words = self.bare, self.words
         known = words if space else bare
+        self._learn({*one, *spaced, *(stem for _, stem, _ in ended)}.difference(known), space)
+        if not space:
+            self._learn({h[1:] for h in heads if h[:1] == " "}.difference(words), True)
+        self._learn(rest.difference(bare), False)
+        for w, stem, tail in ended:
+            known[w] = known[stem] + bare[tail]
         for w, c in several:
             known[w] = b"".join([words[c[0][1:]] if space and c[0][:1] == " " else bare[c[0]], *map(bare.__getitem__, c[1:])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # A text splits before each space that a word follows; only its first part has no space in front.
-        whole = [bool(CONTROL.search(t) or (self.special and self.special.search(t))) for t in texts]
-        cuts = [None if w else BLANK.split(t) if ODD.search(t) else t.split(" ") for w, t in zip(whole, texts, strict=True)]
-        get = self.words.get
+        out: list = [self._whole(t) if CONTROL.search(t) or (self.special and self.special.search(t)) else None for t in texts]
+        at = [i for i, x in enumerate(out) if x is None]
         had, had_bare = len(self.words), len(self.bare)
-        heads = [c.pop(0) if c else "" for c in cuts]
-        got = [list(map(get, c)) if c else [] for c in cuts]
-        fresh: set[str] = set()
-        for c, g in zip(cuts, got, strict=True):
-            if c:
-                fresh.update(compress(c, map(not_, g)))
-        self._learn_words(fresh, True)
-        self._learn_words(set(heads).difference(self.bare), False)
-        words, bare = self.words, self.bare
-        out = [
-            self._whole(t) if c is None else b"".join([bare[h], *[x or words[w] for w, x in zip(c, g, strict=True)]])
-            for t, h, c, g in zip(texts, heads, cuts, got, strict=True)
-        ]
+        odd = self._joined(out, at, pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " "))
+        if odd:
+            cuts = [BLANK.split(texts[i]) for i in odd]
+            ends = pa.array(np.cumsum([0, *map(len, cuts)]))
+            self._joined(out, odd, pa.LargeListArray.from_arrays(ends, pa.array(chain.from_iterable(cuts), pa.large_string())))
         for known, before in ((self.words, had), (self.bare, had_bare)):
             if len(known) > KEPT:  # what this batch added goes again
                 for w in list(known)[before:]:
                     del known[w]
         return out
 
+    def _joined(self, out: list, at: list[int], parts: pa.Array) -> list[int]:
+        """Put the ids of the parts of each text (a list of strings, the first without a space in front) at its place in out. Gives the
+        places of texts that must split elsewhere, as a part is empty or begins with white space. Each distinct part is looked up once."""
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [names[i] for i in code[starts[:-1]].tolist()]
+        code[starts[:-1]] = np.arange(len(names), len(names) + len(heads))
+        ids = list(map(self.words.get, names))
+        new = [i for i, x in enumerate(ids) if x is None]
+        none = [i for i in new if not names[i] or names[i][0].isspace()]
+        bad = np.zeros(len(names) + len(heads), dtype=bool)
+        bad[none] = True
+        self._learn_words([names[i] for i in new if not bad[i]], True)
+        self._learn_words(set(heads).difference(self.bare), False)
+        for i in new:
+            ids[i] = self.words.get(names[i], b"")
+        ids += map(self.bare.__getitem__, heads)
+        skip = np.zeros(len(at), dtype=bool)
+        if none:
+            skip[np.searchsorted(starts, np.flatnonzero(bad[code]), side="right") - 1] = True
+        flat = pa.array(ids, pa.large_binary()).take(pa.array(code))
+        ends = np.frombuffer(flat.buffers()[1], dtype="<i8", count=len(flat) + 1)[starts].tolist()
+        data = memoryview(flat.buffers()[2] or b"")
+        for i, gone, a, b in zip(at, skip.tolist(), ends, ends[1:], strict=False):
+            if not gone:
+                out[i] = bytes(data[a:b])
+        return [i for i, gone in zip(at, skip.tolist(), strict=True) if gone]
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 

@@ -141,6 +141,32 @@ def test_byte_bpe(odd_texts):
     assert all(np.frombuffer(a, e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids for a, t in zip(got, odd_texts, strict=True))
 
 
+def test_distinct_words_are_looked_up_once(monkeypatch):
+    """A word is looked up once in a batch, and one that ends in signs is not cut by a pattern; before, each occurrence was looked up."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    class Pattern:
+        cut = 0
+
+        def findall(self, w, f=tokens.STRETCH.findall):
+            Pattern.cut += 1
+            return f(w)
+
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    e.words = Counted()
+    monkeypatch.setattr(tokens, "STRETCH", Pattern())
+    texts = ["the cat, sat... " * 300 + "Ωmega!? \"end\"", "", "sat... the  cat, ", "\n the", "cat,", "naïve{} end_ end* x'y,"]
+    got = e.encode(texts)
+    assert all(np.frombuffer(a, e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids for a, t in zip(got, texts, strict=True))
+    assert Counted.asked < 60 and Pattern.cut < 12
+
+
 def test_piece_bpe(odd_texts):
     import sentencepiece
 
